@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: White space of the word definition: space, tab, line feed, vertical tab, form feed, return.
 WHITE = " \t\n\x0b\x0c\r"
 #: The same as a regular-expression class for Spark SQL's Java regexes.
-WHITE_CLASS = "[\\x20\\x09-\\x0D]"
+WHITE_CLASS, WORD_CLASS = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +51,6 @@ def words_of(text: Column) -> Column:
 
 
 def n_words_of(text: Column) -> Column:
-    """Number of words as a long, without keeping the words: white space runs of the trimmed text, plus one."""
-    packed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_CLASS + "+", " "))
-    gaps = F.length(packed) - F.length(F.translate(packed, " ", ""))
-    return F.when(packed == "", F.lit(0)).otherwise(gaps + 1).cast("long")
-
-
-def with_new(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with the columns added; an input column of the same name is replaced."""
-    return df.withColumns(columns)
+    """Number of words as a long: every word and the white space after it become one character."""
+    begun = F.ltrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
+    return F.length(F.regexp_replace(begun, f"{WORD_CLASS}++{WHITE_CLASS}*+", "x")).cast("long")

@@ -28,7 +28,7 @@ SEED = "mix-1"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Per source (__none, __source): source_size, target, rate (expected copies of a document).
+    """From counts n of each (source, size), per source (__none, __source): source_size, target, rate (expected copies of a document).
 
     Targets share all words by weight, none above `most` times its source. That is a water level: with
     sources in the order of most * size / weight, the level is the first mean of what remains that the next
@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     every, ordered = Window.partitionBy(), Window.orderBy("__none", "__source")
     by_cap = Window.orderBy("__cap", "__place")
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    s = sizes.groupBy("__none", "__source").agg(F.sum("size").alias("source_size"))
+    s = sizes.groupBy("__none", "__source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     s = s.withColumn("__place", F.row_number().over(ordered))
     s = s.withColumn("__weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("__place") - 1) % len(weights) + 1).cast("int")))
     s = s.withColumn("__cap", F.lit(float(most)) * F.col("source_size") / F.col("__weight"))
@@ -70,10 +70,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     plain = rows.select("__none", "__source", "size", "__salt")
     key = ["__none", "__source"]
     cells = plain.groupBy(*key, "size", "__salt").agg(F.count("*").alias("n"))
-    targets = source_targets(plain, weights, most)
     in_size = Window.partitionBy(*key, "size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     in_source = Window.partitionBy(*key).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = plain.groupBy(*key, "size").agg(F.count("*").alias("n"))
+    # all from the counts of cells, whose shuffle is reused: texts are read for them once
+    by_size = cells.groupBy(*key, "size").agg(F.sum("n").alias("n"))
+    targets = source_targets(by_size, weights, most)
     by_size = by_size.select(*key, "size", F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("__below"))
     by_size = by_size.join(targets, key)
     cells = cells.select(*key, "size", "__salt", F.coalesce(F.sum("n").over(in_size), F.lit(0)).alias("__beside"))
