@@ -1,10 +1,11 @@
 """Queries and SQL of the training-data operators, for __spark_entry__.py."""
 
-from talkspark.llm import bpe, gru_langid, minhash_dedup, mixing, quality_rules, url_filter
+from talkspark.llm import bpe, gru_langid, kn_quality, minhash_dedup, mixing, quality_rules, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op5_kn_quality": kn_quality.op5_kn_quality,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_bpe": bpe.op8_bpe,
     "op9_language_id": gru_langid.op9_language_id,
