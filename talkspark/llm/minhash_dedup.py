@@ -18,8 +18,7 @@ Shingles are compared by 64-bit hashes, node identity by 128-bit ones.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; rows with a null
 doc_id are linked like others but never name a component (component_id null when nothing else does); repeated
-rows and equal sets are one component; an empty table gives no rows; other columns pass through, and an input
-column named like an output is replaced. `kept` is doc_id = component_id, true where component_id is null.
+rows and equal sets are one component; an empty table gives no rows; other columns take no part. `kept` is doc_id = component_id, true where component_id is null.
 """
 
 from __future__ import annotations
@@ -177,7 +176,7 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the text, with n_shingles, component_id and kept."""
+    """doc_id, n_shingles, component_id, kept and text_key (a hash of the text) of each row."""
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *same_text(doc_id, text))
     rows = stored(signatures(slim), "signatures")
@@ -225,9 +224,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     named = nodes.select("node", "id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = named.select("node", "comp").join(least, "comp").select("node", "component_id")
-    out = rows.select("id", "n_shingles", "node").join(named, "node", "left")
+    out = rows.select("id", "n_shingles", "node", "text_key").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    out = out.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"))
+    out = out.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), "text_key")
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.col("component_id").isNull()))
 
 
@@ -246,4 +245,4 @@ def nodes_texts(docs: DataFrame, rows: DataFrame, shared: DataFrame, text: str,
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs)
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")

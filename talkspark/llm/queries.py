@@ -1,11 +1,12 @@
 """Queries and SQL of the training-data operators, for __spark_entry__.py."""
 
-from talkspark.llm import bpe, gru_langid, html_template, kn_quality, minhash_dedup, mixing, quality_rules, rp_forest, url_filter
+from talkspark.llm import bpe, chat_hmm, gru_langid, html_template, kn_quality, minhash_dedup, mixing, quality_rules, rp_forest, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_html_template": html_template.op2_html_template,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op4_chat_format": chat_hmm.op4_chat_format,
     "op5_kn_quality": kn_quality.op5_kn_quality,
     "op6_nearest_neighbours": rp_forest.op6_nearest_neighbours,
     "op7_mix_sources": mixing.op7_mix_sources,
