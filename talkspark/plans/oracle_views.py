@@ -33,11 +33,11 @@ lines AS (SELECT job_id, line_no, first(speaker) AS speaker, min(start_ms) AS st
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS turn_ix, 'SPEAKER_' || (l_suppkey % 4) AS speaker, l_quantity AS q FROM lineitem))""",
     "members": """members AS (SELECT 'test:64' AS namespace, 'voice_' || label AS name, vec_id // 10 AS job_id, 'SPEAKER_' || (vec_id % 10) AS speaker_id, embedding::DOUBLE[] AS embedding, vec_id AS added FROM embeddings WHERE vec_id % 5 <> 0)""",
     "prints": """prints AS (SELECT vec_id AS print_id, vec_id // 10 AS job_id, 'SPEAKER_' || (vec_id % 10) AS speaker_id, embedding::DOUBLE[] AS embedding FROM embeddings WHERE vec_id % 5 = 0)""",
-    "voices": """un AS (SELECT name, list_transform(embedding, x -> x / sqrt(list_dot_product(embedding, embedding))) AS e FROM members),
+    "voices": """un AS (SELECT name, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS e FROM members),
 ud AS (SELECT name, unnest(e) AS x, unnest(range(len(e))) AS d FROM un),
 um AS (SELECT name, d, sum(x) / count(*) AS x FROM ud GROUP BY name, d),
 uv AS (SELECT name, list(x ORDER BY d) AS v FROM um GROUP BY name),
-voices AS (SELECT name, list_transform(v, x -> x / sqrt(list_dot_product(v, v))) AS centroid FROM uv)""",
+voices AS (SELECT name, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS centroid FROM uv)""",
     "matches": """mx AS (SELECT p.print_id, p.job_id, p.speaker_id, v.name, list_cosine_similarity(p.embedding, v.centroid) AS score FROM prints p, voices v),
 matches AS (SELECT print_id, job_id, speaker_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY print_id ORDER BY score DESC, name) AS rn FROM mx) WHERE rn = 1)""",
     "recordings": """recordings AS (SELECT doc_id AS job_id, sha256(text) AS fingerprint, source AS dir, lang, doc_id AS mtime, doc_id % 4 <> 0 AS transcribed, length(text)::BIGINT AS size FROM documents)""",
