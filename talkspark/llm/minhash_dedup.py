@@ -4,15 +4,17 @@ A text is its set of distinct SHINGLE-word shingles (A-Z lower-cased; fewer word
 Texts with equal sets are one node. A node's signature has COORDINATES coordinates, each the hash of ROWS
 min-wise values; a node is posted under each coordinate-value pair. Two sets at the similarity limit of 0.8
 agree in a coordinate with probability 0.8^3 = 0.51 and in MATCHES = 2 or more of 24 with probability
-1 - 8.6e-7; pairs under MATCHES aren't looked at, so only COORDINATES - MATCHES + 1 coordinates (a prefix)
-need to be posted.
+1 - 8.6e-7; pairs under MATCHES collisions aren't looked at.
 
 Merging the lists makes no pairs within a list at first: every node meets the hub of each of its lists, the
 node whose lists are longest. Collisions of each such pair are counted over whole signatures, pairs above the
 match threshold are confirmed on full sets, and components of the confirmed links are found. Lists whose nodes
-are all in one component are then skipped: more links there change nothing. In what is left only pairs of
-different components are made, counted and confirmed, until no list has such a pair that hasn't been looked
-at. A large group of near copies so costs links to its hub, not pairs, and no component is lost.
+are all in one component are then skipped: more links there change nothing. In lists that a component has
+mostly, the others meet random members of it, a different one in each list. Of what is left, exactly the pairs
+of different components that collide in MATCHES lists are made: strays meet all of a list that a component has
+mostly; elsewhere nodes are posted under pairs of their keys, a prefix of two, so a value that many unrelated
+nodes share by chance makes no pairs. A large group of near copies so costs links to hubs and pivots, not
+pairs, and no component is lost.
 
 Shingles are compared by 64-bit hashes, node identity by 128-bit ones.
 
@@ -36,6 +38,8 @@ from talkspark.llm.common import cut, stored
 
 SHINGLE, LIMIT = 2, (80, 100)
 COORDINATES, ROWS, MATCHES = 24, 3, 2
+#: Turns with random pivots; nodes that a component needs in a list to be its major one.
+TURNS, MAJOR = 2, 4
 SLICE = 4_000_000
 
 _random = np.random.default_rng(20)
@@ -138,18 +142,20 @@ def confirmed(pairs: DataFrame, limit: tuple[int, int] = LIMIT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            for start in range(0, batch.num_rows, 100):
-                part = batch.slice(start, 100)
-                left = [t.encode() for t in part.column("text_a").to_pylist()]
-                right = [t.encode() for t in part.column("text_b").to_pylist()]
-                texts = {t: i for i, t in enumerate(dict.fromkeys(left + right))}
-                sets = shingler.sets(list(texts))
-                keep = []
-                for x, y in zip(left, right, strict=True):
-                    s, t = sets[texts[x]], sets[texts[y]]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(limit[1] * both >= limit[0] * (len(s) + len(t) - both))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            # each text of a batch is cut once, however many pairs it stands in
+            coded = [batch.column(c).dictionary_encode() for c in ("text_a", "text_b")]
+            sets = []
+            for c in coded:
+                own = []
+                for start, n in slices(c.dictionary, SLICE):
+                    own += shingler.sets([t.encode() for t in c.dictionary.slice(start, n).to_pylist()])
+                sets.append(own)
+            keep = []
+            for i, j in zip(*(c.indices.to_numpy().tolist() for c in coded), strict=True):
+                s, t = sets[0][i], sets[1][j]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(limit[1] * both >= limit[0] * (len(s) + len(t) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
@@ -175,6 +181,49 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return labels
 
 
+def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, n, comp, top, major) of the lists that hold more than one component.
+
+    top: the list's largest component; major: whether it has half of the list, and MAJOR nodes, or more. Lists
+    of one component are skipped from here on.
+    """
+    at = shared.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    cells = at.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    lists = cells.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("members"), F.max(F.struct("c", "comp")).alias("t")).where("kinds > 1")
+    major = (2 * F.col("t.c") >= F.col("members")) & (F.col("t.c") >= MAJOR)
+    return cut(at.join(lists.select("key", F.col("t.comp").alias("top"), major.alias("major")), "key"))
+
+
+def to_pivots(lists: DataFrame, turn: int) -> DataFrame:
+    """Pairs of the nodes outside a major component with one node of it, another in each list and turn."""
+    major = lists.where("major")
+    draw = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("draw"), "node", "n")
+    pivots = major.where(F.col("comp") == F.col("top")).groupBy("key").agg(F.min(draw).alias("p"))
+    strays = major.where(F.col("comp") != F.col("top")).join(pivots, "key")
+    return strays.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).distinct()
+
+
+def rest_of(lists: DataFrame) -> DataFrame:
+    """All pairs of different components that can have MATCHES = 2 collisions.
+
+    Of two nodes that share a list with a major component, one is outside of it, or both are: strays meet all
+    of such a list. Two nodes with only other lists in common share two of those, so they meet under a pair of
+    keys; a key that many unrelated nodes have by chance makes no pairs by itself.
+    """
+    side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("comp").alias(f"comp_{x}"))
+    major = lists.where("major")
+    one = side(major.where(F.col("comp") != F.col("top")), "a").join(side(major, "b"), "key")
+    twos = lists.where("NOT major").groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # COORDINATES at most
+    pair = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(COORDINATES)), lambda y: F.xxhash64(x, y))))
+    twos = twos.where(F.size("keys") >= MATCHES).select(F.explode(pair).alias("key"), "node", "n", "comp")
+    alone = twos.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    twos = cut(twos.join(alone, "key"))
+    two = side(twos, "a").join(side(twos, "b"), "key").where(F.col("a") < F.col("b"))
+    pairs = one.unionByName(two).where(F.col("comp_a") != F.col("comp_b"))
+    pairs = pairs.where(F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0])
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_key (a hash of the text) of each row."""
     spark = docs.sparkSession
@@ -183,8 +232,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("coords").alias("coords"), F.first("n_shingles").alias("n"))
     nodes = stored(nodes, "nodes")
     # one text for each node; any of those with its set will do
-    prefix = COORDINATES - MATCHES + 1
-    posted = nodes.select("node", "n", F.explode(F.slice("coords", 1, prefix)).alias("key"))
+    posted = nodes.select("node", "n", F.explode("coords").alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = stored(posted.join(lists, "key"), "shared")
     reach = shared.groupBy("node").agg(F.sum("members").alias("reach"))
@@ -204,22 +252,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     hubs = shared.groupBy("key").agg(F.max(F.struct("reach", "node", "n")).alias("hub"))
     met = shared.join(hubs, "key").where(F.col("node") != F.col("hub.node"))
     met = met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b")).distinct()
-    edges = looked_at(met)
-    labels = components(edges)
-
-    # lists with nodes of more than one component: all pairs of different components that haven't met
-    at = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed_lists = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = cut(at.join(mixed_lists, "key").select("key", "node", "n", "comp"))
-    left = rest.toDF("key", "a", "n_a", "comp_a")
-    right = rest.toDF("key", "b", "n_b", "comp_b")
-    fresh = left.join(right, "key").where(F.col("a") < F.col("b")).where(F.col("comp_a") != F.col("comp_b"))
-    fresh = fresh.where(F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0])
-    fresh = fresh.select("a", "b", "n_a", "n_b").distinct()
-    seen = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = looked_at(fresh.join(seen, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = components(more, labels)
+    labels = components(looked_at(met))
+    for turn in range(TURNS):
+        open_lists = unsettled(shared, labels)
+        strays = looked_at(to_pivots(open_lists, turn))
+        if not strays.isEmpty():
+            labels = components(strays, labels)
+    last = looked_at(rest_of(unsettled(shared, labels)))
+    if not last.isEmpty():
+        labels = components(last, labels)
 
     named = nodes.select("node", "id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
