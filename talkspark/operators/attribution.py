@@ -50,7 +50,8 @@ def dominant(spans: DataFrame, turns: DataFrame) -> DataFrame:
     keys = ["job_id", "span_ix"]
     best = top_speaker(spans_speakers(spans, turns, keys, ["start_ms"]), keys)
     out = spans.join(best, keys, "left")
-    part = F.least(F.lit(1.0), F.col("shared") / F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1)))
+    # least skips nulls, so a span without a speaker needs the condition
+    part = F.when(F.col("shared").isNotNull(), F.least(F.lit(1.0), F.col("shared") / F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1))))
     return out.withColumns({"speaker": F.coalesce("speaker", F.lit(UNKNOWN)), "speaker_confidence": F.coalesce(part, F.lit(0.0))}).drop("shared")
 
 
@@ -108,7 +109,8 @@ def without_overlap(chunks: DataFrame, words: DataFrame) -> tuple[DataFrame, Dat
 def tokens_to_words(tokens: DataFrame) -> DataFrame:
     """Words of subword tokens (job_id, chunk_ix, tokens, starts, durations): a token with a leading space, or the
     first, opens a word; a word ends where its last token does."""
-    t = tokens.select(*CHUNK, F.posexplode(F.arrays_zip("tokens", "starts", "durations")).alias("ix", "t"))
+    some = F.coalesce("durations", F.array().cast("array<bigint>"))  # without durations words have no length
+    t = tokens.select(*CHUNK, F.posexplode(F.arrays_zip("tokens", "starts", some.alias("durations"))).alias("ix", "t"))
     t = t.select(*CHUNK, "ix", "t.tokens", F.col("t.starts").alias("start_ms"), (F.col("t.starts") + F.coalesce("t.durations", F.lit(0))).alias("end_ms"))
     order = Window.partitionBy(*CHUNK).orderBy("ix")
     opens = (F.col("tokens").startswith(" ") | (F.col("ix") == 0)).cast("int")

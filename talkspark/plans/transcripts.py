@@ -182,11 +182,11 @@ ORACLES = {
     "w1_utterances": sql("SELECT job_id, chunk_ix, pos, word, utt FROM utts", "utts"),
     "j1_word_attribution": sql("SELECT job_id, chunk_ix, pos, utt, speaker FROM spoken", "spoken"),
     "w2_speaker_segments": sql("SELECT * FROM segs", "segs"),
-    "j2_dominant_speaker": sql("""SELECT c.job_id, c.turn AS span_ix, coalesce(b.speaker, 'UNKNOWN') AS speaker, round(coalesce(least(1.0, b.o / greatest(c.end_ms - c.start_ms, 1)), 0.0), 6) AS confidence FROM conv_turns c LEFT JOIN
+    "j2_dominant_speaker": sql("""SELECT c.job_id, c.turn AS span_ix, coalesce(b.speaker, 'UNKNOWN') AS speaker, round(CASE WHEN b.o IS NULL THEN 0.0 ELSE least(1.0, b.o / greatest(c.end_ms - c.start_ms, 1)) END, 6) AS confidence FROM conv_turns c LEFT JOIN
  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, turn ORDER BY o DESC, f) AS rn FROM (SELECT c.job_id, c.turn, t.speaker, sum(least(c.end_ms, t.end_ms) - greatest(c.start_ms, t.start_ms)) AS o, min(t.turn_ix) AS f
  FROM conv_turns c JOIN turns t ON c.job_id = t.job_id AND c.start_ms < t.end_ms AND t.start_ms < c.end_ms GROUP BY ALL)) WHERE rn = 1) b ON c.job_id = b.job_id AND c.turn = b.turn""", "turns"),
     "j3_merged_segments": sql(""", """ + ASR + """ SELECT job_id, chunk_ix, seg_ix, speaker, speaker_confidence, start_ms, end_ms, text FROM segs WHERE job_id % 3 <> 0 UNION ALL
- SELECT a.job_id, a.chunk_ix, 0 AS seg_ix, coalesce(b.speaker, 'UNKNOWN'), round(coalesce(least(1.0, b.o / greatest(a.end_ms - a.start_ms, 1)), 0.0), 6), a.start_ms, a.end_ms, trim(a.text) FROM asr a LEFT JOIN
+ SELECT a.job_id, a.chunk_ix, 0 AS seg_ix, coalesce(b.speaker, 'UNKNOWN'), round(CASE WHEN b.o IS NULL THEN 0.0 ELSE least(1.0, b.o / greatest(a.end_ms - a.start_ms, 1)) END, 6), a.start_ms, a.end_ms, trim(a.text) FROM asr a LEFT JOIN
  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, chunk_ix ORDER BY o DESC, f) AS rn FROM (SELECT a.job_id, a.chunk_ix, t.speaker, sum(least(a.end_ms, t.end_ms) - greatest(a.start_ms, t.start_ms)) AS o, min(t.turn_ix) AS f
  FROM asr a JOIN turns t ON a.job_id = t.job_id AND a.start_ms < t.end_ms AND t.start_ms < a.end_ms GROUP BY ALL)) WHERE rn = 1) b USING (job_id, chunk_ix) WHERE a.job_id % 3 = 0""", "segs").replace("\n, asr AS", ",\nasr AS"),
     "j3_warnings": sql("SELECT DISTINCT job_id, 'no word times: one speaker for the whole segment' AS warning FROM words WHERE job_id % 3 = 0", "words"),
