@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SHORT, DICTIONARY, SLICE = 48, 400_000, 4_000_000
+SHORT, DICTIONARY, SLICE = 48, 200_000, 2_000_000
 NONE = np.iinfo(np.int32).max
 #: The pattern of byte-level BPE, with white space as the Unicode property.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

@@ -37,7 +37,9 @@ from pyspark.sql import types as T
 from talkspark.llm.bpe import slices, with_column
 from talkspark.llm.common import cut, stored
 
-ORDER, BLOCK, PRIOR, QUANTILE, MARGIN, LEAST = 4, 16_000_000, 40, 0.99, 0.15, 50
+ORDER, PRIOR, QUANTILE, MARGIN, LEAST = 4, 40, 0.99, 0.15, 50
+#: Bytes of text in a block, and of those worked at once.
+BLOCK, PART = 16_000_000, 1_000_000
 #: Lower-cased letters, one digit.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -124,7 +126,7 @@ def packed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["block", "ids", "rows"])
 
         for batch in batches:
-            for start, n in slices(batch.column(text), BLOCK // 4):
+            for start, n in slices(batch.column(text), PART):
                 part = batch.slice(start, n)
                 held.append(part)
                 size += part.column(text).nbytes

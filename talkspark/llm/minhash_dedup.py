@@ -6,15 +6,14 @@ min-wise values; a node is posted under each coordinate-value pair. Two sets at
 agree in a coordinate with probability 0.8^3 = 0.51 and in MATCHES = 2 or more of 24 with probability
 1 - 8.6e-7; pairs under MATCHES collisions aren't looked at.
 
-Merging the lists makes no pairs within a list at first: every node meets the hub of each of its lists, the
-node whose lists are longest. Collisions of each such pair are counted over whole signatures, pairs above the
-match threshold are confirmed on full sets, and components of the confirmed links are found. Lists whose nodes
-are all in one component are then skipped: more links there change nothing. In lists that a component has
-mostly, the others meet random members of it, a different one in each list. Of what is left, exactly the pairs
-of different components that collide in MATCHES lists are made: strays meet all of a list that a component has
-mostly; elsewhere nodes are posted under pairs of their keys, a prefix of two, so a value that many unrelated
-nodes share by chance makes no pairs. A large group of near copies so costs links to hubs and pivots, not
-pairs, and no component is lost.
+Merging the lists makes no pairs within a list at first: every node meets one random member of each of its
+lists, so nodes of a group of near copies meet many of it, each by another list. Collisions of each such pair
+are counted over whole signatures, pairs above the match threshold are confirmed on full sets, and components of
+the confirmed links are found. Lists whose nodes are all in one component are then skipped: more links there
+change nothing. Of what is left, exactly the pairs of different components that collide in MATCHES lists are
+made: strays meet all of a list that a component has mostly; elsewhere nodes are posted under pairs of their
+keys, a prefix of two, so a value that many unrelated nodes share by chance makes no pairs. A large group of
+near copies so costs links to pivots, not pairs, and no component is lost.
 
 Shingles are compared by 64-bit hashes, node identity by 128-bit ones.
 
@@ -38,8 +37,8 @@ from talkspark.llm.common import cut, stored
 
 SHINGLE, LIMIT = 2, (80, 100)
 COORDINATES, ROWS, MATCHES = 24, 3, 2
-#: Turns with random pivots; nodes that a component needs in a list to be its major one.
-TURNS, MAJOR = 2, 4
+#: Nodes that a component needs in a list to be its major one.
+MAJOR = 4
 SLICE = 4_000_000
 
 _random = np.random.default_rng(20)
@@ -194,13 +193,12 @@ def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(at.join(lists.select("key", F.col("t.comp").alias("top"), major.alias("major")), "key"))
 
 
-def to_pivots(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs of the nodes outside a major component with one node of it, another in each list and turn."""
-    major = lists.where("major")
-    draw = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("draw"), "node", "n")
-    pivots = major.where(F.col("comp") == F.col("top")).groupBy("key").agg(F.min(draw).alias("p"))
-    strays = major.where(F.col("comp") != F.col("top")).join(pivots, "key")
-    return strays.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).distinct()
+def to_pivots(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of every node with a random member of each of its lists, another in each list."""
+    draw = F.struct(F.xxhash64("node", "key").alias("draw"), "node", "n")
+    pivots = shared.groupBy("key").agg(F.min(draw).alias("p"))
+    met = shared.join(pivots, "key").where(F.col("node") != F.col("p.node"))
+    return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).distinct()
 
 
 def rest_of(lists: DataFrame) -> DataFrame:
@@ -234,9 +232,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # one text for each node; any of those with its set will do
     posted = nodes.select("node", "n", F.explode("coords").alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = stored(posted.join(lists, "key"), "shared")
-    reach = shared.groupBy("node").agg(F.sum("members").alias("reach"))
-    shared = stored(shared.drop("members").join(reach, "node"), "postings")
+    shared = stored(posted.join(lists.select("key"), "key"), "postings")
     texts = nodes_texts(docs, rows, shared, text, doc_id)
 
     def looked_at(pairs: DataFrame) -> DataFrame:
@@ -249,15 +245,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         pairs = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return cut(confirmed(pairs))
 
-    hubs = shared.groupBy("key").agg(F.max(F.struct("reach", "node", "n")).alias("hub"))
-    met = shared.join(hubs, "key").where(F.col("node") != F.col("hub.node"))
-    met = met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b")).distinct()
-    labels = components(looked_at(met))
-    for turn in range(TURNS):
-        open_lists = unsettled(shared, labels)
-        strays = looked_at(to_pivots(open_lists, turn))
-        if not strays.isEmpty():
-            labels = components(strays, labels)
+    labels = components(looked_at(to_pivots(shared)))
     last = looked_at(rest_of(unsettled(shared, labels)))
     if not last.isEmpty():
         labels = components(last, labels)
