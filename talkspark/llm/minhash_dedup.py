@@ -10,7 +10,7 @@ Merging the lists makes no pairs within a list at first: every node meets one ra
 lists, so nodes of a group of near copies meet many of it, each by another list. Collisions of each such pair
 are counted over whole signatures, pairs above the match threshold are confirmed on full sets, and components of
 the confirmed links are found. Lists whose nodes are all in one component are then skipped: more links there
-change nothing. Of what is left, exactly the pairs of different components that collide in MATCHES lists are
+change nothing. Where a component has a list mostly, the others meet random nodes of it. Of what is left, exactly the pairs of different components that collide in MATCHES lists are
 made: strays meet all of a list that a component has mostly; elsewhere nodes are posted under pairs of their
 keys, a prefix of two, so a value that many unrelated nodes share by chance makes no pairs. A large group of
 near copies so costs links to pivots, not pairs, and no component is lost.
@@ -201,6 +201,15 @@ def to_pivots(shared: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).distinct()
 
 
+def to_majors(lists: DataFrame) -> DataFrame:
+    """Pairs of the nodes outside a list's major component with random nodes of it, another in each list."""
+    major = lists.where("major")
+    draw = F.struct(F.xxhash64("key", "node").alias("draw"), "node", "n")
+    pivots = major.where(F.col("comp") == F.col("top")).groupBy("key").agg(F.min(draw).alias("p"))
+    met = major.where(F.col("comp") != F.col("top")).join(pivots, "key")
+    return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).distinct()
+
+
 def rest_of(lists: DataFrame) -> DataFrame:
     """All pairs of different components that can have MATCHES = 2 collisions.
 
@@ -246,6 +255,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         return cut(confirmed(pairs))
 
     labels = components(looked_at(to_pivots(shared)))
+    strays = looked_at(to_majors(unsettled(shared, labels)))
+    if not strays.isEmpty():
+        labels = components(strays, labels)
     last = looked_at(rest_of(unsettled(shared, labels)))
     if not last.isEmpty():
         labels = components(last, labels)
