@@ -70,7 +70,7 @@ def transcript_lines(records: DataFrame) -> DataFrame:
     line = F.when(inline.isNotNull(), F.regexp_replace("raw", r"^\s*[\[(<*#]*\s*[A-Za-z]{1,12}\s*[\])>*]*\s*:\s*", "")).otherwise(F.col("raw"))
     size = F.when(F.length(line) < 40, 0).when(F.length(line) < 200, 1).otherwise(2)
     asks = F.when(F.rtrim(line).endswith("?"), 1).otherwise(0)
-    opens = F.when(F.col("line_no") == 0, 1).otherwise(0)
+    opens = F.when((F.col("line_no") == 0) | inline.isNotNull(), 1).otherwise(0)
     return one.select(
         "conv_id", "turn", "conv", "place", "key", "given", "line_no", role_of(F.col("given")).alias("known"),
         F.coalesce(inline, given, F.lit(len(ROLES))).alias("marker"), (size * 4 + asks * 2 + opens).alias("kind"), line.alias("line"), "copies",

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkspark.llm.common import WHITE, cut, words_of
+from talkspark.llm.common import WHITE, cut, stored, words_of
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -129,7 +129,8 @@ def judged(counts: DataFrame, lang: str = "lang", source: str = "source") -> Dat
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """docs with counts, shares, thresholds, base_failed and kept."""
-    return judged(text_counts(docs, text), lang, source)
+    # stored first: a filter on the counts, pushed below them, would make each window from the whole text again
+    return judged(stored(text_counts(docs, text), "counts"), lang, source)
 
 
 ORACLE = """
