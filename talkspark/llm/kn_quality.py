@@ -77,7 +77,7 @@ class Model:
             c = F.col("n")
             # counts of counts decide the discounts: one row, joined by broadcast
             d = counts.agg(*(F.count(F.when(c == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)))
-            y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+            y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
             d = d.select(*(
                 F.coalesce(F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)))), F.lit(0.5 * i)).alias(f"d{i}")
                 for i in (1, 2, 3)
@@ -228,8 +228,8 @@ def judged(scores: DataFrame, lang: str = "lang") -> DataFrame:
     """Scores with perplexity, threshold (also a perplexity) and kept. scores needs nll, n_bytes, trusted."""
     total = lambda k: F.sum(F.when(F.col("trusted"), F.col(k)))
     one = scores.withColumn("__lang", F.coalesce(F.concat(F.lit("+"), F.col(lang)), F.lit("-")))
-    means = one.groupBy("__lang").agg((total("nll") / total("n_bytes")).alias("__mean"))
-    whole = one.agg((total("nll") / total("n_bytes")).alias("__all"))
+    means = one.groupBy("__lang").agg(F.try_divide(total("nll"), total("n_bytes")).alias("__mean"))
+    whole = one.agg(F.try_divide(total("nll"), total("n_bytes")).alias("__all"))
     one = one.join(means, "__lang").join(F.broadcast(whole))
     mean = F.coalesce("__mean", "__all")
     one = one.withColumn("__score", F.when(F.col("n_bytes") > 0, (F.col("nll") + PRIOR * mean) / (F.col("n_bytes") + PRIOR)))
