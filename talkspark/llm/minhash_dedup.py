@@ -15,6 +15,11 @@ made: strays meet all of a list that a component has mostly; elsewhere nodes are
 keys, a prefix of two, so a value that many unrelated nodes share by chance makes no pairs. A large group of
 near copies so costs links to pivots, not pairs, and no component is lost.
 
+Before that, postings are skipped by exact bounds on the full sets. A shingle that one node only has is in no
+intersection, so a node's intersections are at most its size less such shingles. Where that is too few for the
+smallest partner in a list, the node leaves the list: strays of a large group, made of it and words of their own,
+are so refuted against all of it at once, in one pass over their shingles.
+
 Shingles are compared by 64-bit hashes, node identity by 128-bit ones.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; rows with a null
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +44,8 @@ SHINGLE, LIMIT = 2, (80, 100)
 COORDINATES, ROWS, MATCHES = 24, 3, 2
 #: Nodes that a component needs in a list to be its major one.
 MAJOR = 4
+#: Passes of skipping postings; each finds more shingles that one node only has, as refuted nodes are gone.
+SKIPS = 2
 SLICE = 4_000_000
 
 _random = np.random.default_rng(20)
@@ -210,25 +217,67 @@ def to_majors(lists: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).distinct()
 
 
-def rest_of(lists: DataFrame) -> DataFrame:
-    """All pairs of different components that can have MATCHES = 2 collisions.
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(node, shingle) of every shingle of texts (node, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            for start, n in slices(batch.column("text"), SLICE):
+                part = batch.slice(start, n)
+                sets = shingler.sets([t.encode() for t in part.column("text").to_pylist()])
+                whose = pa.array(np.repeat(np.arange(n), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([part.column("node").take(whose), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, shingle long")
+
+
+def enough(u: Column, n: Column, other: Column) -> Column:
+    """Whether an intersection of u can be enough for sets of n and other: u / (n + other - u) >= LIMIT."""
+    return u * sum(LIMIT) >= (n + other) * LIMIT[0]
+
 
-    Of two nodes that share a list with a major component, one is outside of it, or both are: strays meet all
-    of such a list. Two nodes with only other lists in common share two of those, so they meet under a pair of
-    keys; a key that many unrelated nodes have by chance makes no pairs by itself.
+def skipped(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """lists with u, the most that a node can share with another, without postings that can't lead to a link.
+
+    A pair that is similar enough stays in each of its lists: both have all they share in u, and each has the
+    other as a partner no smaller than the smallest of the list.
     """
-    side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("comp").alias(f"comp_{x}"))
-    major = lists.where("major")
-    one = side(major.where(F.col("comp") != F.col("top")), "a").join(side(major, "b"), "key")
-    twos = lists.where("NOT major").groupBy("node", "n", "comp").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # COORDINATES at most
-    pair = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.lit(COORDINATES)), lambda y: F.xxhash64(x, y))))
-    twos = twos.where(F.size("keys") >= MATCHES).select(F.explode(pair).alias("key"), "node", "n", "comp")
-    alone = twos.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    twos = cut(twos.join(alone, "key"))
-    two = side(twos, "a").join(side(twos, "b"), "key").where(F.col("a") < F.col("b"))
-    pairs = one.unionByName(two).where(F.col("comp_a") != F.col("comp_b"))
+    among = texts.join(lists.select("node").distinct(), "node")
+    own = shingle_rows(among).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    own = own.groupBy("node").agg(F.count("*").alias("own"))
+    least = lists.groupBy("key").agg(F.min("n").alias("least"))
+    left = lists.drop("u").join(own, "node", "left").withColumn("u", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").join(least, "key")
+    left = left.where(enough(F.col("u"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * LIMIT[0] / LIMIT[1])))).drop("least")
+    left = cut(left)
+    several = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return cut(left.join(several, "key"))
+
+
+def rest_of(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components among the nodes of the lists that can be similar enough.
+
+    A node needs a part of its shingles in common with any partner. Sorted from the rarest among these nodes, two
+    that are similar enough share one in the prefixes that only just leave less than that part. So nodes are
+    posted under the shingles of their prefixes; those of strays are their own or rare ones, and shingles that
+    a large group shares are behind.
+    """
+    least = lists.groupBy("key").agg(F.min("n").alias("least"))
+    nodes = lists.join(least, "key").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "u", "comp")], F.min("least").alias("least"))
+    partner = F.greatest("least", F.ceil(F.col("n") * LIMIT[0] / LIMIT[1]))
+    need = F.ceil((F.col("n") + partner) * LIMIT[0] / sum(LIMIT))
+    nodes = cut(nodes.withColumn("prefix", F.col("n") - need + 1).drop("least"))
+    rows = stored(shingle_rows(texts.join(nodes.select("node"), "node")), "shingles")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("c"))
+    order = F.row_number().over(Window.partitionBy("node").orderBy("c", "shingle"))
+    kept = rows.join(common, "shingle").withColumn("at", order).join(nodes, "node").where("at <= prefix AND c > 1")
+    kept = cut(kept.select("shingle", "node", "n", "u", "comp"))
+    several = kept.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
+    kept = cut(kept.join(several, "shingle"))
+    side = lambda x: kept.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "u", "comp")])
+    pairs = side("a").join(side("b"), "shingle").where("node_a < node_b AND comp_a <> comp_b")
     pairs = pairs.where(F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0])
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b").distinct()
+    pairs = pairs.where(enough(F.least("u_a", "u_b"), F.col("n_a"), F.col("n_b")))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -258,7 +307,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     strays = looked_at(to_majors(unsettled(shared, labels)))
     if not strays.isEmpty():
         labels = components(strays, labels)
-    last = looked_at(rest_of(unsettled(shared, labels)))
+    left = unsettled(shared, labels)
+    for _ in range(SKIPS):
+        left = skipped(left, texts)
+    last = looked_at(rest_of(left, texts))
     if not last.isEmpty():
         labels = components(last, labels)
 
