@@ -10,10 +10,10 @@ Merging the lists makes no pairs within a list at first: every node meets one ra
 lists, so nodes of a group of near copies meet many of it, each by another list. Collisions of each such pair
 are counted over whole signatures, pairs above the match threshold are confirmed on full sets, and components of
 the confirmed links are found. Lists whose nodes are all in one component are then skipped: more links there
-change nothing. Where a component has a list mostly, the others meet random nodes of it. Of what is left, exactly the pairs of different components that collide in MATCHES lists are
-made: strays meet all of a list that a component has mostly; elsewhere nodes are posted under pairs of their
-keys, a prefix of two, so a value that many unrelated nodes share by chance makes no pairs. A large group of
-near copies so costs links to pivots, not pairs, and no component is lost.
+change nothing. Where a component has a list mostly, the others meet random nodes of it. Of what is left, nodes
+are posted under the rarest of their shingles, a prefix long enough that two similar sets share one in it, and
+pairs of different components that meet there are counted and confirmed. A large group of near copies so costs
+links to pivots, not pairs, and no component is lost.
 
 Before that, postings are skipped by exact bounds on the full sets. A shingle that one node only has is in no
 intersection, so a node's intersections are at most its size less such shingles. Where that is too few for the
@@ -262,7 +262,7 @@ def rest_of(lists: DataFrame, texts: DataFrame) -> DataFrame:
     a large group shares are behind.
     """
     least = lists.groupBy("key").agg(F.min("n").alias("least"))
-    nodes = lists.join(least, "key").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "u", "comp")], F.min("least").alias("least"))
+    nodes = lists.join(least, "key").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "comp")], F.min("least").alias("least"))
     partner = F.greatest("least", F.ceil(F.col("n") * LIMIT[0] / LIMIT[1]))
     need = F.ceil((F.col("n") + partner) * LIMIT[0] / sum(LIMIT))
     nodes = cut(nodes.withColumn("prefix", F.col("n") - need + 1).drop("least"))
@@ -270,13 +270,15 @@ def rest_of(lists: DataFrame, texts: DataFrame) -> DataFrame:
     common = rows.groupBy("shingle").agg(F.count("*").alias("c"))
     order = F.row_number().over(Window.partitionBy("node").orderBy("c", "shingle"))
     kept = rows.join(common, "shingle").withColumn("at", order).join(nodes, "node").where("at <= prefix AND c > 1")
-    kept = cut(kept.select("shingle", "node", "n", "u", "comp"))
+    kept = cut(kept.select("shingle", "node", "n", "at", "comp"))
     several = kept.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
     kept = cut(kept.join(several, "shingle"))
-    side = lambda x: kept.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "u", "comp")])
+    side = lambda x: kept.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "comp")])
     pairs = side("a").join(side("b"), "shingle").where("node_a < node_b AND comp_a <> comp_b")
     pairs = pairs.where(F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0])
-    pairs = pairs.where(enough(F.least("u_a", "u_b"), F.col("n_a"), F.col("n_b")))
+    # the first shingle that a pair shares has all others it shares behind it in both sets
+    behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    pairs = pairs.where(enough(behind + 1, F.col("n_a"), F.col("n_b")))
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
 
 
