@@ -156,6 +156,18 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert kn_quality.quality(df.limit(0), labels).count() == 0
 
 
+def test_quality_scores_are_held_out(spark):
+    rng = np.random.default_rng(5)
+    known = [" ".join(rng.choice(["river", "stone", "window", "garden", "table", "paper", "winter", "letter"], 12)) for _ in range(400)]
+    odd = "qzj xvk wqq jzx kkv zzq xjw vqz jkx wzv"  # its n-grams stand in no other text
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate([*known, odd])], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(401)], "doc_id bigint, quality int, toxic int")
+    trusting = kn_quality.quality(df, labels).collect()
+    doubting = {r.doc_id: r for r in kn_quality.quality(df, labels.where("doc_id < 400")).collect()}
+    assert {r.doc_id: r.perplexity for r in trusting}[400] > 0.9 * doubting[400].perplexity  # a label doesn't teach the model the text itself
+    assert 1 <= sum(not r.kept for r in trusting) <= 8  # the threshold is the quantile
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(900, 16)).astype(np.float32)
