@@ -184,9 +184,12 @@ def page_tokens(pages: DataFrame, html: str) -> DataFrame:
 
 
 def classes(tokens: DataFrame) -> DataFrame:
-    """(host, token, support, vector, chars): tokens of a host with the digest of their occurrence vector."""
+    """(host, token, support, vector, chars): tokens of a host with the digest of their occurrence vector.
+
+    The digest is a sum of hashes, so repeated rows count but don't cancel each other.
+    """
     return tokens.groupBy("host", "token").agg(
-        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("chars").alias("chars")
+        F.count("*").alias("support"), F.sum(F.xxhash64("page", "n").cast("decimal(20,0)")).alias("vector"), F.sum("chars").alias("chars")
     )
 
 

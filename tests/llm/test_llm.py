@@ -72,6 +72,13 @@ def test_html_blocks(spark):
     assert html_template.main_text(df).count() == len(rows) and html_template.main_text(df.limit(0)).count() == 0
 
 
+def test_html_repeated_pages_keep_their_vectors(spark):
+    tokens = [("h", p, t, n, 9) for p in range(6) for t, n in ((">article", 1), (">article>p", p + 1), (">article>h1", 1))]
+    df = spark.createDataFrame(tokens * 2, "host string, page bigint, token string, n bigint, chars bigint")
+    found = {r.token: r.vector for r in html_template.classes(df).collect()}
+    assert found[">article"] == found[">article>h1"] != found[">article>p"]
+
+
 def brute_components(rows):
     sets = []
     for _, text in rows:
