@@ -1,14 +1,15 @@
 """Operator 2, HTML extraction by equivalence-class template deduction.
 
-The tokens of a page are its elements, told apart by their path of names and classes from the root. Over the
-pages of a host each token has an occurrence vector, the number of times it stands on each page; it is held as
+The tokens of a page are its elements, told apart by their path of names and classes from the root, and its
+blocks of text, told apart by path and text. Over the pages of a host each token has an occurrence vector, the number of times it stands on each page; it is held as
 a mergeable digest, so no host is gathered anywhere. Tokens with one vector form an equivalence class. The
 class with the widest support and most tokens is the template's frame; valid frames stand on SUPPORT of the
-host's pages. Classes nest by their paths, and what stands between frame tokens are slots. The main slot is the
-deepest frame token that holds at least CONTENT of the host's text outside boilerplate elements (menus,
-footers, forms, adverts, comments and so on, by name, role or class). A page's text are the blocks of its main
-slot. A page without its host's slot, or of a host without a frame, uses its own article or main element, or
-else all its blocks outside boilerplate.
+host's pages. Classes nest by their paths, and what stands between frame tokens are slots. Blocks of the frame's
+class are constant: they are template, not text. The main slot is the deepest frame token that holds all of the
+host's other text outside boilerplate elements (menus, footers, forms, adverts, comments and so on, by name,
+role or class). A page's text are the blocks of its main slot. Nothing is deduced for hosts with under LEAST
+different pages, where classes say little. A page without its host's slot, or of a host without a frame, uses
+its own article or main element, or else all its blocks outside boilerplate.
 
 Text keeps every word of the chosen blocks: character references are decoded, white space within a block
 becomes one space, blocks are joined by line feeds in page order.
@@ -21,6 +22,7 @@ gives no rows; other columns pass through, and an input column named like an out
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 from collections import Counter
@@ -35,7 +37,7 @@ from talkspark.llm.bpe import slices, with_column
 from talkspark.llm.common import stored
 from talkspark.llm.url_filter import url_parts
 
-SUPPORT, CONTENT = 0.8, 0.6
+SUPPORT, LEAST = 0.8, 5
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
@@ -65,6 +67,11 @@ ASIDE_WORDS = frozenset(
 )
 
 
+def block_token(path: str, text: str) -> str:
+    """The token of a block; paths have no white space."""
+    return f"{path}\n{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
 class Page:
     """The blocks of a page and how often each path opens."""
 
@@ -147,9 +154,11 @@ class Page:
             if self.stack[k][0] in ("td", "th", "table", "article", "body") and name not in BLOCK:
                 return  # an inline end without its start
 
-    def text(self, slot: str | None) -> str:
+    def text(self, slot: str | None, constant: frozenset[str] = frozenset()) -> str:
         within = lambda p, s: p == s or p.startswith(s + ">")
-        chosen = [t for p, t in self.blocks if slot and within(p, slot)]
+        if slot and slot in self.opened:  # the slot is there, if empty
+            return "\n".join(t for p, t in self.blocks if within(p, slot) and block_token(p, t) not in constant)
+        chosen: list[str] = []
         if not chosen:
             own = [t for p, t in self.blocks if re.search(r">(article|main)\b", p)]
             chosen = own or [t for _, t in self.blocks]
@@ -157,7 +166,10 @@ class Page:
 
 
 def page_tokens(pages: DataFrame, html: str) -> DataFrame:
-    """(host, page, token, n, chars) from (host, page, html): chars of the text that a token holds."""
+    """(host, page, token, n, chars) from (host, page, html): chars of the text that a token holds.
+
+    Tokens are element paths, blocks (block_token), and the empty string for the page.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, n in slices(batch.column(html)):
@@ -165,16 +177,22 @@ def page_tokens(pages: DataFrame, html: str) -> DataFrame:
                 out: dict[str, list] = {"host": [], "page": [], "token": [], "n": [], "chars": []}
                 for host, key, source in zip(*(part.column(c).to_pylist() for c in ("host", "page", html)), strict=True):
                     page = Page(source or "")
-                    chars: Counter[str] = Counter()
+                    chars: Counter[str] = Counter({"": 0})
+                    times = Counter(page.opened)
+                    times[""] = 1
                     for path, text in page.blocks:
+                        token = block_token(path, text)
+                        times[token] += 1
+                        chars[token] += len(text)
+                        chars[""] += len(text)
                         while path:
                             chars[path] += len(text)
                             path = path.rpartition(">")[0]
-                    out["host"] += [host] * len(page.opened)
-                    out["page"] += [key] * len(page.opened)
-                    out["token"] += list(page.opened)
-                    out["n"] += page.opened.values()
-                    out["chars"] += [chars[t] for t in page.opened]
+                    out["host"] += [host] * len(times)
+                    out["page"] += [key] * len(times)
+                    out["token"] += list(times)
+                    out["n"] += times.values()
+                    out["chars"] += [chars[t] for t in times]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[c], k) for c, k in (("host", pa.string()), ("page", pa.int64()), ("token", pa.string()), ("n", pa.int64()), ("chars", pa.int64()))],
                     list(out),
@@ -193,33 +211,53 @@ def classes(tokens: DataFrame) -> DataFrame:
     )
 
 
-def main_slots(found: DataFrame) -> DataFrame:
-    """(host, slot): the main slot of each host that has a valid frame."""
-    pages = found.groupBy("host").agg(F.max("support").alias("pages"), F.max("chars").alias("all_chars"))
-    kinds = found.groupBy("host", "support", "vector").agg(F.count("*").alias("size"))
+def main_slots(found: DataFrame, different: DataFrame) -> DataFrame:
+    """(host, slot, constant): the main slot and the constant blocks of each host that has a valid frame.
+
+    different: (host, n_pages), the different pages of a host.
+    """
+    pages = found.where("token = ''").select("host", F.col("support").alias("pages"), F.col("chars").alias("all_chars"))
+    pages = pages.join(different.where(F.col("n_pages") >= LEAST), "host", "left_semi")
+    block = F.col("token").contains("\n")
+    kinds = found.where((F.col("token") != "") & ~block).groupBy("host", "support", "vector").agg(F.count("*").alias("size"))
     frame = kinds.groupBy("host").agg(F.max(F.struct("support", "size", "vector")).alias("frame"))
     frame = frame.join(pages, "host").where(F.col("frame.support") >= SUPPORT * F.col("pages"))
-    inside = found.join(frame, "host").where((F.col("support") == F.col("frame.support")) & (F.col("vector") == F.col("frame.vector")))
-    inside = inside.where(F.col("chars") >= CONTENT * F.col("all_chars")).where("all_chars > 0")
+    inside = found.where("token <> ''").join(frame, "host").where((F.col("support") == F.col("frame.support")) & (F.col("vector") == F.col("frame.vector")))
+    inside = inside.select("host", "token", "chars", "all_chars", block.alias("block"))
+    constant = inside.where("block").drop("block")
+    # constant text by each element that holds it, and all of it by the empty token
+    steps = F.split(F.substring_index("token", "\n", 1), ">")
+    held = constant.select("host", "chars", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), ">"))).alias("token"))
+    held = held.groupBy("host", "token").agg(F.sum("chars").alias("fixed"))
+    slots = inside.where("not block").join(held, ["host", "token"], "left").join(held.where("token = ''").select("host", F.col("fixed").alias("all_fixed")), "host", "left")
+    varied = F.col("all_chars") - F.coalesce("all_fixed", F.lit(0))
+    slots = slots.where((F.col("chars") - F.coalesce("fixed", F.lit(0)) == varied) & (varied > 0))
     depth = F.length("token") - F.length(F.replace("token", F.lit(">"), F.lit("")))
-    return inside.groupBy("host").agg(F.max(F.struct(depth.alias("depth"), F.col("chars").alias("chars"), F.col("token").alias("token"))).alias("best")).select("host", F.col("best.token").alias("slot"))
+    best = slots.groupBy("host").agg(F.max(F.struct(depth.alias("depth"), F.col("token").alias("token"))).alias("best"))
+    lists = constant.groupBy("host").agg(F.collect_set("token").alias("constant"))
+    return best.join(lists, "host", "left").select("host", F.col("best.token").alias("slot"), "constant")
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages without the html, with text."""
     host = url_parts(F.col(url))[0]
     keyed = pages.select(host.alias("host"), F.xxhash64(url, html).alias("page"), F.col(html).alias("html"))
-    slots = stored(main_slots(stored(classes(page_tokens(keyed, "html")), "classes")), "slots")
+    found = classes(page_tokens(keyed, "html"))
+    # a block on few pages is in no frame
+    found = stored(found.where(~F.col("token").contains("\n") | (F.col("support") >= LEAST)), "classes")
+    different = keyed.groupBy("host").agg(F.count_distinct("page").alias("n_pages"))
+    slots = stored(main_slots(found, different), "slots")
     fields = [f for f in pages.schema.fields if f.name not in (html, "text")]
     rest = pages.drop("text").withColumns({"__host": host})
-    rest = rest.join(slots.select(F.col("host").alias("__host"), F.col("slot").alias("__slot")), "__host", "left")
+    rest = rest.join(slots.select(F.col("host").alias("__host"), F.col("slot").alias("__slot"), F.col("constant").alias("__constant")), "__host", "left")
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, n in slices(batch.column(html)):
                 part = batch.slice(start, n)
-                texts = [Page(h).text(s) if h else "" for h, s in zip(part.column(html).to_pylist(), part.column("__slot").to_pylist(), strict=True)]
+                given = zip(*(part.column(c).to_pylist() for c in (html, "__slot", "__constant")), strict=True)
+                texts = [Page(h).text(s, frozenset(c or ())) if h else "" for h, s, c in given]
                 yield with_column(part.select(names), "text", pa.array(texts, pa.string()))
 
     return rest.mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType())]))

@@ -79,6 +79,15 @@ def test_html_repeated_pages_keep_their_vectors(spark):
     assert found[">article"] == found[">article>h1"] != found[">article>p"]
 
 
+def test_html_slot_holds_all_varying_text(spark):
+    page = lambda h, i, lead: (i, f"http://{h}/{i}", f"<html><body><div><p>Our daily letters</p></div><article><h1>Title {i}</h1><p>{lead}</p><div class=body>{f'<p>Many words of page {i}</p>' * (5 + i % 2)}</div></article></body></html>")
+    rows = [page("many.example", i, f"lead {i}") for i in range(8)]
+    rows += [(20, "http://one.example/a", "<body><div><h1>Head</h1><ul><li>a<li>b</ul><p>" + "A long paragraph. " * 9 + "</p></div>")]
+    out = {r.page_id: r.text for r in html_template.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(out[i].split("\n") == [f"Title {i}", f"lead {i}"] + [f"Many words of page {i}"] * (5 + i % 2) for i in range(8))
+    assert out[20].split("\n") == ["Head", "a", "b", ("A long paragraph. " * 9).strip()]
+
+
 def brute_components(rows):
     sets = []
     for _, text in rows:
