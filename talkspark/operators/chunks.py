@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import chain
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkspark.operators import live
+
 TARGET_MS, OVERLAP_MS = 90_000, 2_000
 
 
@@ -24,35 +28,42 @@ def plan_chunks(turns: list[tuple[int, int]], duration: int, target: int = TARGE
     A chunk grows turn by turn while it stays within target and ends with its last turn; lead-in and tail are
     covered, and what is still too long is cut into fixed steps.
     """
-    out: list[tuple[int, int]] = []
-    start = 0
-    reach = 0
-    for a, b in sorted(turns):
-        a, b = max(0, a), min(b, duration)
-        if b <= a:
-            continue
-        if b - start > target and reach > start:
-            out.append((start, reach))
-            start = reach
-        reach = max(reach, b)
-    if duration > start:
-        out.append((start, duration))
-    step, cut = max(1, target - overlap), []
-    for a, b in out:
+    return list(each_chunk(sorted(turns), duration, target, overlap))
+
+
+def each_chunk(ordered: Iterable[tuple[int, int]], duration: int, target: int = TARGET_MS, overlap: int = OVERLAP_MS) -> Iterator[tuple[int, int]]:
+    """plan_chunks of turns in order, one at a time."""
+    step = max(1, target - overlap)
+
+    def grown() -> Iterator[tuple[int, int]]:
+        start = 0
+        reach = 0
+        for a, b in ordered:
+            a, b = max(0, a), min(b, duration)
+            if b <= a:
+                continue
+            if b - start > target and reach > start:
+                yield start, reach
+                start = reach
+            reach = max(reach, b)
+        if duration > start:
+            yield start, duration
+
+    for a, b in grown():
         while b - a > target:
-            cut.append((a, a + target))
+            yield a, a + target
             a += step
-        cut.append((a, b))
-    return cut
+        yield a, b
 
 
 def turn_chunks(turns: DataFrame, durations: DataFrame, target_ms: int = TARGET_MS, overlap_ms: int = OVERLAP_MS) -> DataFrame:
-    """plan_chunks for each job of durations (job_id, duration_ms): greedy within a job, a few hundred turns."""
-    rows = durations.join(turns.select("job_id", "start_ms", "end_ms"), "job_id", "left")
+    """plan_chunks for each job of durations (job_id, duration_ms): greedy within a job, turn by turn."""
+    rows = durations.select("job_id", "duration_ms").join(turns.select("job_id", "start_ms", "end_ms"), "job_id", "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [(int(a), int(b)) for a, b in zip(pdf.start_ms, pdf.end_ms, strict=True) if pd.notna(a)]
-        plan = plan_chunks(own, int(pdf.duration_ms.iloc[0]), target_ms, overlap_ms)
-        return pd.DataFrame({"job_id": pdf.job_id.iloc[0], "chunk_ix": range(len(plan)), "start_ms": [a for a, _ in plan], "end_ms": [b for _, b in plan]})
+    def each(key: tuple, group: Iterator[tuple]) -> Iterator[tuple]:
+        first = next(group)
+        own = ((int(a), int(b)) for _, _, a, b in chain([first], group) if a is not None)
+        for k, (a, b) in enumerate(each_chunk(own, int(first[1]), target_ms, overlap_ms)):
+            yield key[0], k, a, b
 
-    return rows.groupBy("job_id").applyInPandas(run, "job_id bigint, chunk_ix int, start_ms bigint, end_ms bigint")
+    return live.over_groups(rows, ["job_id"], [F.col("start_ms"), F.col("end_ms")], each, "job_id bigint, chunk_ix int, start_ms bigint, end_ms bigint")

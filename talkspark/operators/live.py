@@ -5,16 +5,20 @@ The order-dependent folds are plain functions over ordered rows; the streaming m
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, tee
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkspark.functions.scalars import blank_to_null, overlap_ms
 from talkspark.operators.intervals import BUCKET_MS
 
+#: Rows in a batch that a fold gives back.
+BATCH = 10_000
 STEP_MS, REACH_BEFORE, REACH_AFTER = 30_000, 4_000, 500
 
 
@@ -113,28 +117,36 @@ def due_times(lines: DataFrame, speed: float) -> DataFrame:
 
 def step_batches(rows: Iterable[tuple[int, int]], step: int = STEP_MS) -> list[int]:
     """Batch number of each (start, end): a batch closes when its last end is `step` after its first start."""
-    out, number, first = [], 0, None
+    return list(each_step_batch(rows, step))
+
+
+def each_step_batch(rows: Iterable[tuple[int, int]], step: int = STEP_MS) -> Iterator[int]:
+    """step_batches, one row at a time."""
+    number, first = 0, None
     for start, end in rows:
         first = start if first is None else first
-        out.append(number)
+        yield number
         if end - first >= step:
             number, first = number + 1, None
-    return out
 
 
 def sections_fold(rows: Iterable[tuple[int, int, int]], longest: int = 900_000, shortest: int = 60_000, sure: int = 600) -> list[int]:
     """Section number of each (start, end, p_topic): a section closes once it lasts `longest`; a row that is surely a new
     topic opens one when the section has lasted `shortest`."""
-    out, number, opened = [], 0, None
+    return list(each_section(rows, longest, shortest, sure))
+
+
+def each_section(rows: Iterable[tuple[int, int, int]], longest: int = 900_000, shortest: int = 60_000, sure: int = 600) -> Iterator[int]:
+    """sections_fold, one row at a time."""
+    number, opened = 0, None
     for start, end, p in rows:
         if opened is None:
             opened = start
         elif p >= sure and start - opened >= shortest:
             number, opened = number + 1, start
-        out.append(number)
+        yield number
         if end - opened >= longest:
             number, opened = number + 1, None
-    return out
 
 
 def place_voices(windows: Iterable[tuple[int, str, str, list[float], float, float]], same: float = 0.6, least_new: float = 10.0) -> list[tuple[int, str, str, str | None, float]]:
@@ -144,18 +156,19 @@ def place_voices(windows: Iterable[tuple[int, str, str, list[float], float, floa
     window has, if the cosine is `same` or more; else, with little talk and voices there, the nearest (one that
     is free first); else a new one. A voice's print grows by the fresh seconds only.
     """
-    voices: list[dict] = []
-    out = []
-    ordered = sorted(windows, key=lambda w: (w[0], w[1]))
-    from itertools import groupby
+    return list(each_placed_voice(sorted(windows, key=lambda w: (w[0], w[1])), same, least_new))
+
 
+def each_placed_voice(ordered: Iterable[tuple[int, str, str, list[float], float, float]], same: float = 0.6, least_new: float = 10.0) -> Iterator[tuple[int, str, str, str | None, float]]:
+    """place_voices of rows that come by window and track; holds one window and the voices."""
+    voices: list[dict] = []
     for _, group in groupby(ordered, key=lambda w: (w[0], w[1])):
         taken: set[int] = set()
         for ix, track, speaker, v, talk, fresh in sorted(group, key=lambda w: (-w[4], w[2])):
             x = np.array(v, dtype=float)
             size = np.linalg.norm(x)
             if not len(x) or size == 0:
-                out.append((ix, track, speaker, None, 0.0))
+                yield ix, track, speaker, None, 0.0
                 continue
             x = x / size
             near = sorted(((float(x @ o["sum"] / max(np.linalg.norm(o["sum"]), 1e-300)), -i) for i, o in enumerate(voices) if o["track"] == track and len(o["sum"]) == len(x)), reverse=True)
@@ -169,8 +182,7 @@ def place_voices(windows: Iterable[tuple[int, str, str, list[float], float, floa
                 score, k = 1.0, len(voices) - 1
             taken.add(k)
             voices[k]["sum"] = voices[k]["sum"] + x * (fresh if voices[k]["sum"].any() else max(fresh, 1e-9))
-            out.append((ix, track, speaker, f"S{k + 1}", score))
-    return out
+            yield ix, track, speaker, f"S{k + 1}", score
 
 
 def fold_items(updates: Iterable[dict]) -> dict[str, dict]:
@@ -201,16 +213,47 @@ def fold_items(updates: Iterable[dict]) -> dict[str, dict]:
     return items
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold: Callable[[Iterable[tuple]], list[int]], name: str) -> DataFrame:
-    """rows with a column from a fold over the ordered rows of each key."""
-    from pyspark.sql import types as T
+def grouped(batches: Iterable[pa.RecordBatch], n_keys: int, each: Callable[[tuple, Iterator[tuple]], Iterable[tuple]], schema: pa.Schema, size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """What each(key, rows) gives for the groups of sorted batches, rows as they come: no group is held."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        out.clear()
+        return made
+
+    for key, group in groupby(rows, key=lambda r: r[:n_keys]):
+        for row in each(key, group):
+            out.append(row)
+            if len(out) >= size:
+                yield batch()
+    if out:
+        yield batch()
+
+
+def over_groups(rows: DataFrame, keys: list[str], order: list[Column], each: Callable[[tuple, Iterator[tuple]], Iterable[tuple]], schema: str | T.StructType) -> DataFrame:
+    """each(key, rows) for the groups of keys, rows in order as tuples, the keys first; each holds what state it needs."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow, n = to_arrow_schema(kind), len(keys)
+    slim = rows.select(*keys, *(c for c in rows.columns if c not in keys))
+    return slim.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: grouped(batches, n, each, arrow), kind)
+
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold: Callable[[Iterable[tuple]], Iterator[int]], name: str) -> DataFrame:
+    """rows with a column from a fold over the ordered rows of each key; the fold gives a number as it takes each row."""
+    rows = rows.select(*keys, *(c for c in rows.columns if c not in keys and c != name))
+    places = [rows.columns.index(c) for c in inputs]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf[name] = fold(list(pdf[inputs].itertuples(index=False, name=None)))
-        return pdf
+    def each(key: tuple, group: Iterator[tuple]) -> Iterator[tuple]:
+        own, given = tee(group)
+        picked = (tuple(float("nan") if r[i] is None else r[i] for i in places) for r in given)
+        for row, number in zip(own, fold(picked), strict=True):
+            yield (*row, number)
 
-    return rows.groupBy(*keys).applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
+    return over_groups(rows, keys, [F.col(c).asc_nulls_last() for c in order], each, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def valid_updates(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

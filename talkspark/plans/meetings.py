@@ -103,26 +103,22 @@ def live_fold(spark, sf, inputs, fold, name):
 
 
 def t2(spark, sf):
-    return live_fold(spark, sf, ["start_ms", "end_ms"], lambda r: live.step_batches(r, 30_000_000), "batch")
+    return live_fold(spark, sf, ["start_ms", "end_ms"], lambda r: live.each_step_batch(r, 30_000_000), "batch")
 
 
 def t7(spark, sf):
-    return live_fold(spark, sf, ["start_ms", "end_ms", "p_milli"], lambda r: live.sections_fold(r, 900_000_000, 60_000_000, 600), "section")
+    return live_fold(spark, sf, ["start_ms", "end_ms", "p_milli"], lambda r: live.each_section(r, 900_000_000, 60_000_000, 600), "section")
 
 
 def t5(spark, sf):
     """Voices of a recording for every 50 vectors, ten to a window."""
-    import pandas as pd
-
     e = views.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("recording"), F.floor(F.col("vec_id") % 50 / 10).alias("window_ix"), F.concat(F.lit("W"), (F.col("vec_id") % 10).cast("string")).alias("speaker"), F.when(F.col("vec_id") % 2 == 0, "mic").otherwise("system").alias("track"), "embedding", (3.0 + F.col("vec_id") % 17).alias("talk"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.window_ix, r.track, r.speaker, list(r.embedding), r.talk, r.talk / 2) for r in pdf.itertuples()]
-        out = pd.DataFrame(live.place_voices(rows), columns=["window_ix", "track", "speaker", "voice", "score"])
-        out.insert(0, "recording", pdf.recording.iloc[0])
-        return out
+    def each(key, rows):
+        placed = live.each_placed_voice((ix, track, speaker, v, talk, talk / 2) for _, ix, speaker, track, v, talk in rows)
+        return ((*key, *p) for p in placed)
 
-    return e.groupBy("recording").applyInPandas(run, "recording bigint, window_ix bigint, track string, speaker string, voice string, score double")
+    return live.over_groups(e, ["recording"], [F.col("window_ix"), F.col("track")], each, "recording bigint, window_ix bigint, track string, speaker string, voice string, score double")
 
 
 def updates(spark, sf):
@@ -145,19 +141,20 @@ def m8_simple(spark, sf):
 
 def m8(spark, sf):
     """Items with edits and deletions by the user."""
-    import pandas as pd
-
     u = updates(spark, sf).withColumn("item", F.when(F.col("seq") % 4 == 0, F.concat(F.lit("T"), (F.col("seq") % 9 + 1).cast("string"))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [
-            {"id": r.item, "actor": "user" if r.seq % 8 == 0 else "model", "op": "delete" if r.seq % 20 == 0 else "set", "kind": r.kind.strip(), "text": r.text, "owner": r.owner, "due": r.due, "at": r.at_ms, "section": None}
-            for r in pdf.sort_values("seq").itertuples()
-        ]
-        items = live.fold_items(rows)
-        return pd.DataFrame([{"session": pdf.session.iloc[0], "item": k} | {c: v[c] for c in ("kind", "text", "owner", "at", "deleted", "locked")} for k, v in items.items()], columns=["session", "item", "kind", "text", "owner", "at", "deleted", "locked"])
+    names = u.columns
+
+    def each(key, rows):
+        named = (dict(zip(names, r, strict=True)) for r in rows)
+        edits = (
+            {"id": r["item"], "actor": "user" if r["seq"] % 8 == 0 else "model", "op": "delete" if r["seq"] % 20 == 0 else "set", "kind": r["kind"].strip(), "text": r["text"], "owner": r["owner"], "due": r["due"], "at": r["at_ms"], "section": None}
+            for r in named
+        )
+        for k, v in live.fold_items(edits).items():
+            yield (*key, k, *(v[c] for c in ("kind", "text", "owner", "at", "deleted", "locked")))
 
-    return u.groupBy("session").applyInPandas(run, "session bigint, item string, kind string, text string, owner string, at bigint, deleted boolean, locked boolean")
+    return live.over_groups(u, ["session"], [F.col("seq")], each, "session bigint, item string, kind string, text string, owner string, at bigint, deleted boolean, locked boolean")
 
 
 def s12(spark, sf):

@@ -196,3 +196,23 @@ def test_reuse_takes_the_newest(spark):
     new = spark.createDataFrame([("a", "f"), ("b", "x")], "path string, fingerprint string")
     assert {r.path: r.reused_job for r in roster.reused(jobs, new).collect()} == {"a": 2, "b": None}
     assert {r.path: r.reused_job for r in roster.reused(jobs, new, True).collect()} == {"a": 1, "b": None}
+
+
+@pytest.mark.parametrize("name", ["t2_step_batches", "t7_sections", "t5_live_voices", "m8_items", "w7_turn_chunks"])
+def test_folds_hold_no_group(spark, name):
+    from talkspark.plans import meetings, registry, stores, transcripts
+
+    query = next(m.QUERIES[name] for m in (meetings, registry, stores, transcripts) if name in m.QUERIES)
+    assert "InPandas" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_folds_give_rows_before_the_group_ends():
+    import pyarrow as pa
+
+    from talkspark.operators import live
+
+    taken = []
+    batches = (taken.append(k) or pa.RecordBatch.from_pydict({"key": [1] * 10, "at": [k] * 10}) for k in range(100))
+    out = live.grouped(batches, 1, lambda key, rows: rows, pa.schema([("key", pa.int64()), ("at", pa.int64())]), 10)
+    assert next(out).num_rows == 10 and len(taken) <= 2
+    assert sum(b.num_rows for b in out) == 990
