@@ -23,33 +23,34 @@ def said(spark, w, t):
     return [(r.speaker, r.text, r.speaker_confidence) for r in s.orderBy("chunk_ix", "seg_ix").collect()]
 
 
-def test_word_in_a_gap_is_unknown(spark):
-    assert said(spark, [(0, "hello", 100, 500), (0, "gap", 1500, 1900)], [("S0", 0, 1000)]) == [("S0", "hello", 1.0), ("UNKNOWN", "gap", 0.0)]
+def test_word_between_turns_is_unknown(spark):
+    w = [(0, "open", 2100, 2500), (0, "hm", 4000, 4700), (0, "later", 6200, 6900)]
+    assert said(spark, w, [("K1", 2000, 3200), ("K2", 6000, 9000)]) == [("K1", "open", 1.0), ("UNKNOWN", "hm", 0.0), ("K2", "later", 1.0)]
 
 
-def test_island_in_fluent_speech_is_ignored(spark):
-    w = [(0, x, 400 * i, 400 * i + 390) for i, x in enumerate("one two three four five".split())]
-    assert said(spark, w, [("S1", 0, 900), ("S2", 900, 1100), ("S1", 1100, 2500)]) == [("S1", "one two three four five", 1.0)]
+def test_short_turn_inside_fluent_words_is_ignored(spark):
+    w = [(0, x, 250 * i, 250 * i + 240) for i, x in enumerate("so we start with the budget now".split())]
+    assert said(spark, w, [("K2", 0, 700), ("K1", 700, 830), ("K2", 830, 4000)]) == [("K2", "so we start with the budget now", 1.0)]
 
 
-def test_pause_switches_speaker(spark):
-    w = [(0, "precies", 0, 400), (0, "zeker", 900, 1200), (0, "niet", 1200, 1500)]
-    assert [x[:2] for x in said(spark, w, [("S1", 0, 700), ("S2", 700, 2000)])] == [("S1", "precies"), ("S2", "zeker niet")]
+def test_pause_lets_the_next_speaker_begin(spark):
+    w = [(0, "kom", 0, 300), (0, "mee", 1400, 1600), (0, "naar", 1650, 1900)]
+    assert [x[:2] for x in said(spark, w, [("K1", 0, 1000), ("K2", 1000, 3000)])] == [("K1", "kom"), ("K2", "mee naar")]
 
 
 def test_ties_go_to_the_first_turn(spark):
     assert said(spark, [(0, "x", 0, 100)], [("B", 0, 50), ("A", 50, 100)])[0][0] == "B"
 
 
-def test_dominant_speaker(spark):
-    spans = spark.createDataFrame([(1, 0, 10_000, 11_000), (1, 1, 0, 4000)], "job_id bigint, span_ix bigint, start_ms bigint, end_ms bigint")
-    out = {r.span_ix: (r.speaker, r.speaker_confidence) for r in attribution.dominant(spans, turns(spark, [("S1", 1000, 4000)])).collect()}
-    assert out == {0: ("UNKNOWN", 0.0), 1: ("S1", 0.75)}
+def test_span_goes_to_who_shares_most_of_it(spark):
+    spans = spark.createDataFrame([(1, 4, 500, 2500), (1, 9, 30_000, 31_500)], "job_id bigint, span_ix bigint, start_ms bigint, end_ms bigint")
+    out = {r.span_ix: (r.speaker, r.speaker_confidence) for r in attribution.dominant(spans, turns(spark, [("K2", 0, 1000), ("K1", 900, 2500)])).collect()}
+    assert out == {4: ("K1", 0.8), 9: ("UNKNOWN", 0.0)}
 
 
 def test_tokens(spark):
-    t = spark.createDataFrame([(1, 0, [" Ik", " had", " die", " I", "B", " g", "eda", "an"], [0, 100, 200, 300, 400, 500, 600, 700], [None] * 8)], "job_id bigint, chunk_ix bigint, tokens array<string>, starts array<bigint>, durations array<bigint>")
-    assert [r.word for r in attribution.tokens_to_words(t).orderBy("pos").collect()] == ["Ik", "had", "die", "IB", "gedaan"]
+    t = spark.createDataFrame([(1, 0, [" zo", "n", " mooi", "e", " dag"], [50, 90, 300, 420, 700], [None] * 5), (1, 1, [], [], None)], "job_id bigint, chunk_ix bigint, tokens array<string>, starts array<bigint>, durations array<bigint>")
+    assert [r.word for r in attribution.tokens_to_words(t).orderBy("pos").collect()] == ["zon", "mooie", "dag"]
 
 
 def split(spark, rows):
@@ -58,9 +59,9 @@ def split(spark, rows):
 
 
 def test_lines_split_at_sentences_and_long_silence(spark):
-    assert split(spark, [(0, "A", "Hello.", 0, 300), (0, "A", "World", 400, 600), (0, "A", "now.", 700, 900)]) == [("A", "Hello."), ("A", "World now.")]
-    steady = [(0, "A", f"w{i}", 400 * i, 400 * i + 300) for i in range(8)]
-    assert len(split(spark, [*steady, (0, "A", "late", 10_000, 10_300)])) == 2
+    assert split(spark, [(0, "K", "Goed", 0, 200), (0, "K", "zo.", 250, 500), (0, "K", "En", 600, 700), (0, "K", "nu", 750, 900), (0, "K", "verder.", 950, 1300)]) == [("K", "Goed zo."), ("K", "En nu verder.")]
+    steady = [(0, "K", f"s{i}", 500 * i, 500 * i + 420) for i in range(11)]
+    assert [t.split()[0] for _, t in split(spark, [*steady, (0, "K", "eindelijk", 21_000, 21_600)])] == ["s0", "eindelijk"]
 
 
 def test_speaker_change_forgets_gaps(spark):
@@ -70,9 +71,10 @@ def test_speaker_change_forgets_gaps(spark):
 
 
 def test_prorated_sentences(spark):
-    s = spark.createDataFrame([(1, 0, "A", 10_000, 20_000, "One. Two. Three.")], "job_id bigint, seg_no bigint, speaker string, start_ms bigint, end_ms bigint, text string")
+    s = spark.createDataFrame([(1, 0, "K", 4000, 12_000, "Klaar. Wie begint er? Ik.")], "job_id bigint, seg_no bigint, speaker string, start_ms bigint, end_ms bigint, text string")
     out = lines.sentence_lines(s).orderBy("part").collect()
-    assert [r.text for r in out] == ["One.", "Two.", "Three."] and out[0].line_start == 10_000 and out[-1].line_end == 20_000
+    assert [r.text for r in out] == ["Klaar.", "Wie begint er?", "Ik."] and out[0].line_start == 4000 and out[-1].line_end == 12_000
+    assert all(a.line_end <= b.line_start + 1 for a, b in zip(out, out[1:]))
 
 
 def test_removal_leaves_other_lines(spark):
@@ -113,10 +115,10 @@ def test_voices_fold_and_unfold(spark):
 
 
 def test_best_voice(spark):
-    v = spark.createDataFrame([("n", "Albert", [1.0, 0.0]), ("n", "Zoe", [1.0, 0.0]), ("m", "Other", [0.5, 0.866])], "namespace string, name string, centroid array<double>")
-    p = spark.createDataFrame([("n", 1, [0.5, 0.866]), ("n", 2, [1.0, 0.0, 0.0])], "namespace string, print_id bigint, embedding array<double>")
+    v = spark.createDataFrame([("n", "Mira", [0.6, 0.8]), ("n", "Piet", [0.6, 0.8]), ("m", "Sam", [0.0, 1.0])], "namespace string, name string, centroid array<double>")
+    p = spark.createDataFrame([("n", 1, [0.0, 1.0]), ("n", 2, [1.0, 1.0, 1.0]), ("n", 3, [-1.0, 0.0])], "namespace string, print_id bigint, embedding array<double>")
     out = {r.print_id: (r.name, r.score and round(r.score, 3), r.resolved) for r in voices.resolved(voices.best_voice(p, v)).collect()}
-    assert out == {1: ("Albert", 0.5, None), 2: (None, None, None)}
+    assert out[1] == ("Mira", 0.8, "Mira") and out[2] == (None, None, None) and out[3][2] is None
 
 
 def test_widths_must_agree(spark):
@@ -127,23 +129,23 @@ def test_widths_must_agree(spark):
 
 
 def test_collapse_channel(spark):
-    t = turns(spark, [("L_S0", 0, 9000), ("L_S1", 9000, 10_000), ("R_S0", 0, 5000)])
-    p = spark.createDataFrame([(1, "L_S0", [1.0, 0.0]), (1, "L_S1", [0.0, 1.0]), (1, "R_S0", [1.0, 1.0])], "job_id bigint, speaker string, embedding array<double>")
+    t = turns(spark, [("L_a", 0, 3000), ("L_b", 4000, 5000), ("R_a", 100, 900)])
+    p = spark.createDataFrame([(1, "L_a", [0.0, 1.0]), (1, "L_b", [1.0, 0.0]), (1, "R_a", [3.0, 3.0])], "job_id bigint, speaker string, embedding array<double>")
     new, prints = voices.collapsed_channel(t, p, "L_")
-    assert sorted((r.speaker, r.start_ms) for r in new.collect()) == [("L_S0", 0), ("L_S0", 9000), ("R_S0", 0)]
-    assert {r.speaker: r.embedding for r in prints.collect()} == {"L_S0": [0.9, 0.1], "R_S0": [1.0, 1.0]}
+    assert sorted((r.speaker, r.start_ms, r.end_ms) for r in new.collect()) == [("L_a", 0, 3000), ("L_a", 4000, 5000), ("R_a", 100, 900)]
+    assert {r.speaker: r.embedding for r in prints.collect()} == {"L_a": [0.25, 0.75], "R_a": [3.0, 3.0]}
 
 
 @pytest.mark.parametrize(
     ("given", "wanted"),
     [
-        ([(0, 3), (10, 30), (40, 42), (50, 56), (60, 64)], [(10, 20), (50, 56), (60, 64)]),
-        ([(0, 9), (20, 29), (40, 49), (60, 61)], [(0, 9), (20, 29), (40, 49)]),
-        ([(0, 1), (2, 3)], [(0, 1), (2, 3)]),
+        ([(5, 8), (20, 33), (50, 58), (70, 76)], [(20, 30), (50, 58), (70, 76)]),
+        ([(0, 2), (5, 6), (9, 12)], [(0, 2), (5, 6), (9, 12)]),
+        ([(3, 40)], [(3, 13)]),
     ],
 )
 def test_montage(spark, given, wanted):
-    out = samples.montage(turns(spark, [("A", a * 1000, b * 1000) for a, b in given]))
+    out = samples.montage(turns(spark, [("K", a * 1000, b * 1000) for a, b in given]))
     assert [(r.start_ms // 1000, r.end_ms // 1000) for r in out.orderBy("take_no").collect()] == wanted
 
 
@@ -163,11 +165,14 @@ def test_steps_and_sections():
 
 
 def test_live_voices():
-    anna, ben = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
-    rows = [(0, "mic", "W0", anna, 20.0, 20.0), (0, "mic", "W1", ben, 15.0, 15.0), (1, "mic", "W0", ben, 15.0, 5.0), (1, "mic", "W1", anna, 12.0, 5.0), (2, "mic", "W0", [0.1, 0.2, 1.0], 2.0, 2.0), (2, "system", "W0", anna, 20.0, 20.0), (3, "mic", "W0", [0.0, 0.0, 0.0], 9.0, 9.0)]
+    mira, piet = [0.0, 0.6, 0.8], [1.0, 0.0, 0.0]
+    rows = [
+        (0, "mic", "a", piet, 18.0, 18.0), (0, "mic", "b", mira, 14.0, 14.0), (1, "mic", "a", mira, 13.0, 6.0), (1, "mic", "b", piet, 11.0, 4.0),
+        (2, "mic", "a", [0.9, 0.1, 0.3], 3.0, 3.0), (2, "system", "a", mira, 19.0, 19.0), (3, "mic", "a", [0.0, 0.0, 0.0], 8.0, 8.0),
+    ]
     got = {(w, t, s): v for w, t, s, v, _ in live.place_voices(rows)}
-    assert got[(0, "mic", "W0")] == got[(1, "mic", "W1")] == "S1" and got[(1, "mic", "W0")] == "S2"
-    assert got[(2, "mic", "W0")] == "S2" and got[(2, "system", "W0")] == "S3" and got[(3, "mic", "W0")] is None
+    assert got[(0, "mic", "a")] == got[(1, "mic", "b")] == got[(2, "mic", "a")] == "S1" and got[(0, "mic", "b")] == got[(1, "mic", "a")] == "S2"
+    assert got[(2, "system", "a")] == "S3" and got[(3, "mic", "a")] is None
 
 
 def test_release_waits_for_both_tracks():
