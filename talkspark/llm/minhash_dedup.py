@@ -1,24 +1,28 @@
 """Operator 3, near-duplicate documents by MinHash signatures in a signature-coordinate inverted join.
 
 A text is its set of distinct SHINGLE-word shingles (A-Z lower-cased; fewer words: the whole sequence as one).
-Texts with equal sets are one node. A node's signature has COORDINATES coordinates, each the hash of ROWS
-min-wise values; a node is posted under each coordinate-value pair. Two sets at the similarity limit of 0.8
-agree in a coordinate with probability 0.8^3 = 0.51 and in MATCHES = 2 or more of 24 with probability
-1 - 8.6e-7; pairs under MATCHES collisions aren't looked at.
-
-Merging the lists makes no pairs within a list at first: every node meets one random member of each of its
-lists, so nodes of a group of near copies meet many of it, each by another list. Collisions of each such pair
-are counted over whole signatures, pairs above the match threshold are confirmed on full sets, and components of
-the confirmed links are found. Lists whose nodes are all in one component are then skipped: more links there
-change nothing. Where a component has a list mostly, the others meet random nodes of it. Of what is left, nodes
-are posted under the rarest of their shingles, a prefix long enough that two similar sets share one in it, and
-pairs of different components that meet there are counted and confirmed. A large group of near copies so costs
-links to pivots, not pairs, and no component is lost.
-
-Before that, postings are skipped by exact bounds on the full sets. A shingle that one node only has is in no
-intersection, so a node's intersections are at most its size less such shingles. Where that is too few for the
-smallest partner in a list, the node leaves the list: strays of a large group, made of it and words of their own,
-are so refuted against all of it at once, in one pass over their shingles.
+Texts with equal sets are one node. A node's signature has COORDINATES min-wise values; a node is posted under each
+coordinate-value pair. Two sets at the similarity limit of 0.8 agree in under MATCHES = 56 of 96 coordinates with
+probability 3.5e-7 (binomial), so a link needs MATCHES collisions, and confirmation on full sets.
+
+Prefix merging: coordinates that no other node has can't collide, so a node with under MATCHES shared ones is done.
+Of c shared ones only the c - MATCHES + 1 rarest are kept as lists: two nodes with MATCHES collisions share one there.
+Lists are not expanded into pairs. Each has a representative, its most central node (the one whose coordinates are
+the most common in it); every node meets the representatives of its lists, collisions are counted on whole
+signatures, and pairs of NEAR or more are compared on full sets: links, and how a node differs from its
+representative. Components of the links are found; where a list has several, the nodes outside its
+representative's component meet the most central one among them.
+
+Skip merging: what is left are pairs of different components in one list. If two sets of a representative's list
+differ from it in no shingle alike (neither one that both have and it has not, nor one that it has and both have
+not), each is as similar to it as to the other at least. So a pair that isn't linked through the representative must share
+differences: need(A, X) = 4/9 (|A| + |X|) - |A & R| - |X & R| + |R| of them. Nodes of a representative's group are posted
+under differences only; the long lists of what the group has in common are skipped. Differences that one node only
+has count for no pair; a node that has too few others leaves; the rest is posted under its rarest
+differences, a prefix as long as its least need demands, and pairs that meet are tested against need(A, X), the
+collisions of their signatures and their full sets. Nodes that are in a list but unlike its representative (two sets
+at under 0.6 and over 0.8 of it can't be linked) are posted under the rarest of their shingles instead, with the same bounds
+against the empty set. A large group of near copies so costs links to representatives, not pairs.
 
 Shingles are compared by 64-bit hashes, node identity by 128-bit ones.
 
@@ -41,10 +45,11 @@ from talkspark.llm.bpe import slices, with_column
 from talkspark.llm.common import cut, stored
 
 SHINGLE, LIMIT = 2, (80, 100)
-COORDINATES, ROWS, MATCHES = 24, 3, 2
-#: Nodes that a component needs in a list to be its major one.
-MAJOR = 4
-#: Passes of skipping postings; each finds more shingles that one node only has, as refuted nodes are gone.
+#: Coordinates of a signature; collisions that a link needs; those of pairs that are compared with their representative.
+COORDINATES, MATCHES, NEAR = 96, 56, 33
+#: Similarity to a representative from which on a node is in its group: 1 - 2 * (1 - limit).
+GROUP = 2 * LIMIT[0] - LIMIT[1]
+#: Passes that leave out what one node only has and nodes with too little else.
 SKIPS = 2
 SLICE = 4_000_000
 
@@ -57,9 +62,8 @@ IS_WHITE[[32, *range(9, 14)]] = True
 BYTE_CODE[IS_WHITE] = 0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-MULTIPLY = _random.integers(0, 2**31, (COORDINATES * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-ADD = _random.integers(0, 2**32, (COORDINATES * ROWS, 1), dtype=np.uint32)
-TAG = _random.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+MULTIPLY = _random.integers(0, 2**31, (COORDINATES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _random.integers(0, 2**32, (COORDINATES, 1), dtype=np.uint32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -107,18 +111,14 @@ class Shingler:
 
 
 def coordinates(s: np.ndarray) -> np.ndarray:
-    """The signature of a set: coordinate-value pairs as 64-bit numbers."""
+    """The signature of a set: the least value of each coordinate."""
     low = (s >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(MULTIPLY), 2**32 - 1, np.uint32)
     for i in range(0, len(low), 1024):
         part = low[None, i : i + 1024] * MULTIPLY
         part += ADD
         np.minimum(least, part.min(axis=1), out=least)
-    rows = least.reshape(COORDINATES, ROWS).astype(np.uint64)
-    out = TAG.copy()
-    for j in range(ROWS):
-        out = mixed(out + rows[:, j])
-    return out.view(np.int64)
+    return least.view(np.int32)
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -136,34 +136,46 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                 part = part.select([c for c in part.schema.names if c != text])
                 part = with_column(part, "n_shingles", pa.array([len(s) for s in sets], pa.int64()))
                 part = with_column(part, "node", pa.array(nodes, pa.binary()))
-                yield with_column(part, "coords", pa.array(made, pa.list_(pa.int64())))
+                yield with_column(part, "coords", pa.array(made, pa.list_(pa.int32())))
 
     fields = [f for f in docs.schema.fields if f.name not in (text, "n_shingles", "node", "coords")]
-    made = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("coords", T.ArrayType(T.LongType()))]
+    made = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("coords", T.ArrayType(T.IntegerType()))]
     return docs.mapInArrow(run, T.StructType([*fields, *made]))
 
 
-def confirmed(pairs: DataFrame, limit: tuple[int, int] = LIMIT) -> DataFrame:
-    """Of pairs (a, b, text_a, text_b), those a, b whose full sets are similar enough."""
+def compared(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, text_a, text_b): a, b, n_a, n_b, both (shingles in common), more and less (what a has more and less than b)."""
+    longs = pa.list_(pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
+        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch in batches:
-            # each text of a batch is cut once, however many pairs it stands in
-            coded = [batch.column(c).dictionary_encode() for c in ("text_a", "text_b")]
-            sets = []
-            for c in coded:
-                own = []
-                for start, n in slices(c.dictionary, SLICE):
-                    own += shingler.sets([t.encode() for t in c.dictionary.slice(start, n).to_pylist()])
-                sets.append(own)
-            keep = []
-            for i, j in zip(*(c.indices.to_numpy().tolist() for c in coded), strict=True):
-                s, t = sets[0][i], sets[1][j]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(limit[1] * both >= limit[0] * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+            for start, n in slices(batch.column("text_a"), SLICE // 4):
+                part = batch.slice(start, n)
+                sets = shingler.sets([t.encode() for t in part.column("text_a").to_pylist()])
+                sizes, both, more, less = [], [], [], []
+                for k in range(n):
+                    b = part.column("b")[k].as_py()
+                    if b != last[0]:  # rows of one representative follow each other mostly
+                        last = b, shingler.sets([part.column("text_b")[k].as_py().encode()])[0]
+                    s, t = sets[k], last[1]
+                    shared = np.isin(s, t, assume_unique=True)
+                    sizes.append((len(s), len(t)))
+                    both.append(int(shared.sum()))
+                    near = LIMIT[1] * both[-1] >= GROUP * (len(s) + len(t) - both[-1])
+                    more.append(s[~shared].view(np.int64) if near else None)
+                    less.append(np.setdiff1d(t, s, assume_unique=True).view(np.int64) if near else None)
+                made = [pa.array([x for x, _ in sizes], pa.int64()), pa.array([x for _, x in sizes], pa.int64()), pa.array(both, pa.int64()), pa.array(more, longs), pa.array(less, longs)]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *made], ["a", "b", "n_a", "n_b", "both", "more", "less"])
+
+    schema = "a binary, b binary, n_a bigint, n_b bigint, both bigint, more array<bigint>, less array<bigint>"
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+
+
+def linked() -> Column:
+    """Whether sets of n_a and n_b shingles, `both` in common, are similar enough."""
+    return LIMIT[1] * F.col("both") >= LIMIT[0] * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
 
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -187,34 +199,32 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, n, comp, top, major) of the lists that hold more than one component.
-
-    top: the list's largest component; major: whether it has half of the list, and MAJOR nodes, or more. Lists
-    of one component are skipped from here on.
-    """
-    at = shared.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    cells = at.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    lists = cells.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("members"), F.max(F.struct("c", "comp")).alias("t")).where("kinds > 1")
-    major = (2 * F.col("t.c") >= F.col("members")) & (F.col("t.c") >= MAJOR)
-    return cut(at.join(lists.select("key", F.col("t.comp").alias("top"), major.alias("major")), "key"))
+def prefixes(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, central) of the lists that prefix merging keeps. nodes: (node, n, coords)."""
+    key = F.transform("coords", lambda v, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(2**32 - 1))))
+    posted = nodes.select("node", "n", F.explode(key).alias("key"))
+    lists = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = posted.join(lists, "key").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("members", "key"))).alias("posts"))
+    shared = stored(shared.where(F.size("posts") >= MATCHES), "postings")
+    kept = shared.select("node", "n", F.transform("posts", lambda x: x["members"]).alias("sizes"), F.explode(F.expr(f"slice(posts, 1, size(posts) - {MATCHES - 1})")).alias("p"))
+    # how common a node's coordinates are, those beyond the list's own size alike
+    central = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.col("p.members")))
+    kept = stored(kept.select(F.col("p.key").alias("key"), "node", "n", central.alias("central")), "prefixes")
+    several = kept.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    return stored(kept.join(several, "key"), "lists")
 
 
-def to_pivots(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of every node with a random member of each of its lists, another in each list."""
-    draw = F.struct(F.xxhash64("node", "key").alias("draw"), "node", "n")
-    pivots = shared.groupBy("key").agg(F.min(draw).alias("p"))
-    met = shared.join(pivots, "key").where(F.col("node") != F.col("p.node"))
-    return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).distinct()
+def representatives(lists: DataFrame) -> DataFrame:
+    """(key, rep, n_rep): the most central node of each list."""
+    best = F.max(F.struct("central", F.xxhash64("node").alias("tie"), "node", "n")).alias("r")
+    return lists.groupBy("key").agg(best).select("key", F.col("r.node").alias("rep"), F.col("r.n").alias("n_rep"))
 
 
-def to_majors(lists: DataFrame) -> DataFrame:
-    """Pairs of the nodes outside a list's major component with random nodes of it, another in each list."""
-    major = lists.where("major")
-    draw = F.struct(F.xxhash64("key", "node").alias("draw"), "node", "n")
-    pivots = major.where(F.col("comp") == F.col("top")).groupBy("key").agg(F.min(draw).alias("p"))
-    met = major.where(F.col("comp") != F.col("top")).join(pivots, "key")
-    return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b")).distinct()
+def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """lists with comp: those that hold more than one component. Lists of one component are skipped from here on."""
+    at = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return cut(at.join(several, "key"))
 
 
 def shingle_rows(texts: DataFrame) -> DataFrame:
@@ -231,54 +241,63 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, shingle long")
 
 
-def enough(u: Column, n: Column, other: Column) -> Column:
-    """Whether an intersection of u can be enough for sets of n and other: u / (n + other - u) >= LIMIT."""
-    return u * sum(LIMIT) >= (n + other) * LIMIT[0]
+def rarest(rows: DataFrame, by: list[str], feature: list[str]) -> DataFrame:
+    """Rows (by, feature, comp, have, need, ...) that can still make a pair, each node's rarest ones only.
+
+    Features of one node or one component only are left out, and nodes whose others are under their need. need: what a
+    node must share with any partner, at least. Out comes `have`, the number of a node's features that others have too, and the place `at`.
+    """
+    for _ in range(SKIPS):
+        several = rows.groupBy(*feature).agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(*feature, "c")
+        rows = rows.drop("c", "have").join(several, feature)
+        node = Window.partitionBy(*by)
+        rows = cut(rows.withColumn("have", F.count("*").over(node)).where("have >= need"))
+    order = F.row_number().over(Window.partitionBy(*by).orderBy("c", *feature))
+    return cut(rows.withColumn("at", order).where("at <= have - need + 1").drop("c"))
 
 
-def skipped(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """lists with u, the most that a node can share with another, without postings that can't lead to a link.
+def by_differences(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of different components in one representative's group that share enough differences from it.
 
-    A pair that is similar enough stays in each of its lists: both have all they share in u, and each has the
-    other as a partner no smaller than the smallest of the list.
+    groups: (rep, node, comp, n, n_rep, both, more, less). In 180ths, a pair needs q_a + q_b + 20 n_rep differences,
+    where q = 80 (n + n_rep) - 180 both is over 0 for nodes that aren't linked with the representative.
     """
-    among = texts.join(lists.select("node").distinct(), "node")
-    own = shingle_rows(among).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
-    own = own.groupBy("node").agg(F.count("*").alias("own"))
-    least = lists.groupBy("key").agg(F.min("n").alias("least"))
-    left = lists.drop("u").join(own, "node", "left").withColumn("u", F.col("n") - F.coalesce("own", F.lit(0))).drop("own").join(least, "key")
-    left = left.where(enough(F.col("u"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * LIMIT[0] / LIMIT[1])))).drop("least")
-    left = cut(left)
-    several = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    return cut(left.join(several, "key"))
-
-
-def rest_of(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different components among the nodes of the lists that can be similar enough.
-
-    A node needs a part of its shingles in common with any partner. Sorted from the rarest among these nodes, two
-    that are similar enough share one in the prefixes that only just leave less than that part. So nodes are
-    posted under the shingles of their prefixes; those of strays are their own or rare ones, and shingles that
-    a large group shares are behind.
+    total, low = sum(LIMIT), LIMIT[0]
+    q = low * (F.col("n") + F.col("n_rep")) - total * F.col("both")
+    g = groups.withColumn("q", q).withColumn("stray", F.col("q") > 0)
+    some = g.groupBy("rep").agg(F.min("q").alias("least"), F.min(F.when(F.col("stray"), F.col("q"))).alias("least_stray")).where("least_stray is not null")
+    g = g.join(some, "rep")
+    own = (total - 2 * low) * F.col("n_rep")
+    # of two nodes one is a stray at least: both others meet strays only
+    need = F.greatest(F.ceil((F.col("q") + own + F.when(F.col("stray"), F.col("least")).otherwise(F.col("least_stray"))) / total), F.lit(1))
+    g = g.withColumn("need", need).where(F.size("more") + F.size("less") >= F.col("need"))
+    tagged = F.concat(F.transform("more", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("shingle"))), F.transform("less", lambda x: F.struct(F.lit(0).alias("kind"), x.alias("shingle"))))
+    rows = g.select("rep", "node", "comp", "n", "q", "stray", "need", own.alias("own"), F.explode(tagged).alias("f"))
+    rows = stored(rows.select("*", F.col("f.kind").alias("kind"), F.col("f.shingle").alias("shingle")).drop("f"), "differences")
+    kept = rarest(rows, ["rep", "node"], ["rep", "kind", "shingle"])
+    side = lambda x: kept.select("rep", "kind", "shingle", *([F.col("own")] if x == "a" else []), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "q", "stray", "have", "at")])
+    # the first difference that a pair shares has all others behind it in both
+    behind = F.least(F.col("have_a") - F.col("at_a"), F.col("have_b") - F.col("at_b")) + 1
+    fits = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("stray_a") | F.col("stray_b"))
+    fits &= total * behind >= F.col("q_a") + F.col("q_b") + F.col("own")
+    pairs = side("a").join(side("b"), ["rep", "kind", "shingle"]).where(fits)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
+
+
+def by_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of different components that share enough shingles and are in no group together.
+
+    nodes: (node, n, comp, reps), reps the representatives whose group a node is in.
     """
-    least = lists.groupBy("key").agg(F.min("n").alias("least"))
-    nodes = lists.join(least, "key").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "comp")], F.min("least").alias("least"))
-    partner = F.greatest("least", F.ceil(F.col("n") * LIMIT[0] / LIMIT[1]))
-    need = F.ceil((F.col("n") + partner) * LIMIT[0] / sum(LIMIT))
-    nodes = cut(nodes.withColumn("prefix", F.col("n") - need + 1).drop("least"))
-    rows = stored(shingle_rows(texts.join(nodes.select("node"), "node")), "shingles")
-    common = rows.groupBy("shingle").agg(F.count("*").alias("c"))
-    order = F.row_number().over(Window.partitionBy("node").orderBy("c", "shingle"))
-    kept = rows.join(common, "shingle").withColumn("at", order).join(nodes, "node").where("at <= prefix AND c > 1")
-    kept = cut(kept.select("shingle", "node", "n", "at", "comp"))
-    several = kept.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
-    kept = cut(kept.join(several, "shingle"))
-    side = lambda x: kept.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "at", "comp")])
-    pairs = side("a").join(side("b"), "shingle").where("node_a < node_b AND comp_a <> comp_b")
-    pairs = pairs.where(F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0])
-    # the first shingle that a pair shares has all others it shares behind it in both sets
-    behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    pairs = pairs.where(enough(behind + 1, F.col("n_a"), F.col("n_b")))
+    total, low = sum(LIMIT), LIMIT[0]
+    # a partner has LIMIT of the node's size at least, and so must share 0.8 of it
+    nodes = nodes.withColumn("need", F.ceil(F.col("n") * low / LIMIT[1]))
+    rows = stored(shingle_rows(texts.join(nodes.select("node"), "node")).join(nodes.drop("reps"), "node"), "shingles")
+    kept = rarest(rows, ["node"], ["shingle"]).join(nodes.select("node", "reps"), "node")
+    side = lambda x: kept.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "have", "at", "reps")])
+    behind = F.least(F.col("have_a") - F.col("at_a"), F.col("have_b") - F.col("at_b")) + 1
+    fits = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (total * behind >= low * (F.col("n_a") + F.col("n_b")))
+    pairs = side("a").join(side("b"), "shingle").where(fits & ~F.arrays_overlap("reps_a", "reps_b"))
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
 
 
@@ -289,32 +308,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rows = stored(signatures(slim), "signatures")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("coords").alias("coords"), F.first("n_shingles").alias("n"))
     nodes = stored(nodes, "nodes")
+    lists = prefixes(nodes.select("node", "n", "coords"))
     # one text for each node; any of those with its set will do
-    posted = nodes.select("node", "n", F.explode("coords").alias("key"))
-    lists = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = stored(posted.join(lists.select("key"), "key"), "postings")
-    texts = nodes_texts(docs, rows, shared, text, doc_id)
-
-    def looked_at(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, n_a, n_b), those with enough collisions and similar full sets."""
-        sizes = F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0]
-        sig = nodes.select("node", "coords")
-        pairs = pairs.where(sizes).select("a", "b")
-        pairs = pairs.join(sig.toDF("a", "coords_a"), "a").join(sig.toDF("b", "coords_b"), "b")
-        pairs = pairs.where(F.size(F.array_intersect("coords_a", "coords_b")) >= MATCHES).select("a", "b")
+    texts = nodes_texts(docs, rows, lists, text, doc_id)
+    sig = nodes.select("node", "coords").join(lists.select("node").distinct(), "node", "left_semi")
+
+    def looked_at(pairs: DataFrame, matches: int, name: str) -> DataFrame:
+        """Of pairs (a, b), b the representative if one is, those with enough collisions, compared on full sets."""
+        pairs = pairs.select("a", "b").join(sig.toDF("a", "coords_a"), "a").join(sig.toDF("b", "coords_b"), "b")
+        equal = F.aggregate(F.zip_with("coords_a", "coords_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
+        pairs = pairs.where(equal >= matches).select("a", "b")
         pairs = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return cut(confirmed(pairs))
-
-    labels = components(looked_at(to_pivots(shared)))
-    strays = looked_at(to_majors(unsettled(shared, labels)))
-    if not strays.isEmpty():
-        labels = components(strays, labels)
-    left = unsettled(shared, labels)
-    for _ in range(SKIPS):
-        left = skipped(left, texts)
-    last = looked_at(rest_of(left, texts))
-    if not last.isEmpty():
-        labels = components(last, labels)
+        return stored(compared(pairs), name)
+
+    reps = cut(representatives(lists))
+    met = lists.join(reps, "key").where(F.col("node") != F.col("rep"))
+    first = looked_at(met.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), NEAR, "representatives")
+    labels = components(first.where(linked()).select("a", "b"))
+
+    left = unsettled(lists, labels).join(reps.join(labels.toDF("rep", "rep_comp"), "rep", "left"), "key")
+    left = left.where(F.col("comp") != F.coalesce("rep_comp", "rep")).select("key", "node", "n", "central", "comp")
+    met = left.join(representatives(left), "key").where(F.col("node") != F.col("rep"))
+    second = looked_at(met.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), NEAR, "seconds").where(linked()).select("a", "b")
+    if not second.isEmpty():
+        labels = components(second, labels)
+
+    left = cut(unsettled(lists, labels).join(reps, "key").select("rep", "node", "n", "comp", "n_rep").distinct())
+    groups = left.join(first.select(F.col("a").alias("node"), F.col("b").alias("rep"), "n_a", "n_b", "both", "more", "less"), ["rep", "node"], "left")
+    groups = stored(groups.withColumn("near", F.col("more").isNotNull()).withColumn("linked", F.coalesce(linked(), F.col("rep") == F.col("node"))), "groups")
+    apart = groups.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_set(F.when(F.col("near") | F.col("linked"), F.col("rep"))).alias("reps"), F.max(~F.col("linked")).alias("apart"))
+    pairs = by_shingles(apart.where("apart").drop("apart"), texts).unionByName(by_differences(groups.where("near").drop("near", "linked", "n_a", "n_b")))
+    sizes = F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0]
+    third = looked_at(pairs.where(sizes).select("a", "b").distinct(), MATCHES, "rest").where(linked()).select("a", "b")
+    if not third.isEmpty():
+        labels = components(third, labels)
 
     named = nodes.select("node", "id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))

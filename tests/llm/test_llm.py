@@ -124,6 +124,46 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def near_copies(n, seed, words=150, vocab=3000, most=0.14):
+    """Texts made of one by 0 to most * words edits each, so some are linked and some are strays."""
+    r = np.random.default_rng(seed)
+    base, out = [f"w{i}" for i in r.integers(0, vocab, words)], []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.integers(0, int(most * words) + 1)):
+            at, kind = r.integers(0, len(w)), r.integers(0, 3)
+            w[at : at + (kind < 2)] = [f"w{r.integers(0, vocab)}"] if kind else []
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_pairs_follow_the_size_of_a_group(spark, monkeypatch):
+    """As many pairs a node in a large group of near copies as in a small one, and the components of brute force."""
+    looked, plain = [], minhash_dedup.compared
+    monkeypatch.setattr(minhash_dedup, "compared", lambda pairs: looked.append(pairs.count()) or plain(pairs))
+    each = []
+    for n in (300, 1200):
+        looked.clear()
+        rows = near_copies(n, n)
+        out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        if n == 300:
+            assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == sorted(brute_components(rows))
+        each.append(sum(looked) / n)
+    assert each[1] < 1.6 * each[0]
+
+
+def test_strays_of_a_group_against_brute_force(spark):
+    rows = near_copies(350, 7, vocab=120, most=0.16)
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == sorted(brute_components(rows))
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == sorted(brute_components(rows))
+
+
 def test_chat_roles(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"hello {c} {t}\nmore") for c in range(40) for t in range(4)]
     rows += [(50, 0, "user", "q"), (50, 1, None, "a"), (50, 2, "user", "q"), (50, 3, "assistant", "a"), (51, 0, "Human", "Human: hi\nAssistant: hello"), (None, 0, "user", "x"), (52, None, "user", None), (53, 0, "user", "r"), (53, 0, "user", "r")]
