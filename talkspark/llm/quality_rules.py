@@ -2,10 +2,12 @@
 
 Counts of every whole text give three shares: symbols per word, repeated lines per line, repeated words per
 word. For each (lang, source) a KLL quantile sketch of each share is built; merged sketches give the language
-and the whole corpus. The threshold of a share is q75 + REACH * (q75 - q25) of the finest level that holds at
-least LEAST documents (that pass the base rule), and never under the share's FLOOR, so a spread of zero doesn't
-reject harmless texts. Sketches and thresholds are joined back to the documents; a document is kept when it
-passes the base rule and all its thresholds.
+and the whole corpus. The threshold of a share is q + reach * (q - median), with the share's quantile and reach in
+RULES, of the finest level that holds at least LEAST documents (that pass the base rule). No cutoff is fixed: a
+group of listings with many symbols gets a high threshold, a group of prose a low one. q is low for symbols, as junk may
+be a tenth of a group, and high for repeats, of which clean texts have some. Where all of that is zero, EPSILON lets a
+single symbol or repeat in a long text pass. Sketches and thresholds are joined back to the documents; a document is
+kept when it passes the base rule and all its thresholds.
 
 Only DataFrame and SQL functions are used. Within a text, five-word windows are compared by 64-bit hashes
 (within one text of a million words the chance of a false repeat is about 3e-8).
@@ -24,10 +26,12 @@ from talkspark.llm.common import WHITE, cut, stored, words_of
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: Documents that a group needs for thresholds of its own; size of the sketches; reach over the quartiles.
-LEAST, SKETCH_K, REACH = 100, 2048, 3.0
-#: Thresholds are never lower than these.
-FLOORS = {"symbol_share": 0.2, "line_share": 0.3, "repeat_share": 0.1}
+#: Documents that a group needs for thresholds of its own; size of the sketches.
+LEAST, SKETCH_K = 100, 2048
+#: Of each share, the quantile that its threshold is built on, and the reach beyond it.
+RULES = {"symbol_share": (0.8, 3.0), "line_share": (0.99, 1.0), "repeat_share": (0.99, 1.0)}
+#: What a threshold is where quantile and median are zero.
+EPSILON = 0.01
 
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -100,9 +104,7 @@ def judged(counts: DataFrame, lang: str = "lang", source: str = "source") -> Dat
 
     def limits(sketches: DataFrame, level: str, by: list[str]) -> DataFrame:
         q = lambda s, r: F.kll_sketch_get_quantile_double(s, F.lit(r))
-        made = [
-            F.greatest(F.lit(FLOORS[s]), q(s, 0.75) + REACH * (q(s, 0.75) - q(s, 0.25))).alias(s) for s in shares
-        ]
+        made = [F.greatest(F.lit(EPSILON), q(s, r) + reach * (q(s, r) - q(s, 0.5))).alias(s) for s, (r, reach) in RULES.items()]
         return sketches.select(*by, F.struct("n", *made).alias(level))
 
     cells = limits(fine, "fine", ["__lang", "__source"])
@@ -123,7 +125,7 @@ def judged(counts: DataFrame, lang: str = "lang", source: str = "source") -> Dat
     rows = rows.withColumns({f"{s}_limit": limit[s] for s in shares}).drop("__own", "whole", "__group")
     passed = F.lit(True)
     for s in shares:
-        passed = passed & (F.col(s) <= F.coalesce(F.col(f"{s}_limit"), F.lit(FLOORS[s])))
+        passed = passed & (F.col(s) <= F.coalesce(F.col(f"{s}_limit"), F.lit(float("inf"))))
     return rows.withColumn("kept", ~F.col("base_failed") & passed)
 
 
@@ -147,9 +149,9 @@ c AS (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array
 s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS a,
     n_dup_lines / greatest(nl, 1) AS b, n_repeat_words / greatest(n_words, 1) AS d FROM c),
 lv AS (SELECT lang, source, grouping_id(lang, source) AS g, count(*) AS n,
-    greatest(0.2, quantile_disc(a, 0.75) + 3.0 * (quantile_disc(a, 0.75) - quantile_disc(a, 0.25))) AS la,
-    greatest(0.3, quantile_disc(b, 0.75) + 3.0 * (quantile_disc(b, 0.75) - quantile_disc(b, 0.25))) AS lb,
-    greatest(0.1, quantile_disc(d, 0.75) + 3.0 * (quantile_disc(d, 0.75) - quantile_disc(d, 0.25))) AS ld
+    greatest(0.01, quantile_disc(a, 0.8) + 3.0 * (quantile_disc(a, 0.8) - quantile_disc(a, 0.5))) AS la,
+    greatest(0.01, quantile_disc(b, 0.99) + (quantile_disc(b, 0.99) - quantile_disc(b, 0.5))) AS lb,
+    greatest(0.01, quantile_disc(d, 0.99) + (quantile_disc(d, 0.99) - quantile_disc(d, 0.5))) AS ld
     FROM s WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())),
 j AS (SELECT s.*, CASE WHEN x.n >= 100 THEN x.la WHEN x.n IS NOT NULL AND y.n >= 100 THEN y.la ELSE z.la END AS la,
     CASE WHEN x.n >= 100 THEN x.lb WHEN x.n IS NOT NULL AND y.n >= 100 THEN y.lb ELSE z.lb END AS lb,
@@ -157,7 +159,7 @@ j AS (SELECT s.*, CASE WHEN x.n >= 100 THEN x.la WHEN x.n IS NOT NULL AND y.n >=
     FROM s LEFT JOIN (SELECT * FROM lv WHERE g = 0) x ON s.lang IS NOT DISTINCT FROM x.lang AND s.source IS NOT DISTINCT FROM x.source
     LEFT JOIN (SELECT * FROM lv WHERE g = 1) y ON s.lang IS NOT DISTINCT FROM y.lang LEFT JOIN (SELECT * FROM lv WHERE g = 3) z ON true)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND a <= coalesce(la, 0.2) AND b <= coalesce(lb, 0.3) AND d <= coalesce(ld, 0.1) AS kept FROM j
+    NOT base_failed AND a <= coalesce(la, 'inf'::DOUBLE) AND b <= coalesce(lb, 'inf'::DOUBLE) AND d <= coalesce(ld, 'inf'::DOUBLE) AS kept FROM j
 """
 
 

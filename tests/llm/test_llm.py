@@ -61,6 +61,18 @@ def test_quality_rules_odd_rows(spark):
     assert quality_rules.quality_rules(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_quality_thresholds_follow_their_group(spark):
+    """The same text is kept where its group is alike and rejected where it isn't: no fixed cutoff decides."""
+    r = np.random.default_rng(2)
+    prose = lambda k: " ".join(f"w{x}" for x in r.integers(0, 5000, 40)) + "".join(f" #{x}" for x in r.integers(0, 5000, k))
+    rows = [(i, prose(0), "en", "prose", 1) for i in range(150)] + [(1000 + i, prose(4 + i % 9), "en", "code", 1) for i in range(150)]
+    rows += [(5000, prose(6), "en", "prose", 1), (5001, prose(6), "en", "code", 1), (5002, prose(35), "en", "code", 1)]
+    out = {x.doc_id: x for x in quality_rules.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not out[5000].kept and out[5001].kept and not out[5002].kept
+    assert out[0].symbol_share_limit == quality_rules.EPSILON < out[1000].symbol_share_limit
+    assert sum(x.kept for i, x in out.items() if i < 5000) == 300
+
+
 def test_html_blocks(spark):
     page = lambda i, body: (i, f"http://h.example/{i}", f"<html><head><title>t</title><script>a='<p>'</script></head><body><nav><a>menu {i}</a></nav><div class='ad'>buy {i}</div><article><h1>T{i}</h1>{body}<div id=comments><p>me too</p></div></article><footer>&copy;</footer></body></html>")
     rows = [page(i, f"<p>One &amp; two\n  {i}<br>next<p>Three <b>bold</p><ul><li>a<li>b</ul><form>f</form>") for i in range(6)]
