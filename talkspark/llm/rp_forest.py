@@ -7,13 +7,14 @@ median of the projection on the line through two random vectors of it; leaves ha
 as far as the sample's size allows. Every vector is indexed in a leaf of each tree.
 
 A query searches all trees through one priority queue, by the least margin on the way to a node, until the
-leaves taken hold SEARCH of all vectors (leaves of several trees count each). Queries meet leaves in a join by
-(leaf, salt): leaves over CHUNK vectors are dealt over several salts and their queries copied to each, so no
-task gets an unbounded leaf and none of its vectors is left out. Each meeting gives the best candidates of the
-query there, as far as they reach the best of the sample in the query's leaves, and the candidates of all leaves are reranked by the exact inner product in double precision.
+leaves taken hold a budget of vectors (leaves of several trees count each) that grows slower than the table,
+BUDGET * n^POWER. Queries meet leaves by (leaf, salt): leaves over CHUNK vectors are dealt over several salts and
+their queries copied to each, so no task holds an unbounded leaf and none of its vectors is left out. First a query
+meets the HOME leaves next to it; the worst of its best k there is a bound that what it finds in all its other
+leaves must reach. The best candidates of all leaves are reranked by the exact inner product in double precision.
 
 Equal vectors are indexed once, with as many of the least ids as a result can hold; ties go to smaller ids.
-SEARCH = 1.2 reaches a recall of 0.9 on vectors without any structure; clustered ones need much less.
+The budget reaches a recall of 0.9 on vectors without any structure; clustered ones need much less.
 
 Defined results: rows with a null id, and vectors that are null, zero, or hold null or non-finite components
 take no part, nor do vectors of another length than most; repeated ids count once, with the vector that comes
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from talkspark.llm.common import cut, stored
 
-TREES, SAMPLE, SAMPLE_FLOATS, LEAF, CHUNK, SEARCH, SEED = 8, 16384, 4_000_000, 800, 4000, 1.2, 11
+TREES, SAMPLE, SAMPLE_FLOATS, LEAF, CHUNK, SEED = 16, 61_440, 4_000_000, 256, 4000, 11
+#: Vectors of the leaves that a query takes: BUDGET * n^POWER, MOST * n at most. Leaves that give the bound for the others.
+BUDGET, POWER, MOST, HOME = 8.8, 0.75, 1.5, 8
 
 
 class Forest:
@@ -78,7 +82,7 @@ class Forest:
             out[:, t] = t * self.leaves + node - (self.leaves - 1)
         return out
 
-    def search(self, margins: np.ndarray, share: float = SEARCH) -> list[int]:
+    def search(self, margins: np.ndarray, share: float) -> list[int]:
         """Leaves for one query: nodes of all trees in one queue, the least margin on the way decides."""
         queue = [(-math.inf, t, 0) for t in range(self.trees)]
         inner, taken, out = self.leaves - 1, 0.0, []
@@ -112,7 +116,53 @@ def taking_part(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def neighbours(vectors: DataFrame, every: int, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", search: float = SEARCH) -> DataFrame:
+def meetings(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, kind, near): of each query in each (leaf, salt) the k + 1 best vectors that reach its bound.
+
+    index: (leaf, salt, kind, v); asked: (leaf, salt, id, v, least). Both are sorted into one stream for each task, a
+    leaf's vectors before its queries, so that a task holds CHUNK vectors or so at a time.
+    """
+    def best(x: np.ndarray, kind: np.ndarray, ids: np.ndarray, q: np.ndarray, least: np.ndarray) -> Iterator[tuple]:
+        n = min(k + 1, len(kind))
+        for start in range(0, len(ids), 500):
+            near = q[start : start + 500] @ x.T
+            found = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(kind) else np.tile(np.arange(n), (len(near), 1))
+            value = np.take_along_axis(near, found, axis=1)
+            # of what ties with the last place the smaller ids come along; kinds are in order
+            for i in np.flatnonzero((near >= value.min(axis=1)[:, None]).sum(axis=1) > n):
+                found[i] = np.lexsort((kind, -near[i]))[:n]
+            value = np.take_along_axis(near, found, axis=1)
+            fit = (value >= least[start : start + 500, None]).ravel()
+            yield np.repeat(ids[start : start + 500], n)[fit], kind[found].ravel()[fit], value.ravel()[fit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            leaf, salt, asks, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "salt", "asks", "id"))
+            x, least = matrix(b.column("v")), b.column("least").to_numpy(zero_copy_only=False)
+            new = (np.diff(leaf) != 0) | (np.diff(salt) != 0) | (np.diff(asks.astype(np.int8)) != 0)
+            edges, out = [0, *(np.flatnonzero(new) + 1).tolist(), len(leaf)], []
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if a == z:
+                    continue
+                if at != (leaf[a], salt[a]):
+                    at, held = (leaf[a], salt[a]), []
+                if not asks[a]:
+                    held.append((x[a:z], ids[a:z]))
+                elif held:
+                    if len(held) > 1:
+                        held = [(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))]
+                    out += best(*held[0], ids[a:z], x[a:z], least[a:z])
+            made = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["query_id", "kind", "near"])
+
+    both = index.select("leaf", "salt", F.lit(False).alias("asks"), F.col("kind").alias("id"), "v", F.lit(0.0).alias("least"))
+    both = both.unionByName(asked.select("leaf", "salt", F.lit(True).alias("asks"), "id", "v", "least"))
+    both = both.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "asks", "id")
+    return both.mapInArrow(run, "query_id bigint, kind bigint, near double")
+
+
+def neighbours(vectors: DataFrame, every: int, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", budget: float = BUDGET) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each vector whose id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = stored(taking_part(vectors, vec_id, embedding), "vectors")
@@ -133,9 +183,9 @@ def neighbours(vectors: DataFrame, every: int, k: int = 20, vec_id: str = "vec_i
         return np.column_stack([x, np.sqrt(np.maximum(0, most**2 - (x * x).sum(axis=1)))])
 
     depth = max(0, min(round(math.log2(max(1, facts.n / LEAF))), int(math.log2(max(1, sample.num_rows / 16)))))
-    samples = matrix(sample.column("v"))  # SAMPLE_FLOATS at most
-    forest = Forest(lifted(samples), depth)  # trees * sample / 16 nodes at most
-    sample_leaf = forest.leaf_of(lifted(samples))
+    # SAMPLE_FLOATS at most; a sixteenth as many nodes for each tree
+    forest = Forest(lifted(matrix(sample.column("v"))), depth)
+    share = min(MOST, budget * facts.n ** (POWER - 1))
 
     def place(batches):
         for b in batches:
@@ -145,59 +195,38 @@ def neighbours(vectors: DataFrame, every: int, k: int = 20, vec_id: str = "vec_i
                 at = pa.array(np.repeat(np.arange(part.num_rows), forest.trees))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), part.column("kind").take(at), part.column("v").take(at)], ["leaf", "kind", "v"])
 
-    def ask(batches):
-        for b in batches:
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
-                x = matrix(part.column("v"))
-                m = forest.margins(np.column_stack([x, np.zeros(len(x))]))
-                found = [forest.search(m[i], search) for i in range(len(x))]
-                at = pa.array(np.repeat(np.arange(len(x)), [len(f) for f in found]))
-                # sample vectors in the query's leaves will be found there: what is under the best k + 2 can't be a result
-                near = x @ samples.T
-                for i, f in enumerate(found):
-                    seen = np.zeros(forest.trees * forest.leaves, bool)
-                    seen[f] = True
-                    near[i, ~seen[sample_leaf].any(axis=1)] = -np.inf
-                least = np.partition(near, -(k + 2), axis=1)[:, -(k + 2)] if len(samples) > k + 2 else np.full(len(x), -np.inf)
-                least = np.where(np.isfinite(least), least, -1e300)
-                least = pa.array(least - 1e-9 * (1 + np.abs(least))).take(at)
-                yield pa.RecordBatch.from_arrays([pa.array([y for f in found for y in f], pa.int64()), part.column("id").take(at), part.column("v").take(at), least], ["leaf", "id", "v", "least"])
+    def asking(home: bool):
+        def ask(batches):
+            for b in batches:
+                for start in range(0, b.num_rows, 500):
+                    part = b.slice(start, 500)
+                    x = matrix(part.column("v"))
+                    m = forest.margins(np.column_stack([x, np.zeros(len(x))]))
+                    found = [forest.search(m[i], share) for i in range(len(x))]
+                    found = [f[:HOME] if home else f[HOME:] for f in found]
+                    at = pa.array(np.repeat(np.arange(len(x)), [len(f) for f in found]))
+                    yield pa.RecordBatch.from_arrays([pa.array([y for f in found for y in f], pa.int64()), part.column("id").take(at), part.column("v").take(at)], ["leaf", "id", "v"])
+        return ask
 
     kind_of_v = f"leaf bigint, kind bigint, v {dict(kinds.dtypes)['v']}"
     index = stored(kinds.select("kind", "v").mapInArrow(place, kind_of_v), "index")
     queries = rows.where(F.col("id") % every == 0)
-    asked = queries.mapInArrow(ask, kind_of_v.replace("kind", "id") + ", least double")
-    salts = index.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts"))
-    dealt = index.join(salts, "leaf").withColumn("salt", F.pmod(F.crc32(F.col("kind").cast("string").cast("binary")), F.col("salts")))
-    asked = asked.join(salts, "leaf").withColumn("q_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1)))
-    asked = asked.select(F.col("leaf").alias("q_leaf"), "q_salt", "id", "v", "least")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [np.zeros(0, np.int64)], "kind": [np.zeros(0, np.int64)], "near": [np.zeros(0)]}
-        if left.num_rows and right.num_rows:
-            x, kind, ids = matrix(left.column("v")), left.column("kind").to_numpy(), right.column("id").to_numpy()
-            order = np.argsort(kind)  # ties to the smaller id
-            x, kind = x[order], kind[order]
-            for start in range(0, len(ids), 500):
-                near = matrix(right.column("v").slice(start, 500)) @ x.T
-                n = min(k + 1, len(kind))
-                best = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(kind) else np.tile(np.arange(n), (len(near), 1))
-                value = np.take_along_axis(near, best, axis=1)
-                # what ties with the last place also comes along
-                tie = (near >= value.min(axis=1)[:, None]).sum(axis=1) > n
-                for i in np.flatnonzero(tie):
-                    best[i] = np.lexsort((kind, -near[i]))[:n]
-                value = np.take_along_axis(near, best, axis=1)
-                fit = value >= right.column("least").slice(start, 500).to_numpy()[:, None]
-                out["query_id"].append(np.repeat(ids[start : start + 500], n)[fit.ravel()])
-                out["kind"].append(kind[best].ravel()[fit.ravel()])
-                out["near"].append(value.ravel()[fit.ravel()])
-        return pa.table({c: pa.array(np.concatenate(v)) for c, v in out.items()})
-
-    met = dealt.select("leaf", "salt", "kind", "v").groupBy("leaf", "salt").cogroup(asked.groupBy("q_leaf", "q_salt"))
-    met = met.applyInArrow(meet, "query_id bigint, kind bigint, near double")
-    met = met.groupBy("query_id", "kind").agg(F.max("near").alias("near"))
+    salts = cut(index.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts")))  # a row for each leaf of the forest
+    dealt = index.join(salts, "leaf").withColumn("salt", F.pmod(F.crc32(F.col("kind").cast("string").cast("binary")), F.col("salts")).cast("bigint"))
+
+    def found(home: bool, bounds: DataFrame | None = None) -> DataFrame:
+        asked = queries.mapInArrow(asking(home), kind_of_v.replace("kind", "id"))
+        asked = asked.join(salts, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1)))
+        least = F.lit(-1e300)
+        if bounds is not None:
+            asked, least = asked.join(bounds, "id", "left"), F.coalesce("bound", F.lit(-1e300))
+        return meetings(dealt, asked.withColumn("least", least), k).groupBy("query_id", "kind").agg(F.max("near").alias("near"))
+
+    by_near = Window.partitionBy("query_id").orderBy(F.desc("near"), "kind")
+    near = cut(found(True).withColumn("place", F.row_number().over(by_near)).where(F.col("place") <= k + 6))
+    # k + 1 others at least reach the bound, one of them perhaps the query itself; a little less, as sums may be rounded otherwise
+    bounds = near.where(F.col("place") == k + 2).select(F.col("query_id").alias("id"), (F.col("near") - 1e-9 * (1 + F.abs("near"))).alias("bound"))
+    met = near.select("query_id", "kind", "near").unionByName(found(False, bounds)).groupBy("query_id", "kind").agg(F.max("near").alias("near"))
     first = Window.partitionBy("query_id").orderBy(F.desc("near"), "kind")
     met = met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 6).select("query_id", "kind")
     exact = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
