@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if not current:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
             current = spark.sparkContext.getCheckpointDir()
         found = current
@@ -45,6 +47,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that may be broadcast: a few numbers each.
+FEW = 10_000
+SALTS = 64
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows, each with the columns of its group (equal keys, never null): broadcast if groups are at most FEW, else
+    salted, as one group may hold a third of all rows. groups has one row for each key and was computed before."""
+    if groups.count() <= FEW:
+        return rows.join(F.broadcast(groups), key)
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, [^\\x20\\x09-\\x0D]+, as an array; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE_CLASS + "+"), "")

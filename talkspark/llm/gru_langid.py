@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkspark.llm.common import cut, with_groups
+
 #: Segment length in bytes; hidden units of each direction; sample of each language; folds and the one held out.
 SEGMENT, HIDDEN, DOCS, PIECES, FOLDS = 64, 8, 400, 8, 5
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.02, 7
@@ -190,15 +192,17 @@ class Network:
 def training_pieces(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """lang and passages of the sample: at most DOCS * PIECES rows of SEGMENT characters for each language."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    # ids first, then the texts of the chosen ids only
-    named = rows.select(F.col(lang).alias("lang"), F.md5(F.col(doc_id).cast("string").cast("binary")).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    named = named.where(F.length("text") >= SEGMENT // 2)
-    first = named.select("lang", "key").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= DOCS)
-    chosen = named.join(F.broadcast(first.select("lang", "key")), ["lang", "key"])  # DOCS rows for each language
+    md5 = F.md5(F.col(doc_id).cast("string").cast("binary"))
+    named = rows.select(F.col(lang).alias("lang"), md5.alias("key"), F.col(text).alias("text")).where(F.length("text") >= SEGMENT // 2)
+    # a language's documents up to a key that leaves a few more than DOCS: no language is sorted in one task
+    n = cut(named.groupBy("lang").agg(F.count("*").alias("n")))
+    named = with_groups(named, n, "lang")
+    chosen = named.where(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * F.col("n") <= (DOCS + 6 * DOCS**0.5) * 2.0**32)
     start = lambda i: 1 + F.pmod(F.crc32(F.concat("key", i.cast("string")).cast("binary")), F.greatest(F.length("text") - SEGMENT, F.lit(1)))
     pieces = F.transform(F.sequence(F.lit(1), F.lit(PIECES)), lambda i: F.substring(F.col("text"), start(i).cast("int"), F.lit(SEGMENT)))
     # equal keys are rows with one doc_id: one of them is enough
-    return chosen.groupBy("lang", "key").agg(F.min(pieces).alias("pieces"))
+    chosen = chosen.groupBy("lang", "key").agg(F.min(pieces).alias("pieces"))
+    return chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= DOCS).drop("rank")
 
 
 def train(docs: DataFrame, **columns: str) -> Network | None:

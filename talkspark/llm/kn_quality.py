@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkspark.llm.bpe import slices, with_column
-from talkspark.llm.common import cut, stored
+from talkspark.llm.common import cut, stored, with_groups
 
 ORDER, PRIOR, QUANTILE, LEAST, FOLDS = 4, 40, 0.99, 50, 4
 #: Thresholds are never lower (nats a byte): trusted texts all alike have no spread. On sf0.1 they are 1.67 and more.
@@ -253,7 +253,7 @@ def judged(scores: DataFrame, lang: str = "lang") -> DataFrame:
     one = scores.withColumn("__lang", F.coalesce(F.concat(F.lit("+"), F.col(lang)), F.lit("-")))
     means = one.groupBy("__lang").agg(F.try_divide(total("nll"), total("n_bytes")).alias("__mean"))
     whole = one.agg(F.try_divide(total("nll"), total("n_bytes")).alias("__all"))
-    one = one.join(means, "__lang").join(F.broadcast(whole))
+    one = with_groups(one, cut(means), "__lang").join(F.broadcast(whole))
     mean = F.coalesce("__mean", "__all")
     one = one.withColumn("__score", F.when(F.col("n_bytes") > 0, (F.col("nll") + PRIOR * mean) / (F.col("n_bytes") + PRIOR)))
     fine = F.when(F.col("trusted"), F.col("__score"))
@@ -263,7 +263,7 @@ def judged(scores: DataFrame, lang: str = "lang") -> DataFrame:
     limited = lambda by: F.least(F.percentile_approx("__fine", QUANTILE, 10000), F.max(F.when(F.col("__fine") != float("inf"), F.col("__fine")))).alias(by)
     own = fines.unionByName(fines.select("__lang").distinct().select("__lang", beyond)).groupBy("__lang").agg(limited("__own"), (F.count("*") - 1).alias("__n"))
     every = fines.select("__fine").unionByName(scores.sparkSession.range(1).select(beyond)).agg(limited("__every"))
-    one = one.join(own, "__lang", "left").join(F.broadcast(every))
+    one = with_groups(one, cut(one.select("__lang").distinct().join(own, "__lang", "left")), "__lang").join(F.broadcast(every))
     limit = F.when(F.col("__n") >= LEAST, F.col("__own")).otherwise(F.col("__every"))
     limit = F.when(limit.isNotNull(), F.greatest(limit, F.lit(FLOOR)))
     one = one.withColumns({"perplexity": F.exp("__score"), "threshold": F.exp(limit), "kept": F.coalesce(F.col("__score") <= limit, F.lit(True))})

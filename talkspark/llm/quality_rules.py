@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkspark.llm.common import WHITE, cut, stored, words_of
+from talkspark.llm.common import WHITE, cut, stored, with_groups, words_of
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -110,16 +110,14 @@ def judged(counts: DataFrame, lang: str = "lang", source: str = "source") -> Dat
     cells = limits(fine, "fine", ["__lang", "__source"])
     langs = limits(merged(["__lang"]), "lang_level", ["__lang"])
     whole = limits(merged([]), "whole", [])
-    # one row for each (lang, source): a few sketches wide, and as many as there are groups
+    # one row for each (lang, source), a few numbers wide
     found = cells.alias("c").join(langs.alias("g"), F.col("c.__lang").eqNullSafe(F.col("g.__lang"))).select(
-        F.col("c.__lang").alias("__lang"), F.col("c.__source").alias("__source"), "fine", "lang_level"
-    )
-    found = found.select(
-        F.struct(F.col("__lang").alias("a"), F.col("__source").alias("b")).alias("__group"),
+        F.to_json(F.struct(F.col("c.__lang").alias("a"), F.col("c.__source").alias("b"))).alias("__group"),
         F.when(F.col("fine.n") >= LEAST, F.col("fine")).when(F.col("lang_level.n") >= LEAST, F.col("lang_level")).alias("__own"),
     )
-    rows = rows.withColumn("__group", F.struct(F.col("__lang").alias("a"), F.col("__source").alias("b"))).drop("__lang", "__source")
-    rows = rows.alias("r").join(found.alias("f"), F.col("r.__group").eqNullSafe(F.col("f.__group")), "left").select("r.*", "f.__own")
+    rows = rows.withColumn("__group", F.to_json(F.struct(F.col("__lang").alias("a"), F.col("__source").alias("b")))).drop("__lang", "__source")
+    every = rows.select("__group").distinct().join(found, "__group", "left")
+    rows = with_groups(rows, cut(every), "__group")
     rows = rows.join(F.broadcast(whole.limit(1)))  # one row: an aggregate without keys
     limit = F.coalesce("__own", "whole")
     rows = rows.withColumns({f"{s}_limit": limit[s] for s in shares}).drop("__own", "whole", "__group")
