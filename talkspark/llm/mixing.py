@@ -7,8 +7,8 @@ and long documents evenly, so a source's taken words stay within about one docum
 
 The place of a document in that order is found without gathering a source in one task: counts by (source,
 size) and by (source, size, salt) are summed first, then only documents of one salt are numbered. The salt is
-two hex digits of the MD5 of doc_id, so a group of equal sizes is split 256 ways; it also breaks ties, and the
-offset is from the MD5 of the source, so reruns agree.
+two hex digits of the MD5 of doc_id, so a group of equal sizes is split 256 ways; it also breaks ties, then doc_id and a
+hash of the text do, and the offset is from the MD5 of the source, so reruns agree.
 
 Defined results: a null text has size 0; null is a source of its own, ordered last; a null doc_id counts as
 its own value, ordered first; repeated rows are documents of their own; a source without words has target 0
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talkspark.llm.common import n_words_of
+from talkspark.llm.common import n_words_of, stored
 
 #: Weights that sources take in turn, and the most copies of any word of a source.
 WEIGHTS, MOST = (1, 2, 3), 3
@@ -60,11 +60,15 @@ def offset(source: Column, none: Column, seed: str = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """docs (not yet repeated) with size, source_size, target, copies and taken = copies * size."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, text: str = "text", source: str = "source", doc_id: str = "doc_id", counted: bool = False) -> DataFrame:
+    """docs (not yet repeated) with size, source_size, target, copies and taken = copies * size.
+
+    counted: docs has no text but a size and a text_key, a hash of the text.
+    """
     salt = F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 2)
+    made = {"__tie": F.col("text_key")} if counted else {"size": n_words_of(F.col(text)), "__tie": F.xxhash64(text)}
     rows = docs.withColumns({
-        "size": n_words_of(F.col(text)), "__none": F.col(source).isNull(),
+        **made, "__none": F.col(source).isNull(),
         "__source": F.coalesce(F.col(source), F.lit("")), "__salt": salt,
     })
     plain = rows.select("__none", "__source", "size", "__salt")
@@ -81,12 +85,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     cells = cells.join(by_size, [*key, "size"])
     cell = [*key, "size", "__salt"]
     rows = rows.drop("source_size", "target", "copies", "taken", "rate").join(cells, cell)
-    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*cell).orderBy(doc_id)) + F.col("__below") + F.col("__beside"))
+    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*cell).orderBy(doc_id, "__tie")) + F.col("__below") + F.col("__beside"))
     u = offset(F.col("__source"), F.col("__none"), seed)
     crossed = F.floor(F.col("__rank") * F.col("rate") + u) - F.floor((F.col("__rank") - 1) * F.col("rate") + u)
     rows = rows.withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
     rows = rows.withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.drop("__none", "__source", "__salt", "__below", "__beside", "__rank", "rate")
+    return rows.drop("__none", "__source", "__salt", "__below", "__beside", "__rank", "__tie", "rate")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
@@ -113,5 +117,7 @@ SELECT doc_id, size, ss AS source_size, target,
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # words are counted once: counts and documents both read the sizes
+    sizes = stored(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key")), "sizes")
+    return mix(sizes, counted=True).select("doc_id", "size", "source_size", "target", "taken")

@@ -78,7 +78,11 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
         F.max(F.struct(F.length("rule").alias("n"), F.col("action").alias("action"), F.col("rule").alias("rule"))).alias("best")
     )
     best = best.select("host", "path", F.col("best.rule").alias("__rule"), F.col("best.action").alias("__action"))
-    out = parts.drop("rule", "verdict").join(best, ["host", "path"], "left")
+    parts = parts.drop("rule", "verdict")
+    out = parts.where(F.col("host") != "").join(best, ["host", "path"], "left")
+    # rows without a host, be they most of the table, meet no rule and aren't shuffled
+    bare = parts.where(F.col("host") == "").withColumns({"__rule": F.lit(None).cast("string"), "__action": F.lit(None).cast("string")})
+    out = out.unionByName(bare)
     return out.withColumns({"rule": F.col("__rule"), "verdict": F.coalesce("__action", F.lit(default))}).drop("__rule", "__action")
 
 
