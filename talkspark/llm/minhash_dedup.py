@@ -2,16 +2,16 @@
 
 A text is its set of distinct SHINGLE-word shingles (A-Z lower-cased; fewer words: the whole sequence as one).
 Texts with equal sets are one node. A node's signature has COORDINATES min-wise values; a node is posted under each
-coordinate-value pair. Two sets at the similarity limit of 0.8 agree in under MATCHES = 56 of 96 coordinates with
-probability 3.5e-7 (binomial), so a link needs MATCHES collisions, and confirmation on full sets.
+coordinate-value pair. Two sets at the similarity limit of 0.8 agree in under MATCHES = 35 of 64 coordinates with
+probability 1.2e-6 (binomial), so a link needs MATCHES collisions, and confirmation on full sets.
 
 Prefix merging: coordinates that no other node has can't collide, so a node with under MATCHES shared ones is done.
 Of c shared ones only the c - MATCHES + 1 rarest are kept as lists: two nodes with MATCHES collisions share one there.
 Lists are not expanded into pairs. Each has a representative, its most central node (the one whose coordinates are
 the most common in it); every node meets the representatives of its lists, collisions are counted on whole
 signatures, and pairs of NEAR or more are compared on full sets: links, and how a node differs from its
-representative. Components of the links are found; where a list has several, the nodes outside its
-representative's component meet the most central one among them.
+representative. Components of the links are found. In lists of REPS + 1 nodes at most that have several, the REPS most central
+ones are met by nodes of other components, so all such pairs of these lists have met.
 
 Skip merging: what is left are pairs of different components in one list. If two sets of a representative's list
 differ from it in no shingle alike (neither one that both have and it has not, nor one that it has and both have
@@ -24,7 +24,7 @@ collisions of their signatures and their full sets. Nodes that are in a list but
 at under 0.6 and over 0.8 of it can't be linked) are posted under the rarest of their shingles instead, with the same bounds
 against the empty set. A large group of near copies so costs links to representatives, not pairs.
 
-Shingles are compared by 64-bit hashes, node identity by 128-bit ones.
+Shingles are compared by 64-bit hashes, sets by 128-bit ones; a node's number is given when nodes are written.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; rows with a null
 doc_id are linked like others but never name a component (component_id null when nothing else does); repeated
@@ -33,6 +33,7 @@ rows and equal sets are one component; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,9 @@ from talkspark.llm.common import cut, stored
 
 SHINGLE, LIMIT = 2, (80, 100)
 #: Coordinates of a signature; collisions that a link needs; those of pairs that are compared with their representative.
-COORDINATES, MATCHES, NEAR = 96, 56, 33
+COORDINATES, MATCHES, NEAR = 64, 35, 19
+#: Representatives of a short list, of up to one node more, that all its nodes of other components meet.
+REPS = 6
 #: Similarity to a representative from which on a node is in its group: 1 - 2 * (1 - limit).
 GROUP = 2 * LIMIT[0] - LIMIT[1]
 #: Passes that leave out what one node only has and nodes with too little else.
@@ -122,7 +125,7 @@ def coordinates(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text: n_shingles, node (digest of the set; null if empty), coords (signature)."""
+    """docs without the text: n_shingles, digest (of the set; null if empty), coords (signature)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
@@ -135,11 +138,11 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                 made = [coordinates(s) if len(s) else None for s in sets]
                 part = part.select([c for c in part.schema.names if c != text])
                 part = with_column(part, "n_shingles", pa.array([len(s) for s in sets], pa.int64()))
-                part = with_column(part, "node", pa.array(nodes, pa.binary()))
+                part = with_column(part, "digest", pa.array(nodes, pa.binary()))
                 yield with_column(part, "coords", pa.array(made, pa.list_(pa.int32())))
 
-    fields = [f for f in docs.schema.fields if f.name not in (text, "n_shingles", "node", "coords")]
-    made = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("coords", T.ArrayType(T.IntegerType()))]
+    fields = [f for f in docs.schema.fields if f.name not in (text, "n_shingles", "digest", "coords")]
+    made = [T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("coords", T.ArrayType(T.IntegerType()))]
     return docs.mapInArrow(run, T.StructType([*fields, *made]))
 
 
@@ -149,7 +152,7 @@ def compared(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             for start, n in slices(batch.column("text_a"), SLICE // 4):
                 part = batch.slice(start, n)
@@ -169,7 +172,7 @@ def compared(pairs: DataFrame) -> DataFrame:
                 made = [pa.array([x for x, _ in sizes], pa.int64()), pa.array([x for _, x in sizes], pa.int64()), pa.array(both, pa.int64()), pa.array(more, longs), pa.array(less, longs)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *made], ["a", "b", "n_a", "n_b", "both", "more", "less"])
 
-    schema = "a binary, b binary, n_a bigint, n_b bigint, both bigint, more array<bigint>, less array<bigint>"
+    schema = "a bigint, b bigint, n_a bigint, n_b bigint, both bigint, more array<bigint>, less array<bigint>"
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
@@ -200,31 +203,31 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def prefixes(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, central) of the lists that prefix merging keeps. nodes: (node, n, coords)."""
+    """(key, node, central, size) of the lists that prefix merging keeps. nodes: (node, coords)."""
     key = F.transform("coords", lambda v, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(2**32 - 1))))
-    posted = nodes.select("node", "n", F.explode(key).alias("key"))
+    posted = nodes.select("node", F.explode(key).alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = posted.join(lists, "key").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("members", "key"))).alias("posts"))
-    shared = stored(shared.where(F.size("posts") >= MATCHES), "postings")
-    kept = shared.select("node", "n", F.transform("posts", lambda x: x["members"]).alias("sizes"), F.explode(F.expr(f"slice(posts, 1, size(posts) - {MATCHES - 1})")).alias("p"))
+    shared = posted.join(lists, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("posts"))
+    shared = shared.where(F.size("posts") >= MATCHES).withColumn("sizes", F.transform("posts", lambda x: x["members"]))
+    kept = shared.select("node", "sizes", F.explode(F.expr(f"slice(posts, 1, size(posts) - {MATCHES - 1})")).alias("p"))
     # how common a node's coordinates are, those beyond the list's own size alike
     central = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.col("p.members")))
-    kept = stored(kept.select(F.col("p.key").alias("key"), "node", "n", central.alias("central")), "prefixes")
-    several = kept.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    kept = stored(kept.select(F.col("p.key").alias("key"), "node", central.alias("central")), "prefixes")
+    several = kept.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return stored(kept.join(several, "key"), "lists")
 
 
 def representatives(lists: DataFrame) -> DataFrame:
-    """(key, rep, n_rep): the most central node of each list."""
-    best = F.max(F.struct("central", F.xxhash64("node").alias("tie"), "node", "n")).alias("r")
-    return lists.groupBy("key").agg(best).select("key", F.col("r.node").alias("rep"), F.col("r.n").alias("n_rep"))
+    """(key, rep): the most central node of each list."""
+    best = F.max(F.struct("central", F.xxhash64("node").alias("tie"), "node")).alias("r")
+    return lists.groupBy("key").agg(best).select("key", F.col("r.node").alias("rep"))
 
 
 def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """lists with comp: those that hold more than one component. Lists of one component are skipped from here on."""
     at = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    return cut(at.join(several, "key"))
+    return stored(at.join(several, "key"), "unsettled")
 
 
 def shingle_rows(texts: DataFrame) -> DataFrame:
@@ -238,7 +241,7 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
                 whose = pa.array(np.repeat(np.arange(n), [len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([part.column("node").take(whose), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, shingle long")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingle long")
 
 
 def rarest(rows: DataFrame, by: list[str], feature: list[str]) -> DataFrame:
@@ -251,7 +254,7 @@ def rarest(rows: DataFrame, by: list[str], feature: list[str]) -> DataFrame:
         several = rows.groupBy(*feature).agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(*feature, "c")
         rows = rows.drop("c", "have").join(several, feature)
         node = Window.partitionBy(*by)
-        rows = cut(rows.withColumn("have", F.count("*").over(node)).where("have >= need"))
+        rows = stored(rows.withColumn("have", F.count("*").over(node)).where("have >= need"), "rarest")
     order = F.row_number().over(Window.partitionBy(*by).orderBy("c", *feature))
     return cut(rows.withColumn("at", order).where("at <= have - need + 1").drop("c"))
 
@@ -306,19 +309,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *same_text(doc_id, text))
     rows = stored(signatures(slim), "signatures")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("coords").alias("coords"), F.first("n_shingles").alias("n"))
-    nodes = stored(nodes, "nodes")
-    lists = prefixes(nodes.select("node", "n", "coords"))
+    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("coords").alias("coords"), F.first("n_shingles").alias("n"), F.min(F.struct("id_key", "text_key")).alias("row"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    lists = prefixes(nodes.select("node", "coords"))
     # one text for each node; any of those with its set will do
-    texts = nodes_texts(docs, rows, lists, text, doc_id)
-    sig = nodes.select("node", "coords").join(lists.select("node").distinct(), "node", "left_semi")
+    table = nodes_texts(docs, nodes.join(lists.select("node").distinct(), "node", "left_semi"), text, doc_id)
+    texts = spark.table(table)
+    sig = nodes.select("node", "n", "coords").join(lists.select("node").distinct(), "node", "left_semi")
 
     def looked_at(pairs: DataFrame, matches: int, name: str) -> DataFrame:
         """Of pairs (a, b), b the representative if one is, those with enough collisions, compared on full sets."""
-        pairs = pairs.select("a", "b").join(sig.toDF("a", "coords_a"), "a").join(sig.toDF("b", "coords_b"), "b")
+        pairs = pairs.select("a", "b").join(sig.toDF("a", "n_a", "coords_a"), "a").join(sig.toDF("b", "n_b", "coords_b"), "b")
         equal = F.aggregate(F.zip_with("coords_a", "coords_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-        pairs = pairs.where(equal >= matches).select("a", "b")
-        pairs = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        least = GROUP if matches == NEAR else LIMIT[0]  # a set's size against the other's, for that similarity
+        pairs = stored(pairs.where((equal >= matches) & (F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * least)).select("a", "b"), "pairs")
+        # representatives' texts only are shuffled, and those of the pairs' other side, which a large group splits over tasks
+        others = texts.join(pairs.select(F.col("b").alias("node")).distinct(), "node")
+        pairs = pairs.join(texts.toDF("a", "text_a"), "a").join(others.toDF("b", "text_b"), "b")
         return stored(compared(pairs), name)
 
     reps = cut(representatives(lists))
@@ -326,28 +333,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     first = looked_at(met.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), NEAR, "representatives")
     labels = components(first.where(linked()).select("a", "b"))
 
-    left = unsettled(lists, labels).join(reps.join(labels.toDF("rep", "rep_comp"), "rep", "left"), "key")
-    left = left.where(F.col("comp") != F.coalesce("rep_comp", "rep")).select("key", "node", "n", "central", "comp")
-    met = left.join(representatives(left), "key").where(F.col("node") != F.col("rep"))
-    second = looked_at(met.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), NEAR, "seconds").where(linked()).select("a", "b")
+    left = unsettled(lists.where(F.col("size") <= REPS + 1), labels)
+    central = Window.partitionBy("key").orderBy(F.desc("central"), F.xxhash64("node"), "node")
+    few = left.withColumn("place", F.row_number().over(central)).where(F.col("place") <= REPS).select("key", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"))
+    met = left.join(few, "key").where(F.col("comp") != F.col("rep_comp"))
+    met = met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+    second = looked_at(met, MATCHES, "seconds").where(linked()).select("a", "b")
     if not second.isEmpty():
         labels = components(second, labels)
 
-    left = cut(unsettled(lists, labels).join(reps, "key").select("rep", "node", "n", "comp", "n_rep").distinct())
+    left = unsettled(lists.where(F.col("size") > REPS + 1), labels).join(reps, "key").select("rep", "node", "comp").distinct()
+    left = cut(left.join(nodes.select("node", "n"), "node"))
     groups = left.join(first.select(F.col("a").alias("node"), F.col("b").alias("rep"), "n_a", "n_b", "both", "more", "less"), ["rep", "node"], "left")
     groups = stored(groups.withColumn("near", F.col("more").isNotNull()).withColumn("linked", F.coalesce(linked(), F.col("rep") == F.col("node"))), "groups")
     apart = groups.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_set(F.when(F.col("near") | F.col("linked"), F.col("rep"))).alias("reps"), F.max(~F.col("linked")).alias("apart"))
-    pairs = by_shingles(apart.where("apart").drop("apart"), texts).unionByName(by_differences(groups.where("near").drop("near", "linked", "n_a", "n_b")))
+    pairs = by_shingles(apart.where("apart").drop("apart"), texts).unionByName(by_differences(groups.where("near").withColumnRenamed("n_b", "n_rep").drop("near", "linked", "n_a")))
     sizes = F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0]
     third = looked_at(pairs.where(sizes).select("a", "b").distinct(), MATCHES, "rest").where(linked()).select("a", "b")
     if not third.isEmpty():
         labels = components(third, labels)
+    spark.sql(f"DROP TABLE {table}")
 
-    named = nodes.select("node", "id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = nodes.select("node", "id", "digest").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = named.select("node", "comp").join(least, "comp").select("node", "component_id")
-    out = rows.select("id", "n_shingles", "node", "text_key").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = named.select("digest", "comp").join(least, "comp").select("digest", "component_id")
+    out = rows.select("id", "n_shingles", "digest", "text_key").join(named, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     out = out.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), "text_key")
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.col("component_id").isNull()))
 
@@ -357,12 +368,16 @@ def same_text(doc_id: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(doc_id).cast("string"), F.lit("-")).alias("id_key"), F.xxhash64(text).alias("text_key")]
 
 
-def nodes_texts(docs: DataFrame, rows: DataFrame, shared: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(node, text) of the nodes that share a list with another: the text of one row of each."""
-    wanted = rows.select("node", "id_key", "text_key").join(shared.select("node").distinct(), "node")
-    wanted = wanted.groupBy("node").agg(F.min(F.struct("id_key", "text_key")).alias("row")).select("node", "row.*")
-    found = docs.select(*same_text(doc_id, text), F.col(text).alias("text")).join(wanted, ["id_key", "text_key"])
-    return stored(found.select("node", "text").groupBy("node").agg(F.min("text").alias("text")), "texts")
+def nodes_texts(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> str:
+    """The name of a table (node, text), bucketed by node, of the text of one row of each node: its joins by node move no text."""
+    spark = docs.sparkSession
+    found = docs.select(*same_text(doc_id, text), F.col(text).alias("text")).join(nodes.select("node", "row.*"), ["id_key", "text_key"])
+    # repeated rows: one of them, in the partition that the join made
+    found = found.groupBy("id_key", "text_key").agg(F.min("node").alias("node"), F.min("text").alias("text")).select("node", "text")
+    buckets = min(100_000, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    name = f"node_texts_{uuid.uuid4().hex}"
+    found.repartition(buckets, "node").write.bucketBy(buckets, "node").option("compression", "zstd").saveAsTable(name)
+    return name
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
