@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkspark.llm.common import tidy
+
 SHORT, DICTIONARY, SLICE = 48, 200_000, 2_000_000
 NONE = np.iinfo(np.int32).max
 #: The pattern of byte-level BPE, with white space as the Unicode property.
@@ -242,7 +244,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
                 yield with_column(part, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
 
     fields = [f for f in docs.schema.fields if f.name != ids]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType(), True))]))
+    return docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType(), True))]))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -266,7 +268,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", text: str = "deco
                 yield with_column(part, text, pa.array(texts, pa.string()))
 
     fields = [f for f in docs.schema.fields if f.name != text]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(text, T.StringType(), True)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(text, T.StringType(), True)]))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkspark.llm.common import cut, with_groups
+from talkspark.llm.common import cut, tidy, with_groups
 
 #: Segment length in bytes; hidden units of each direction; sample of each language; folds and the one held out.
 SEGMENT, HIDDEN, DOCS, PIECES, FOLDS = 64, 8, 400, 8, 5
@@ -236,7 +236,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
                 yield with_column(with_column(part, "lang_pred", pa.array(langs, pa.string())), "score", pa.array(scores, pa.float64()))
 
     fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

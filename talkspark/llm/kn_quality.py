@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkspark.llm.bpe import slices, with_column
-from talkspark.llm.common import cut, stored, with_groups
+from talkspark.llm.common import cut, give_back, stored, tidy, with_groups
 
 ORDER, PRIOR, QUANTILE, LEAST, FOLDS = 4, 40, 0.99, 50, 4
 #: Thresholds are never lower (nats a byte): trusted texts all alike have no spread. On sf0.1 they are 1.67 and more.
@@ -153,7 +153,7 @@ def packed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 yield block(fold)
 
     folded = docs.withColumn("__fold", F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int"))
-    return folded.mapInArrow(run, "block bigint, fold int, ids array<bigint>, rows binary")
+    return folded.mapInArrow(tidy(run), "block bigint, fold int, ids array<bigint>, rows binary")
 
 
 def block_texts(data: bytes, text: str) -> Iterator[tuple[pa.RecordBatch, list[int], list[bytes]]]:
@@ -180,6 +180,7 @@ def block_grams(blocks: DataFrame, trusted: DataFrame, text: str, doc_id: str) -
                 more = np.bincount(where, weights=weight, minlength=len(new)).astype(np.int64)
                 keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
                 counts = np.bincount(where, weights=np.concatenate([counts, more]), minlength=len(keys)).astype(np.int64)
+        give_back()
         block, fold = (left.column(c)[0].as_py() if times else 0 for c in ("block", "fold"))
         return pa.table({"block": pa.array(np.full(len(keys), block)), "fold": pa.array(np.full(len(keys), fold, np.int32)), "gram": pa.array(keys), "n": pa.array(counts * times)})
 
@@ -206,6 +207,7 @@ def block_scores(blocks: DataFrame, known: DataFrame, fields: list[T.StructField
                     size[rows] = ends - begins
                 part = with_column(batch.select(names), "nll", pa.array(nll))
                 out.append(with_column(part, "n_bytes", pa.array(size)))
+        give_back()
         return pa.Table.from_batches(out * left.num_rows)
 
     schema = T.StructType([*fields, T.StructField("nll", T.DoubleType()), T.StructField("n_bytes", T.LongType())])

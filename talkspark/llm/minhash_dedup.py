@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkspark.llm.bpe import slices, with_column
-from talkspark.llm.common import cut, stored
+from talkspark.llm.common import cut, stored, tidy
 
 SHINGLE, LIMIT = 2, (80, 100)
 #: Coordinates of a signature; collisions that a link needs; those of pairs that are compared with their representative.
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     fields = [f for f in docs.schema.fields if f.name not in (text, "n_shingles", "digest", "coords")]
     made = [T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("coords", T.ArrayType(T.IntegerType()))]
-    return docs.mapInArrow(run, T.StructType([*fields, *made]))
+    return docs.mapInArrow(tidy(run), T.StructType([*fields, *made]))
 
 
 def compared(pairs: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def compared(pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *made], ["a", "b", "n_a", "n_b", "both", "more", "less"])
 
     schema = "a bigint, b bigint, n_a bigint, n_b bigint, both bigint, more array<bigint>, less array<bigint>"
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), schema)
 
 
 def linked() -> Column:
@@ -241,7 +241,7 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
                 whose = pa.array(np.repeat(np.arange(n), [len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([part.column("node").take(whose), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, shingle long")
+    return texts.select("node", "text").mapInArrow(tidy(run), "node bigint, shingle long")
 
 
 def rarest(rows: DataFrame, by: list[str], feature: list[str]) -> DataFrame:
