@@ -23,31 +23,37 @@ def fixed_chunks(spans: DataFrame, target_ms: int = TARGET_MS, overlap_ms: int =
 
 
 def plan_chunks(turns: list[tuple[int, int]], duration: int, target: int = TARGET_MS, overlap: int = OVERLAP_MS) -> list[tuple[int, int]]:
-    """Chunks that cover 0..duration without a gap, none over target: cut where turns end if one does, else with overlap.
+    """Chunks that cover 0..duration without a gap, none over target.
 
-    A chunk grows turn by turn while it stays within target and ends with its last turn; lead-in and tail are
-    covered, and what is still too long is cut into fixed steps.
+    A chunk begins with the first turn and grows turn by turn while it stays within target; the next one begins `overlap`
+    before its end, so no word is cut in both. Silence before the first turn is a chunk of its own, silence after the
+    last one another, with overlap; what is still too long is cut into fixed steps, and so is a recording without turns.
     """
     return list(each_chunk(sorted(turns), duration, target, overlap))
 
 
 def each_chunk(ordered: Iterable[tuple[int, int]], duration: int, target: int = TARGET_MS, overlap: int = OVERLAP_MS) -> Iterator[tuple[int, int]]:
     """plan_chunks of turns in order, one at a time."""
-    step = max(1, target - overlap)
+    step = max(1000, target - overlap)
 
     def grown() -> Iterator[tuple[int, int]]:
-        start = 0
-        reach = 0
+        start, reach = None, 0
         for a, b in ordered:
             a, b = max(0, a), min(b, duration)
             if b <= a:
                 continue
-            if b - start > target and reach > start:
+            if start is None:
+                if a > 0:
+                    yield 0, a
+                start = reach = a
+            elif b - start > target and reach > start:
                 yield start, reach
-                start = reach
+                start = max(0, reach - overlap)
             reach = max(reach, b)
-        if duration > start:
-            yield start, duration
+        if start is not None:
+            yield start, reach
+        if reach < duration:
+            yield (0 if start is None else max(0, reach - overlap)), duration
 
     for a, b in grown():
         while b - a > target:

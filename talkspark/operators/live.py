@@ -186,29 +186,33 @@ def each_placed_voice(ordered: Iterable[tuple[int, str, str, list[float], float,
 
 
 def fold_items(updates: Iterable[dict]) -> dict[str, dict]:
-    """Items after updates in order: new ones get D1, T1, ... of their kind, counting deleted ones; blank owner and due
-    keep what was; what the user edited or deleted isn't changed by the model; at and section stay as first given."""
+    """Items after updates in order. The model's update with the id of an item changes it, any other with a kind and a text
+    is a new item: D1, T1, ... of its kind, counting deleted ones; its blank fields keep what was, and items that the user
+    edited or deleted are left alone. The user's edit sets the fields it has, a blank owner or due clears it, a blank
+    text is refused; only the user deletes. at and section stay as first given."""
     items: dict[str, dict] = {}
     counts = {"decision": 0, "todo": 0}
     for u in updates:
-        kind, text = u.get("kind"), (u.get("text") or "").strip()
-        key, user = u.get("id"), u.get("actor") == "user"
-        if u.get("op") == "delete":
-            if key in items and (user or not items[key]["locked"]):
-                items[key] |= {"deleted": True, "locked": items[key]["locked"] or user}
-            continue
-        if key in items:
-            old = items[key]
-            if old["locked"] and not user:
+        kind, key, user = u.get("kind"), u.get("id"), u.get("actor") == "user"
+        old = items.get(key)
+        if user:
+            text = u.get("text")
+            if old is None or old["deleted"] or u.get("op") != "delete" and text is not None and not text.strip():
                 continue
-            for k in ("text", "owner", "due"):
-                if new := (u.get(k) or "").strip():
-                    old[k] = new
-            old["locked"] = old["locked"] or user
-        elif kind in counts and text and not key:
+            if u.get("op") == "delete":
+                old["deleted"] = True
+            else:
+                old |= {k: u[k].strip() for k in ("text", "owner", "due") if u.get(k) is not None}
+            old["locked"] = True
+        elif u.get("op") == "delete":
+            continue
+        elif old is not None:
+            if not old["locked"]:
+                old |= {k: new for k in ("text", "owner", "due") if (new := (u.get(k) or "").strip())}
+        elif kind in counts and (u.get("text") or "").strip():
             counts[kind] += 1
             items[f"{kind[0].upper()}{counts[kind]}"] = {
-                "kind": kind, "text": text, "owner": (u.get("owner") or "").strip(), "due": (u.get("due") or "").strip(), "at": u.get("at"), "section": u.get("section"), "deleted": False, "locked": user,
+                "kind": kind, **{k: (u.get(k) or "").strip() for k in ("text", "owner", "due")}, "at": u.get("at"), "section": u.get("section"), "deleted": False, "locked": False,
             }
     return items
 

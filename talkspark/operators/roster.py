@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkspark.functions.scalars import blank_to_null
+from talkspark.operators import live
 from talkspark.operators.voices import THRESHOLD
 
 
@@ -144,9 +146,28 @@ def library(presets: DataFrame, saved: DataFrame) -> DataFrame:
 
 
 def unique_keys(names: DataFrame) -> DataFrame:
-    """names (seq, slug) with key: a taken slug gets -2, -3, ... in order."""
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("seq"))
-    return names.withColumn("n", n).withColumn("key", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("n").cast("string")))).drop("n")
+    """names (seq, slug) with key: in order of seq the slug, or with the first of -2, -3, ... that makes a free key.
+
+    An empty slug is "persona". Only names that are alike but for numbers at their end can take each other's keys; each such group
+    is one fold, which holds the keys given so far.
+    """
+    base = F.when(F.coalesce("slug", F.lit("")) == "", "persona").otherwise(F.col("slug"))
+    rows = names.select(F.regexp_replace(base, "(-[0-9]+)+$", "").alias("stem"), "seq", "slug", base.alias("base"))
+
+    def each(stem: tuple, group):
+        taken: set[str] = set()
+        after: dict[str, int] = {}
+        for _, seq, slug, own in group:
+            key, n = own, after.get(own, 2)
+            while key in taken:
+                key, n = f"{own}-{n}", n + 1
+            taken.add(key)
+            after[own] = n
+            yield *stem, seq, slug, key
+
+    fields = names.schema
+    schema = T.StructType([T.StructField("stem", T.StringType()), fields["seq"], fields["slug"], T.StructField("key", T.StringType())])
+    return live.over_groups(rows, ["stem"], [F.col("seq")], each, schema).drop("stem")
 
 
 def fuzzy(names: DataFrame, query: str) -> DataFrame:

@@ -99,7 +99,17 @@ def test_chunk_plan_covers(seed):
     plan = chunks.plan_chunks(t, duration)
     assert plan[0][0] == 0 and plan[-1][1] == duration
     assert all(b - a <= 90_000 and b > a for a, b in plan)
-    assert all(x[1] >= y[0] > x[0] for x, y in zip(plan, plan[1:]))
+    assert all(x[1] >= y[0] >= x[0] for x, y in zip(plan, plan[1:]))
+
+
+def test_chunks_overlap_where_a_turn_ends():
+    assert chunks.plan_chunks([(4000, 60_000), (60_000, 95_500)], 97_000) == [(0, 4000), (4000, 60_000), (58_000, 95_500), (93_500, 97_000)]
+    assert chunks.plan_chunks([], 100_000) == [(0, 90_000), (88_000, 100_000)] and chunks.plan_chunks([], 0) == []
+
+
+def test_keys_are_free(spark):
+    df = spark.createDataFrame(list(enumerate(["x", "x", "x-2", "y", "x", "", "x-2"])), "seq bigint, slug string")
+    assert [r.key for r in roster.unique_keys(df).orderBy("seq").collect()] == ["x", "x-2", "x-2-2", "y", "x-3", "persona", "x-2-3"]
 
 
 def test_voices_fold_and_unfold(spark):
@@ -150,12 +160,13 @@ def test_montage(spark, given, wanted):
 
 
 def test_items_fold():
-    up = [
-        {"op": "set", "kind": "todo", "text": "a", "owner": "x"}, {"op": "set", "kind": "decision", "text": "b"}, {"op": "set", "id": "T1", "text": "a2", "owner": ""},
-        {"op": "set", "id": "T1", "text": "mine", "actor": "user"}, {"op": "set", "id": "T1", "text": "model"}, {"op": "delete", "id": "D1", "actor": "user"}, {"op": "set", "kind": "decision", "text": "c"}, {"op": "set", "kind": "note", "text": "no"},
-    ]
-    items = live.fold_items(up)
-    assert list(items) == ["T1", "D1", "D2"] and items["T1"]["text"] == "mine" and items["T1"]["owner"] == "x" and items["D1"]["deleted"]
+    model = lambda **u: {"op": "set", **u}
+    user = lambda **u: {"op": "set", "actor": "user", **u}
+    items = live.fold_items([
+        model(kind="decision", text="rent the hall", owner="Mira", due="May"), model(kind="todo", id="T9", text="call"), model(id="D1", text="rent both halls", owner=" "), user(id="D1", owner=""),
+        model(id="D1", text="no hall"), model(op="delete", id="T1"), user(op="delete", id="T1"), user(id="T1", text="again"), model(kind="todo", id="T1", text="call again"), model(kind="todo", text="write"), user(id="D1", text=" "), model(kind="idea", text="x"), user(kind="todo", text="mine"),
+    ])
+    assert [(k, x["text"], x["owner"], x["due"], x["deleted"]) for k, x in items.items()] == [("D1", "rent both halls", "", "May", False), ("T1", "call", "", "", True), ("T2", "write", "", "", False)]
 
 
 def test_steps_and_sections():
