@@ -61,7 +61,8 @@ def transcript_lines(records: DataFrame) -> DataFrame:
     one = one.groupBy("conv_id", "turn", "role", "text", "key").agg(F.count("*").alias("copies"))
     conv = F.when(F.col("conv_id").isNull(), F.concat(F.lit("-"), F.col("key"), F.coalesce(F.col("turn").cast("string"), F.lit("")))).otherwise(F.concat(F.lit("+"), F.col("conv_id").cast("string")))
     # negative turns stand before others; null before all
-    turn = F.coalesce(F.col("turn").cast("long") + (1 << 40), F.lit(0).cast("long"))
+    bound = (1 << 40) - 1  # turns beyond it stand at the ends
+    turn = F.coalesce(F.greatest(F.lit(-bound), F.least(F.lit(bound), F.col("turn").cast("long"))) + (1 << 40), F.lit(0).cast("long"))
     place = turn * 256 + F.conv(F.substring("key", 1, 2), 16, 10).cast("long")
     one = one.select("conv_id", "turn", conv.alias("conv"), place.alias("place"), "key", F.coalesce("role", F.lit("")).alias("given"), "copies", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     written = F.regexp_extract("raw", r"^\s*[\[(<*#]*\s*([A-Za-z]{1,12})\s*[\])>*]*\s*:\s*", 1)
@@ -73,7 +74,7 @@ def transcript_lines(records: DataFrame) -> DataFrame:
     opens = F.when((F.col("line_no") == 0) | inline.isNotNull(), 1).otherwise(0)
     return one.select(
         "conv_id", "turn", "conv", "place", "key", "given", "line_no", role_of(F.col("given")).alias("known"),
-        F.coalesce(inline, given, F.lit(len(ROLES))).alias("marker"), (size * 4 + asks * 2 + opens).alias("kind"), line.alias("line"), "copies",
+        F.coalesce(inline, given, F.lit(len(ROLES))).alias("marker"), (size * 4 + asks * 2 + opens).alias("kind"), line.alias("line"), "raw", inline.alias("written"), "copies",
     )
 
 
@@ -229,6 +230,8 @@ def chat_turns(records: DataFrame) -> DataFrame:
     record = Window.partitionBy("conv", "place", "key", "given").orderBy("line_no")
     done = done.withColumn("new", F.coalesce((F.col("state") != F.lag("state").over(record)).cast("int"), F.lit(0)))
     done = done.withColumn("part", F.sum("new").over(record))
+    # a written marker goes only where the path agrees that it is one: no other character of a text is lost
+    done = done.withColumn("line", F.when(F.col("written") == F.col("state"), F.col("line")).otherwise(F.col("raw")))
     parts = done.groupBy("conv", "conv_id", "turn", "place", "key", "given", "part").agg(
         F.first("state").alias("state"), F.count("*").alias("n_lines"), F.first("copies").alias("copies"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
@@ -236,11 +239,16 @@ def chat_turns(records: DataFrame) -> DataFrame:
     return parts
 
 
+def escaped(text: Column) -> Column:
+    """text with a backslash more in each of its own control tokens, so that no text opens or ends a turn."""
+    return F.regexp_replace(text, r"<(\\*)\|(im_start|im_end)\|>", r"<\\$1|$2|>")
+
+
 def rendered(parts: DataFrame) -> DataFrame:
     role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("state") + 1)
     return parts.select(
         "conv_id", "turn", F.col("part").cast("int").alias("part"), role.alias("role"), "n_lines", "copies",
-        F.concat(F.lit(HEAD), role, F.lit("\n"), F.trim("text"), F.lit(FOOT + "\n")).alias("rendered"),
+        F.concat(F.lit(HEAD), role, F.lit("\n"), escaped(F.trim("text")), F.lit(FOOT + "\n")).alias("rendered"),
     )
 
 
