@@ -158,7 +158,7 @@ def m8(spark, sf):
 
 
 def s12(spark, sf):
-    fine, _ = live.valid_updates(updates(spark, sf).where("seq % 40 = 1"))
+    fine, _ = live.valid_updates(updates(spark, sf))
     return live.items_markdown(fine.withColumn("item", F.col("seq")).withColumn("at_ms", F.col("seq") * 1000))
 
 
@@ -261,7 +261,7 @@ SELECT recording, track, seq, stretch, count(*) OVER w AS n_window, min(start_ms
     "t10_due_times": with_cte(COVER, "SELECT recording, seq, round((end_ms - min(start_ms) OVER (PARTITION BY recording)) / 4.0)::BIGINT AS due_ms FROM cv", "live"),
     "f16_item_updates": with_cte(UPDATES, "SELECT session, seq, kind, kind IN ('decision', 'todo') AND text <> '' AS valid FROM up"),
     "m8_simple_items": with_cte(UPDATES, "SELECT session, item, arg_max(text, seq) FILTER (WHERE text <> '') AS text, arg_max(owner, seq) FILTER (WHERE owner <> '') AS owner, min(seq) * 1000 AS at_ms FROM up GROUP BY ALL"),
-    "s12_items_markdown": with_cte(UPDATES, f""", ok AS (SELECT session, seq, kind, CASE WHEN kind = 'todo' THEN '- [ ] ' ELSE '- ' END || text || CASE WHEN owner <> '' THEN ' (owner: ' || owner || ')' ELSE '' END || ' [' || {CLOCK} || ']' AS l FROM up WHERE seq % 40 = 1 AND kind IN ('decision', 'todo') AND text <> '')
+    "s12_items_markdown": with_cte(UPDATES, f""", ok AS (SELECT session, seq, kind, CASE WHEN kind = 'todo' THEN '- [ ] ' ELSE '- ' END || text || CASE WHEN owner <> '' THEN ' (owner: ' || owner || ')' ELSE '' END || ' [' || {CLOCK} || ']' AS l FROM up WHERE kind IN ('decision', 'todo') AND text <> '')
 SELECT session, '## Decisions' || chr(10) || chr(10) || coalesce(string_agg(l, chr(10) ORDER BY seq) FILTER (WHERE kind = 'decision'), 'None.') || chr(10) || chr(10) || '## To-dos' || chr(10) || chr(10) || coalesce(string_agg(l, chr(10) ORDER BY seq) FILTER (WHERE kind = 'todo'), 'None.') || chr(10) AS markdown FROM ok GROUP BY session"""),
     "a14_model_summaries": with_cte(EVAL, "SELECT model, prompt_id, n_ok, n_error, " + ", ".join(f"round({c}, 5) AS {c}" for c in SUMS) + " FROM s2", "conv_turns"),
     "o4_ranked_models": with_cte(EVAL, "SELECT model, prompt_id, row_number() OVER (ORDER BY judge IS NULL, judge DESC NULLS LAST, performance DESC NULLS LAST, chars_per_second DESC NULLS LAST, model, prompt_id) AS place FROM s2", "conv_turns"),

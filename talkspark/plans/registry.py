@@ -146,7 +146,7 @@ def j18(spark, sf):
 
 
 def m7(spark, sf):
-    return roster.toggled(decisions(spark, sf).where("seq % 3 = 0"), ["job_id", "speaker"])
+    return roster.toggled(decisions(spark, sf), ["job_id", "speaker"])
 
 
 def m7_set(spark, sf):
@@ -185,7 +185,7 @@ def a4_turns(spark, sf):
 
 
 def a4_prints(spark, sf):
-    return a4(spark, sf)[1].select("job_id", "speaker", F.posexplode("embedding").alias("place", "x")).where("place < 4").withColumn("x", F.round("x", 6))
+    return a4(spark, sf)[1].select("job_id", "speaker", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
 def w9(spark, sf):
@@ -276,7 +276,7 @@ SELECT name, job_id, speaker_id, added FROM members m WHERE NOT EXISTS (SELECT 1
     "j10_reuse_by_fingerprint": sql("SELECT a.job_id AS path, b.j AS reused_job FROM recordings a LEFT JOIN (SELECT fingerprint, arg_max(job_id, mtime) AS j FROM recordings WHERE transcribed GROUP BY fingerprint) b USING (fingerprint)", "recordings"),
     "m5_current_labels": f"WITH {DECISIONS} SELECT * FROM cur WHERE label IS NOT NULL",
     "j18_voice_renamed": f"WITH {DECISIONS} SELECT job_id, speaker, CASE WHEN label = 'P3' THEN 'P4' ELSE label END AS label FROM cur WHERE label IS NOT NULL AND job_id IN (SELECT job_id FROM cur WHERE label = 'P3')",
-    "m7_toggled_removals": f"WITH {DECISIONS} SELECT job_id, speaker FROM dec WHERE seq % 3 = 0 GROUP BY ALL HAVING count(*) % 2 = 1",
+    "m7_toggled_removals": f"WITH {DECISIONS} SELECT job_id, speaker FROM dec GROUP BY ALL HAVING count(*) % 2 = 1",
     "m7_set_removals": f"WITH {DECISIONS} SELECT job_id, speaker FROM dec GROUP BY ALL HAVING max(seq) % 4 = 1",
     "m11_current_status": """SELECT job_id, status, CASE WHEN status = 'running' THEN greatest(1, p) ELSE p END AS percent FROM (SELECT user_id AS job_id, arg_max(CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' ELSE 'running' END, event_id) AS status,
  greatest(0, least(100, arg_max(event_id % 131 - 10, event_id))) AS p FROM events GROUP BY user_id)""",
@@ -288,8 +288,8 @@ SELECT name, job_id, speaker_id, added FROM members m WHERE NOT EXISTS (SELECT 1
 talk AS (SELECT job_id, 'L_' || speaker AS speaker, sum(end_ms - start_ms) AS talk FROM turns WHERE turn_ix % 2 = 0 GROUP BY ALL), least1 AS (SELECT job_id, min(speaker) AS t FROM talk GROUP BY job_id),
 own AS (SELECT e.job_id, l.t AS speaker, embedding, talk, sum(talk) OVER (PARTITION BY e.job_id) AS total FROM e JOIN least1 l ON e.job_id = l.job_id LEFT JOIN talk ON e.job_id = talk.job_id AND e.speaker = talk.speaker WHERE e.speaker LIKE 'L\\_%' ESCAPE '\\'),
 c AS (SELECT job_id, speaker, CASE WHEN coalesce(total, 0) > 0 THEN coalesce(talk, 0)::DOUBLE ELSE 1.0 END AS w, unnest(range(64)) AS place, unnest(embedding)::DOUBLE AS x FROM own)
-SELECT job_id, speaker, place::INT AS place, round(sum(w * x) / sum(w), 6) AS x FROM c WHERE place < 4 GROUP BY job_id, speaker, place
-UNION ALL SELECT job_id, speaker, place::INT, round(x, 6) FROM (SELECT job_id, speaker, unnest(range(64)) AS place, unnest(embedding)::DOUBLE AS x FROM e WHERE speaker LIKE 'R\\_%' ESCAPE '\\') WHERE place < 4""", "turns").replace("\n, e AS", ",\ne AS"),
+SELECT job_id, speaker, place::INT AS place, round(sum(w * x) / sum(w), 6) AS x FROM c GROUP BY job_id, speaker, place
+UNION ALL SELECT job_id, speaker, place::INT, round(x, 6) FROM (SELECT job_id, speaker, unnest(range(64)) AS place, unnest(embedding)::DOUBLE AS x FROM e WHERE speaker LIKE 'R\\_%' ESCAPE '\\')""", "turns").replace("\n, e AS", ",\ne AS"),
     "w9_longest_turns": sql("SELECT job_id, speaker, place, turn_ix, start_ms, least(end_ms, start_ms + 12000) AS end_ms FROM (SELECT *, row_number() OVER (PARTITION BY job_id, speaker ORDER BY end_ms - start_ms DESC, turn_ix) AS place FROM big_turns) WHERE place <= 3 AND end_ms - start_ms >= 2000", "big_turns"),
     "w10_montage": sql(""", a AS (SELECT *, row_number() OVER o AS place, least(end_ms - start_ms, 10000) AS take FROM big_turns WINDOW o AS (PARTITION BY job_id, speaker ORDER BY end_ms - start_ms DESC, turn_ix)),
 b AS (SELECT *, coalesce(sum(take) OVER (PARTITION BY job_id, speaker ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM a)

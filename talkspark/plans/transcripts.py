@@ -163,11 +163,11 @@ def f_scalars(spark, sf):
 
 
 def f20(spark, sf):
-    """Length-ratio score, throughput and fragment test over documents."""
+    """Length-ratio score of whole texts without some short words, throughput and fragment test over documents."""
     d = views.table(spark, sf, "documents").select("doc_id", "text", "n_chars")
-    out = F.substring("text", 1, 500)
+    out = F.regexp_replace("text", " (the|of|and|und|de) ", " ")
     return d.select(
-        "doc_id", F.round(scalars.granularity(F.lit(1.0), out, F.substring("text", 1, 800)), 6).alias("granularity"),
+        "doc_id", F.round(scalars.granularity(F.lit(1.0), out, F.col("text")), 6).alias("granularity"),
         F.round(scalars.per_second(F.col("n_chars"), F.col("doc_id") % 7), 6).alias("chars_per_second"),
         scalars.contains_any(F.col("text"), F.array(F.lit("THE "), F.lit("und "))).alias("found"),
     )
@@ -207,6 +207,6 @@ SELECT job_id, seg_no, part::INT AS part, speaker, start_ms + round((end_ms - st
     "f_names_and_clocks": sql("""SELECT job_id, turn, coalesce(nullif(trim(label), ''), speaker) AS display, """ + CLOCK.replace("start_ms", "(start_ms * 50)") + """ AS clock, coalesce(nullif(trim(replace(label, '/', '-')), ''), 'NAME-ME') AS file,
  substr(regexp_replace(regexp_replace(lower(coalesce(label, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40) AS slug, CASE WHEN turn % 2 = 0 THEN speaker || '_' || printf('%.2f', turn / 8) ELSE 'NAME-ME' END AS sample
  FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN '  ' || upper(speaker[1]) || speaker[2:] || '/' || job_id || ' ' WHEN turn % 3 = 1 THEN '  ' END AS label FROM conv_turns)""", "conv_turns"),
-    "f20_scores": """SELECT doc_id, round(greatest(0.0, 1.0 - abs(length(substr(text, 1, 500)) - length(substr(text, 1, 800))) / greatest(length(substr(text, 1, 800)), 1)), 6) AS granularity,
+    "f20_scores": """SELECT doc_id, round(greatest(0.0, 1.0 - abs(length(regexp_replace(text, ' (the|of|and|und|de) ', ' ', 'g')) - length(text)) / greatest(length(text), 1)), 6) AS granularity,
  round(CASE WHEN doc_id % 7 > 0 THEN n_chars / (doc_id % 7) END, 6) AS chars_per_second, contains(lower(text), 'the ') OR contains(lower(text), 'und ') AS found FROM documents""",
 }
