@@ -73,6 +73,14 @@ def segments(words: DataFrame) -> DataFrame:
     return out.withColumns({"speaker_confidence": sure, "text": text_of(F.col("words"))})
 
 
+def job_results(jobs: DataFrame, turns: DataFrame, segments: DataFrame) -> DataFrame:
+    """jobs (job_id, transcribed) with turns, speakers and segments counted; those that were only diarized have no segments."""
+    heard = turns.groupBy("job_id").agg(F.count("*").alias("n_turns"), F.countDistinct("speaker").alias("n_speakers"))
+    said = segments.groupBy("job_id").agg(F.count("*").alias("n_segments"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_turns", "n_speakers", "n_segments")}
+    return jobs.join(heard, "job_id", "left").join(said, "job_id", "left").withColumns(zero)
+
+
 def merged(asr: DataFrame, words: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments of chunks with words, then of chunks with text only; and warnings, one for each job and kind.
 
@@ -127,4 +135,4 @@ def on_recording_clock(words: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.withColumns({"start_ms": F.col("start_ms") + F.col("c_start"), "end_ms": F.least(F.col("end_ms") + F.col("c_start"), "c_end")}).drop("c_start", "c_end")
 
 
-__all__ = ["attributed", "best_by", "dominant", "merged", "on_recording_clock", "segments", "tokens_to_words", "utterances", "without_overlap"]
+__all__ = ["attributed", "best_by", "dominant", "job_results", "merged", "on_recording_clock", "segments", "tokens_to_words", "utterances", "without_overlap"]

@@ -41,6 +41,12 @@ def released(lines: DataFrame, tracks: int = 2) -> DataFrame:
     return lines.join(done, ["recording", "seq"])
 
 
+def release_order(lines: DataFrame) -> DataFrame:
+    """Released lines with their place in the recording: as they come out, those of one release by start and end, whatever the track."""
+    out = Window.partitionBy("recording").orderBy("released_at", "start_ms", "end_ms", "track", "seq")
+    return lines.where("released_at is not null").withColumn("place", F.row_number().over(out))
+
+
 def rolling_window(pieces: DataFrame, span_ms: int = 60_000, gap_ms: int = 0) -> DataFrame:
     """pieces (recording, track, start_ms, end_ms) with stretch (a gap in time starts a new one) and the pieces and time of
     the last span_ms of it."""
@@ -130,6 +136,17 @@ def each_step_batch(rows: Iterable[tuple[int, int]], step: int = STEP_MS) -> Ite
             number, first = number + 1, None
 
 
+def each_piece(rows: Iterable[tuple[int, int]], longest: int = 120_000) -> Iterator[int]:
+    """Piece number of each (start, end) of a backlog, one row at a time: a row that would make the piece longer than `longest` opens one."""
+    number, first = 0, None
+    for start, end in rows:
+        if first is None:
+            first = start
+        elif end - first > longest:
+            number, first = number + 1, start
+        yield number
+
+
 def sections_fold(rows: Iterable[tuple[int, int, int]], longest: int = 900_000, shortest: int = 60_000, sure: int = 600) -> list[int]:
     """Section number of each (start, end, p_topic): a section closes once it lasts `longest`; a row that is surely a new
     topic opens one when the section has lasted `shortest`."""
@@ -273,6 +290,11 @@ def simple_items(updates: DataFrame) -> DataFrame:
     return updates.groupBy("session", "item").agg(last("text").alias("text"), last("owner").alias("owner"), F.min("at_ms").alias("at_ms"))
 
 
+def visible_items(items: DataFrame) -> DataFrame:
+    """Items (session, item, at_ms, deleted) that aren't deleted, with their place by time."""
+    return items.where(~F.col("deleted")).withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("at_ms", "item")))
+
+
 def items_markdown(items: DataFrame) -> DataFrame:
     """(session, markdown): decisions and to-dos by time, "None." where there are none."""
     extra = F.concat_ws(", ", F.when(F.col("owner") != "", F.concat(F.lit("owner: "), "owner")), F.when(F.col("due") != "", F.concat(F.lit("due: "), "due")))

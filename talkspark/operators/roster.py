@@ -133,6 +133,12 @@ def directory_progress(jobs: DataFrame, files: DataFrame, suffixes: tuple[str, .
     return audio.join(done, "path", "left").groupBy("dir").agg(F.count_if(F.coalesce("done", F.lit(False))).alias("done"), F.count("*").alias("total"))
 
 
+def smallest_first(files: DataFrame) -> DataFrame:
+    """files (dir, path, size) with their place in the order of labelling: smallest first within a folder, hidden ones left out."""
+    shown = files.where(~F.element_at(F.split("path", "/"), -1).startswith("."))
+    return shown.withColumn("place", F.row_number().over(Window.partitionBy("dir").orderBy("size", "path")))
+
+
 def deduplicated_queue(rows: DataFrame) -> DataFrame:
     """A queue (seq, path, state) with the later row of each path; running counts as waiting again, done goes."""
     last = rows.groupBy("path").agg(F.max(F.struct("seq", "state")).alias("r")).select("path", "r.seq", "r.state")

@@ -81,6 +81,24 @@ def resolved(matched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return matched.withColumn("resolved", F.when(F.col("score") >= threshold, F.col("name")))
 
 
+def growing_prints(windows: DataFrame) -> DataFrame:
+    """windows (namespace, recording, voice, window_ix, print_id, embedding, weight), the print each time that of all windows so far.
+
+    Sums run by place in the vector, so that a voice of many windows is summed in as many tasks as it has places.
+    """
+    cells = windows.select("namespace", "recording", "voice", "window_ix", "print_id", "weight", F.posexplode(unit(F.col("embedding"))).alias("place", "x"))
+    so_far = Window.partitionBy("namespace", "recording", "voice", "place").orderBy("window_ix", "print_id").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("x", F.sum(F.col("x") * F.col("weight")).over(so_far))
+    whole = cells.groupBy("namespace", "recording", "voice", "window_ix", "print_id").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("v"))
+    return whole.select("namespace", "recording", "voice", "window_ix", "print_id", unit(F.col("v.x")).alias("embedding"))
+
+
+def suggested(matched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Matches of live voices (given: the name that a voice has, or null) with suggested: another name that reaches the threshold."""
+    other = F.col("given").isNull() | (F.col("name") != F.col("given"))
+    return matched.withColumn("suggested", F.when((F.col("score") >= threshold) & other, F.col("name")))
+
+
 def similarity_to(prints: DataFrame, voices: DataFrame) -> DataFrame:
     """prints (with `asked`, a name) with similarity to that name's voice; null where it is unknown."""
     v = voices.select("namespace", F.col("name").alias("asked"), "centroid")

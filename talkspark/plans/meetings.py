@@ -41,6 +41,10 @@ def t1(spark, sf):
     return live.released(covered_lines(spark, sf)).select("recording", "track", "seq", "released_at")
 
 
+def o3(spark, sf):
+    return live.release_order(live.released(covered_lines(spark, sf))).select("recording", "track", "seq", "place")
+
+
 def w11(spark, sf):
     p = covered_lines(spark, sf).select("recording", "track", "seq", (F.col("start_ms") / 1000).cast("long").alias("start_ms"), ((F.col("start_ms") / 1000).cast("long") + 3600).alias("end_ms"))
     return live.rolling_window(p, 60_000, 7200).select("recording", "track", "seq", "stretch", "n_window", "window_start")
@@ -110,6 +114,10 @@ def t7(spark, sf):
     return live_fold(spark, sf, ["start_ms", "end_ms", "p_milli"], lambda r: live.each_section(r, 900_000_000, 60_000_000, 600), "section")
 
 
+def t4(spark, sf):
+    return live_fold(spark, sf, ["start_ms", "end_ms"], lambda r: live.each_piece(r, 100_000_000), "piece")
+
+
 def t5(spark, sf):
     """Voices of a recording for every 50 vectors, ten to a window."""
     e = views.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("recording"), F.floor(F.col("vec_id") % 50 / 10).alias("window_ix"), F.concat(F.lit("W"), (F.col("vec_id") % 10).cast("string")).alias("speaker"), F.when(F.col("vec_id") % 2 == 0, "mic").otherwise("system").alias("track"), "embedding", (3.0 + F.col("vec_id") % 17).alias("talk"))
@@ -139,6 +147,11 @@ def m8_simple(spark, sf):
     return live.simple_items(updates(spark, sf))
 
 
+def o5(spark, sf):
+    items = live.simple_items(updates(spark, sf)).withColumn("deleted", (F.col("session") + F.col("item")) % 4 == 0)
+    return live.visible_items(items).select("session", "item", "place")
+
+
 def m8(spark, sf):
     """Items with edits and deletions by the user."""
     u = updates(spark, sf).withColumn("item", F.when(F.col("seq") % 4 == 0, F.concat(F.lit("T"), (F.col("seq") % 9 + 1).cast("string"))))
@@ -229,7 +242,7 @@ def j19(spark, sf):
 
 QUERIES = {
     "w6_fixed_chunks": w6, "w7_turn_chunks": w7, "f22_probe": f22, "t1_released_lines": t1, "w11_rolling_window": w11, "j12_marked_voices": j12, "j13_last_known_speaker": j13, "a13_fresh_talk": a13, "w13_event_numbers": w13, "w14_context_tail": w14,
-    "j15_timeline": j15, "t8_gates": t8, "t9_already_said": t9, "t10_due_times": t10, "t2_step_batches": t2, "t7_sections": t7, "t5_live_voices": t5, "f16_item_updates": f16, "m8_items": m8, "m8_simple_items": m8_simple, "s12_items_markdown": s12,
+    "j15_timeline": j15, "t8_gates": t8, "t9_already_said": t9, "t10_due_times": t10, "t2_step_batches": t2, "t7_sections": t7, "t5_live_voices": t5, "f16_item_updates": f16, "m8_items": m8, "m8_simple_items": m8_simple, "s12_items_markdown": s12, "t4_backlog_pieces": t4, "o3_release_order": o3, "o5_visible_items": o5,
     "a14_model_summaries": a14, "o4_ranked_models": o4, "a15_best_prompts": a15, "a16_recommended": a16, "a17_test_set": a17, "a18_rule_judge": a18, "u1_similarity": u1, "j19_evaluation_grid": j19,
 }
 COVER = "cv AS (SELECT recording, track, event_id AS seq, start_ms, start_ms + 300 AS end_ms, start_ms + 500 AS covered_ms FROM live)"
@@ -237,11 +250,21 @@ UPDATES = """up AS (SELECT user_id AS session, event_id AS seq, event_id % 3 AS
  CASE WHEN event_id % 7 = 0 THEN '' ELSE 'text ' || event_id END AS text, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'o' || (event_id % 5) END AS owner FROM events)"""
 CLOCK = "lpad((seq % 86400 // 3600)::VARCHAR, 2, '0') || ':' || lpad((seq % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((seq % 60)::VARCHAR, 2, '0')"
 with_cte = lambda cte, body, *v: sql(", " + cte + "\n" + body, *v).replace("\n, " + cte[:6], ",\n" + cte[:6]) if v else f"WITH {cte}\n{body}"
+FOLD = lambda name, opens: sql(f""", lo AS MATERIALIZED (SELECT recording, event_id, start_ms, start_ms + 3000 AS end_ms, p_milli, row_number() OVER (PARTITION BY recording ORDER BY start_ms, event_id) AS rn FROM live),
+st AS (SELECT *, 0::BIGINT AS number, start_ms AS first FROM lo WHERE rn = 1
+ UNION ALL SELECT l.*, s.number + ({opens})::INT, CASE WHEN {opens} THEN l.start_ms ELSE s.first END FROM st s JOIN lo l ON l.recording = s.recording AND l.rn = s.rn + 1)
+SELECT recording, event_id, start_ms, end_ms, p_milli, number AS {name} FROM st""", "live").replace("\n, lo AS", ",\nlo AS").replace("WITH ", "WITH RECURSIVE ", 1)
 ORACLES = {
+    "t2_step_batches": FOLD("batch", "s.end_ms - s.first >= 30000000"),
+    "t4_backlog_pieces": FOLD("piece", "l.end_ms - s.first > 100000000"),
+    "t7_sections": FOLD("section", "s.end_ms - s.first >= 900000000 OR (l.p_milli >= 600 AND l.start_ms - s.first >= 60000000)"),
+    "o5_visible_items": with_cte(UPDATES, "SELECT session, item, row_number() OVER (PARTITION BY session ORDER BY since, item) AS place FROM (SELECT session, item, min(seq) AS since FROM up GROUP BY ALL) WHERE (session + item) % 4 <> 0"),
     "w6_fixed_chunks": with_cte("sp AS (SELECT job_id, max(end_ms) AS e, greatest(1, ceil((max(end_ms) - 2000) / 88000)::BIGINT) AS n FROM conv_turns GROUP BY job_id HAVING max(end_ms) > 0)", "SELECT job_id, k::INT AS chunk_ix, k * 88000 AS start_ms, least(k * 88000 + 90000, e) AS end_ms FROM (SELECT *, unnest(range(n)) AS k FROM sp)", "conv_turns"),
     "f22_probe": sql("SELECT job_id, turn_ix, start_ms, least(end_ms, 300000) AS end_ms, duration_ms FROM (SELECT *, max(end_ms) OVER (PARTITION BY job_id) AS duration_ms FROM turns) WHERE start_ms < 300000", "turns"),
     "t1_released_lines": with_cte(COVER, """SELECT l.recording, l.track, l.seq, CASE WHEN count(c.seq) FILTER (WHERE c.track = 'mic') > 0 AND count(c.seq) FILTER (WHERE c.track = 'system') > 0 THEN greatest(l.seq, min(c.seq) FILTER (WHERE c.track = 'mic'), min(c.seq) FILTER (WHERE c.track = 'system')) END AS released_at
  FROM cv l LEFT JOIN cv c ON c.recording = l.recording AND c.covered_ms > l.start_ms GROUP BY l.recording, l.track, l.seq""", "live"),
+    "o3_release_order": with_cte(COVER, """SELECT recording, track, seq, row_number() OVER (PARTITION BY recording ORDER BY released_at, start_ms, end_ms, track, seq) AS place FROM (SELECT l.recording, l.track, l.seq, l.start_ms, l.end_ms, CASE WHEN count(c.seq) FILTER (WHERE c.track = 'mic') > 0 AND count(c.seq) FILTER (WHERE c.track = 'system') > 0 THEN greatest(l.seq, min(c.seq) FILTER (WHERE c.track = 'mic'), min(c.seq) FILTER (WHERE c.track = 'system')) END AS released_at
+ FROM cv l LEFT JOIN cv c ON c.recording = l.recording AND c.covered_ms > l.start_ms GROUP BY l.recording, l.track, l.seq, l.start_ms, l.end_ms) WHERE released_at IS NOT NULL""", "live"),
     "w11_rolling_window": with_cte(COVER, """, p AS (SELECT recording, track, seq, start_ms // 1000 AS start_ms, start_ms // 1000 + 3600 AS end_ms FROM cv),
 q AS (SELECT *, start_ms - max(end_ms) OVER (PARTITION BY recording, track ORDER BY start_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM p),
 r AS (SELECT *, sum(CASE WHEN gap > 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY recording, track ORDER BY start_ms, seq)::BIGINT AS stretch FROM q)

@@ -97,7 +97,7 @@ def a8(spark, sf):
 
 
 def a9(spark, sf):
-    return roster.split_people(roster_rows(spark, sf).withColumn("job_id", F.floor(F.col("job_id") / 20))).select("job_id", "name", "n_speakers")
+    return roster.split_people(roster_rows(spark, sf).withColumn("job_id", F.col("job_id") % 5)).select("job_id", "name", "n_speakers")
 
 
 def a10(spark, sf):
@@ -233,6 +233,21 @@ def o1(spark, sf):
     return r.groupBy("dir").agg(F.max("mtime").alias("newest"), F.sum("size").alias("size")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("newest"), "dir")))
 
 
+def o6(spark, sf):
+    name = F.concat(F.when(F.col("job_id") % 13 == 0, ".").otherwise(""), F.col("job_id").cast("string"))
+    r = views.recordings(spark, sf).select("dir", F.concat("dir", F.lit("/"), name).alias("path"), "size")
+    return roster.smallest_first(r).select("dir", "path", "place")
+
+
+def j20(spark, sf):
+    """Live voices, a recording for every 50 vectors, matched each time that their print grows."""
+    v = F.col("vec_id")
+    e = views.table(spark, sf, "embeddings").select(F.lit("test:64").alias("namespace"), F.floor(v / 50).alias("recording"), F.concat(F.lit("W"), (v % 10).cast("string")).alias("voice"), F.floor(v % 50 / 10).alias("window_ix"), v.alias("print_id"), F.col("embedding").cast("array<double>").alias("embedding"), (3.0 + v % 17).alias("weight"))
+    m = voices.best_voice(voices.growing_prints(e), voices.centroids(views.voice_members(spark, sf)))
+    m = voices.suggested(m.withColumn("given", F.regexp_replace("voice", "W", "voice_")), 0.3)
+    return m.select("recording", "voice", "window_ix", F.col("name").alias("match"), F.round(F.greatest("score", F.lit(0.0)), 4).alias("score"), "suggested")
+
+
 def f14(spark, sf):
     from talkspark.functions.scalars import slug
 
@@ -248,7 +263,7 @@ QUERIES = {
     "a3_voice_centroids": a3, "j5_best_voice": j5, "j6_resolved_prints": j6, "j7_similarity_to_voice": j7, "m2_folded_members": m2, "m3_unfolded_members": m3, "m4_merged_voices": m4, "j11_member_provenance": j11, "a1_talk_time": a1, "a2_speaker_counts": a2,
     "a5_roster": a5, "a6_speaker_entries": a6, "a7_job_summary": a7, "a8_waiting_speakers": a8, "a9_split_people": a9, "a10_accepted_suggestions": a10, "a11_width_mismatch": a11, "j4_labels_applied": j4, "j10_reuse_by_fingerprint": j10, "m5_current_labels": m5,
     "j18_voice_renamed": j18, "m7_toggled_removals": m7, "m7_set_removals": m7_set, "m11_current_status": m11, "m10_queue": m10, "m9_persona_library": m9, "m1_channels_united": m1, "a4_collapsed_turns": a4_turns, "a4_collapsed_prints": a4_prints,
-    "w9_longest_turns": w9, "w10_montage": w10, "j16_sample_decisions": j16, "j16_sample_problems": j16_problems, "j17_directory_progress": j17, "o1_newest_first": o1, "f14_unique_keys": f14, "o7_fuzzy_names": o7,
+    "w9_longest_turns": w9, "w10_montage": w10, "j16_sample_decisions": j16, "j16_sample_problems": j16_problems, "j17_directory_progress": j17, "o1_newest_first": o1, "f14_unique_keys": f14, "o7_fuzzy_names": o7, "o6_smallest_first": o6, "j20_live_matches": j20,
 }
 DECISIONS = "dec AS (SELECT user_id AS job_id, event_id AS seq, event_type AS speaker, CASE WHEN event_id % 10 = 0 THEN ' ' ELSE 'P' || (event_id % 13) END AS name FROM events), cur AS (SELECT job_id, speaker, nullif(trim(arg_max(name, seq)), '') AS label FROM dec GROUP BY ALL)"
 ORACLES = {
@@ -269,7 +284,7 @@ SELECT name, job_id, speaker_id, added FROM members m WHERE NOT EXISTS (SELECT 1
     "a7_job_summary": sql("""SELECT t.job_id, max(end_ms) AS duration_ms, count(DISTINCT speaker) AS n_speakers, coalesce(any_value(n.names), '') AS names FROM conv_turns t LEFT JOIN
  (SELECT job_id, string_agg(label, ',' ORDER BY g) AS names FROM (SELECT job_id, 'N' || (turn % 3) AS label, min(turn) AS g FROM conv_turns WHERE turn % 2 = 0 AND NOT (job_id % 5 = 0 AND speaker = 'assistant') GROUP BY ALL) GROUP BY job_id) n ON t.job_id = n.job_id GROUP BY t.job_id""", "conv_turns"),
     "a8_waiting_speakers": sql(", " + ROSTER + " SELECT job_id, string_agg(speaker, ',' ORDER BY speaker) AS waiting FROM roster WHERE assigned IS NULL AND NOT excluded GROUP BY job_id", "matches").replace("\n, labels", ",\nlabels"),
-    "a9_split_people": sql(", " + ROSTER + " SELECT job_id // 20 AS job_id, assigned AS name, count(*) AS n_speakers FROM roster WHERE assigned IS NOT NULL GROUP BY ALL HAVING count(*) > 1", "matches").replace("\n, labels", ",\nlabels"),
+    "a9_split_people": sql(", " + ROSTER + " SELECT job_id % 5 AS job_id, assigned AS name, count(*) AS n_speakers FROM roster WHERE assigned IS NOT NULL GROUP BY ALL HAVING count(*) > 1", "matches").replace("\n, labels", ",\nlabels"),
     "a10_accepted_suggestions": sql(", " + ROSTER + " SELECT job_id, speaker, coalesce(assigned, CASE WHEN NOT excluded THEN suggested END) AS assigned FROM roster", "matches").replace("\n, labels", ",\nlabels"),
     "a11_width_mismatch": sql("SELECT job_id, CASE WHEN bool_and(print_id % 2 = 0) THEN 32 END::INT AS mismatch FROM prints GROUP BY job_id", "prints"),
     "j4_labels_applied": sql("SELECT job_id, turn, speaker, CASE WHEN job_id % 2 = 0 THEN upper(speaker) || job_id END AS resolved_label FROM conv_turns", "conv_turns"),
@@ -301,5 +316,13 @@ SELECT job_id, speaker, row_number() OVER (PARTITION BY job_id, speaker ORDER BY
     "j17_directory_progress": sql(", f AS (SELECT dir, dir || '/' || job_id || CASE WHEN job_id % 9 = 0 THEN '.txt' WHEN job_id % 2 = 0 THEN '.WAV' ELSE '.mp3' END AS path FROM recordings) SELECT dir, count(*) FILTER (WHERE path LIKE '%3.%') AS done, count(*) AS total FROM f WHERE path NOT LIKE '%.txt' GROUP BY dir", "recordings").replace("\n, f AS", ",\nf AS"),
     "o1_newest_first": sql("SELECT dir, max(mtime) AS newest, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY max(mtime) DESC, dir) AS place FROM recordings GROUP BY dir", "recordings"),
     "f14_unique_keys": "SELECT seq, slug, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS key FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY seq) AS n FROM (SELECT c_custkey AS seq, regexp_replace(lower(c_mktsegment || ' & ' || c_nationkey), '[^a-z0-9]+', '-', 'g') AS slug FROM customer))",
+    "o6_smallest_first": sql("SELECT dir, dir || '/' || job_id AS path, row_number() OVER (PARTITION BY dir ORDER BY size, dir || '/' || job_id) AS place FROM recordings WHERE job_id % 13 <> 0", "recordings"),
+    "j20_live_matches": sql(""", gw AS (SELECT vec_id, vec_id // 50 AS recording, vec_id % 10 AS v, vec_id % 50 // 10 AS window_ix, 3.0 + vec_id % 17 AS w, embedding::DOUBLE[] AS e FROM embeddings),
+gx AS (SELECT vec_id, recording, v, window_ix, w / sqrt(list_dot_product(e, e)) AS w, unnest(e) AS x, unnest(range(len(e))) AS d FROM gw),
+gs AS (SELECT vec_id, recording, v, window_ix, d, sum(x * w) OVER (PARTITION BY recording, v, d ORDER BY window_ix, vec_id) AS x FROM gx),
+gp AS (SELECT vec_id, recording, v, window_ix, list(x ORDER BY d) AS p FROM gs GROUP BY vec_id, recording, v, window_ix),
+gm AS (SELECT gp.*, name, list_cosine_similarity(p, centroid) AS score FROM gp, voices)
+SELECT recording, 'W' || v AS voice, window_ix, name AS match, round(greatest(score, 0.0), 4) AS score, CASE WHEN score >= 0.3 AND name <> 'voice_' || v THEN name END AS suggested
+ FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, name) AS rn FROM gm) WHERE rn = 1""", "voices").replace("\n, gw AS", ",\ngw AS"),
     "o7_fuzzy_names": "SELECT n_name AS name, length(regexp_extract(n_name, '(?i)a.*?n'))::INT AS span FROM nation WHERE regexp_matches(n_name, '(?i)a.*?n')",
 }

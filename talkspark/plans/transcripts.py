@@ -66,6 +66,14 @@ def w3(spark, sf):
     return made_lines(spark, sf).drop("label")
 
 
+def f23(spark, sf):
+    """Every fourth job is diarized only."""
+    jobs = views.conv_turns(spark, sf).select("job_id").distinct().withColumn("transcribed", F.col("job_id") % 4 != 0)
+    heard = views.turns(spark, sf)
+    words = views.words(spark, sf).where("job_id % 4 <> 0")
+    return attribution.job_results(jobs, heard, attribution.segments(attribution.attributed(words, heard)))
+
+
 def w5(spark, sf):
     s = attribution.segments(views.spoken(spark, sf)).withColumn("seg_no", F.col("chunk_ix") * 100000 + F.col("seg_ix"))
     return lines.sentence_lines(s)
@@ -176,7 +184,7 @@ def f20(spark, sf):
 QUERIES = {
     "w1_utterances": w1, "j1_word_attribution": j1, "w2_speaker_segments": w2, "j2_dominant_speaker": j2, "j3_merged_segments": j3, "j3_warnings": j3_warnings, "w3_adaptive_lines": w3, "f4_rendered_transcript": transcript,
     "w5_sentence_lines": w5, "w4_overlap_chunks": w4, "w4_overlap_words": w4_words, "f8_token_words": f8, "f9_recording_clock": f9, "j8_without_removed": j8, "j9_removed_flags": j9, "a12_line_counts": a12, "w8_speaker_hints": w8,
-    "f_names_and_clocks": f_scalars, "f20_scores": f20,
+    "f_names_and_clocks": f_scalars, "f20_scores": f20, "f23_diarized_only": f23,
 }
 ORACLES = {
     "w1_utterances": sql("SELECT job_id, chunk_ix, pos, word, utt FROM utts", "utts"),
@@ -207,6 +215,8 @@ SELECT job_id, seg_no, part::INT AS part, speaker, start_ms + round((end_ms - st
     "f_names_and_clocks": sql("""SELECT job_id, turn, coalesce(nullif(trim(label), ''), speaker) AS display, """ + CLOCK.replace("start_ms", "(start_ms * 50)") + """ AS clock, coalesce(nullif(trim(replace(label, '/', '-')), ''), 'NAME-ME') AS file,
  substr(regexp_replace(regexp_replace(lower(coalesce(label, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40) AS slug, CASE WHEN turn % 2 = 0 THEN speaker || '_' || printf('%.2f', turn / 8) ELSE 'NAME-ME' END AS sample
  FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN '  ' || upper(speaker[1]) || speaker[2:] || '/' || job_id || ' ' WHEN turn % 3 = 1 THEN '  ' END AS label FROM conv_turns)""", "conv_turns"),
+    "f23_diarized_only": sql("""SELECT j.job_id, j.job_id % 4 <> 0 AS transcribed, coalesce(n_turns, 0) AS n_turns, coalesce(n_speakers, 0) AS n_speakers, coalesce(n_segments, 0) AS n_segments FROM (SELECT DISTINCT job_id FROM conv_turns) j
+ LEFT JOIN (SELECT job_id, count(*) AS n_turns, count(DISTINCT speaker) AS n_speakers FROM turns GROUP BY job_id) t USING (job_id) LEFT JOIN (SELECT job_id, count(*) AS n_segments FROM segs WHERE job_id % 4 <> 0 GROUP BY job_id) s USING (job_id)""", "segs"),
     "f20_scores": """SELECT doc_id, round(greatest(0.0, 1.0 - abs(length(regexp_replace(text, ' (the|of|and|und|de) ', ' ', 'g')) - length(text)) / greatest(length(text), 1)), 6) AS granularity,
  round(CASE WHEN doc_id % 7 > 0 THEN n_chars / (doc_id % 7) END, 6) AS chars_per_second, contains(lower(text), 'the ') OR contains(lower(text), 'und ') AS found FROM documents""",
 }

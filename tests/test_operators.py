@@ -232,3 +232,30 @@ def test_folds_give_rows_before_the_group_ends():
     out = live.grouped(batches, 1, lambda key, rows: rows, pa.schema([("key", pa.int64()), ("at", pa.int64())]), 10)
     assert next(out).num_rows == 10 and len(taken) <= 2
     assert sum(b.num_rows for b in out) == 990
+
+
+def test_backlog_pieces():
+    rows = [(0, 40_000), (30_000, 90_000), (95_000, 125_000), (125_000, 130_000), (130_000, 400_000), (401_000, 402_000)]
+    assert list(live.each_piece(rows)) == [0, 0, 1, 1, 2, 3]
+    assert list(live.each_piece([])) == []
+
+
+def test_growing_prints_and_suggestions(spark):
+    rows = [("n", 1, "a", 0, 10, [2.0, 0.0], 1.0), ("n", 1, "a", 1, 11, [0.0, 5.0], 1.0), ("n", 1, "b", 0, 12, [0.0, 1.0], 3.0), ("n", 1, "c", 0, 13, [1.0, 0.0, 0.0], 1.0)]
+    windows = spark.createDataFrame(rows, "namespace string, recording bigint, voice string, window_ix bigint, print_id bigint, embedding array<double>, weight double")
+    grown = voices.growing_prints(windows)
+    half = 0.5**0.5
+    assert {r.print_id: [round(x, 9) for x in r.embedding] for r in grown.collect()} == {10: [1.0, 0.0], 11: [round(half, 9)] * 2, 12: [0.0, 1.0], 13: [1.0, 0.0, 0.0]}
+    known = spark.createDataFrame([("n", "east", [1.0, 0.0]), ("n", "north", [0.0, 1.0])], "namespace string, name string, centroid array<double>")
+    given = F.when(F.col("voice") == "b", "north")
+    found = {r.print_id: (r.name, r.suggested) for r in voices.suggested(voices.best_voice(grown, known).withColumn("given", given)).collect()}
+    assert found == {10: ("east", "east"), 11: ("east", None), 12: ("north", None), 13: (None, None)}
+
+
+def test_orders(spark):
+    files = spark.createDataFrame([("d", "d/b", 5), ("d", "d/a", 5), ("d", "d/.x", 1), ("d", "d/c", 2)], "dir string, path string, size bigint")
+    assert [(r.path, r.place) for r in roster.smallest_first(files).orderBy("place").collect()] == [("d/c", 1), ("d/a", 2), ("d/b", 3)]
+    items = spark.createDataFrame([(1, "T1", 9, False), (1, "T2", 3, True), (1, "D1", 4, False)], "session bigint, item string, at_ms bigint, deleted boolean")
+    assert [(r["item"], r.place) for r in live.visible_items(items).orderBy("place").collect()] == [("D1", 1), ("T1", 2)]
+    lines_in = spark.createDataFrame([(1, "mic", 1, 50, 60, 4), (1, "system", 2, 40, 70, 4), (1, "mic", 3, 10, 20, 5), (1, "mic", 4, 90, 95, None)], "recording bigint, track string, seq bigint, start_ms bigint, end_ms bigint, released_at bigint")
+    assert [r.seq for r in live.release_order(lines_in).orderBy("place").collect()] == [2, 1, 3]
