@@ -32,9 +32,8 @@ def spans_speakers(spans: DataFrame, turns: DataFrame, keys: list[str], parts: l
 
 def top_speaker(shares: DataFrame, keys: list[str]) -> DataFrame:
     """keys, speaker, shared of the speaker with the largest share; of equals the one that was first."""
-    most = shares.groupBy(*keys).agg(F.max("shared").alias("shared"))
-    tied = shares.join(most, [*keys, "shared"])
-    return tied.groupBy(*keys, "shared").agg(F.min(F.struct("first", "speaker")).alias("best")).select(*keys, F.col("best.speaker").alias("speaker"), "shared")
+    best = F.min(F.struct((-F.col("shared")).alias("less"), "first", "speaker")).alias("best")
+    return shares.groupBy(*keys).agg(best).select(*keys, F.col("best.speaker").alias("speaker"), (-F.col("best.less")).alias("shared"))
 
 
 def attributed(words: DataFrame, turns: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkspark.functions.scalars import display_name, rendered
@@ -12,28 +12,52 @@ LEAST_MS, HISTORY, KNOWN, SHARE = 600, 20, 5, 0.9
 SENTENCE_END = r"[.!?]$"
 
 
-def split_words(words: DataFrame) -> DataFrame:
+def long_silence(gaps: Column) -> Column:
+    """The silence that splits after sorted gaps: their 90th percentile, interpolated, LEAST_MS at least."""
+    at = SHARE * (F.size(gaps) - 1)
+    low = F.floor(at).cast("int")
+    below, above = F.get(gaps, low), F.get(gaps, F.least(low + 1, F.size(gaps) - 1))
+    return F.greatest(F.lit(float(LEAST_MS)), below + (above - below) * (at - low))
+
+
+def newest(gaps: Column) -> Column:
+    return F.when(F.size(gaps) <= HISTORY, gaps).otherwise(F.slice(gaps, -HISTORY, HISTORY))
+
+
+def split_words(words: DataFrame, before: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """words of segments (job_id, seg_no, speaker, pos, ...) with line_no within the job.
 
     seg_no orders the segments of a job. A line begins with each segment, after a word that ends a sentence, and
     at a silence that is long for the speaker's run of segments: gaps within segments only, those before the
-    current one, forgotten when the speaker changes.
+    current one, forgotten when the speaker changes. before (job_id, run_speaker, gaps, n_lines) is what history()
+    gave for the words until now; keep leaves the columns that it needs.
     """
     job = Window.partitionBy("job_id").orderBy("seg_no", "pos")
     w = words.withColumns({"before": F.lag("speaker").over(job), "seg_before": F.lag("seg_no").over(job), "end_before": F.lag("end_ms").over(job), "word_before": F.lag("word").over(job)})
     change = F.coalesce(F.col("speaker") != F.col("before"), F.lit(True)).cast("int")
-    first = F.coalesce(F.col("seg_no") != F.col("seg_before"), F.lit(True))
-    w = w.withColumns({"run": F.sum(change).over(job), "opens": first})
-    gap = F.when(~F.col("opens"), F.greatest(F.lit(0), F.col("start_ms") - F.col("end_before")))
-    w = w.withColumn("gap", gap)
-    inner = w.where(~F.col("opens"))
-    past = Window.partitionBy("job_id", "run").orderBy("seg_no", "pos").rowsBetween(-HISTORY, -1)
-    long = F.greatest(F.lit(float(LEAST_MS)), F.percentile("gap", F.lit(SHARE)).over(past))
-    silent = (F.count("gap").over(past) >= KNOWN) & (F.col("gap") >= long)
-    inner = inner.withColumn("breaks", F.col("word_before").rlike(SENTENCE_END) | F.coalesce(silent, F.lit(False)))
-    w = inner.unionByName(w.where("opens").withColumn("breaks", F.lit(True)))
-    w = w.withColumn("line_no", F.sum(F.col("breaks").cast("int")).over(job) - 1)
-    return w.drop("before", "seg_before", "end_before", "word_before", "run", "opens", "gap", "breaks")
+    opens = F.coalesce(F.col("seg_no") != F.col("seg_before"), F.lit(True))
+    w = w.withColumns({"run": F.sum(change).over(job), "opens": opens, "gap": F.when(~opens, F.greatest(F.lit(0), F.col("start_ms") - F.col("end_before")))})
+    # the last gaps by their number in the run: even places, words that open a segment have none and stand between
+    own = Window.partitionBy("job_id", "run")
+    w = w.withColumn("place", 2 * F.count("gap").over(own.orderBy("seg_no", "pos")) + F.col("opens").cast("int"))
+    w = w.withColumn("past", F.collect_list("gap").over(own.orderBy("place").rangeBetween(-2 * HISTORY, -1)))
+    first_line = F.lit(0)
+    if before is not None:
+        w = w.join(before.select("job_id", "run_speaker", "gaps", "n_lines"), "job_id", "left")
+        goes_on = (F.col("run") == 1) & (F.col("speaker") == F.col("run_speaker"))
+        w = w.withColumn("past", F.when(goes_on, newest(F.concat("gaps", "past"))).otherwise(F.col("past")))
+        first_line = F.coalesce("n_lines", F.lit(0))
+    w = w.withColumn("sorted", F.array_sort("past"))
+    silent = (F.size("past") >= KNOWN) & (F.col("gap") >= long_silence(F.col("sorted")))
+    w = w.withColumn("breaks", F.col("opens") | F.col("word_before").rlike(SENTENCE_END) | F.coalesce(silent, F.lit(False)))
+    w = w.withColumn("line_no", F.sum(F.col("breaks").cast("int")).over(job) - 1 + first_line)
+    return w if keep else w.select(*words.columns, "line_no")
+
+
+def history(split: DataFrame) -> DataFrame:
+    """(job_id, run_speaker, gaps, n_lines) after words split with keep."""
+    own = F.struct(F.col("speaker").alias("run_speaker"), newest(F.concat("past", F.when(F.col("gap").isNotNull(), F.array("gap")).otherwise(F.array().cast("array<bigint>")))).alias("gaps"), (F.col("line_no") + 1).alias("n_lines"))
+    return split.groupBy("job_id").agg(F.max_by(own, F.struct("seg_no", "pos")).alias("last")).select("job_id", "last.*")
 
 
 def lines(words: DataFrame) -> DataFrame:

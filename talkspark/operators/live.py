@@ -6,6 +6,7 @@ The order-dependent folds are plain functions over ordered rows; the streaming m
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from itertools import groupby, tee
 
 import numpy as np
@@ -176,9 +177,23 @@ def place_voices(windows: Iterable[tuple[int, str, str, list[float], float, floa
     return list(each_placed_voice(sorted(windows, key=lambda w: (w[0], w[1])), same, least_new))
 
 
-def each_placed_voice(ordered: Iterable[tuple[int, str, str, list[float], float, float]], same: float = 0.6, least_new: float = 10.0) -> Iterator[tuple[int, str, str, str | None, float]]:
-    """place_voices of rows that come by window and track; holds one window and the voices."""
-    voices: list[dict] = []
+@dataclass
+class Voice:
+    """A voice of a meeting: the sum of unit prints by the fresh seconds that each covers, and the last window that it is in."""
+
+    track: str
+    total: np.ndarray
+    seconds: float = 0.0
+    last: int = -1
+
+    @property
+    def print(self) -> np.ndarray:
+        return self.total / max(float(np.linalg.norm(self.total)), 1e-300)
+
+
+def each_placed_voice(ordered: Iterable[tuple[int, str, str, list[float], float, float]], same: float = 0.6, least_new: float = 10.0, voices: list[Voice] | None = None) -> Iterator[tuple[int, str, str, str | None, float]]:
+    """place_voices of rows that come by window and track; holds one window and the voices, which may be given and grow in place."""
+    voices = [] if voices is None else voices
     for _, group in groupby(ordered, key=lambda w: (w[0], w[1])):
         taken: set[int] = set()
         for ix, track, speaker, v, talk, fresh in sorted(group, key=lambda w: (-w[4], w[2])):
@@ -188,17 +203,21 @@ def each_placed_voice(ordered: Iterable[tuple[int, str, str, list[float], float,
                 yield ix, track, speaker, None, 0.0
                 continue
             x = x / size
-            near = sorted(((float(x @ o["sum"] / max(np.linalg.norm(o["sum"]), 1e-300)), -i) for i, o in enumerate(voices) if o["track"] == track and len(o["sum"]) == len(x)), reverse=True)
+            near = sorted(((float(x @ o.print), -i) for i, o in enumerate(voices) if o.track == track and len(o.total) == len(x)), reverse=True)
             free = [(s, -i) for s, i in near if -i not in taken]
             if free and free[0][0] >= same:
                 score, k = free[0]
             elif near and talk < least_new:
                 score, k = free[0] if free else (near[0][0], -near[0][1])
             else:
-                voices.append({"track": track, "sum": np.zeros(len(x))})
+                voices.append(Voice(track, np.zeros(len(x))))
                 score, k = 1.0, len(voices) - 1
             taken.add(k)
-            voices[k]["sum"] = voices[k]["sum"] + x * (fresh if voices[k]["sum"].any() else max(fresh, 1e-9))
+            own = voices[k]
+            if fresh > 0 or not own.seconds:
+                own.total = own.total + x * max(fresh, 1e-3)
+                own.seconds += fresh
+            own.last = int(ix)
             yield ix, track, speaker, f"S{k + 1}", score
 
 

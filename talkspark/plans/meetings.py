@@ -126,7 +126,8 @@ def t5(spark, sf):
         placed = live.each_placed_voice((ix, track, speaker, v, talk, talk / 2) for _, ix, speaker, track, v, talk in rows)
         return ((*key, *p) for p in placed)
 
-    return live.over_groups(e, ["recording"], [F.col("window_ix"), F.col("track")], each, "recording bigint, window_ix bigint, track string, speaker string, voice string, score double")
+    out = live.over_groups(e, ["recording"], [F.col("window_ix"), F.col("track")], each, "recording bigint, window_ix bigint, track string, speaker string, voice string, score double")
+    return out.withColumn("score", F.round("score", 6))
 
 
 def updates(spark, sf):

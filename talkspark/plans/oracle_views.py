@@ -44,7 +44,10 @@ matches AS (SELECT print_id, job_id, speaker_id, name, score FROM (SELECT *, row
     "live": """live AS (SELECT user_id AS recording, CASE WHEN event_type IN ('click', 'view') THEN 'mic' ELSE 'system' END AS track, event_id, event_type,
   (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 1000 AS start_ms, floor(1000 * value / max(value) OVER (PARTITION BY user_id))::BIGINT AS p_milli FROM events)""",
 }
+VIEWS["pieces"] = """px AS (SELECT job_id, turn, speaker, n_words, start_ms AS t, unnest(range((n_words - 1) // 11 + 1)) AS k FROM conv_turns WHERE n_words > 0),
+pieces AS (SELECT job_id AS recording, turn, k, CASE WHEN speaker = 'user' THEN 'mic' ELSE 'system' END AS track, speaker AS voice, t AS turn_start, s AS seq, s AS start_ms, s + 400 * least(11, n_words - 11 * k) - 100 AS end_ms FROM (SELECT *, t + 5200 * k AS s FROM px))"""
 NEEDS = {
+    "pieces": ["conv_turns"],
     "words": ["conv_turns"], "turns": ["conv_turns"], "utts": ["words"], "spoken": ["utts", "turns"], "segs": ["spoken"], "lines": ["segs"], "voices": ["members"], "matches": ["prints", "voices"],
 }
 

@@ -89,3 +89,13 @@ def live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("recording"), F.when(F.col("event_type").isin("click", "view"), "mic").otherwise("system").alias("track"), "event_id", "event_type",
         F.floor((micros - F.min(micros).over(own)) / 1000).alias("start_ms"), F.floor(1000 * F.col("value") / F.max("value").over(own)).cast("long").alias("p_milli"),
     )
+
+
+def live_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of up to 11 words of live meetings, on the track of who speaks; seq is the time, which no two share."""
+    t = conv_turns(spark, sf_dir).where("n_words > 0").select("job_id", "turn", "speaker", "n_words", F.col("start_ms").alias("t"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_words") - 1) / 11))).alias("k"))
+    start = F.col("t") + 5200 * F.col("k")
+    return t.select(
+        F.col("job_id").alias("recording"), "turn", "k", F.when(F.col("speaker") == "user", "mic").otherwise("system").alias("track"), F.col("speaker").alias("voice"), start.alias("seq"),
+        F.col("t").alias("turn_start"), start.alias("start_ms"), (start + 400 * F.least(F.lit(11), F.col("n_words") - 11 * F.col("k")) - 100).alias("end_ms"),
+    )

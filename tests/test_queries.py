@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from talkspark.plans import meetings, registry, stores, transcripts
+from talkspark.plans import following, meetings, registry, stores, transcripts
 
 SF = "/root/testdata/sf0.001"
-MODULES = (transcripts, registry, meetings, stores)
+MODULES = (transcripts, registry, meetings, stores, following)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
