@@ -20,7 +20,7 @@ positive). Both are exact: bounds are widened by more than the rounding of doubl
 Defined results: rows with a null label, a null vector, or a null or non-finite component take no part; a vector that is
 shorter than others counts as ending in zeros; other rows of the anchor's own vec_id aren't its positives; rows with a null
 vec_id are candidates that come last among equals; equal rows are anchors once and candidates as often as they come; an empty
-table gives no rows. Scores beyond 64 bits are cut to the largest long.
+table gives no rows. Scores beyond 64 bits are cut to the largest long (or nearly the smallest).
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1]) < 2**53:
         return (x @ q).astype(np.int64)
     exact = x.astype(object) @ np.array([int(a) for a in q], dtype=object) if len(x) else np.zeros(0, object)
-    return np.array([max(LEAST + 1, min(MOST, int(s))) for s in exact], dtype=np.int64)
+    return np.array([max(LEAST + 1000, min(MOST, int(s))) for s in exact], dtype=np.int64)
 
 
 @dataclass
@@ -286,6 +286,13 @@ class Index:
         return met.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
+def part_of(score: Column, share: int, up: int) -> Column:
+    """share hundredths of a long, rounded down (up: 0) or up (up: 99), in whole numbers throughout."""
+    rest = F.pmod(score, F.lit(100))
+    hundreds = F.call_function("div", score - rest, F.lit(100))
+    return hundreds * share + F.call_function("div", rest * share + up, F.lit(100))
+
+
 def hard_negatives(vectors: DataFrame, anchors: Column, vec_id: str = "vec_id", label: str = "label", embedding: str = "embedding") -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score); anchors: a condition on id."""
     spark = vectors.sparkSession
@@ -295,11 +302,9 @@ def hard_negatives(vectors: DataFrame, anchors: Column, vec_id: str = "vec_id",
         return spark.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
     asked = cut(rows.where(anchors).distinct().withColumn("key", F.monotonically_increasing_id()))
     every = lambda x: F.array(F.lit(x).cast("bigint"))
-    good = cut(index.found(asked.withColumns({"lo": every(int(LEAST) + 1), "hi": every(int(MOST))}), POSITIVES, True))
+    good = cut(index.found(asked.withColumns({"lo": every(int(LEAST) + 1000), "hi": every(int(MOST))}), POSITIVES, True))
     listed = good.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("good"))  # POSITIVES for each anchor
-    # 30 p <= 100 n <= 90 p in whole numbers
-    edge = lambda share, up: F.transform("good.score", lambda p: F.ceil(p * F.lit(share) / F.lit(100)) if up else F.floor(p * F.lit(share) / F.lit(100)))
-    windows = asked.join(listed, "key").withColumns({"lo": edge(LOW, True), "hi": edge(HIGH, False)})
+    windows = asked.join(listed, "key").withColumns({"lo": F.transform("good.score", lambda p: part_of(p, LOW, 99)), "hi": F.transform("good.score", lambda p: part_of(p, HIGH, 0))})
     bad = index.found(windows, NEGATIVES, False).select("key", "window", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     ids = asked.select("key", F.col("id").alias("anchor_id"))
     pairs = good.select("key", (F.col("rank") - 1).alias("window"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
