@@ -26,6 +26,11 @@ def line_key(speaker: Column, start_ms: Column) -> Column:
     return F.struct(speaker.alias("speaker"), start_ms.alias("start_ms"))
 
 
+def line_key_of_seconds(speaker: Column, start: Column) -> Column:
+    """The key of a line whose start is in seconds, to the millisecond, so that noise in a file's doubles doesn't matter."""
+    return line_key(speaker, F.round(start * 1000).cast("long"))
+
+
 def clock(ms: Column) -> Column:
     """HH:MM:SS, whole seconds, negative as zero, wrapping at a day."""
     s = F.greatest(F.floor(ms / 1000), F.lit(0)) % 86400

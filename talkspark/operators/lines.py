@@ -29,8 +29,8 @@ def split_words(words: DataFrame, before: DataFrame | None = None, keep: bool =
 
     seg_no orders the segments of a job. A line begins with each segment, after a word that ends a sentence, and
     at a silence that is long for the speaker's run of segments: gaps within segments only, those before the
-    current one, forgotten when the speaker changes. before (job_id, run_speaker, gaps, n_lines) is what history()
-    gave for the words until now; keep leaves the columns that it needs.
+    current one, forgotten when the speaker changes. before (job_id, run_speaker, gaps, n_lines) tells of the
+    words until now: the last one's speaker, history_gaps() and the number of lines; keep leaves the columns that it needs.
     """
     job = Window.partitionBy("job_id").orderBy("seg_no", "pos")
     w = words.withColumns({"before": F.lag("speaker").over(job), "seg_before": F.lag("seg_no").over(job), "end_before": F.lag("end_ms").over(job), "word_before": F.lag("word").over(job)})
@@ -54,17 +54,17 @@ def split_words(words: DataFrame, before: DataFrame | None = None, keep: bool =
     return w if keep else w.select(*words.columns, "line_no")
 
 
-def history(split: DataFrame) -> DataFrame:
-    """(job_id, run_speaker, gaps, n_lines) after words split with keep."""
-    own = F.struct(F.col("speaker").alias("run_speaker"), newest(F.concat("past", F.when(F.col("gap").isNotNull(), F.array("gap")).otherwise(F.array().cast("array<bigint>")))).alias("gaps"), (F.col("line_no") + 1).alias("n_lines"))
-    return split.groupBy("job_id").agg(F.max_by(own, F.struct("seg_no", "pos")).alias("last")).select("job_id", "last.*")
+def history_gaps(split: DataFrame) -> Column:
+    """Of words split with keep, in an aggregate: the newest gaps of the run after the last word."""
+    own = F.when(split["gap"].isNotNull(), F.array(split["gap"])).otherwise(F.array().cast("array<bigint>"))
+    return F.max_by(newest(F.concat(split["past"], own)), F.struct("seg_no", "pos"))
 
 
-def lines(words: DataFrame) -> DataFrame:
-    """(job_id, line_no, speaker, label, start_ms, end_ms, text) from split words; label may be null."""
+def lines(words: DataFrame, *more: Column) -> DataFrame:
+    """(job_id, line_no, speaker, label, start_ms, end_ms, text) from split words, and more aggregates; label may be null."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "pos", "word"))), lambda x: x["word"]), " ")
     return words.groupBy("job_id", "line_no").agg(
-        F.first("speaker").alias("speaker"), F.first("label").alias("label"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), text.alias("text")
+        F.first("speaker").alias("speaker"), F.first("label").alias("label"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), text.alias("text"), *more
     )
 
 

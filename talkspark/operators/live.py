@@ -148,23 +148,72 @@ def each_piece(rows: Iterable[tuple[int, int]], longest: int = 120_000) -> Itera
         yield number
 
 
-def sections_fold(rows: Iterable[tuple[int, int, int]], longest: int = 900_000, shortest: int = 60_000, sure: int = 600) -> list[int]:
-    """Section number of each (start, end, p_topic): a section closes once it lasts `longest`; a row that is surely a new
-    topic opens one when the section has lasted `shortest`."""
-    return list(each_section(rows, longest, shortest, sure))
-
-
-def each_section(rows: Iterable[tuple[int, int, int]], longest: int = 900_000, shortest: int = 60_000, sure: int = 600) -> Iterator[int]:
-    """sections_fold, one row at a time."""
-    number, opened = 0, None
-    for start, end, p in rows:
-        if opened is None:
-            opened = start
-        elif p >= sure and start - opened >= shortest:
-            number, opened = number + 1, start
-        yield number
-        if end - opened >= longest:
-            number, opened = number + 1, None
+@dataclass
+class OpenSection:
+    """The section of a meeting that is open: its number, its first line's start, its last line's end. None before the first line."""
+
+    number: int = 0
+    opened: int | None = None
+    last_end: int = 0
+
+
+def each_batch_section(batches: Iterable[tuple[int, int, int, int]], longest: int = 900_000, shortest: int = 60_000, sure: int = 600, at: OpenSection | None = None) -> Iterator[tuple[int, int]]:
+    """Section numbers (head, tail) of each batch (first start, last end, start of the line that the model chose, p_topic): lines before
+    the chosen one are in head, the others in tail. A section that has lasted `longest` before a batch is closed, and the batch
+    opens the next one; one that has lasted `shortest` is closed at the chosen line if the topic surely changes. `at` goes on from
+    earlier batches and is changed in place."""
+    at = at or OpenSection()
+    for first, last, chosen, p in batches:
+        head = at.number
+        if at.opened is None:
+            at.opened = first
+        elif at.last_end - at.opened >= longest:
+            head, at.number, at.opened = at.number + 1, at.number + 1, first
+        elif at.last_end - at.opened >= shortest and p >= sure:
+            at.number, at.opened = at.number + 1, chosen
+        at.last_end = last
+        yield head, at.number
+
+
+SECTION = "recording bigint, number bigint, opened bigint, last_end bigint"
+
+
+def sections(lines: DataFrame, answers: DataFrame, longest: int = 900_000, shortest: int = 60_000, sure: int = 600, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """lines (recording, batch, start_ms, end_ms, ...) with section, and the sections that are open after them (SECTION).
+
+    answers: what a model says of each batch, (recording, batch, p_milli, first_new): whether the topic changes and the place of
+    the first line on the new one. Only a row for each batch goes through the fold over a recording. before: open sections of
+    earlier batches.
+    """
+    key = ["recording", "batch"]
+    own = Window.partitionBy(*key)
+    order = ("start_ms", "end_ms", *(c for c in lines.columns if c not in (*key, "start_ms", "end_ms")))
+    placed = lines.withColumns({"__place": F.row_number().over(own.orderBy(*order)) - 1, "__n": F.count("*").over(own)})
+    placed = placed.join(answers.select(*key, F.col("p_milli").alias("__p"), F.col("first_new").alias("__new")), key, "left")
+    placed = placed.withColumn("__cut", F.least(F.coalesce("__new", F.lit(0)), F.col("__n") - 1))
+    batches = placed.groupBy(*key).agg(
+        F.min_by("start_ms", "__place").alias("first"), F.max_by("end_ms", "__place").alias("last"), F.max(F.when(F.col("__place") == F.col("__cut"), F.col("start_ms"))).alias("chosen"),
+        F.coalesce(F.max("__p"), F.lit(0)).alias("p"), F.max("__cut").alias("cut"),
+    )
+    if before is not None:  # what is open comes as a row before the first batch
+        batches = batches.unionByName(before.select("recording", F.lit(-1).cast("bigint").alias("batch"), F.col("opened").alias("first"), F.col("last_end").alias("last"), F.col("number").alias("chosen"), F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("cut")))
+
+    def each(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        at = OpenSection()
+        for _, batch, first, last, chosen, p, cut in rows:
+            if batch < 0:
+                at = OpenSection(chosen, first, last)
+                head, tail = at.number, at.number
+            else:
+                head, tail = next(each_batch_section([(first, last, chosen, p)], longest, shortest, sure, at))
+            yield *key, batch, head, tail, cut, at.number, at.opened, at.last_end
+
+    batches = batches.select(*key, "first", "last", "chosen", F.col("p").cast("bigint").alias("p"), F.col("cut").cast("bigint").alias("cut"))
+    numbers = over_groups(batches, ["recording"], [F.col("batch")], each, "recording bigint, batch bigint, head bigint, tail bigint, cut bigint, number bigint, opened bigint, last_end bigint")
+    out = placed.join(numbers.select(*key, F.col("head").alias("__head"), F.col("tail").alias("__tail"), F.col("cut").alias("__at")), key)
+    out = out.withColumn("section", F.when(F.col("__place") < F.col("__at"), F.col("__head")).otherwise(F.col("__tail")))
+    after = numbers.groupBy("recording").agg(F.max_by(F.struct("number", "opened", "last_end"), "batch").alias("at")).select("recording", "at.*")
+    return out.select(*lines.columns, "section"), after
 
 
 def place_voices(windows: Iterable[tuple[int, str, str, list[float], float, float]], same: float = 0.6, least_new: float = 10.0) -> list[tuple[int, str, str, str | None, float]]:

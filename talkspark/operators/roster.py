@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talkspark.functions.scalars import blank_to_null
 from talkspark.operators import live
+from talkspark.operators.places import numbered_within, spread_join, stored
 from talkspark.operators.voices import THRESHOLD
 
 
@@ -151,29 +151,59 @@ def library(presets: DataFrame, saved: DataFrame) -> DataFrame:
     return p.join(s, "key", "full_outer").select("key", F.coalesce("own", "preset").alias("text"), F.col("own").isNotNull().alias("is_saved"))
 
 
+#: Numbers at the end of a slug that may make it look like a numbered key of a shorter one: a slug has 40 characters.
+DEPTH = 20
+
+
 def unique_keys(names: DataFrame) -> DataFrame:
     """names (seq, slug) with key: in order of seq the slug, or with the first of -2, -3, ... that makes a free key.
 
-    An empty slug is "persona". Only names that are alike but for numbers at their end can take each other's keys; each such group
-    is one fold, which holds the keys given so far.
+    An empty slug is "persona". A key belongs to the slug of the same name, whose first row wants it, or to the numbered rows of the
+    slug that is left without its last number; whoever is earlier has it. The r-th row of a slug would have number r; it moves
+    on by one for each number below that was gone to such a longer slug before. How many rows of a slug are earlier than a longer
+    slug's first one decides that, so slugs are settled from the shortest chain of numbers to the longest, each from
+    counts; no task reads all rows of a slug (see numbered_within), only one row for each longer slug.
     """
     base = F.when(F.coalesce("slug", F.lit("")) == "", "persona").otherwise(F.col("slug"))
-    rows = names.select(F.regexp_replace(base, "(-[0-9]+)+$", "").alias("stem"), "seq", "slug", base.alias("base"))
-
-    def each(stem: tuple, group):
-        taken: set[str] = set()
-        after: dict[str, int] = {}
-        for _, seq, slug, own in group:
-            key, n = own, after.get(own, 2)
-            while key in taken:
-                key, n = f"{own}-{n}", n + 1
-            taken.add(key)
-            after[own] = n
-            yield *stem, seq, slug, key
-
-    fields = names.schema
-    schema = T.StructType([T.StructField("stem", T.StringType()), fields["seq"], fields["slug"], T.StructField("key", T.StringType())])
-    return live.over_groups(rows, ["stem"], [F.col("seq")], each, schema).drop("stem")
+    rows = stored(numbered_within(names.select("seq", "slug", base.alias("base")), ["base"], [F.col("seq")], "rank"), "ranked")
+    slugs = rows.groupBy("base").agg(F.min("seq").alias("first"))
+    # the slug that a slug may be a numbered key of, and the number: from 2 on, as written
+    split = slugs.select("base", "first", F.regexp_extract("base", r"^(.+)-([1-9][0-9]{0,8})$", 1).alias("parent"), F.regexp_extract("base", r"^(.+)-([1-9][0-9]{0,8})$", 2).alias("digits"))
+    longer = split.where("parent <> '' AND digits <> '1'").withColumn("number", F.col("digits").cast("long"))
+    longer = longer.join(slugs.select(F.col("base").alias("parent")), "parent").select("parent", "base", "number", "first")
+    # rows of the parent before the longer slug's first row: those of its own rank tell, as of that time
+    marks = rows.select(F.col("base").alias("parent"), "seq", "rank", F.lit(None).cast("string").alias("base"), F.lit(None).cast("long").alias("number")).join(longer.select("parent").distinct(), "parent", "left_semi")
+    asked = longer.select("parent", F.col("first").alias("seq"), F.lit(None).cast("bigint").alias("rank"), "base", "number")
+    both = stored(numbered_within(marks.unionByName(asked), ["parent"], [F.col("seq"), F.col("base").asc_nulls_first()], "place"), "marks")
+    asks = numbered_within(both.where("base is not null"), ["parent"], [F.col("seq")], "nth").withColumn("earlier", F.col("place") - F.col("nth"))
+    asks = stored(asks.select("parent", "base", "number", "earlier"), "asks")
+    # level by level: lost (0 or 1) says whether a slug's own name is gone
+    lost = slugs.join(longer.select("base"), "base", "left_anti").select("base", F.lit(0).alias("lost"))
+    settled, gone = lost, None
+    for _ in range(DEPTH):
+        children = asks.join(lost.select(F.col("base").alias("parent"), "lost"), "parent")
+
+        def each(key: tuple, group):
+            skipped = 0
+            for parent, child, number, earlier, own in group:
+                at = number - own - skipped  # the rank that would take this number
+                held = earlier < at
+                yield parent, child, at, 0 if held else 1
+                skipped += held
+
+        made = stored(live.over_groups(children, ["parent"], [F.col("number")], each, "parent string, base string, at bigint, lost int"), "settled")
+        if made.isEmpty():
+            break
+        lost = made.select("base", "lost")
+        settled = settled.unionByName(lost)
+        held = made.where("lost = 0").groupBy(F.col("parent").alias("base")).agg(F.sort_array(F.collect_list("at")).alias("steps"))
+        gone = held if gone is None else gone.unionByName(held)
+    facts = settled if gone is None else settled.join(gone, "base", "left")
+    steps = F.lit(0) if gone is None else F.coalesce(F.size(F.filter("steps", lambda t: t <= F.col("rank"))), F.lit(0))
+    number = F.col("rank") + F.col("lost") + F.when(F.col("__any"), steps).otherwise(F.lit(0))
+    facts = facts.withColumn("__any", F.lit(False) if gone is None else F.col("steps").isNotNull())
+    out = spread_join(rows, facts, "base")
+    return out.select("seq", "slug", F.when(number == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), number.cast("string"))).alias("key"))
 
 
 def fuzzy(names: DataFrame, query: str) -> DataFrame:

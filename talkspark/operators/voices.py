@@ -128,6 +128,53 @@ def renamed(members: DataFrame, source: str, target: str, namespace: str) -> Dat
     return members.withColumn("name", F.when(hit, F.lit(target)).otherwise(F.col("name")))
 
 
+def deleted(members: DataFrame, names: DataFrame) -> DataFrame:
+    """Members without the voices of names (namespace, name)."""
+    return members.join(names, ["namespace", "name"], "left_anti")
+
+
+MEMBER = ["namespace", "name", "job_id", "speaker_id"]
+
+
+def members_after(log: DataFrame) -> DataFrame:
+    """Members after a log of changes (seq, op, namespace, name, job_id, speaker_id, embedding, weight): fold, unfold, and delete of a
+    whole voice (no job and speaker). The last change of a member counts, and a deletion counts against all that is earlier; what
+    was taken away stays as a tombstone in the log, so that an old fold that comes again changes nothing."""
+    own = log.where("op <> 'delete'").groupBy(*MEMBER).agg(F.max_by(F.struct("op", "seq", "embedding", "weight"), F.struct("seq", F.col("op") == "unfold")).alias("last"))
+    ends = log.where("op = 'delete'").groupBy("namespace", "name").agg(F.max("seq").alias("ended"))
+    kept = own.join(ends, ["namespace", "name"], "left").where((F.col("last.op") == "fold") & (F.col("ended").isNull() | (F.col("last.seq") > F.col("ended"))))
+    return kept.select(*MEMBER, "last.embedding", "last.weight", F.col("last.seq").alias("added"))
+
+
+def print_sums(members: DataFrame) -> DataFrame:
+    """(namespace, name, place, x, w, n): what centroids are made of, by place in the vector, so that a voice of many members is summed in many tasks."""
+    cells = members.select("namespace", "name", "weight", F.posexplode(unit(F.col("embedding"))).alias("place", "u"))
+    return cells.groupBy("namespace", "name", "place").agg(F.sum(F.col("u") * F.col("weight")).alias("x"), F.sum("weight").alias("w"), F.count("*").alias("n"))
+
+
+def changed_sums(sums: DataFrame, gone: DataFrame, new: DataFrame | None = None) -> DataFrame:
+    """sums after members went and came: only the names that these touch are read again; a voice goes with its last member."""
+    minus = print_sums(gone).select("namespace", "name", "place", *((-F.col(c)).alias(c) for c in ("x", "w", "n")))
+    delta = minus if new is None else minus.unionByName(print_sums(new))
+    touched = delta.select("namespace", "name").distinct()
+    same = sums.join(touched, ["namespace", "name"], "left_anti")
+    moved = sums.join(touched, ["namespace", "name"], "left_semi").unionByName(delta).groupBy("namespace", "name", "place").agg(*(F.sum(c).alias(c) for c in ("x", "w", "n")))
+    return same.unionByName(moved.where("n > 0"))
+
+
+def centroids_of(sums: DataFrame) -> DataFrame:
+    whole = sums.groupBy("namespace", "name").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("x") / F.col("w")).alias("x")))).alias("v"))
+    return whole.select("namespace", "name", unit(F.col("v.x")).alias("centroid"))
+
+
+def unassigned(labels: DataFrame, members: DataFrame, who: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """labels (job_id, speaker, label) without the speakers of who (job_id, speaker), and the members that they taught: the
+    print leaves the voice with the name, or it would go on pulling at it."""
+    taken = labels.join(who, ["job_id", "speaker"], "left_semi")
+    taught = taken.select(F.col("label").alias("name"), "job_id", F.col("speaker").alias("speaker_id"))
+    return labels.join(who, ["job_id", "speaker"], "left_anti"), members.join(taught, ["name", "job_id", "speaker_id"], "left_semi")
+
+
 def with_provenance(members: DataFrame, jobs: DataFrame) -> DataFrame:
     """Members with their job's source and whether they can be played: the job is still there."""
     j = jobs.select("job_id", F.col("dir").alias("source"), F.lit(True).alias("there"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkspark.operators import voices
-from talkspark.plans import views
+from talkspark.plans import meetings, views
 from talkspark.plans.oracle_views import VIEWS, sql
 from talkspark.sources.shared import new_path
 from talkspark.streaming import following, stateful
@@ -164,7 +164,16 @@ def t12(spark, sf):
     return out.select("recording", "voice", "track", "window_ix", F.round("seconds", 3).alias("seconds"), F.col("name").alias("match"), F.round("score", 6).alias("score"))
 
 
+def t7(spark, sf):
+    """Sections of live pieces by a stream: step batches of each part, then sections that go on from the part before."""
+    ledger = Ledger(spark, new_path(spark, "sections"))
+    rows = views.live_pieces(spark, sf).select("recording", "seq", "start_ms", "end_ms", F.pmod(F.col("turn") * 379 + F.col("k") * 211 + F.col("recording") * 17, F.lit(1000)).alias("p_milli"))
+    fed(spark, rows, part_of(F.col("start_ms")), lambda stream, k: follow(stream, ledger, following.sections_step))
+    return ledger.read("sectioned", following.SECTIONED).select("recording", "seq", "section")
+
+
 QUERIES = {
+    "t7_section_stream": t7,
     "t13_piece_lines": t13, "t11_resumed_lines": t11, "s5_recording_progress": s5, "t3_idle_release": t3, "t6_settled_marks": t6, "t5_voice_stream": t5, "t12_voice_snapshot": t12, "j14_relabelled_lines": j14,
 }
 P = f"least(start_ms // {PART_MS}, {PARTS - 1})"
@@ -210,6 +219,10 @@ ORACLES = {
     "s5_recording_progress": sql(RELEASE + " SELECT recording, track, max(covered_ms) AS covered_ms, count(*) FILTER (WHERE batch IS NULL) AS n_pending FROM cv JOIN rl USING (recording, track, seq) GROUP BY ALL", "pieces").replace("\n, cv AS", ",\ncv AS"),
     "t13_piece_lines": sql(FALLBACK + VIEWS["lines"].replace("FROM segw)", "FROM segf)") + " SELECT job_id, line_no, speaker, start_ms, end_ms, text FROM lines", "segs").replace("\n, pc AS", ",\npc AS"),
     "t3_idle_release": sql(IDLE, "pieces").replace("\n, r AS", ",\nr AS"),
+    "t7_section_stream": sql(f""", po AS (SELECT recording, seq, start_ms, end_ms, (turn * 379 + k * 211 + recording * 17) % 1000 AS p_milli, {P} AS part, row_number() OVER (PARTITION BY recording, {P} ORDER BY start_ms) AS rn FROM pieces),
+pb AS (SELECT *, 0::BIGINT AS number, start_ms AS first FROM po WHERE rn = 1
+ UNION ALL SELECT l.*, s.number + (s.end_ms - s.first >= 30000)::INT, CASE WHEN s.end_ms - s.first >= 30000 THEN l.start_ms ELSE s.first END FROM pb s JOIN po l ON l.recording = s.recording AND l.part = s.part AND l.rn = s.rn + 1),
+pn AS (SELECT * EXCLUDE number, dense_rank() OVER (PARTITION BY recording ORDER BY part, number) - 1 AS number FROM pb)""" + meetings.SECTIONS("pn", "seq", 150_000, 20_000) + " SELECT recording, seq, CASE WHEN place < cut THEN head ELSE tail END AS section FROM q JOIN ss USING (recording, batch)", "pieces").replace("\n, po AS", ",\npo AS").replace("WITH ", "WITH RECURSIVE ", 1),
     "t6_settled_marks": sql(MARKS, "pieces").replace("\n, m AS", ",\nm AS"),
     "t5_voice_stream": f"WITH RECURSIVE {PLACED} SELECT recording, window_ix, track, speaker, voice, round(score, 6) AS score FROM pl",
     "t5_live_voices": f"WITH RECURSIVE {PLACED} SELECT recording, window_ix, track, speaker, voice, round(score, 6) AS score FROM pl",

@@ -111,7 +111,11 @@ def t2(spark, sf):
 
 
 def t7(spark, sf):
-    return live_fold(spark, sf, ["start_ms", "end_ms", "p_milli"], lambda r: live.each_section(r, 900_000_000, 60_000_000, 600), "section")
+    """Sections of step batches: the model's answers are stand-ins, from the first line's probability and number."""
+    b = t2(spark, sf)
+    first = b.groupBy("recording", "batch").agg(F.min(F.struct("start_ms", "event_id", "p_milli")).alias("f"), F.count("*").alias("n"))
+    answers = first.select("recording", "batch", "f.p_milli", (F.col("f.event_id") % F.col("n")).alias("first_new"))
+    return live.sections(b.select("recording", "batch", "start_ms", "end_ms", "event_id", "p_milli"), answers, 900_000_000, 60_000_000, 600)[0]
 
 
 def t4(spark, sf):
@@ -255,10 +259,19 @@ FOLD = lambda name, opens: sql(f""", lo AS MATERIALIZED (SELECT recording, event
 st AS (SELECT *, 0::BIGINT AS number, start_ms AS first FROM lo WHERE rn = 1
  UNION ALL SELECT l.*, s.number + ({opens})::INT, CASE WHEN {opens} THEN l.start_ms ELSE s.first END FROM st s JOIN lo l ON l.recording = s.recording AND l.rn = s.rn + 1)
 SELECT recording, event_id, start_ms, end_ms, p_milli, number AS {name} FROM st""", "live").replace("\n, lo AS", ",\nlo AS").replace("WITH ", "WITH RECURSIVE ", 1)
+#: Sections of batches (rows of `of` by number in recording): the batch's facts, then a step for each batch.
+SECTIONS = lambda of, key, longest, shortest: f""",
+q AS (SELECT *, number AS batch, row_number() OVER (PARTITION BY recording, number ORDER BY start_ms, end_ms, {key}) - 1 AS place FROM {of}),
+qb AS (SELECT recording, batch, count(*) AS n, arg_min(start_ms, place) AS f, arg_max(end_ms, place) AS l, arg_min(p_milli, place) AS p, arg_min({key}, place) % count(*) AS cut FROM q GROUP BY ALL),
+qc AS MATERIALIZED (SELECT qb.*, q.start_ms AS chosen FROM qb JOIN q ON qb.recording = q.recording AND qb.batch = q.batch AND q.place = qb.cut),
+ss AS (SELECT recording, batch, 0::BIGINT AS head, 0::BIGINT AS tail, f AS opened, l AS last, cut FROM qc WHERE batch = 0
+ UNION ALL SELECT c.recording, c.batch, s.tail + (s.last - s.opened >= {longest})::INT, s.tail + (s.last - s.opened >= {longest} OR (s.last - s.opened >= {shortest} AND c.p >= 600))::INT,
+  CASE WHEN s.last - s.opened >= {longest} THEN c.f WHEN s.last - s.opened >= {shortest} AND c.p >= 600 THEN c.chosen ELSE s.opened END, c.l, c.cut FROM ss s JOIN qc c ON c.recording = s.recording AND c.batch = s.batch + 1)"""
 ORACLES = {
     "t2_step_batches": FOLD("batch", "s.end_ms - s.first >= 30000000"),
     "t4_backlog_pieces": FOLD("piece", "l.end_ms - s.first > 100000000"),
-    "t7_sections": FOLD("section", "s.end_ms - s.first >= 900000000 OR (l.p_milli >= 600 AND l.start_ms - s.first >= 60000000)"),
+    "t7_sections": FOLD("batch", "s.end_ms - s.first >= 30000000").rsplit("\nSELECT", 1)[0] + SECTIONS("""st""", "event_id", 900_000_000, 60_000_000)
+    + " SELECT recording, batch, start_ms, end_ms, event_id, p_milli, CASE WHEN place < cut THEN head ELSE tail END AS section FROM q JOIN ss USING (recording, batch)",
     "o5_visible_items": with_cte(UPDATES, "SELECT session, item, row_number() OVER (PARTITION BY session ORDER BY since, item) AS place FROM (SELECT session, item, min(seq) AS since FROM up GROUP BY ALL) WHERE (session + item) % 4 <> 0"),
     "w6_fixed_chunks": with_cte("sp AS (SELECT job_id, max(end_ms) AS e, greatest(1, ceil((max(end_ms) - 2000) / 88000)::BIGINT) AS n FROM conv_turns GROUP BY job_id HAVING max(end_ms) > 0)", "SELECT job_id, k::INT AS chunk_ix, k * 88000 AS start_ms, least(k * 88000 + 90000, e) AS end_ms FROM (SELECT *, unnest(range(n)) AS k FROM sp)", "conv_turns"),
     "f22_probe": sql("SELECT job_id, turn_ix, start_ms, least(end_ms, 300000) AS end_ms, duration_ms FROM (SELECT *, max(end_ms) OVER (PARTITION BY job_id) AS duration_ms FROM turns) WHERE start_ms < 300000", "turns"),

@@ -56,6 +56,45 @@ def m4(spark, sf):
     return voices.renamed(views.voice_members(spark, sf), "voice_1", "voice_2", "test:64").where("name <> 'voice_9'").groupBy("name").agg(F.count("*").alias("n"), F.sum("added").alias("added"))
 
 
+def m4_deleted(spark, sf):
+    """Voices after one is deleted in a log and old folds of it come again; later ones count."""
+    return voices.members_after(member_log(spark, sf)).groupBy("name").agg(F.count("*").alias("n"), F.sum("added").alias("added"))
+
+
+def member_log(spark, sf):
+    """Every member folded at its time, every ninth unfolded later, voice_3 and voice_4 deleted at 300, and a third of all folds again."""
+    m = views.voice_members(spark, sf).withColumnRenamed("added", "seq")
+    fold = m.withColumn("op", F.lit("fold"))
+    unfold = m.where("seq % 9 = 0").withColumns({"op": F.lit("unfold"), "seq": F.col("seq") + 5})
+    ends = m.where("name IN ('voice_3', 'voice_4')").select("namespace", "name").distinct().select(
+        F.lit(300).cast("bigint").alias("seq"), F.lit("delete").alias("op"), "namespace", "name", F.lit(None).cast("bigint").alias("job_id"), F.lit(None).cast("string").alias("speaker_id"), F.lit(None).cast("array<double>").alias("embedding"), F.lit(None).cast("double").alias("weight")
+    )
+    return fold.unionByName(unfold).unionByName(fold.where("seq % 3 = 0")).unionByName(ends)
+
+
+def m6(spark, sf):
+    """Centroids after every seventh print lost its name, from the sums and what went."""
+    members = views.voice_members(spark, sf)
+    labels = members.select("job_id", F.col("speaker_id").alias("speaker"), F.col("name").alias("label"))
+    who = labels.where("(job_id * 10 + cast(substring(speaker, 9) as int)) % 7 = 0").select("job_id", "speaker")
+    left, taught = voices.unassigned(labels, members, who)
+    made = voices.centroids_of(voices.changed_sums(voices.print_sums(members), taught)).select("name", F.posexplode("centroid").alias("place", "x"))
+    counts = left.groupBy(F.col("label").alias("name")).agg(F.count("*").alias("n_labels"))
+    return made.join(counts, "name").withColumn("x", F.round("x", 6))
+
+
+def j6_threshold(spark, sf):
+    """Prints of a part of each voice's members against the voices of all: the larger the part, the nearer; at the thresholds that hold by default."""
+    m = views.voice_members(spark, sf)
+    parts = m.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(9)))).where(F.pmod(F.floor("added").cast("bigint"), F.lit(10)) <= F.col("part"))
+    asked = voices.centroids(parts.withColumn("name", F.concat_ws("/", "name", "part"))).select("namespace", F.col("name").alias("print_id"), F.col("centroid").alias("embedding"))
+    near = voices.best_voice(asked, voices.centroids(m))
+    own = F.element_at(F.split("print_id", "/"), 1)
+    given = near.withColumn("given", F.when(F.element_at(F.split("print_id", "/"), 2).cast("int") % 2 == 0, own))
+    out = voices.suggested(voices.resolved(given))
+    return out.select("print_id", "resolved", "suggested", F.round("score", 6).alias("score"))
+
+
 def j11(spark, sf):
     jobs = views.recordings(spark, sf).where("job_id % 3 <> 0")
     return voices.with_provenance(views.voice_members(spark, sf), jobs).select("name", "added", "source", "playable")
@@ -97,7 +136,8 @@ def a8(spark, sf):
 
 
 def a9(spark, sf):
-    return roster.split_people(roster_rows(spark, sf).withColumn("job_id", F.col("job_id") % 5)).select("job_id", "name", "n_speakers")
+    named = roster.current_labels(decisions(spark, sf)).withColumnRenamed("label", "assigned")
+    return roster.split_people(named).select("job_id", "name", "n_speakers", F.array_join("speakers", ",").alias("speakers"))
 
 
 def a10(spark, sf):
@@ -260,7 +300,7 @@ def o7(spark, sf):
 
 
 QUERIES = {
-    "a3_voice_centroids": a3, "j5_best_voice": j5, "j6_resolved_prints": j6, "j7_similarity_to_voice": j7, "m2_folded_members": m2, "m3_unfolded_members": m3, "m4_merged_voices": m4, "j11_member_provenance": j11, "a1_talk_time": a1, "a2_speaker_counts": a2,
+    "a3_voice_centroids": a3, "j5_best_voice": j5, "j6_resolved_prints": j6, "j7_similarity_to_voice": j7, "m2_folded_members": m2, "m3_unfolded_members": m3, "m4_merged_voices": m4, "m4_deleted_voices": m4_deleted, "m6_unassigned": m6, "j6_at_threshold": j6_threshold, "j11_member_provenance": j11, "a1_talk_time": a1, "a2_speaker_counts": a2,
     "a5_roster": a5, "a6_speaker_entries": a6, "a7_job_summary": a7, "a8_waiting_speakers": a8, "a9_split_people": a9, "a10_accepted_suggestions": a10, "a11_width_mismatch": a11, "j4_labels_applied": j4, "j10_reuse_by_fingerprint": j10, "m5_current_labels": m5,
     "j18_voice_renamed": j18, "m7_toggled_removals": m7, "m7_set_removals": m7_set, "m11_current_status": m11, "m10_queue": m10, "m9_persona_library": m9, "m1_channels_united": m1, "a4_collapsed_turns": a4_turns, "a4_collapsed_prints": a4_prints,
     "w9_longest_turns": w9, "w10_montage": w10, "j16_sample_decisions": j16, "j16_sample_problems": j16_problems, "j17_directory_progress": j17, "o1_newest_first": o1, "f14_unique_keys": f14, "o7_fuzzy_names": o7, "o6_smallest_first": o6, "j20_live_matches": j20,
@@ -276,6 +316,12 @@ l AS (SELECT name, job_id, speaker_id, max(added) AS added FROM nw WHERE trim(na
 SELECT name, job_id, speaker_id, added FROM members m WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.name = m.name AND l.job_id = m.job_id AND l.speaker_id = m.speaker_id) UNION ALL SELECT * FROM l""", "members").replace("\n, nw AS", ",\nnw AS"),
     "m3_unfolded_members": sql("SELECT name, count(*) AS n, max(added) AS newest FROM members WHERE NOT (added % 3 = 0 OR name = 'voice_7') GROUP BY name", "members"),
     "m4_merged_voices": sql("SELECT CASE WHEN name = 'voice_1' THEN 'voice_2' ELSE name END AS name, count(*) AS n, sum(added)::BIGINT AS added FROM members WHERE name <> 'voice_9' GROUP BY ALL", "members"),
+    "m4_deleted_voices": sql(", f AS (SELECT name, added FROM members WHERE added % 9 <> 0 AND (name NOT IN ('voice_3', 'voice_4') OR added > 300)) SELECT name, count(*) AS n, sum(added)::BIGINT AS added FROM f GROUP BY name", "members").replace("\n, f AS", ",\nf AS"),
+    "m6_unassigned": sql("SELECT name, unnest(range(64))::INT AS place, round(unnest(centroid), 6) AS x, n_labels FROM voices JOIN (SELECT name, count(*) AS n_labels FROM members GROUP BY name) USING (name)", "voices").replace("WHERE vec_id % 5 <> 0)", "WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 0)"),
+    "j6_at_threshold": sql(""", pm AS (SELECT name || '/' || part AS print_id, name AS own, part, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS e FROM members, (SELECT unnest(range(1, 10)) AS part) WHERE added % 10 <= part),
+pd AS (SELECT print_id, own, part, unnest(e) AS x, unnest(range(len(e))) AS d FROM pm), pv AS (SELECT print_id, own, part, list(x ORDER BY d) AS v FROM (SELECT print_id, own, part, d, sum(x) AS x FROM pd GROUP BY ALL) GROUP BY ALL),
+px AS (SELECT print_id, own, part, name, list_cosine_similarity(v, centroid) AS score FROM pv, voices QUALIFY row_number() OVER (PARTITION BY print_id ORDER BY score DESC, name) = 1)
+SELECT print_id, CASE WHEN score >= 0.75 THEN name END AS resolved, CASE WHEN score >= 0.75 AND (part % 2 = 1 OR name <> own) THEN name END AS suggested, round(score, 6) AS score FROM px""", "voices").replace("\n, pm AS", ",\npm AS"),
     "j11_member_provenance": sql("SELECT name, added, dir AS source, r.job_id IS NOT NULL AS playable FROM members m LEFT JOIN (SELECT * FROM recordings WHERE job_id % 3 <> 0) r USING (job_id)", "members", "recordings"),
     "a1_talk_time": sql("SELECT job_id, speaker, sum(greatest(0, end_ms - start_ms))::BIGINT AS talk_ms FROM big_turns GROUP BY ALL", "big_turns"),
     "a2_speaker_counts": sql("SELECT job_id, count(DISTINCT speaker) AS n_speakers FROM big_turns GROUP BY ALL", "big_turns"),
@@ -284,7 +330,7 @@ SELECT name, job_id, speaker_id, added FROM members m WHERE NOT EXISTS (SELECT 1
     "a7_job_summary": sql("""SELECT t.job_id, max(end_ms) AS duration_ms, count(DISTINCT speaker) AS n_speakers, coalesce(any_value(n.names), '') AS names FROM conv_turns t LEFT JOIN
  (SELECT job_id, string_agg(label, ',' ORDER BY g) AS names FROM (SELECT job_id, 'N' || (turn % 3) AS label, min(turn) AS g FROM conv_turns WHERE turn % 2 = 0 AND NOT (job_id % 5 = 0 AND speaker = 'assistant') GROUP BY ALL) GROUP BY job_id) n ON t.job_id = n.job_id GROUP BY t.job_id""", "conv_turns"),
     "a8_waiting_speakers": sql(", " + ROSTER + " SELECT job_id, string_agg(speaker, ',' ORDER BY speaker) AS waiting FROM roster WHERE assigned IS NULL AND NOT excluded GROUP BY job_id", "matches").replace("\n, labels", ",\nlabels"),
-    "a9_split_people": sql(", " + ROSTER + " SELECT job_id % 5 AS job_id, assigned AS name, count(*) AS n_speakers FROM roster WHERE assigned IS NOT NULL GROUP BY ALL HAVING count(*) > 1", "matches").replace("\n, labels", ",\nlabels"),
+    "a9_split_people": f"WITH {DECISIONS} SELECT job_id, label AS name, count(*) AS n_speakers, string_agg(speaker, ',' ORDER BY speaker) AS speakers FROM cur WHERE label IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "a10_accepted_suggestions": sql(", " + ROSTER + " SELECT job_id, speaker, coalesce(assigned, CASE WHEN NOT excluded THEN suggested END) AS assigned FROM roster", "matches").replace("\n, labels", ",\nlabels"),
     "a11_width_mismatch": sql("SELECT job_id, CASE WHEN bool_and(print_id % 2 = 0) THEN 32 END::INT AS mismatch FROM prints GROUP BY job_id", "prints"),
     "j4_labels_applied": sql("SELECT job_id, turn, speaker, CASE WHEN job_id % 2 = 0 THEN upper(speaker) || job_id END AS resolved_label FROM conv_turns", "conv_turns"),

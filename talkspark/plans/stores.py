@@ -25,15 +25,23 @@ def job_documents(spark, sf):
 
 
 def stored_jobs(spark, sf):
+    """Job documents over several lines each, a folder for each; every tenth is broken."""
     path = new_path(spark, "jobs")
-    job_documents(spark, sf).select("value").write.text(path)
+    # a document with line breaks is a file of its own
+    spread = F.regexp_replace("value", r'(,"diarization")', "\n$1\n")
+    docs = job_documents(spark, sf)
+    docs.select(F.col("job_id").alias("job"), spread.alias("value")).repartition("job").write.partitionBy("job").text(path)
     return path
 
 
 def s1(spark, sf):
-    # one document a line here; multiLine files hold one each
-    raw = spark.read.schema(files.JOB).option("columnNameOfCorruptRecord", "_corrupt").json(stored_jobs(spark, sf))
-    return raw.select(F.col("result.job_id").alias("job_id"), F.col("_corrupt").isNull().alias("valid"), F.coalesce("transcribed", F.lit(True)).alias("transcribed"), F.when(F.col("_corrupt").isNull(), F.size("diarization")).alias("n_turns")).where("valid")
+    jobs, _ = files.read_jobs(spark, f"{stored_jobs(spark, sf)}/*/*.txt")
+    return jobs.select("job_id", F.col("mtime").isNotNull().alias("has_time"), "transcribed", F.size("diarization").alias("n_turns"), F.size("speaker_labels").alias("n_labels"))
+
+
+def s1_rejected(spark, sf):
+    _, bad = files.read_jobs(spark, f"{stored_jobs(spark, sf)}/*/*.txt")
+    return bad.select(F.regexp_extract("file", r"job=(\d+)", 1).cast("bigint").alias("job_id"))
 
 
 def s2(spark, sf):
@@ -154,12 +162,13 @@ def t11(spark, sf):
 
 
 QUERIES = {
-    "s1_job_archive": s1, "s2_diarizer_output": s2, "s3_transcript_text": s3, "s4_transcript_json": s4, "s6_event_log": s6, "s7_voice_registry": s7, "s8_catalogue": s8, "s9_transcript_files": s9, "s10_transcript_json": s10, "s11_diarization_json": s11, "s13_eval_cases": s13, "s14_notes": s14,
+    "s1_job_archive": s1, "s1_rejected_jobs": s1_rejected, "s2_diarizer_output": s2, "s3_transcript_text": s3, "s4_transcript_json": s4, "s6_event_log": s6, "s7_voice_registry": s7, "s8_catalogue": s8, "s9_transcript_files": s9, "s10_transcript_json": s10, "s11_diarization_json": s11, "s13_eval_cases": s13, "s14_notes": s14,
     "f5_frontmatter": f5, "t1_release_stream": t1_stream, "t11_upserted_lines": t11, "t12_latest_voices": t12,
 }
 HEAD = """h AS (SELECT job_id, '---' || chr(10) || 'title: "Job \\"' || job_id || '\\""' || chr(10) || 'date: "2024-01-02"' || chr(10) || 'speakers: ["' || string_agg(DISTINCT speaker, '","' ORDER BY speaker) || '"]' || CASE WHEN job_id % 4 = 0 THEN chr(10) || 'note: |' || chr(10) || '  first' || chr(10) || '  second' ELSE '' END || chr(10) || '---' || chr(10) AS header FROM conv_turns GROUP BY job_id)"""
 ORACLES = {
-    "s1_job_archive": sql("SELECT job_id::VARCHAR AS job_id, true AS valid, job_id % 3 = 0 AS transcribed, count(*)::INT AS n_turns FROM conv_turns WHERE job_id % 10 <> 9 GROUP BY job_id", "conv_turns"),
+    "s1_job_archive": sql("SELECT job_id::VARCHAR AS job_id, true AS has_time, job_id % 3 = 0 AS transcribed, count(*)::INT AS n_turns, 0 AS n_labels FROM conv_turns WHERE job_id % 10 <> 9 GROUP BY job_id", "conv_turns"),
+    "s1_rejected_jobs": sql("SELECT DISTINCT job_id FROM conv_turns WHERE job_id % 10 = 9", "conv_turns"),
     "s2_diarizer_output": sql("SELECT job_id::VARCHAR AS job_id, speaker, start_ms, end_ms FROM turns WHERE job_id % 7 <> 0", "turns"),
     "s3_transcript_text": sql("""SELECT doc, start_ms, CASE WHEN nx > start_ms THEN least(g, nx) ELSE g END AS end_ms, speaker, text FROM (SELECT job_id AS doc, start_ms // 1000 * 1000 AS start_ms, start_ms // 1000 * 1000 + greatest(1000, 400 * len(string_split(text, ' '))) AS g,
  lead(start_ms // 1000 * 1000) OVER (PARTITION BY job_id ORDER BY line_no) AS nx, speaker, text FROM lines)""", "lines"),

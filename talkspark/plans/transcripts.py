@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkspark.functions import scalars
 from talkspark.operators import attribution, lines
+from talkspark.operators.places import stored
 from talkspark.plans import views
 from talkspark.plans.oracle_views import sql
 
@@ -132,32 +133,33 @@ def f9(spark, sf):
 
 
 def gone(spark, sf):
-    """Removed: assistants of every fourth job; lines that start at an even second."""
+    """Lines, made once and kept, and what is removed: assistants of every fourth job; lines that start at an even second."""
+    made = stored(made_lines(spark, sf), "lines")
     speakers = views.turns(spark, sf).where("job_id % 4 = 0 AND speaker = 'assistant'").select("job_id", "speaker").distinct()
-    keys = made_lines(spark, sf).where("start_ms % 2000 = 0").select("job_id", "speaker", "start_ms")
-    return speakers, keys
+    keys = made.where("start_ms % 2000 = 0").select("job_id", "speaker", "start_ms")
+    return made, speakers, keys
 
 
 def j8(spark, sf):
-    return lines.without_removed(made_lines(spark, sf), *gone(spark, sf)).select("job_id", "line_no", "speaker", "start_ms")
+    return lines.without_removed(*gone(spark, sf)).select("job_id", "line_no", "speaker", "start_ms")
 
 
 def j9(spark, sf):
-    return lines.flagged(made_lines(spark, sf), *gone(spark, sf)).select("job_id", "line_no", "removed")
+    return lines.flagged(*gone(spark, sf)).select("job_id", "line_no", "removed")
 
 
 GONE = "(job_id % 4 = 0 AND speaker = 'assistant' AND EXISTS (SELECT 1 FROM turns t WHERE t.job_id = lines.job_id AND t.speaker = 'assistant')) OR start_ms % 2000 = 0"
 
 
 def a12(spark, sf):
-    f = lines.flagged(made_lines(spark, sf), *gone(spark, sf))
+    f = lines.flagged(*gone(spark, sf))
     return f.groupBy("job_id").agg(F.count("*").alias("n_lines"), F.count_if("removed").alias("n_removed"))
 
 
 def w8(spark, sf):
     from talkspark.operators.samples import first_lines
 
-    return first_lines(lines.without_removed(made_lines(spark, sf), *gone(spark, sf))).select("job_id", "speaker", "hint_no", "text")
+    return first_lines(lines.without_removed(*gone(spark, sf))).select("job_id", "speaker", "hint_no", "text")
 
 
 def f_scalars(spark, sf):
@@ -181,10 +183,35 @@ def f20(spark, sf):
     )
 
 
+def f2(spark, sf):
+    """Line keys of turns: float noise in the start, in seconds, doesn't change them."""
+    t = views.conv_turns(spark, sf)
+    noisy = F.col("start_ms") / 1000 + F.when(F.col("turn") % 2 == 0, 1e-9).otherwise(-1e-9)
+    return t.select("job_id", "turn", scalars.line_key_of_seconds(F.col("speaker"), noisy).alias("k")).select("job_id", "turn", "k.*")
+
+
+def f15(spark, sf):
+    """What a model may say of each turn: with thoughts, fences and prose around the object, a lone closing tag, or no object at all."""
+    t = views.conv_turns(spark, sf)
+    own = F.concat(F.lit('{"p": 0.'), (F.col("turn") + 1).cast("string"), F.lit(', "choice": "L'), F.col("turn").cast("string"), F.lit('"}'))
+    reply = (
+        F.when(F.col("turn") % 5 == 0, own).when(F.col("turn") % 5 == 1, F.concat(F.lit('<think>maybe {"p": 9}</think>\n```json\n'), own, F.lit("\n```")))
+        .when(F.col("turn") % 5 == 2, F.concat(F.lit('first {"p": 8} no</think>Here it is: '), own, F.lit(" as asked."))).when(F.col("turn") % 5 == 3, F.concat(F.lit("Sure.\n"), own, F.lit('\n{"p": 7}'))).otherwise(F.lit("I can't say."))
+    )
+    return t.select("job_id", "turn", scalars.reply_json(reply, "p double, choice string").alias("r")).select("job_id", "turn", "r.*")
+
+
+def f19(spark, sf):
+    """Days of recordings: when they were made, else when their file was written."""
+    e = views.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    made = F.when(F.col("event_id") % 3 != 0, F.col("ts") - F.expr("INTERVAL 36 HOURS"))
+    return e.select("event_id", scalars.recording_day(made, F.col("ts")).alias("day"))
+
+
 QUERIES = {
     "w1_utterances": w1, "j1_word_attribution": j1, "w2_speaker_segments": w2, "j2_dominant_speaker": j2, "j3_merged_segments": j3, "j3_warnings": j3_warnings, "w3_adaptive_lines": w3, "f4_rendered_transcript": transcript,
     "w5_sentence_lines": w5, "w4_overlap_chunks": w4, "w4_overlap_words": w4_words, "f8_token_words": f8, "f9_recording_clock": f9, "j8_without_removed": j8, "j9_removed_flags": j9, "a12_line_counts": a12, "w8_speaker_hints": w8,
-    "f_names_and_clocks": f_scalars, "f20_scores": f20, "f23_diarized_only": f23,
+    "f2_line_keys": f2, "f15_model_replies": f15, "f19_recording_day": f19, "f_names_and_clocks": f_scalars, "f20_scores": f20, "f23_diarized_only": f23,
 }
 ORACLES = {
     "w1_utterances": sql("SELECT job_id, chunk_ix, pos, word, utt FROM utts", "utts"),
@@ -212,6 +239,9 @@ SELECT job_id, seg_no, part::INT AS part, speaker, start_ms + round((end_ms - st
     "j9_removed_flags": sql(f"SELECT job_id, line_no, ({GONE}) AS removed FROM lines", "lines"),
     "a12_line_counts": sql(f"SELECT job_id, count(*) AS n_lines, count(*) FILTER (WHERE {GONE}) AS n_removed FROM lines GROUP BY job_id", "lines"),
     "w8_speaker_hints": sql(f"SELECT job_id, speaker, hint_no, text FROM (SELECT *, row_number() OVER (PARTITION BY job_id, speaker ORDER BY start_ms, line_no)::INT AS hint_no FROM lines WHERE NOT ({GONE})) WHERE hint_no <= 3", "lines"),
+    "f2_line_keys": sql("SELECT job_id, turn, speaker, start_ms FROM conv_turns", "conv_turns"),
+    "f15_model_replies": sql("SELECT job_id, turn, CASE WHEN turn % 5 <> 4 THEN ('0.' || (turn + 1))::DOUBLE END AS p, CASE WHEN turn % 5 <> 4 THEN 'L' || turn END AS choice FROM conv_turns", "conv_turns"),
+    "f19_recording_day": "SELECT event_id, strftime(CASE WHEN event_id % 3 <> 0 THEN ts - INTERVAL 36 HOURS ELSE ts END, '%Y-%m-%d') AS day FROM events",
     "f_names_and_clocks": sql("""SELECT job_id, turn, coalesce(nullif(trim(label), ''), speaker) AS display, """ + CLOCK.replace("start_ms", "(start_ms * 50)") + """ AS clock, coalesce(nullif(trim(replace(label, '/', '-')), ''), 'NAME-ME') AS file,
  substr(regexp_replace(regexp_replace(lower(coalesce(label, '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40) AS slug, CASE WHEN turn % 2 = 0 THEN speaker || '_' || printf('%.2f', turn / 8) ELSE 'NAME-ME' END AS sample
  FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN '  ' || upper(speaker[1]) || speaker[2:] || '/' || job_id || ' ' WHEN turn % 3 = 1 THEN '  ' END AS label FROM conv_turns)""", "conv_turns"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkspark.functions.scalars import UNKNOWN
-from talkspark.operators import attribution, lines
+from talkspark.operators import attribution, lines, live
 from talkspark.streaming.ledger import Ledger
 
 TRACKS = ("mic", "system")
@@ -41,6 +41,7 @@ def progress(ledger: Ledger) -> DataFrame:
 TURN = "job_id bigint, turn_ix int, speaker string, start_ms bigint, end_ms bigint"
 HEARD = "job_id bigint, last_speaker string, run_speaker string, gaps array<bigint>, n_lines bigint"
 PIECE_LINE = "job_id bigint, line_no bigint, speaker string, start_ms bigint, end_ms bigint, text string"
+TOP = "job_id bigint, chunk_ix bigint, top string"
 
 
 def piece_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
@@ -79,16 +80,23 @@ def pieces_step(batch: DataFrame, ledger: Ledger, track: str = TRACKS[0]) -> tup
     turns = ledger.state("turns", TURN).unionByName(batch.where("kind = 'turn'").select("job_id", "turn_ix", "speaker", "start_ms", "end_ms"))
     heard = ledger.state("heard", HEARD)
     tops = piece_speakers(words, turns)
-    said = with_fallback(attribution.segments(attribution.attributed(words, turns)), tops, heard, track)
-    split = lines.split_words(words_of_segments(said), heard.select("job_id", "run_speaker", "gaps", "n_lines"), keep=True)
-    made = lines.lines(split).select("job_id", "line_no", "speaker", "start_ms", "end_ms", "text")
-    latest = tops.where("top is not null").groupBy("job_id").agg(F.max_by("top", "chunk_ix").alias("now"))
-    after = lines.history(split).join(latest, "job_id", "left").join(heard.select("job_id", "last_speaker"), "job_id", "left")
-    after = after.select("job_id", F.coalesce("now", "last_speaker").alias("last_speaker"), "run_speaker", "gaps", "n_lines")
-    after = after.unionByName(heard.join(after.select("job_id"), "job_id", "left_anti"))
+
+    def made(written) -> DataFrame:
+        said = with_fallback(attribution.segments(attribution.attributed(words, turns)), written("tops"), heard, track)
+        split = lines.split_words(words_of_segments(said), heard.select("job_id", "run_speaker", "gaps", "n_lines"), keep=True)
+        return lines.lines(split, lines.history_gaps(split).alias("gaps")).select("job_id", "line_no", "speaker", "start_ms", "end_ms", "text", "gaps")
+
     reached = words.groupBy("job_id").agg(F.max("end_ms").alias("reached"))
     ahead = turns.join(reached, "job_id", "left").where(F.col("reached").isNull() | (F.col("end_ms") > F.col("reached"))).drop("reached")
-    return {"piece_lines": made}, {"turns": ahead, "heard": after}
+
+    def after(written) -> DataFrame:
+        now = written("piece_lines").groupBy("job_id").agg(F.max_by(F.struct(F.col("speaker").alias("run_speaker"), "gaps", (F.col("line_no") + 1).alias("n_lines")), "line_no").alias("last"))
+        latest = written("tops").where("top is not null").groupBy("job_id").agg(F.max_by("top", "chunk_ix").alias("now"))
+        both = now.join(latest, "job_id", "left").join(heard.select("job_id", "last_speaker"), "job_id", "left")
+        both = both.select("job_id", F.coalesce("now", "last_speaker").alias("last_speaker"), "last.run_speaker", "last.gaps", "last.n_lines")
+        return both.unionByName(heard.join(now.select("job_id"), "job_id", "left_anti"))
+
+    return {"tops": tops, "piece_lines": made}, {"turns": ahead, "heard": after}
 
 
 # ---- names that come later ---------------------------------------------------------------------------------------
@@ -115,3 +123,20 @@ def relabel_step(batch: DataFrame, ledger: Ledger, names: DataFrame) -> tuple[di
 def displayed(ledger: Ledger) -> DataFrame:
     """The latest display of each line: what a keyed sink holds."""
     return ledger.read("shown", SHOWN).groupBy("recording", "line_ix").agg(F.max_by("display", "batch").alias("display"), F.count("*").alias("n_shown"))
+
+
+# ---- sections ----------------------------------------------------------------------------------------------------
+
+SECTIONED = "recording bigint, batch_no bigint, seq bigint, start_ms bigint, end_ms bigint, p_milli bigint, section bigint"
+
+
+def sections_step(batch: DataFrame, ledger: Ledger, longest: int = 150_000, shortest: int = 20_000) -> tuple[dict, dict]:
+    """Lines (recording, seq, start_ms, end_ms, p_milli) in sections: step batches are cut anew in each batch of the stream, as a quiet
+    meeting's are when they grow stale, and sections go on from those that are open. The model's answers are stand-ins, as in
+    the query of finished logs."""
+    steps = live.folded(batch.select("recording", "seq", "start_ms", "end_ms", "p_milli"), ["recording"], ["start_ms", "seq"], ["start_ms", "end_ms"], live.each_step_batch, "batch")
+    first = steps.groupBy("recording", "batch").agg(F.min(F.struct("start_ms", "seq", "p_milli")).alias("f"), F.count("*").alias("n"))
+    answers = first.select("recording", "batch", "f.p_milli", (F.col("f.seq") % F.col("n")).alias("first_new"))
+    before = ledger.state("open", live.SECTION)
+    out, after = live.sections(steps.select("recording", "batch", "start_ms", "end_ms", "seq", "p_milli"), answers, longest, shortest, before=before)
+    return {"sectioned": out.withColumnRenamed("batch", "batch_no")}, {"open": after}

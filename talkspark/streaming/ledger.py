@@ -73,7 +73,9 @@ class Ledger:
                 fs.delete(s.getPath(), True)
 
 
-Step = Callable[[DataFrame, Ledger], tuple[dict[str, DataFrame], dict[str, DataFrame]]]
+#: Outputs and states by name; one that is a function is made of what the batch has written before, given by name.
+Made = dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]]
+Step = Callable[[DataFrame, Ledger], tuple[Made, Made]]
 
 
 def follow(stream: DataFrame, ledger: Ledger, step: Step, crash: Callable[[int, str], None] | None = None) -> None:
@@ -85,10 +87,13 @@ def follow(stream: DataFrame, ledger: Ledger, step: Step, crash: Callable[[int,
         if number <= ledger.last():
             return
         outputs, states = step(batch, ledger)
+        written: dict[str, DataFrame] = {}
         for name, rows in (*outputs.items(), *states.items()):
             if crash:
                 crash(number, name)
+            rows = rows(written.__getitem__) if callable(rows) else rows
             ledger.write(name, number, rows)
+            written[name] = ledger.spark.read.schema(rows.schema).parquet(f"{ledger.folder}/{name}/batch={number}")
         if crash:
             crash(number, "log")
         ledger.commit(number)

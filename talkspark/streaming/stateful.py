@@ -21,19 +21,30 @@ from talkspark.operators import live
 IDLE_AFTER_MS, IDLE_MS = 1_500, 1_000
 #: A mark is settled this long after it; given up that long after it.
 SETTLE_MS, GIVE_UP_MS = 5_000, 15_000
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state store that typed state and timers need; changes go to the shared folder as a log, and no disk is allocated ahead, as there
+#: is a store for each partition.
+STORE = {
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "rocksdb.changelogCheckpointing.enabled": "true",
+    "rocksdb.allowFAllocate": "false",
+}
 
 
 @contextmanager
 def typed_state(spark: SparkSession) -> Iterator[None]:
-    """Streams started within use the state store that typed state and timers need."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKS)
+    """Streams started within have typed state."""
+    keys = {f"spark.sql.streaming.stateStore.{k}": v for k, v in STORE.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:

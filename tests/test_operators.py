@@ -171,8 +171,10 @@ def test_items_fold():
 
 def test_steps_and_sections():
     assert live.step_batches([(0, 5), (5, 31), (32, 40), (41, 70)], 30) == [0, 0, 1, 1]
-    assert live.sections_fold([(0, 5, 900), (30, 40, 900), (70, 80, 900), (90, 99, 0)], 1000, 60, 600) == [0, 0, 1, 1]
-    assert live.sections_fold([(0, 500, 0), (500, 1000, 0), (1000, 1100, 0)], 1000, 60, 600) == [0, 0, 1]
+    batches = [(0, 30, 0, 900), (30, 61, 40, 900), (70, 95, 80, 900), (95, 120, 100, 900), (120, 2000, 120, 0), (2000, 2010, 2005, 900), (2010, 2030, 2010, 0)]
+    assert list(live.each_batch_section(batches, 1000, 60, 600)) == [(0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (2, 2), (2, 2)]
+    at = live.OpenSection()
+    assert [next(live.each_batch_section([b], 1000, 60, 600, at)) for b in batches] == list(live.each_batch_section(batches, 1000, 60, 600))
 
 
 def test_live_voices():
