@@ -171,7 +171,7 @@ def test_sums_follow_members(spark):
     r = random.Random(6)
     rows = [("n", f"v{k % 4}", k, "S0", [r.gauss(0, 1) for _ in range(5)], r.uniform(0.5, 2)) for k in range(40)]
     frame = lambda x: spark.createDataFrame(x, "namespace string, name string, job_id bigint, speaker_id string, embedding array<double>, weight double")
-    gone, new = [x for x in rows if x[2] % 3 == 0 and x[1] in ("v0", "v1") or x[1] == "v2"], [("n", "v9", 99, "S0", [1.0, 0, 0, 0, 0], 1.0)]
+    gone, new = [x for x in rows if x[2] % 3 == 0 and x[1] in ("v0", "v1") or x[1] == "v2"], [("n", "v9", 99, "S0", [1.0, 0.0, 0.0, 0.0, 0.0], 1.0)]
     made = voices.centroids_of(voices.changed_sums(voices.print_sums(frame(rows)), frame(gone), frame(new)))
     want = voices.centroids(frame([x for x in rows if x not in gone] + new))
     a, b = ({x.name: x.centroid for x in df.collect()} for df in (made, want))
