@@ -226,6 +226,16 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def id_slices(column: pa.Array, size: int = SLICE // 4) -> Iterator[tuple[int, int]]:
+    """(start, length) of parts of a column of lists with about so many elements, a row at least."""
+    ends = np.concatenate([[0], np.cumsum(np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64))])
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + size, side="right")) - 1)
+        yield start, end - start
+        start = end
+
+
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     """The batch with a last column; one of the same name goes."""
     keep = [i for i, n in enumerate(batch.schema.names) if n != name]
@@ -252,8 +262,8 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", text: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(vocabulary)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start, n in id_slices(batch.column(ids)):
+                part = batch.slice(start, n)
                 column = part.column(ids)
                 values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 counts = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)

@@ -193,7 +193,7 @@ def training_pieces(docs: DataFrame, text: str = "text", lang: str = "lang", doc
     """lang and passages of the sample: at most DOCS * PIECES rows of SEGMENT characters for each language."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     md5 = F.md5(F.col(doc_id).cast("string").cast("binary"))
-    named = rows.select(F.col(lang).alias("lang"), md5.alias("key"), F.col(text).alias("text")).where(F.length("text") >= SEGMENT // 2)
+    named = rows.select(F.col(lang).alias("lang"), md5.alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
     # a language's documents up to a key that leaves a few more than DOCS: no language is sorted in one task
     n = cut(named.groupBy("lang").agg(F.count("*").alias("n")))
     named = with_groups(named, n, "lang")

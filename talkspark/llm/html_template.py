@@ -27,6 +27,7 @@ import html as references
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,23 +68,46 @@ ASIDE_WORDS = frozenset(
 )
 
 
+#: Those that are boilerplate within an article too: there, a word such as related or search may be about the article.
+INSIDE_WORDS = ASIDE_WORDS & frozenset(
+    "ad ads advert adverts advertisement advertising comment comments cookie cookies consent newsletter popup promo promotion"
+    " respond share sharing sidebar signup social sponsor sponsored subscribe".split()
+)
+#: Elements of a path that are written out.
+DEPTH = 64
+
+
 def block_token(path: str, text: str) -> str:
     """The token of a block; paths have no white space."""
     return f"{path}\n{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
 
 
+class Open(NamedTuple):
+    """An open element: whether it is boilerplate, whether an article holds it, the nearest block (its place in the stack, its path)."""
+
+    name: str
+    path: str
+    aside: bool
+    inside: bool
+    block: int
+    block_path: str
+
+
 class Page:
-    """The blocks of a page and how often each path opens."""
+    """The blocks of a page and how often each path opens.
+
+    Paths deeper than DEPTH end in a digest of the rest, so that deep nesting costs no more than its elements.
+    """
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, str]] = []  # path of what holds the block, text
         self.opened: Counter[str] = Counter()
-        self.stack: list[tuple[str, str, bool]] = []  # name, path, whether boilerplate
+        self.stack: list[Open] = []
+        self.names: Counter[str] = Counter()  # of the stack
         self.held: list[str] = []
         at = 0
-        for m in TOKEN.finditer(html):
-            if m.start() < at:
-                continue  # inside a raw element
+        # each search starts where the last token or raw element ended: what looks like a tag within one is none
+        while m := TOKEN.search(html, at):
             if m.start() > at:
                 self.held.append(html[at : m.start()])
             at = m.end()
@@ -105,20 +129,24 @@ class Page:
     def flush(self) -> None:
         text = "".join(self.held)
         self.held = []
-        if text and not (self.stack and self.stack[-1][2]):
+        if text and not (self.stack and self.stack[-1].aside):
             text = " ".join(references.unescape(text).split())
             if text:
-                path = next((p for n, p, _ in reversed(self.stack) if n in BLOCK), "")
-                self.blocks.append((path, text))
+                self.blocks.append((self.stack[-1].block_path if self.stack else "", text))
+
+    def cut(self, k: int) -> None:
+        """Take what is in the stack from place k on."""
+        self.names.subtract(x.name for x in self.stack[k:])
+        del self.stack[k:]
 
     def open(self, name: str, rest: str) -> None:
         if name in BLOCK or name in RAW:
             self.flush()
             while self.stack:
-                k = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] in BLOCK), -1)
-                if k < 0 or name not in CLOSED_BY.get(self.stack[k][0], ()):
+                k = self.stack[-1].block
+                if k < 0 or name not in CLOSED_BY.get(self.stack[k].name, ()):
                     break
-                del self.stack[k:]
+                self.cut(k)
         elif name == "br":
             self.held.append(" ")
         words, kind = [], ""
@@ -128,30 +156,36 @@ class Page:
                 words += re.findall("[a-z]+", value.lower())
                 if m[1].lower() == "class" and value.split():
                     kind = "." + value.split()[0]
-        above = self.stack[-1][1] if self.stack else ""
-        path = f"{above}>{name}{kind}"
+        above = self.stack[-1] if self.stack else Open("", "", False, False, -1, "")
+        path = f"{above.path}>{name}{kind}"
+        if len(self.stack) >= DEPTH:
+            path = f"{self.stack[DEPTH - 1].path}>#{hashlib.blake2b(path.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
         self.opened[path] += 1
         if name in VOID or rest.endswith("/") and name not in BLOCK:
             return
-        inside = any(n in ("article", "main") for n, _, _ in self.stack)
+        inside = above.inside or above.name in ("article", "main")
         aside = (
-            bool(self.stack) and self.stack[-1][2]
+            above.aside
             or name in ASIDE
             or name == "header" and not inside
-            or name not in ("html", "body", "article", "main") and any(w in ASIDE_WORDS for w in words)
+            or name not in ("html", "body", "article", "main") and any(w in (INSIDE_WORDS if inside else ASIDE_WORDS) for w in words)
         )
-        if aside and not (self.stack and self.stack[-1][2]):
+        if aside and not above.aside:
             self.flush()
-        self.stack.append((name, path, aside))
+        block = name in BLOCK
+        self.stack.append(Open(name, path, aside, inside, len(self.stack) if block else above.block, path if block else above.block_path))
+        self.names[name] += 1
 
     def close(self, name: str) -> None:
+        if not self.names[name]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == name:
-                if name in BLOCK or any(a for _, _, a in self.stack[k:]):
+            if self.stack[k].name == name:
+                if name in BLOCK or self.stack[-1].aside:
                     self.flush()
-                del self.stack[k:]
+                self.cut(k)
                 return
-            if self.stack[k][0] in ("td", "th", "table", "article", "body") and name not in BLOCK:
+            if self.stack[k].name in ("td", "th", "table", "article", "body") and name not in BLOCK:
                 return  # an inline end without its start
 
     def text(self, slot: str | None, constant: frozenset[str] = frozenset()) -> str:
@@ -229,7 +263,8 @@ def main_slots(found: DataFrame, different: DataFrame) -> DataFrame:
     steps = F.split(F.substring_index("token", "\n", 1), ">")
     held = constant.select("host", "chars", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), ">"))).alias("token"))
     held = held.groupBy("host", "token").agg(F.sum("chars").alias("fixed"))
-    slots = inside.where("not block").join(held, ["host", "token"], "left").join(held.where("token = ''").select("host", F.col("fixed").alias("all_fixed")), "host", "left")
+    # an element beyond DEPTH doesn't tell what it holds
+    slots = inside.where(~F.col("block") & ~F.col("token").contains(">#")).join(held, ["host", "token"], "left").join(held.where("token = ''").select("host", F.col("fixed").alias("all_fixed")), "host", "left")
     varied = F.col("all_chars") - F.coalesce("all_fixed", F.lit(0))
     slots = slots.where((F.col("chars") - F.coalesce("fixed", F.lit(0)) == varied) & (varied > 0))
     depth = F.length("token") - F.length(F.replace("token", F.lit(">"), F.lit("")))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkspark.llm.bpe import slices, with_column
-from talkspark.llm.common import cut, give_back, stored, tidy, with_groups
+from talkspark.llm.common import cut, give_back, shared_dir, stored, tidy, with_groups
 
 ORDER, PRIOR, QUANTILE, LEAST, FOLDS = 4, 40, 0.99, 50, 4
 #: Thresholds are never lower (nats a byte): trusted texts all alike have no spread. On sf0.1 they are 1.67 and more.
@@ -231,15 +231,17 @@ def scored(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str
     fields = [f for f in docs.schema.fields if f.name != text]
     buckets = min(100_000, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     name = f"kn_blocks_{uuid.uuid4().hex}"
-    packed(docs, text, doc_id).write.bucketBy(buckets, "block").option("compression", "none").saveAsTable(name)
-    blocks = spark.table(name)
-    ids = blocks.select(F.col("block").alias("at_block"), F.explode("ids").alias("id")).distinct()
-    good = ids.join(trusted.select(F.col(doc_id).cast("long").alias("id")), "id").select("at_block", "id")
-    made = stored(block_grams(blocks.select("block", "fold", "rows"), good, text, doc_id), "grams")
-    model = Model(held_out(made.where("n > 0").groupBy("fold", "gram").agg(F.sum("n").alias("n"))))
-    known = made.select(F.col("block").alias("at_block"), "fold", "gram").join(model.log_probabilities(made.select("fold", "gram").distinct()), ["fold", "gram"]).drop("fold")
-    scores = stored(block_scores(blocks.select("block", "rows"), known, fields, text), "scores")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        packed(docs, text, doc_id).write.bucketBy(buckets, "block").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        blocks = spark.table(name)
+        ids = blocks.select(F.col("block").alias("at_block"), F.explode("ids").alias("id")).distinct()
+        good = ids.join(trusted.select(F.col(doc_id).cast("long").alias("id")), "id").select("at_block", "id")
+        made = stored(block_grams(blocks.select("block", "fold", "rows"), good, text, doc_id), "grams")
+        model = Model(held_out(made.where("n > 0").groupBy("fold", "gram").agg(F.sum("n").alias("n"))))
+        known = made.select(F.col("block").alias("at_block"), "fold", "gram").join(model.log_probabilities(made.select("fold", "gram").distinct()), ["fold", "gram"]).drop("fold")
+        scores = stored(block_scores(blocks.select("block", "rows"), known, fields, text), "scores")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return scores
 
 

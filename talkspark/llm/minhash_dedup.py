@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkspark.llm.bpe import slices, with_column
-from talkspark.llm.common import cut, stored, tidy
+from talkspark.llm.common import cut, shared_dir, stored, tidy
 
 SHINGLE, LIMIT = 2, (80, 100)
 #: Coordinates of a signature; collisions that a link needs; those of pairs that are compared with their representative.
@@ -328,31 +328,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         pairs = pairs.join(texts.toDF("a", "text_a"), "a").join(others.toDF("b", "text_b"), "b")
         return stored(compared(pairs), name)
 
-    reps = cut(representatives(lists))
-    met = lists.join(reps, "key").where(F.col("node") != F.col("rep"))
-    first = looked_at(met.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), NEAR, "representatives")
-    labels = components(first.where(linked()).select("a", "b"))
-
-    left = unsettled(lists.where(F.col("size") <= REPS + 1), labels)
-    central = Window.partitionBy("key").orderBy(F.desc("central"), F.xxhash64("node"), "node")
-    few = left.withColumn("place", F.row_number().over(central)).where(F.col("place") <= REPS).select("key", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"))
-    met = left.join(few, "key").where(F.col("comp") != F.col("rep_comp"))
-    met = met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
-    second = looked_at(met, MATCHES, "seconds").where(linked()).select("a", "b")
-    if not second.isEmpty():
-        labels = components(second, labels)
-
-    left = unsettled(lists.where(F.col("size") > REPS + 1), labels).join(reps, "key").select("rep", "node", "comp").distinct()
-    left = cut(left.join(nodes.select("node", "n"), "node"))
-    groups = left.join(first.select(F.col("a").alias("node"), F.col("b").alias("rep"), "n_a", "n_b", "both", "more", "less"), ["rep", "node"], "left")
-    groups = stored(groups.withColumn("near", F.col("more").isNotNull()).withColumn("linked", F.coalesce(linked(), F.col("rep") == F.col("node"))), "groups")
-    apart = groups.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_set(F.when(F.col("near") | F.col("linked"), F.col("rep"))).alias("reps"), F.max(~F.col("linked")).alias("apart"))
-    pairs = by_shingles(apart.where("apart").drop("apart"), texts).unionByName(by_differences(groups.where("near").withColumnRenamed("n_b", "n_rep").drop("near", "linked", "n_a")))
-    sizes = F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0]
-    third = looked_at(pairs.where(sizes).select("a", "b").distinct(), MATCHES, "rest").where(linked()).select("a", "b")
-    if not third.isEmpty():
-        labels = components(third, labels)
-    spark.sql(f"DROP TABLE {table}")
+    try:
+        reps = cut(representatives(lists))
+        met = lists.join(reps, "key").where(F.col("node") != F.col("rep"))
+        first = looked_at(met.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), NEAR, "representatives")
+        labels = components(first.where(linked()).select("a", "b"))
+
+        left = unsettled(lists.where(F.col("size") <= REPS + 1), labels)
+        central = Window.partitionBy("key").orderBy(F.desc("central"), F.xxhash64("node"), "node")
+        few = left.withColumn("place", F.row_number().over(central)).where(F.col("place") <= REPS).select("key", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"))
+        met = left.join(few, "key").where(F.col("comp") != F.col("rep_comp"))
+        met = met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+        second = looked_at(met, MATCHES, "seconds").where(linked()).select("a", "b")
+        if not second.isEmpty():
+            labels = components(second, labels)
+
+        left = unsettled(lists.where(F.col("size") > REPS + 1), labels).join(reps, "key").select("rep", "node", "comp").distinct()
+        left = cut(left.join(nodes.select("node", "n"), "node"))
+        groups = left.join(first.select(F.col("a").alias("node"), F.col("b").alias("rep"), "n_a", "n_b", "both", "more", "less"), ["rep", "node"], "left")
+        groups = stored(groups.withColumn("near", F.col("more").isNotNull()).withColumn("linked", F.coalesce(linked(), F.col("rep") == F.col("node"))), "groups")
+        apart = groups.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_set(F.when(F.col("near") | F.col("linked"), F.col("rep"))).alias("reps"), F.max(~F.col("linked")).alias("apart"))
+        pairs = by_shingles(apart.where("apart").drop("apart"), texts).unionByName(by_differences(groups.where("near").withColumnRenamed("n_b", "n_rep").drop("near", "linked", "n_a")))
+        sizes = F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0]
+        third = looked_at(pairs.where(sizes).select("a", "b").distinct(), MATCHES, "rest").where(linked()).select("a", "b")
+        if not third.isEmpty():
+            labels = components(third, labels)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
 
     named = nodes.select("node", "id", "digest").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -376,7 +378,7 @@ def nodes_texts(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> st
     found = found.groupBy("id_key", "text_key").agg(F.min("node").alias("node"), F.min("text").alias("text")).select("node", "text")
     buckets = min(100_000, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     name = f"node_texts_{uuid.uuid4().hex}"
-    found.repartition(buckets, "node").write.bucketBy(buckets, "node").option("compression", "zstd").saveAsTable(name)
+    found.repartition(buckets, "node").write.bucketBy(buckets, "node").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return name
 
 

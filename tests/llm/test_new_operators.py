@@ -5,10 +5,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from talkspark.llm import cover_tree, license_scan, spelling_variants
+from talkspark.llm import bpe, cover_tree, gru_langid, html_template, license_scan, spelling_variants
 
 # ---- license scans ------------------------------------------------------------------------------------------------
 
@@ -188,3 +189,40 @@ def test_tree_bounds_hold():
         own = x[under(k)] @ q
         assert low[k] <= own.min() and own.max() <= high[k]
     assert sorted(under(0)) == list(range(500))
+
+
+# ---- pages, languages, decoding -----------------------------------------------------------------------------------
+
+
+def test_what_looks_like_a_tag_in_a_script_is_none():
+    page = html_template.Page("<script>s='<a ';</script><nav>menu</nav><article><p>It's one</p><p>two</p></article>")
+    assert page.text(None) == "It's one\ntwo"
+    page = html_template.Page("<style>a{content:\"<p '\"}</style><aside>x</aside><main><h1>T</h1>It's \"so\"</main><!-- <p> --><footer>f</footer>")
+    assert page.text(None) == "T\nIt's \"so\""
+
+
+def test_blocks_of_an_article_stay():
+    page = html_template.Page("<article><h1>A</h1><div class='related'>more on this</div><section class='search results'>r</section><blockquote class=notice>n</blockquote><div class='advert'>buy</div><section class='comments'>me too</section></article><div class='related'>other</div>")
+    assert page.text(None) == "A\nmore on this\nr\nn"
+
+
+def test_deep_nesting_costs_its_elements():
+    n = 100_000
+    page = html_template.Page("<article>" + "<div>" * n + "deep" + "</div>" * n + "<p>after</p></article>")
+    assert page.text(None) == "deep\nafter" and max(map(len, page.opened)) < 1000
+    assert html_template.Page("<b>" * n + "x" + "</p>" * 1000).text(None) == "x"
+
+
+def test_a_language_of_short_texts_is_learned(spark):
+    r = random.Random(8)
+    rows = [(k, " ".join(r.choices(["the", "and", "house", "which", "through"], k=30)), "en") for k in range(120)]
+    rows += [(200 + k, r.choice(["ναι", "όχι", "καλά", "ευχαριστώ", "παρακαλώ"]), "el") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = gru_langid.predict(docs, gru_langid.train(docs)).select("lang", "lang_pred").collect()
+    assert sum(x.lang == x.lang_pred for x in found) >= 0.97 * len(found)
+
+
+def test_ids_are_cut_by_number():
+    column = pa.array([[1] * 5, None, [], [2] * 9, [3], [4] * 4], pa.list_(pa.int32()))
+    parts = list(bpe.id_slices(column, 6))
+    assert parts == [(0, 3), (3, 1), (4, 2)] and list(bpe.id_slices(column[:0], 6)) == []
