@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,19 @@ def centroids(members: DataFrame) -> DataFrame:
     return whole.select("namespace", "name", checked.alias("centroid"))
 
 
+class Vectors:
+    """A column of vectors as flat numbers, with the size of each."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        column = column.combine_chunks()
+        self.sizes = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+        self.flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def rows(self, at: np.ndarray, width: int) -> np.ndarray:
+        return self.flat[self.starts[at][:, None] + np.arange(width)]
+
+
 def best_voice(prints: DataFrame, voices: DataFrame, print_id: str = "print_id") -> DataFrame:
     """prints with name and score of the nearest voice of their namespace; ties to the first name in order.
 
@@ -49,17 +63,17 @@ def best_voice(prints: DataFrame, voices: DataFrame, print_id: str = "print_id")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"namespace": [], print_id: [], "name": [], "score": []}
-        names, vectors = right.column("name").to_pylist(), right.column("centroid").to_pylist()
-        order = sorted(range(len(names)), key=names.__getitem__)
-        ids, space, prints_in = left.column(print_id).to_pylist(), left.column("p_namespace").to_pylist(), left.column("embedding").to_pylist()
-        for width in {len(v) for v in vectors}:
-            own = [i for i in order if len(vectors[i]) == width]
-            m = np.array([vectors[i] for i in own], dtype=np.float64).reshape(len(own), width)
+        names, known, asked_in = right.column("name").to_pylist(), Vectors(right.column("centroid")), Vectors(left.column("embedding"))
+        order = np.array(sorted(range(len(names)), key=names.__getitem__), dtype=np.int64)
+        ids, space = left.column(print_id).to_pylist(), left.column("p_namespace").to_pylist()
+        for width in set(known.sizes.tolist()) - {0}:
+            own = order[known.sizes[order] == width]
+            m = known.rows(own, width)
             lengths = np.linalg.norm(m, axis=1)
-            rows = [i for i, v in enumerate(prints_in) if len(v) == width and width]
+            rows = np.flatnonzero(asked_in.sizes == width)
             for start in range(0, len(rows), 1000):
                 some = rows[start : start + 1000]
-                x = np.array([prints_in[i] for i in some], dtype=np.float64)
+                x = asked_in.rows(some, width)
                 size = np.linalg.norm(x, axis=1)[:, None] * lengths[None]
                 near = np.where(size > 0, x @ m.T / np.maximum(size, 1e-300), -1.0)
                 k = near.argmax(axis=1)
