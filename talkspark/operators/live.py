@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from talkspark.functions.scalars import blank_to_null, overlap_ms
 from talkspark.operators.intervals import BUCKET_MS
+from talkspark.operators.places import numbered_within
 
 #: Rows in a batch that a fold gives back.
 BATCH = 10_000
@@ -44,8 +45,8 @@ def released(lines: DataFrame, tracks: int = 2) -> DataFrame:
 
 def release_order(lines: DataFrame) -> DataFrame:
     """Released lines with their place in the recording: as they come out, those of one release by start and end, whatever the track."""
-    out = Window.partitionBy("recording").orderBy("released_at", "start_ms", "end_ms", "track", "seq")
-    return lines.where("released_at is not null").withColumn("place", F.row_number().over(out))
+    order = [F.col(c) for c in ("released_at", "start_ms", "end_ms", "track", "seq")]
+    return numbered_within(lines.where("released_at is not null"), ["recording"], order, "place")
 
 
 def rolling_window(pieces: DataFrame, span_ms: int = 60_000, gap_ms: int = 0) -> DataFrame:
@@ -85,7 +86,7 @@ def fresh_talk(turns: DataFrame) -> DataFrame:
 
 
 def numbered_events(events: DataFrame) -> DataFrame:
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("time", "event_id")) - 1)
+    return numbered_within(events, ["session"], [F.col("time"), F.col("event_id")], "seq").withColumn("seq", F.col("seq") - 1)
 
 
 def context_tail(blocks: DataFrame, budget: int) -> DataFrame:
@@ -100,7 +101,7 @@ def timeline(lines: DataFrame, sections: DataFrame, comments: DataFrame) -> Data
     """One conversation in order: section headers at their start, comments after the line that they follow."""
     part = lambda df, rank: df.select("recording", F.col("at_ms").alias("at_ms"), F.lit(rank).alias("rank"), "text")
     rows = part(sections, 0).unionByName(part(lines, 1)).unionByName(part(comments, 2))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("recording").orderBy("at_ms", "rank", "text")))
+    return numbered_within(rows, ["recording"], [F.col(c) for c in ("at_ms", "rank", "text")], "place")
 
 
 def gates(rows: DataFrame, paused: Column) -> DataFrame:
@@ -360,7 +361,7 @@ def simple_items(updates: DataFrame) -> DataFrame:
 
 def visible_items(items: DataFrame) -> DataFrame:
     """Items (session, item, at_ms, deleted) that aren't deleted, with their place by time."""
-    return items.where(~F.col("deleted")).withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("at_ms", "item")))
+    return numbered_within(items.where(~F.col("deleted")), ["session"], [F.col("at_ms"), F.col("item")], "place")
 
 
 def items_markdown(items: DataFrame) -> DataFrame:

@@ -11,17 +11,24 @@ from pyspark.sql import types as T
 from talkspark.sources.shared import new_path
 
 
+def in_ranges(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """rows sorted into ranges of (keys, order), with the range's number; kept, as ranges may be drawn otherwise the next time.
+
+    A key with a third of all rows has a third of the ranges.
+    """
+    path = new_path(rows.sparkSession, "ranges")
+    rows.repartitionByRange(*keys, *order).withColumn(name, F.spark_partition_id()).write.parquet(path)
+    return rows.sparkSession.read.schema(T.StructType([*rows.schema.fields, T.StructField(name, T.IntegerType())])).parquet(path)
+
+
 def numbered_within(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """rows with their number (from 1) in the order of their key.
 
-    Rows are sorted into ranges of (keys, order), which are kept, as ranges may be drawn otherwise the next time; a key with
-    a third of all rows has a third of the ranges. A row's number is its number within the range and what the key has in earlier ones:
-    only a count for each key and range goes through the window over keys.
+    A row's number is its number within its range (in_ranges) and what the key has in earlier ones: only a count for each
+    key and range goes through the window over keys.
     """
-    spark, path = rows.sparkSession, new_path(rows.sparkSession, "ranges")
     part, base, own = (f"__{c}_{uuid.uuid4().hex[:8]}" for c in ("part", "base", "own"))
-    rows.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()).write.parquet(path)
-    kept = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(part, T.IntegerType())])).parquet(path)
+    kept = in_ranges(rows, keys, order, part)
     counts = kept.groupBy(*keys, part).agg(F.count("*").alias(own))
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(part).alias(f"_{part}"), F.coalesce(F.sum(own).over(before), F.lit(0)).alias(base))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkspark.functions.scalars import blank_to_null
@@ -136,7 +136,7 @@ def directory_progress(jobs: DataFrame, files: DataFrame, suffixes: tuple[str, .
 def smallest_first(files: DataFrame) -> DataFrame:
     """files (dir, path, size) with their place in the order of labelling: smallest first within a folder, hidden ones left out."""
     shown = files.where(~F.element_at(F.split("path", "/"), -1).startswith("."))
-    return shown.withColumn("place", F.row_number().over(Window.partitionBy("dir").orderBy("size", "path")))
+    return numbered_within(shown, ["dir"], [F.col("size"), F.col("path")], "place")
 
 
 def deduplicated_queue(rows: DataFrame) -> DataFrame:

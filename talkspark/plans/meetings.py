@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkspark import evals
-from talkspark.operators import chunks, live
+from talkspark.operators import chunks, live, steps
 from talkspark.plans import views
 from talkspark.plans.oracle_views import sql
 
@@ -100,14 +100,14 @@ def t10(spark, sf):
     return live.due_times(covered_lines(spark, sf), 4.0).select("recording", "seq", "due_ms")
 
 
-def live_fold(spark, sf, inputs, fold, name):
+def live_runs(spark, sf, reach, name, after):
     l = views.live_lines(spark, sf).withColumn("end_ms", F.col("start_ms") + 3000)  # noqa: E741
     slim = l.select("recording", "event_id", "start_ms", "end_ms", "p_milli")
-    return live.folded(slim, ["recording"], ["start_ms", "event_id"], inputs, fold, name)
+    return steps.runs(slim, ["recording"], ["start_ms", "event_id"], reach, name, after)
 
 
 def t2(spark, sf):
-    return live_fold(spark, sf, ["start_ms", "end_ms"], lambda r: live.each_step_batch(r, 30_000_000), "batch")
+    return live_runs(spark, sf, 30_000_000, "batch", True)
 
 
 def t7(spark, sf):
@@ -119,7 +119,8 @@ def t7(spark, sf):
 
 
 def t4(spark, sf):
-    return live_fold(spark, sf, ["start_ms", "end_ms"], lambda r: live.each_piece(r, 100_000_000), "piece")
+    # longer than 100,000,000: a millisecond more at least
+    return live_runs(spark, sf, 100_000_001, "piece", False)
 
 
 def t5(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkspark.operators import roster, samples, voices
+from talkspark.operators.places import numbered_within
 from talkspark.plans import views
 from talkspark.plans.oracle_views import sql
 
@@ -267,10 +268,8 @@ def j17(spark, sf):
 
 def o1(spark, sf):
     """Jobs newest first, numbered."""
-    from pyspark.sql import Window
-
-    r = views.recordings(spark, sf)
-    return r.groupBy("dir").agg(F.max("mtime").alias("newest"), F.sum("size").alias("size")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("newest"), "dir")))
+    r = views.recordings(spark, sf).groupBy("dir").agg(F.max("mtime").alias("newest"), F.sum("size").alias("size"))
+    return numbered_within(r, [], [F.desc("newest"), F.col("dir")], "place")
 
 
 def o6(spark, sf):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from talkspark.functions.scalars import UNKNOWN
 from talkspark.operators import attribution, lines, live
+from talkspark.operators.steps import runs
 from talkspark.streaming.ledger import Ledger
 
 TRACKS = ("mic", "system")
@@ -134,9 +135,9 @@ def sections_step(batch: DataFrame, ledger: Ledger, longest: int = 150_000, shor
     """Lines (recording, seq, start_ms, end_ms, p_milli) in sections: step batches are cut anew in each batch of the stream, as a quiet
     meeting's are when they grow stale, and sections go on from those that are open. The model's answers are stand-ins, as in
     the query of finished logs."""
-    steps = live.folded(batch.select("recording", "seq", "start_ms", "end_ms", "p_milli"), ["recording"], ["start_ms", "seq"], ["start_ms", "end_ms"], live.each_step_batch, "batch")
-    first = steps.groupBy("recording", "batch").agg(F.min(F.struct("start_ms", "seq", "p_milli")).alias("f"), F.count("*").alias("n"))
+    cut = runs(batch.select("recording", "seq", "start_ms", "end_ms", "p_milli"), ["recording"], ["start_ms", "seq"], live.STEP_MS, "batch")
+    first = cut.groupBy("recording", "batch").agg(F.min(F.struct("start_ms", "seq", "p_milli")).alias("f"), F.count("*").alias("n"))
     answers = first.select("recording", "batch", "f.p_milli", (F.col("f.seq") % F.col("n")).alias("first_new"))
     before = ledger.state("open", live.SECTION)
-    out, after = live.sections(steps.select("recording", "batch", "start_ms", "end_ms", "seq", "p_milli"), answers, longest, shortest, before=before)
+    out, after = live.sections(cut.select("recording", "batch", "start_ms", "end_ms", "seq", "p_milli"), answers, longest, shortest, before=before)
     return {"sectioned": out.withColumnRenamed("batch", "batch_no")}, {"open": after}

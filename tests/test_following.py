@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from talkspark.operators import live, places, roster, voices
+from talkspark.operators import live, places, roster, steps, voices
 from talkspark.sources.shared import new_path
 from talkspark.streaming import following, stateful
 from talkspark.streaming.ledger import Ledger, follow
@@ -187,3 +187,44 @@ def test_relabelled_lines_come_again(spark):
         follow(spark.readStream.schema(following.SPOKEN).parquet(source), ledger, lambda b, log, now=now: following.relabel_step(b, log, now))
     got = {r.line_ix: (r.display, r.n_shown) for r in following.displayed(ledger).collect()}
     assert got == {1: ("Anna", 3), 2: ("Ben", 2), 11: ("Anna", 2), 12: ("Ben", 2), 21: ("Anna", 1), 22: ("Ben", 1)}
+
+
+@pytest.mark.parametrize("after", [True, False])
+def test_ranges_of_runs_equal_one_walk(after):
+    for seed in range(300):
+        r = random.Random(seed)
+        n, reach = r.randrange(1, 40), r.randrange(1, 60)
+        starts = sorted(r.randrange(0, 200) for _ in range(n))
+        lines = [(s, s + r.randrange(0, 50)) for s in starts]
+        if seed % 5 == 0:
+            lines += [(r.choice([200, None]), None), (None, 300)]
+        want = list(steps.walk(lines, reach, after))
+        cuts = sorted(r.sample(range(1, len(lines)), min(len(lines) - 1, r.randrange(0, 5)))) if len(lines) > 1 else []
+        number, first, got = 0, None, []
+        for a, b in zip([0, *cuts], [*cuts, len(lines)], strict=True):
+            got += steps.walk(lines[a:b], reach, after, number, first)
+            own = steps.Range(lines[a:b], reach, after)
+            if first is None:
+                c, first = own.left[0]
+                number += c
+            else:
+                e = next((x for x in own.entries() if first <= x[0]), None)
+                if e:
+                    number, first = number + e[1], e[2]
+        assert got == want, (seed, lines, reach, cuts)
+    if after:
+        some = [(0, 5), (5, 31), (32, 40), (41, 70)]
+        assert list(steps.walk(some, 30, True)) == live.step_batches(some, 30)
+
+
+def test_runs_of_a_hot_recording(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    r = random.Random(3)
+    rows = [(rec, 40 * k + r.randrange(0, 40), k) for rec, n in ((1, 3000), (2, 50), (None, 30)) for k in range(n)]
+    rows = [(rec, s, s + r.randrange(0, 90), k) for rec, s, k in rows]
+    made = steps.runs(spark.createDataFrame(rows, "recording bigint, start_ms bigint, end_ms bigint, id bigint"), ["recording"], ["start_ms", "id"], 500, "batch")
+    got = {(x.recording, x.id): x.batch for x in made.collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for rec in (1, 2, None):
+        own = sorted((s, k, e) for c, s, e, k in rows if c == rec)
+        assert [got[(rec, k)] for _, k, _ in own] == list(steps.walk([(s, e) for s, _, e in own], 500, True))
