@@ -115,7 +115,7 @@ def stateful_rows(spark, rows: DataFrame, part: Column, made: Callable[[DataFram
         with stateful.typed_state(spark):
             write = made(stream).writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
             # with processing-time timers a stream over what is there would never end: one batch for each part
-            once = {"once": True} if made is stateful.released_with_idle else {"availableNow": True}
+            once = {"once": True} if made in (stateful.released_with_idle, long_batches) else {"availableNow": True}
             write.outputMode("update" if made is stateful.placed_voices else "append").option("checkpointLocation", checkpoint).trigger(**once).start().awaitTermination()
 
     fed(spark, rows, part, run)
@@ -128,6 +128,16 @@ def t3(spark, sf):
     return stateful_rows(spark, rows, part_of(F.col("start_ms")), stateful.released_with_idle, stateful.ReleaseWithIdle.OUT).drop("batch")
 
 
+def long_batches(lines: DataFrame) -> DataFrame:
+    return stateful.step_batches(lines, stale=10**9)  # nothing grows stale while the query runs
+
+
+def t2(spark, sf):
+    """Step batches that are long enough."""
+    rows = views.live_pieces(spark, sf).select("recording", "seq", "start_ms", "end_ms")
+    return stateful_rows(spark, rows, part_of(F.col("start_ms")), long_batches, stateful.StepBatches.OUT).select("recording", "number", "seq")
+
+
 def t6(spark, sf):
     """A mark 0.2 s after each turn's start; windows of pieces, some of which nobody is recognised in."""
     p = views.live_pieces(spark, sf).where("(turn + k) % 3 <> 0")
@@ -173,7 +183,7 @@ def t7(spark, sf):
 
 
 QUERIES = {
-    "t7_section_stream": t7,
+    "t7_section_stream": t7, "t2_step_stream": t2,
     "t13_piece_lines": t13, "t11_resumed_lines": t11, "s5_recording_progress": s5, "t3_idle_release": t3, "t6_settled_marks": t6, "t5_voice_stream": t5, "t12_voice_snapshot": t12, "j14_relabelled_lines": j14,
 }
 P = f"least(start_ms // {PART_MS}, {PARTS - 1})"
@@ -223,6 +233,10 @@ ORACLES = {
 pb AS (SELECT *, 0::BIGINT AS number, start_ms AS first FROM po WHERE rn = 1
  UNION ALL SELECT l.*, s.number + (s.end_ms - s.first >= 30000)::INT, CASE WHEN s.end_ms - s.first >= 30000 THEN l.start_ms ELSE s.first END FROM pb s JOIN po l ON l.recording = s.recording AND l.part = s.part AND l.rn = s.rn + 1),
 pn AS (SELECT * EXCLUDE number, dense_rank() OVER (PARTITION BY recording ORDER BY part, number) - 1 AS number FROM pb)""" + meetings.SECTIONS("pn", "seq", 150_000, 20_000) + " SELECT recording, seq, CASE WHEN place < cut THEN head ELSE tail END AS section FROM q JOIN ss USING (recording, batch)", "pieces").replace("\n, po AS", ",\npo AS").replace("WITH ", "WITH RECURSIVE ", 1),
+    "t2_step_stream": sql(f""", po AS (SELECT recording, seq, start_ms, end_ms, row_number() OVER (PARTITION BY recording ORDER BY start_ms) AS rn FROM pieces),
+pb AS (SELECT *, 0::BIGINT AS number, start_ms AS first FROM po WHERE rn = 1
+ UNION ALL SELECT l.*, s.number + (s.end_ms - s.first >= 30000)::INT, CASE WHEN s.end_ms - s.first >= 30000 THEN l.start_ms ELSE s.first END FROM pb s JOIN po l ON l.recording = s.recording AND l.rn = s.rn + 1)
+SELECT recording, number, seq FROM pb QUALIFY arg_max(end_ms, rn) OVER (PARTITION BY recording, number) - min(first) OVER (PARTITION BY recording, number) >= 30000""", "pieces").replace("\n, po AS", ",\npo AS").replace("WITH ", "WITH RECURSIVE ", 1),
     "t6_settled_marks": sql(MARKS, "pieces").replace("\n, m AS", ",\nm AS"),
     "t5_voice_stream": f"WITH RECURSIVE {PLACED} SELECT recording, window_ix, track, speaker, voice, round(score, 6) AS score FROM pl",
     "t5_live_voices": f"WITH RECURSIVE {PLACED} SELECT recording, window_ix, track, speaker, voice, round(score, 6) AS score FROM pl",

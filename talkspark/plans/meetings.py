@@ -275,6 +275,16 @@ ORACLES = {
     + " SELECT recording, batch, start_ms, end_ms, event_id, p_milli, CASE WHEN place < cut THEN head ELSE tail END AS section FROM q JOIN ss USING (recording, batch)",
     "o5_visible_items": with_cte(UPDATES, "SELECT session, item, row_number() OVER (PARTITION BY session ORDER BY since, item) AS place FROM (SELECT session, item, min(seq) AS since FROM up GROUP BY ALL) WHERE (session + item) % 4 <> 0"),
     "w6_fixed_chunks": with_cte("sp AS (SELECT job_id, max(end_ms) AS e, greatest(1, ceil((max(end_ms) - 2000) / 88000)::BIGINT) AS n FROM conv_turns GROUP BY job_id HAVING max(end_ms) > 0)", "SELECT job_id, k::INT AS chunk_ix, k * 88000 AS start_ms, least(k * 88000 + 90000, e) AS end_ms FROM (SELECT *, unnest(range(n)) AS k FROM sp)", "conv_turns"),
+    "w7_turn_chunks": sql(""", du AS (SELECT job_id, max(end_ms) AS d FROM conv_turns GROUP BY job_id),
+tu AS MATERIALIZED (SELECT job_id, a, b, row_number() OVER (PARTITION BY job_id ORDER BY a0, b0) AS rn, d FROM (SELECT t.job_id, greatest(0, t.start_ms) AS a, least(t.end_ms, d) AS b, t.start_ms AS a0, t.end_ms AS b0, d FROM turns t JOIN du USING (job_id)) WHERE b > a),
+fo AS (SELECT job_id, rn, a AS s, b AS r, NULL::BIGINT AS cs, NULL::BIGINT AS ce FROM tu WHERE rn = 1
+ UNION ALL SELECT t.job_id, t.rn, CASE WHEN t.b - f.s > 90000 AND f.r > f.s THEN greatest(0, f.r - 2000) ELSE f.s END, greatest(f.r, t.b), CASE WHEN t.b - f.s > 90000 AND f.r > f.s THEN f.s END, CASE WHEN t.b - f.s > 90000 AND f.r > f.s THEN f.r END FROM fo f JOIN tu t ON t.job_id = f.job_id AND t.rn = f.rn + 1),
+la AS (SELECT job_id, arg_max(s, rn) AS s, arg_max(r, rn) AS r, max(rn) AS n FROM fo GROUP BY job_id),
+sp AS (SELECT job_id, -1 AS o, 0 AS a, a AS b FROM tu WHERE rn = 1 AND a > 0 UNION ALL SELECT job_id, rn, cs, ce FROM fo WHERE cs IS NOT NULL UNION ALL SELECT job_id, n + 1, s, r FROM la
+ UNION ALL SELECT du.job_id, 1000000000, CASE WHEN la.job_id IS NULL THEN 0 ELSE greatest(0, r - 2000) END, d FROM du LEFT JOIN la USING (job_id) WHERE coalesce(r, 0) < d),
+ct AS (SELECT *, CASE WHEN b - a > 90000 THEN ceil((b - a - 90000) / 88000)::BIGINT ELSE 0 END AS n FROM sp),
+cx AS (SELECT job_id, o, k, a + k * 88000 AS start_ms, CASE WHEN k = n THEN b ELSE a + k * 88000 + 90000 END AS end_ms FROM (SELECT *, unnest(range(n + 1)) AS k FROM ct))
+SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY o, k) - 1)::INT AS chunk_ix, start_ms, end_ms FROM cx""", "turns").replace("\n, du AS", ",\ndu AS").replace("WITH ", "WITH RECURSIVE ", 1),
     "f22_probe": sql("SELECT job_id, turn_ix, start_ms, least(end_ms, 300000) AS end_ms, duration_ms FROM (SELECT *, max(end_ms) OVER (PARTITION BY job_id) AS duration_ms FROM turns) WHERE start_ms < 300000", "turns"),
     "t1_released_lines": with_cte(COVER, """SELECT l.recording, l.track, l.seq, CASE WHEN count(c.seq) FILTER (WHERE c.track = 'mic') > 0 AND count(c.seq) FILTER (WHERE c.track = 'system') > 0 THEN greatest(l.seq, min(c.seq) FILTER (WHERE c.track = 'mic'), min(c.seq) FILTER (WHERE c.track = 'system')) END AS released_at
  FROM cv l LEFT JOIN cv c ON c.recording = l.recording AND c.covered_ms > l.start_ms GROUP BY l.recording, l.track, l.seq""", "live"),

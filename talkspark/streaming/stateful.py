@@ -162,6 +162,60 @@ def released_with_idle(lines: DataFrame, tracks: tuple[str, ...] = ("mic", "syst
     return lines.groupBy("recording").transformWithStateInPandas(ReleaseWithIdle(tracks), ReleaseWithIdle.OUT, "append", "processingTime")
 
 
+# ---- step batches ------------------------------------------------------------------------------------------------
+
+
+class StepBatches(StatefulProcessor):
+    """Lines (recording, seq, start_ms, end_ms) to batches of about `step`: a batch goes out with the line that makes it long enough, or
+    `stale` after its first line came, so that a quiet meeting is worked on too."""
+
+    OUT = "recording bigint, number bigint, seq bigint, start_ms bigint, end_ms bigint"
+
+    def __init__(self, step: int = live.STEP_MS, stale: int = 60_000):
+        self.step, self.stale = step, stale
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "seq bigint, start_ms bigint, end_ms bigint")
+        self.number = handle.getValueState("number", "number bigint")
+
+    def out(self, key: tuple, gone: list[tuple], number: int, rest: list[tuple]) -> pd.DataFrame:
+        if rest:
+            self.held.put(rest)
+        else:
+            self.held.clear()
+        self.number.update((number,))
+        return pd.DataFrame([(key[0], *x) for x in gone], columns=["recording", "number", "seq", "start_ms", "end_ms"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = in_order(rows, ["start_ms", "seq"])
+        number = self.number.get()[0] if self.number.exists() else 0
+        rest, gone, waits = [tuple(x) for x in self.held.get()], [], self.held.exists()
+        for line in zip(new["seq"].tolist(), new["start_ms"].tolist(), new["end_ms"].tolist(), strict=True):
+            rest.append(line)
+            if line[2] - rest[0][1] >= self.step:
+                gone += [(number, *x) for x in rest]
+                number, rest = number + 1, []
+        if gone or not waits:  # another first line waits now, or none
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            if rest:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stale)
+        yield self.out(key, gone, number, rest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        number = self.number.get()[0]
+        gone = [(number, *x) for x in self.held.get()]
+        yield self.out(key, gone, number + bool(gone), [])
+
+    def close(self) -> None:
+        pass
+
+
+def step_batches(lines: DataFrame, step: int = live.STEP_MS, stale: int = 60_000) -> DataFrame:
+    return lines.groupBy("recording").transformWithStateInPandas(StepBatches(step, stale), StepBatches.OUT, "append", "processingTime")
+
+
 # ---- marks -------------------------------------------------------------------------------------------------------
 
 

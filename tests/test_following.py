@@ -228,3 +228,18 @@ def test_runs_of_a_hot_recording(spark):
     for rec in (1, 2, None):
         own = sorted((s, k, e) for c, s, e, k in rows if c == rec)
         assert [got[(rec, k)] for _, k, _ in own] == list(steps.walk([(s, e) for s, _, e in own], 500, True))
+
+
+def test_a_quiet_meeting_grows_stale(spark):
+    source, out, schema = new_path(spark, "quiet"), [], "recording bigint, seq bigint, start_ms bigint, end_ms bigint"
+    spark.createDataFrame([(1, 1, 0, 4000), (1, 2, 5000, 31_000), (1, 3, 32_000, 33_000)], schema).coalesce(1).write.parquet(source)
+    with stateful.typed_state(spark):
+        made = stateful.step_batches(spark.readStream.schema(schema).parquet(source), stale=1500)
+        q = made.writeStream.foreachBatch(lambda b, n: out.extend((r.number, r.seq) for r in b.collect())).option("checkpointLocation", new_path(spark, "quiet-state")).trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 60
+        while len(out) < 3 and time.time() < until:
+            time.sleep(0.3)
+    finally:
+        q.stop()
+    assert sorted(out) == [(0, 1), (0, 2), (1, 3)]
