@@ -19,9 +19,14 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Prompts that are broadcast.
+FEW = 10_000
+
+
 def grid(cases: DataFrame, prompts: DataFrame) -> DataFrame:
     """Every case with every prompt of every model: prompts has a row (model, prompt_id) for each."""
-    return cases.join(F.broadcast(prompts), F.lit(True))  # a few models and prompts, given by hand
+    # a few models and prompts, given by hand; were they many, neither side would be held whole
+    return cases.join(F.broadcast(prompts), F.lit(True)) if prompts.count() <= FEW else cases.crossJoin(prompts)
 
 
 def model_summaries(results: DataFrame) -> DataFrame:

@@ -308,6 +308,18 @@ SELECT recording, track, seq, stretch, count(*) OVER w AS n_window, min(start_ms
  WHERE b.event_type = 'view' AND c.event_type = 'click' GROUP BY ALL""", "live"),
     "t10_due_times": with_cte(COVER, "SELECT recording, seq, round((end_ms - min(start_ms) OVER (PARTITION BY recording)) / 4.0)::BIGINT AS due_ms FROM cv", "live"),
     "f16_item_updates": with_cte(UPDATES, "SELECT session, seq, kind, kind IN ('decision', 'todo') AND text <> '' AS valid FROM up"),
+    "m8_items": with_cte(UPDATES, """, m AS MATERIALIZED (SELECT session, seq, CASE WHEN seq % 4 = 0 THEN 'T' || (seq % 9 + 1) END AS key, seq % 8 = 0 AS usr, seq % 20 = 0 AS del, kind, text, owner, row_number() OVER (PARTITION BY session ORDER BY seq) AS rn FROM up),
+it AS (SELECT session, 0::BIGINT AS rn, []::STRUCT(id VARCHAR, kind VARCHAR, text VARCHAR, owner VARCHAR, at_ms BIGINT, deleted BOOLEAN, locked BOOLEAN)[] AS xs FROM m WHERE rn = 1
+ UNION ALL SELECT session, rn, CASE
+  WHEN usr AND (pos IS NULL OR pos = 0 OR xs[pos].deleted OR (NOT del AND text = '')) THEN xs
+  WHEN usr THEN list_transform(xs, lambda x, i: CASE WHEN i <> pos THEN x WHEN del THEN struct_pack(id := x.id, kind := x.kind, text := x.text, owner := x.owner, at_ms := x.at_ms, deleted := true, locked := true)
+   ELSE struct_pack(id := x.id, kind := x.kind, text := text, owner := owner, at_ms := x.at_ms, deleted := x.deleted, locked := true) END)
+  WHEN del THEN xs
+  WHEN pos > 0 THEN list_transform(xs, lambda x, i: CASE WHEN i <> pos OR x.locked THEN x ELSE struct_pack(id := x.id, kind := x.kind, text := coalesce(nullif(text, ''), x.text), owner := coalesce(nullif(owner, ''), x.owner), at_ms := x.at_ms, deleted := x.deleted, locked := x.locked) END)
+  WHEN kind IN ('decision', 'todo') AND text <> '' THEN list_append(xs, struct_pack(id := upper(kind[1]) || (len(list_filter(xs, lambda x: x.kind = kind)) + 1), kind := kind, text := text, owner := owner, at_ms := seq * 1000, deleted := false, locked := false))
+  ELSE xs END FROM (SELECT m.*, it.xs, list_position(list_transform(it.xs, lambda x: x.id), m.key) AS pos FROM it JOIN m ON m.session = it.session AND m.rn = it.rn + 1)),
+fi AS (SELECT session, unnest(xs) AS x FROM it QUALIFY row_number() OVER (PARTITION BY session ORDER BY rn DESC) = 1)
+SELECT session, x.id AS item, x.kind AS kind, x.text AS text, x.owner AS owner, x.at_ms AS "at", x.deleted AS deleted, x.locked AS locked FROM fi""").replace("WITH ", "WITH RECURSIVE ", 1),
     "m8_simple_items": with_cte(UPDATES, "SELECT session, item, arg_max(text, seq) FILTER (WHERE text <> '') AS text, arg_max(owner, seq) FILTER (WHERE owner <> '') AS owner, min(seq) * 1000 AS at_ms FROM up GROUP BY ALL"),
     "s12_items_markdown": with_cte(UPDATES, f""", ok AS (SELECT session, seq, kind, CASE WHEN kind = 'todo' THEN '- [ ] ' ELSE '- ' END || text || CASE WHEN owner <> '' THEN ' (owner: ' || owner || ')' ELSE '' END || ' [' || {CLOCK} || ']' AS l FROM up WHERE kind IN ('decision', 'todo') AND text <> '')
 SELECT session, '## Decisions' || chr(10) || chr(10) || coalesce(string_agg(l, chr(10) ORDER BY seq) FILTER (WHERE kind = 'decision'), 'None.') || chr(10) || chr(10) || '## To-dos' || chr(10) || chr(10) || coalesce(string_agg(l, chr(10) ORDER BY seq) FILTER (WHERE kind = 'todo'), 'None.') || chr(10) AS markdown FROM ok GROUP BY session"""),
