@@ -10,6 +10,7 @@ from talkspark.plans.oracle_views import sql
 from talkspark.sources import files
 from talkspark.sources.shared import new_path
 from talkspark.streaming import live as streams
+from talkspark.streaming import stateful
 
 ROUND = lambda c: F.round(c / 1000, 3)
 
@@ -135,7 +136,8 @@ def t1_stream(spark, sf):
     rows = meetings.covered_lines(spark, sf)
     rows.repartitionByRange(4, "seq").write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    streams.run_available(streams.released_stream(stream), out, new_path(spark, "released-state"))
+    with stateful.typed_state(spark):
+        streams.run_available(stateful.released_stream(stream).drop("released_at"), out, new_path(spark, "released-state"))
     return spark.read.schema("recording bigint, track string, seq bigint, start_ms bigint, end_ms bigint").parquet(out)
 
 

@@ -1,55 +1,9 @@
-"""Live meetings as streams: release of lines, event log, idempotent upserts."""
+"""Live meetings as streams: event log, idempotent upserts."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-#: A silent track counts as covered up to this long before the other.
-IDLE_MS = 1_000
-
-
-def release(state: dict, rows: list[dict], tracks: tuple[str, ...] = ("mic", "system")) -> list[dict]:
-    """Lines that are final after new rows: every track is covered past their start; in (start, end) order.
-
-    state (changed in place): covered by track, and pending lines. A row with heartbeat moves its track only.
-    """
-    covered, pending = state.setdefault("covered", {}), state.setdefault("pending", [])
-    for r in rows:
-        covered[r["track"]] = max(covered.get(r["track"], -1), r["covered_ms"])
-        if not r.get("heartbeat"):
-            pending.append({k: r[k] for k in ("track", "seq", "start_ms", "end_ms")})
-    level = min(covered.get(t, -1) for t in tracks)
-    out = sorted((p for p in pending if p["start_ms"] < level), key=lambda p: (p["start_ms"], p["end_ms"], p["seq"]))
-    state["pending"] = [p for p in pending if p["start_ms"] >= level]
-    return out
-
-
-def idle_heartbeats(rows: list[dict], tracks: tuple[str, ...] = ("mic", "system")) -> list[dict]:
-    """Heartbeats for tracks without rows: they follow the growing track IDLE_MS behind."""
-    seen = {r["track"] for r in rows}
-    newest = max((r["covered_ms"] for r in rows), default=None)
-    return [] if newest is None else [{"track": t, "covered_ms": newest - IDLE_MS, "heartbeat": True} for t in tracks if t not in seen]
-
-
-def released_stream(lines: DataFrame) -> DataFrame:
-    """A stream of lines (recording, track, seq, start_ms, end_ms, covered_ms) as a stream of final lines, keyed by recording."""
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else {}
-        rows = [r for f in frames for r in f.sort_values("seq").to_dict("records")]
-        for r in rows:
-            r |= {k: int(r[k]) for k in ("seq", "start_ms", "end_ms", "covered_ms")}
-        out = release(state, rows)
-        held.update((json.dumps(state),))
-        yield pd.DataFrame([{"recording": key[0]} | r for r in out], columns=["recording", "track", "seq", "start_ms", "end_ms"])
-
-    schema = "recording bigint, track string, seq bigint, start_ms bigint, end_ms bigint"
-    return lines.groupBy("recording").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:

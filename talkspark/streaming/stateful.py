@@ -80,12 +80,13 @@ class Covers:
 
 class ReleaseWithIdle(StatefulProcessor):
     """Rows (recording, track, seq, start_ms, end_ms, covered_ms, heard_ms) to lines that are final: every track is covered past
-    their start, or is idle. heard_ms is the clock of who reads the tracks; where that stands still, processing-time timers go on."""
+    their start, or is idle. heard_ms is the clock of who reads the tracks; where that stands still, processing-time timers go on.
+    Without idle, a track that is behind holds lines back as long as it is, and heard_ms isn't needed."""
 
     OUT = "recording bigint, track string, seq bigint, start_ms bigint, end_ms bigint, released_at bigint"
 
-    def __init__(self, tracks: tuple[str, ...] = ("mic", "system")):
-        self.tracks = tracks
+    def __init__(self, tracks: tuple[str, ...] = ("mic", "system"), idle: bool = True):
+        self.tracks, self.idle = tracks, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -125,6 +126,8 @@ class ReleaseWithIdle(StatefulProcessor):
 
     def wake(self, c: Covers, now: int) -> None:
         """A timer for when the first of the tracks that aren't covered as far as others may be idle."""
+        if not self.idle:
+            return
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         due = [c.heard.get(t, c.began) + IDLE_AFTER_MS for t in self.tracks if now - c.heard.get(t, c.began) < IDLE_AFTER_MS]
@@ -133,13 +136,16 @@ class ReleaseWithIdle(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = in_order(rows, ["seq"])
+        if not self.idle:
+            new["heard_ms"] = 0
         c = self.load()
         if not self.began.exists():
             c.began = int(new["heard_ms"].iloc[0])
         levels = np.zeros(len(new), np.int64)
         for i, (track, covered, now) in enumerate(zip(new["track"], new["covered_ms"], new["heard_ms"], strict=True)):
             c.row(track, int(covered), int(now))
-            c.follow_idle(int(now), self.tracks)
+            if self.idle:
+                c.follow_idle(int(now), self.tracks)
             levels[i] = c.level(self.tracks)
         waiting = pd.concat([self.old(), new[["track", "seq", "start_ms", "end_ms"]].assign(since=np.arange(len(new)))], ignore_index=True)
         yield from self.hand_out(key, waiting, levels, new["seq"].to_numpy())
@@ -158,6 +164,11 @@ class ReleaseWithIdle(StatefulProcessor):
         pass
 
 
+def released_stream(lines: DataFrame, tracks: tuple[str, ...] = ("mic", "system")) -> DataFrame:
+    """Final lines of a stream of lines (recording, track, seq, start_ms, end_ms, covered_ms)."""
+    return lines.groupBy("recording").transformWithStateInPandas(ReleaseWithIdle(tracks, False), ReleaseWithIdle.OUT, "append", "none")
+
+
 def released_with_idle(lines: DataFrame, tracks: tuple[str, ...] = ("mic", "system")) -> DataFrame:
     return lines.groupBy("recording").transformWithStateInPandas(ReleaseWithIdle(tracks), ReleaseWithIdle.OUT, "append", "processingTime")
 
@@ -291,17 +302,24 @@ class SettleMarks(StatefulProcessor):
         given = ((int(t), v if w else None, int(a), int(b)) for t, w, v, a, b in zip(new["time_ms"], new["is_window"], new["voice"], new["a"], new["b"], strict=True))
         done, waiting = after_rows(self.load(), given)
         self.save(waiting)
-        timers = set(self.handle.listTimers())
-        for m in waiting:
-            if m.at + GIVE_UP_MS not in timers:
-                self.handle.registerTimer(m.at + GIVE_UP_MS)
+        self.wake(waiting)
         yield self.told(key, done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done, waiting = settle(self.load(), expiredTimerInfo.getExpiryTimeInMs(), True)
+        # one timer for the first mark that runs out; the clock may have passed others since
+        done, waiting = settle(self.load(), timerValues.getCurrentWatermarkInMs(), True)
         self.save(waiting)
+        self.wake(waiting)
         yield self.told(key, done)
 
+    def wake(self, waiting: list[Mark]) -> None:
+        due, timers = min((m.at for m in waiting), default=-1) + GIVE_UP_MS, list(self.handle.listTimers())
+        for t in timers:
+            if not waiting or t != due:
+                self.handle.deleteTimer(t)
+        if waiting and due not in timers:
+            self.handle.registerTimer(due)
+
     def close(self) -> None:
         pass
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkspark.functions import scalars
 from talkspark.operators import attribution, chunks, lines, live, roster, samples, voices
-from talkspark.streaming import live as streams
+from talkspark.streaming import stateful
 
 
 def words(spark, rows, job=1):
@@ -188,14 +188,20 @@ def test_live_voices():
     assert got[(2, "system", "a")] == "S3" and got[(3, "mic", "a")] is None
 
 
-def test_release_waits_for_both_tracks():
-    state = {}
-    row = lambda t, s, c, q: {"track": t, "seq": q, "start_ms": s, "end_ms": s + 1, "covered_ms": c}
-    assert streams.release(state, [row("mic", 0, 1000, 0)]) == []
-    assert [r["seq"] for r in streams.release(state, [row("system", 500, 700, 1)])] == [0, 1]
-    beats = streams.idle_heartbeats([row("mic", 2000, 3000, 2)])
-    assert beats == [{"track": "system", "covered_ms": 2000, "heartbeat": True}]
-    assert streams.release(state, [row("mic", 1900, 3000, 3), *beats])[0]["seq"] == 3
+def test_cover_of_both_tracks():
+    c, both = stateful.Covers(), ("mic", "system")
+    c.row("mic", 1000, 0)
+    assert c.level(both) == -1
+    c.row("system", 700, 100)
+    assert c.level(both) == 700
+    c.row("mic", 3000, 1590)
+    c.follow_idle(1590, both)
+    assert c.level(both) == 700
+    c.row("mic", 3200, 1600)
+    c.follow_idle(1600, both)
+    assert c.level(both) == 2200
+    c.follow_idle(9000, both)  # nobody grows: nothing moves
+    assert c.level(both) == 2200
 
 
 def test_scalars(spark):
