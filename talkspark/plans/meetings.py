@@ -230,8 +230,10 @@ def u1(spark, sf):
 
 
 def rules(spark, sf):
-    n = views.table(spark, sf, "nation")
-    r = n.select((F.col("n_nationkey") * 100).alias("case_id"), F.when(F.col("n_nationkey") % 2 == 0, "must_have").otherwise("must_not").alias("kind"), F.lower(F.substring("n_name", 1, 2)).alias("fragment"), (10 + F.col("n_nationkey")).alias("points"))
+    """Two rules for each customer, of cases that may be there."""
+    c = views.table(spark, sf, "customer")
+    case = F.col("c_custkey") * 100 + F.col("c_nationkey") % 8
+    r = c.select(case.alias("case_id"), F.when(F.col("c_custkey") % 2 == 0, "must_have").otherwise("must_not").alias("kind"), F.lower(F.substring("c_mktsegment", 1, 2)).alias("fragment"), (10 + F.col("c_nationkey")).alias("points"))
     return r.unionByName(r.withColumn("case_id", F.col("case_id") + 1))
 
 
@@ -330,7 +332,7 @@ SELECT model, use_case, first(prompt_id ORDER BY coalesce(j, -1) DESC, q DESC, g
     "a16_recommended": with_cte(EVAL, """SELECT 'best' AS pick, model, prompt_id FROM (SELECT *, row_number() OVER (ORDER BY coalesce(judge, -1) DESC, coalesce(performance, -1) DESC, chars_per_second DESC, model, prompt_id) AS rn FROM s2) WHERE rn = 1
  UNION ALL SELECT 'fastest', model, prompt_id FROM (SELECT *, row_number() OVER (ORDER BY chars_per_second DESC, model, prompt_id) AS rn FROM s2 WHERE judge >= 60) WHERE rn = 1""", "conv_turns"),
     "a17_test_set": with_cte(EVAL, "SELECT count(DISTINCT case_id) AS n_cases, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, count(DISTINCT CASE WHEN NOT valid THEN case_id END) AS n_excluded FROM ev", "conv_turns"),
-    "a18_rule_judge": with_cte(EVAL, """, ru AS (SELECT unnest([n_nationkey * 100, n_nationkey * 100 + 1]) AS case_id, CASE WHEN n_nationkey % 2 = 0 THEN 'must_have' ELSE 'must_not' END AS kind, lower(substr(n_name, 1, 2)) AS fragment, 10 + n_nationkey AS points FROM nation),
+    "a18_rule_judge": with_cte(EVAL, """, ru AS (SELECT unnest([c_custkey * 100 + c_nationkey % 8, c_custkey * 100 + c_nationkey % 8 + 1]) AS case_id, CASE WHEN c_custkey % 2 = 0 THEN 'must_have' ELSE 'must_not' END AS kind, lower(substr(c_mktsegment, 1, 2)) AS fragment, 10 + c_nationkey AS points FROM customer),
 r AS (SELECT job_id * 100 + turn AS case_id, output, text, least(length(output), length(text)) / greatest(length(text), 1) AS ratio FROM eo),
 f AS (SELECT case_id, sum(points) AS lost, string_agg(kind || ':' || fragment, ';' ORDER BY kind || ':' || fragment) AS notes FROM r JOIN ru USING (case_id) WHERE (kind = 'must_have') <> contains(lower(output), fragment) GROUP BY case_id)
 SELECT case_id, round(CASE WHEN trim(output) = '' THEN 0.0 WHEN output = text THEN 100.0 ELSE greatest(0.0, least(100.0, 100 * ratio - coalesce(lost, 0))) END, 6) AS judge, coalesce(notes, '') AS notes FROM r LEFT JOIN f USING (case_id)""", "conv_turns"),

@@ -205,8 +205,10 @@ def m10(spark, sf):
 
 
 def m9(spark, sf):
-    presets = views.table(spark, sf, "nation").select(F.col("n_name").alias("key"), F.concat(F.lit("preset "), "n_name").alias("text"))
-    saved = views.table(spark, sf, "nation").where("n_nationkey % 3 = 0").select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.concat("n_name", F.lit("*"))).alias("key"), F.lit("own").alias("text"))
+    """A preset for each customer; a third have one saved, half of these under a key of their own."""
+    c = views.table(spark, sf, "customer")
+    presets = c.select(F.col("c_name").alias("key"), F.concat(F.lit("preset "), "c_mktsegment").alias("text"))
+    saved = c.where("c_custkey % 3 = 0").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("*"))).alias("key"), F.lit("own").alias("text"))
     return roster.library(presets, saved)
 
 
@@ -295,7 +297,7 @@ def f14(spark, sf):
 
 
 def o7(spark, sf):
-    return roster.fuzzy(views.table(spark, sf, "nation").select(F.col("n_name").alias("name")), "an").select("name", "span")
+    return roster.fuzzy(views.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name")), "rig").select("p_partkey", "name", "span")
 
 
 QUERIES = {
@@ -341,7 +343,7 @@ SELECT print_id, CASE WHEN score >= 0.75 THEN name END AS resolved, CASE WHEN sc
     "m11_current_status": """SELECT job_id, status, CASE WHEN status = 'running' THEN greatest(1, p) ELSE p END AS percent FROM (SELECT user_id AS job_id, arg_max(CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' ELSE 'running' END, event_id) AS status,
  greatest(0, least(100, arg_max(event_id % 131 - 10, event_id))) AS p FROM events GROUP BY user_id)""",
     "m10_queue": """SELECT path, seq, CASE WHEN s = 'running' THEN 'waiting' ELSE s END AS state FROM (SELECT event_id % 977 AS path, max(event_id) AS seq, arg_max(CASE WHEN event_type = 'error' THEN 'done' WHEN event_type = 'click' THEN 'running' ELSE 'waiting' END, event_id) AS s FROM events GROUP BY ALL) WHERE s <> 'done'""",
-    "m9_persona_library": """SELECT coalesce(s.key, n_name) AS key, coalesce(s.text, 'preset ' || n_name) AS text, s.text IS NOT NULL AS is_saved FROM nation FULL JOIN (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE n_name || '*' END AS key, 'own' AS text FROM nation WHERE n_nationkey % 3 = 0) s ON n_name = s.key""",
+    "m9_persona_library": """SELECT coalesce(s.key, c_name) AS key, coalesce(s.text, 'preset ' || c_mktsegment) AS text, s.text IS NOT NULL AS is_saved FROM customer FULL JOIN (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || '*' END AS key, 'own' AS text FROM customer WHERE c_custkey % 3 = 0) s ON c_name = s.key""",
     "m1_channels_united": sql("SELECT job_id, turn_ix, CASE WHEN turn_ix % 2 = 0 THEN 'L_' ELSE 'R_' END || speaker AS speaker, start_ms, end_ms FROM turns", "turns"),
     "a4_collapsed_turns": sql("""SELECT job_id, turn_ix, CASE WHEN turn_ix % 2 = 0 THEN min(CASE WHEN turn_ix % 2 = 0 THEN 'L_' || speaker END) OVER (PARTITION BY job_id) ELSE 'R_' || speaker END AS speaker, start_ms, end_ms FROM turns""", "turns"),
     "a4_collapsed_prints": sql(""", e AS (SELECT vec_id // 6 AS job_id, ['L_user', 'L_assistant', 'L_system', 'R_user', 'R_assistant', 'R_system'][vec_id % 6 + 1] AS speaker, embedding FROM embeddings),
@@ -369,5 +371,5 @@ gp AS (SELECT vec_id, recording, v, window_ix, list(x ORDER BY d) AS p FROM gs G
 gm AS (SELECT gp.*, name, list_cosine_similarity(p, centroid) AS score FROM gp, voices)
 SELECT recording, 'W' || v AS voice, window_ix, name AS match, round(greatest(score, 0.0), 4) AS score, CASE WHEN score >= 0.3 AND name <> 'voice_' || v THEN name END AS suggested
  FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, name) AS rn FROM gm) WHERE rn = 1""", "voices").replace("\n, gw AS", ",\ngw AS"),
-    "o7_fuzzy_names": "SELECT n_name AS name, length(regexp_extract(n_name, '(?i)a.*?n'))::INT AS span FROM nation WHERE regexp_matches(n_name, '(?i)a.*?n')",
+    "o7_fuzzy_names": "SELECT p_partkey, p_name AS name, length(regexp_extract(p_name, '(?i)r.*?i.*?g'))::INT AS span FROM part WHERE regexp_matches(p_name, '(?i)r.*?i.*?g')",
 }
