@@ -226,3 +226,72 @@ def test_ids_are_cut_by_number():
     column = pa.array([[1] * 5, None, [], [2] * 9, [3], [4] * 4], pa.list_(pa.int32()))
     parts = list(bpe.id_slices(column, 6))
     assert parts == [(0, 3), (3, 1), (4, 2)] and list(bpe.id_slices(column[:0], 6)) == []
+
+
+def random_page(r):
+    """A page, and the blocks of its article: built together, so that nothing is parsed to know them."""
+    blocks, held = [], []
+
+    def words():
+        t = " ".join(r.choices(["one", "it's", 'the "end"', "a<b", "x & y", "ß", "café"], k=r.randrange(1, 5)))
+        held.append(" " + t + "\n")
+        return " " + t.replace("&", "&amp;").replace("<", "&lt;").replace("é", r.choice(["é", "&eacute;", "&#233;"])) + "\n"
+
+    def stop():
+        text = " ".join("".join(held).split())
+        held.clear()
+        if text:
+            blocks.append(text)
+
+    def unseen(html):
+        stop()
+        return html
+
+    def inline(depth):
+        out = words()
+        if depth and r.random() < 0.5:
+            name = r.choice(["b", "a href='/x?a=1&b=2'", "span class=related", 'em title="a > b"'])
+            out += f"<{name}>" + inline(depth - 1) + f"</{name.split()[0]}>" + words()
+        if r.random() < 0.2:
+            held.append(" ")
+            out += "<br>"
+        return out
+
+    def block(depth):
+        kind = r.choice(["p", "div", "section", "ul", "h2", "script", "aside", "comment", "advert", "blockquote"])
+        if kind == "script":
+            return unseen("<script>if (a<b) s='<p class=\"x' + \"<div \";</script>")
+        if kind == "aside":
+            return unseen("<aside>see <p>also</p></aside>")
+        if kind == "advert":
+            return unseen("<div class='advert big'><p>buy</p> now</div>")
+        if kind == "comment":
+            return "<!-- <p>not this</p> -->"
+        stop()
+        if kind == "ul":
+            out = "<ul>"
+            for _ in range(r.randrange(1, 4)):
+                out += "<li>" + inline(2)
+                stop()
+            out += "</ul>"
+        elif kind in ("p", "h2") or not depth:
+            out = f"<{kind}>" + inline(2) + f"</{kind}>"
+        else:
+            out = f"<{kind} class=c{r.randrange(3)}>" + "".join(block(depth - 1) if r.random() < 0.7 else inline(1) for _ in range(r.randrange(1, 5))) + f"</{kind}>"
+        stop()
+        return out
+
+    body = ""
+    for _ in range(r.randrange(1, 6)):
+        body += block(r.randrange(0, 3))
+    stop()
+    return body, list(blocks)
+
+
+def test_pages_equal_how_they_were_built():
+    r = random.Random(9)
+    for _ in range(300):
+        inner, want = random_page(r)
+        html = "<!doctype html><html><head><title>t</title><style>p{}</style></head><body><header>top</header><nav><a href=/>menu</a></nav><article>" + inner + "</article><footer>end</footer></body></html>"
+        if want:
+            assert html_template.Page(html).text(None).split("\n") == want, html
