@@ -89,10 +89,9 @@ class Model:
             # counts of counts decide the discounts: one row for each fold, joined by broadcast
             d = counts.groupBy(*self.by).agg(*(F.count(F.when(c == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)))
             y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-            d = d.select(*self.by, *(
-                F.coalesce(F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)))), F.lit(0.5 * i)).alias(f"d{i}")
-                for i in (1, 2, 3)
-            ))
+            # greatest and least skip nulls, so what isn't defined needs the condition
+            raw = lambda i: i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0))  # noqa: E731,B023
+            d = d.select(*self.by, *(F.when(raw(i).isNotNull(), F.greatest(F.lit(0.1), F.least(F.lit(i - 0.1), raw(i)))).otherwise(F.lit(0.5 * i)).alias(f"d{i}") for i in (1, 2, 3)))
             cell = counts.join(F.broadcast(d), self.by or None).withColumn("context", F.shiftright("gram", 8))
             less = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
             cell = cell.select(*self.by, "gram", "context", "n", less.alias("less"))

@@ -1,5 +1,6 @@
 """License scans, spelling variants and hard negatives against slow twins, and their odd rows."""
 
+import math
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from talkspark.llm import bpe, cover_tree, gru_langid, html_template, license_scan, spelling_variants
+from talkspark.llm import bpe, cover_tree, gru_langid, html_template, kn_quality, license_scan, spelling_variants
 
 # ---- license scans ------------------------------------------------------------------------------------------------
 
@@ -295,3 +296,56 @@ def test_pages_equal_how_they_were_built():
         html = "<!doctype html><html><head><title>t</title><style>p{}</style></head><body><header>top</header><nav><a href=/>menu</a></nav><article>" + inner + "</article><footer>end</footer></body></html>"
         if want:
             assert html_template.Page(html).text(None).split("\n") == want, html
+
+
+# ---- language model -----------------------------------------------------------------------------------------------
+
+
+def kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney by its definition: a function of (context, byte)."""
+    fold = lambda t: bytes(48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in t.encode())
+    counts = {order: {}}
+    for t in texts:
+        s = b"\n" * (order - 1) + fold(t) + b"\n"
+        for i in range(order, len(s) + 1):
+            counts[order][s[i - order : i]] = counts[order].get(s[i - order : i], 0) + 1
+    for k in range(order - 1, 0, -1):  # in how many different longer n-grams
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    less = {}
+    for k, c in counts.items():
+        n = [sum(v == i for v in c.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else None
+        less[k] = [0] + [0.5 * i if y is None or not n[i] else max(0.1, min(i - 0.1, i - (i + 1) * y * n[i + 1] / n[i])) for i in (1, 2, 3)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        own = {h: c for h, c in counts[k].items() if h[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        total = sum(own.values())
+        back = sum(less[k][min(c, 3)] for c in own.values()) / total
+        return max(0, own.get(g, 0) - less[k][min(own.get(g, 0), 3)]) / total + back * p(g[1:])
+
+    def nll(t):
+        s = b"\n" * (order - 1) + fold(t) + b"\n"
+        return -sum(math.log(p(s[i - order : i])) for i in range(order, len(s) + 1))
+
+    return nll
+
+
+def test_language_model_equals_its_definition(spark):
+    r = random.Random(12)
+    texts = [" ".join(r.choices(["the", "cat", "Sat", "on", "mats", "1999", "é", "of"], k=r.randrange(1, 9))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    good = [i for i in range(40) if i % 3]
+    folds = {x.doc_id: x.f for x in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(kn_quality.FOLDS)).alias("f")).collect()}
+    got = {x.doc_id: (x.nll, x.n_bytes) for x in kn_quality.scored(docs, spark.createDataFrame([(i,) for i in good], "doc_id bigint")).collect()}
+    for f in set(folds.values()):
+        model = kneser_ney([texts[i] for i in good if folds[i] != f], kn_quality.ORDER)
+        for i in range(40):
+            if folds[i] == f:
+                assert got[i] == (pytest.approx(model(texts[i])), len(texts[i].encode()) + 1)
