@@ -349,3 +349,35 @@ def test_language_model_equals_its_definition(spark):
         for i in range(40):
             if folds[i] == f:
                 assert got[i] == (pytest.approx(model(texts[i])), len(texts[i].encode()) + 1)
+
+
+def test_network_reads_as_its_equations_say():
+    """Whole texts, byte by byte with scalars: segments start anew, padding isn't read, documents get the mean over their bytes."""
+    r, net = np.random.default_rng(2), gru_langid.Network(["a", "b", "c"], hidden=3)
+    net.p["out"] = r.normal(size=net.p["out"].shape).astype(np.float32)
+    net.p["bias"] = r.normal(size=net.p["bias"].shape).astype(np.float32)
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def states(part, d):
+        p, h, out, s = net.p, net.h, {}, [0.0] * net.h
+        for t in range(len(part)) if d == "f" else range(len(part) - 1, -1, -1):
+            x = [float(v) for v in p[f"in{d}"][:, part[t]]]
+            gate = [sigmoid(x[i] + sum(float(p[f"rec{d}"][i, j]) * s[j] for j in range(h))) for i in range(2 * h)]
+            new = [math.tanh(x[2 * h + i] + sum(float(p[f"cand{d}"][i, j]) * gate[h + j] * s[j] for j in range(h))) for i in range(h)]
+            s = [gate[i] * s[i] + (1 - gate[i]) * new[i] for i in range(h)]
+            out[t] = s
+        return out
+
+    texts = ["Één straße".encode(), b"x" * 64, b"The quick brown fox " * 9, b"q"]
+    best, score = net.documents(texts)
+    for text, b, sc in zip(texts, best, score, strict=True):
+        sums, low = [0.0] * 3, bytes(c + 32 if 65 <= c <= 90 else c for c in text)
+        for i in range(0, len(low), gru_langid.SEGMENT):
+            part = low[i : i + gru_langid.SEGMENT]
+            f, w = states(part, "f"), states(part, "b")
+            for t in range(len(part)):
+                logits = [float(net.p["bias"][k, 0]) + sum(float(net.p["out"][k, j]) * v for j, v in enumerate(f[t] + w[t])) for k in range(3)]
+                e = [math.exp(v - max(logits)) for v in logits]
+                sums = [a + v / sum(e) for a, v in zip(sums, e, strict=True)]
+        means = [v / len(text) for v in sums]
+        assert b == max(range(3), key=means.__getitem__) and sc == pytest.approx(max(means), rel=1e-4)
