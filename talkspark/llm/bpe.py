@@ -26,6 +26,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,6 +243,26 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), values], [*(batch.schema.names[i] for i in keep), name])
 
 
+def ids_of(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    flat, counts = encoder.encode(texts.to_pylist())
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+
+
+def texts_of(v: Vocabulary, column: pa.Array) -> pa.Array:
+    """The text of each list of ids; null gives an empty one, ids that aren't known nothing."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    known = (values >= 0) & (values < v.size)
+    values = np.where(known, values, 0)
+    lengths = np.where(known, v.lengths[values], 0)
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    data = v.flat[np.repeat(v.starts[values] - ends + lengths, lengths) + np.arange(total)].tobytes()
+    edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+    return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.string())
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with an array of ids for each whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +270,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
         for batch in batches:
             for start, n in slices(batch.column(text)):
                 part = batch.slice(start, n)
-                flat, counts = encoder.encode(part.column(text).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield with_column(part, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
+                yield with_column(part, ids, ids_of(encoder, part.column(text)))
 
     fields = [f for f in docs.schema.fields if f.name != ids]
     return docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType(), True))]))
@@ -264,30 +283,37 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", text: str = "deco
         for batch in batches:
             for start, n in id_slices(batch.column(ids)):
                 part = batch.slice(start, n)
-                column = part.column(ids)
-                values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                counts = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
-                known = (values >= 0) & (values < v.size)
-                values = np.where(known, values, 0)
-                lengths = np.where(known, v.lengths[values], 0)
-                ends = np.cumsum(lengths)
-                total = int(ends[-1]) if len(ends) else 0
-                data = v.flat[np.repeat(v.starts[values] - ends + lengths, lengths) + np.arange(total)].tobytes()
-                edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                yield with_column(part, text, pa.array(texts, pa.string()))
+                yield with_column(part, text, texts_of(v, part.column(ids)))
 
     fields = [f for f in docs.schema.fields if f.name != text]
     return docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(text, T.StringType(), True)]))
 
 
+def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs without the text, with its ids and what these decode to: one worker and one vocabulary for both."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(vocabulary)
+        encoder = Encoder(v)
+        for batch in batches:
+            for start, n in slices(batch.column(text)):
+                part = batch.slice(start, n)
+                found = ids_of(encoder, part.column(text))
+                part = with_column(part.select(names), ids, found)
+                for at, k in id_slices(found):
+                    yield with_column(part.slice(at, k), decoded, texts_of(v, found.slice(at, k)))
+
+    fields = [f for f in docs.schema.fields if f.name not in (text, ids, decoded)]
+    names = [f.name for f in fields]
+    return docs.mapInArrow(tidy(run), T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType(), True)), T.StructField(decoded, T.StringType(), True)]))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, vocabulary).drop("text"), vocabulary)
+    both = round_trip(docs, vocabulary)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),

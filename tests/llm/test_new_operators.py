@@ -381,3 +381,15 @@ def test_network_reads_as_its_equations_say():
                 sums = [a + v / sum(e) for a, v in zip(sums, e, strict=True)]
         means = [v / len(text) for v in sums]
         assert b == max(range(3), key=means.__getitem__) and sc == pytest.approx(max(means), rel=1e-4)
+
+
+def test_one_pass_equals_two(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "Hello  world, 中文 é\n"), (2, None), (3, ""), (None, "x" * 5000), (4, "<|endoftext|> and ퟿"), (4, "the cat " * 3000)]
+    docs = spark.createDataFrame([(i, t, "k", "i") for i, t in rows], "doc_id bigint, text string, kept string, ids string")
+    two = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    one = bpe.round_trip(docs, path)
+    assert sorted(map(str, one.select("doc_id", "kept", "ids", "decoded").collect())) == sorted(map(str, two.select("doc_id", "kept", "ids", "decoded").collect()))
+    assert {x.decoded for x in one.collect()} == {t or "" for _, t in rows}
