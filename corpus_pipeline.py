@@ -60,7 +60,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    both = bpe.round_trip(docs.select("doc_id", "text"), vocabulary)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
