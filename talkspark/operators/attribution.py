@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkspark.functions.scalars import UNKNOWN
 from talkspark.operators.intervals import best_by, overlap_join
+from talkspark.operators.places import dealt
 
 PAUSE_MS = 150
 CHUNK = ["job_id", "chunk_ix"]
@@ -19,15 +20,15 @@ def utterances(words: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
     return words.withColumn("utt", F.sum(F.coalesce((gap >= pause_ms).cast("int"), F.lit(0))).over(order))
 
 
-def spans_speakers(spans: DataFrame, turns: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
+def spans_speakers(spans: DataFrame, turns: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """keys, speaker, seconds, first: time that each speaker shares with a group of spans.
 
-    spans: keys, parts that order the spans of a group, start_ms, end_ms. Ties go to the speaker of the
-    earliest (part, turn_ix) that overlaps.
+    spans: keys, order of the spans of a group, start_ms, end_ms. Ties go to the speaker of the
+    earliest (order, turn_ix) that overlaps.
     """
     t = turns.select("job_id", "speaker", "turn_ix", F.col("start_ms").alias("turn_start"), F.col("end_ms").alias("turn_end"))
-    pairs = overlap_join(spans.select(*keys, *parts, "start_ms", "end_ms"), t, ["job_id"])
-    return pairs.groupBy(*keys, "speaker").agg(F.sum("overlap").alias("shared"), F.min(F.struct(*parts, "turn_ix")).alias("first"))
+    pairs = overlap_join(spans.select(*keys, *order, "start_ms", "end_ms"), t, ["job_id"], parts=parts)
+    return pairs.groupBy(*keys, "speaker").agg(F.sum("overlap").alias("shared"), F.min(F.struct(*order, "turn_ix")).alias("first"))
 
 
 def top_speaker(shares: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,12 +37,12 @@ def top_speaker(shares: DataFrame, keys: list[str]) -> DataFrame:
     return shares.groupBy(*keys).agg(best).select(*keys, F.col("best.speaker").alias("speaker"), (-F.col("best.less")).alias("shared"))
 
 
-def attributed(words: DataFrame, turns: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
-    """words with utt and speaker: that of its utterance, UNKNOWN where no turn overlaps."""
+def attributed(words: DataFrame, turns: DataFrame, pause_ms: int = PAUSE_MS, parts: int | None = None) -> DataFrame:
+    """words with utt and speaker: that of its utterance, UNKNOWN where no turn overlaps. parts: as of dealt()."""
     said = utterances(words, pause_ms)
     keys = [*CHUNK, "utt"]
-    best = top_speaker(spans_speakers(said, turns, keys, ["pos"]), keys).drop("shared")
-    return said.join(best, keys, "left").withColumn("speaker", F.coalesce("speaker", F.lit(UNKNOWN)))
+    best = top_speaker(spans_speakers(said, turns, keys, ["pos"], parts), keys).drop("shared")
+    return dealt(said, parts, *keys).join(dealt(best, parts, *keys).hint("merge"), keys, "left").withColumn("speaker", F.coalesce("speaker", F.lit(UNKNOWN)))
 
 
 def dominant(spans: DataFrame, turns: DataFrame) -> DataFrame:
@@ -58,11 +59,11 @@ def text_of(words: Column, field: str = "word") -> Column:
     return F.array_join(F.transform(words, lambda w: w[field]), " ")
 
 
-def segments(words: DataFrame) -> DataFrame:
+def segments(words: DataFrame, parts: int | None = None) -> DataFrame:
     """Islands of one speaker within a chunk: (job_id, chunk_ix, seg_ix, speaker, confidence, start, end, text, n_words)."""
     order = Window.partitionBy(*CHUNK).orderBy("pos")
     change = F.coalesce((F.col("speaker") != F.lag("speaker").over(order)).cast("int"), F.lit(0))
-    marked = words.withColumn("change", change).withColumn("seg_ix", F.sum("change").over(order))
+    marked = dealt(words, parts, *CHUNK).withColumn("change", change).withColumn("seg_ix", F.sum("change").over(order))
     word = F.struct("pos", "word", "start_ms", "end_ms")
     out = marked.groupBy(*CHUNK, "seg_ix").agg(
         F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"),
@@ -80,12 +81,12 @@ def job_results(jobs: DataFrame, turns: DataFrame, segments: DataFrame) -> DataF
     return jobs.join(heard, "job_id", "left").join(said, "job_id", "left").withColumns(zero)
 
 
-def merged(asr: DataFrame, words: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merged(asr: DataFrame, words: DataFrame, turns: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Segments of chunks with words, then of chunks with text only; and warnings, one for each job and kind.
 
     asr: job_id, chunk_ix, text, start_ms, end_ms. Chunks without either give nothing.
     """
-    by_word = segments(attributed(words, turns))
+    by_word = segments(attributed(words, turns, parts=parts), parts)
     rest = asr.join(words.select(*CHUNK).distinct(), CHUNK, "left_anti").where(F.trim("text") != "")
     by_text = dominant(rest.withColumnRenamed("chunk_ix", "span_ix"), turns).withColumnRenamed("span_ix", "chunk_ix")
     columns = [*CHUNK, "seg_ix", "speaker", "speaker_confidence", "start_ms", "end_ms", "text"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkspark.functions.scalars import display_name, rendered
+from talkspark.operators.places import dealt
 
 #: A silence splits at the 90th percentile of the last HISTORY gaps, LEAST_MS at least, once KNOWN gaps are there.
 LEAST_MS, HISTORY, KNOWN, SHARE = 600, 20, 5, 0.9
@@ -24,16 +25,17 @@ def newest(gaps: Column) -> Column:
     return F.when(F.size(gaps) <= HISTORY, gaps).otherwise(F.slice(gaps, -HISTORY, HISTORY))
 
 
-def split_words(words: DataFrame, before: DataFrame | None = None, keep: bool = False) -> DataFrame:
+def split_words(words: DataFrame, before: DataFrame | None = None, keep: bool = False, parts: int | None = None) -> DataFrame:
     """words of segments (job_id, seg_no, speaker, pos, ...) with line_no within the job.
 
     seg_no orders the segments of a job. A line begins with each segment, after a word that ends a sentence, and
     at a silence that is long for the speaker's run of segments: gaps within segments only, those before the
     current one, forgotten when the speaker changes. before (job_id, run_speaker, gaps, n_lines) tells of the
     words until now: the last one's speaker, history_gaps() and the number of lines; keep leaves the columns that it needs.
+    parts: as of dealt().
     """
     job = Window.partitionBy("job_id").orderBy("seg_no", "pos")
-    w = words.withColumns({"before": F.lag("speaker").over(job), "seg_before": F.lag("seg_no").over(job), "end_before": F.lag("end_ms").over(job), "word_before": F.lag("word").over(job)})
+    w = dealt(words, parts, "job_id").withColumns({"before": F.lag("speaker").over(job), "seg_before": F.lag("seg_no").over(job), "end_before": F.lag("end_ms").over(job), "word_before": F.lag("word").over(job)})
     change = F.coalesce(F.col("speaker") != F.col("before"), F.lit(True)).cast("int")
     opens = F.coalesce(F.col("seg_no") != F.col("seg_before"), F.lit(True))
     w = w.withColumns({"run": F.sum(change).over(job), "opens": opens, "gap": F.when(~opens, F.greatest(F.lit(0), F.col("start_ms") - F.col("end_before")))})

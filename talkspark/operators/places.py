@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkspark.sources.shared import new_path
 
 
+#: Rows that one task of a dealt shuffle gets.
+TASK_ROWS = 250_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions that rows are dealt over: as many as keep one task's rows the same however many there are, one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """rows in parts by keys; without parts as the next step deals them.
+
+    Spark sizes a step's partitions by the bytes that were shuffled. Those tell little of what a task then holds where texts become
+    words, and words, which are packed into a few bytes each, are sorted.
+    """
+    return rows if parts is None else rows.repartition(parts, *keys)
+
+
 def in_ranges(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """rows sorted into ranges of (keys, order), with the range's number; kept, as ranges may be drawn otherwise the next time.
 

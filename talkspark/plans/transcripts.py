@@ -15,7 +15,8 @@ CLOCK = "lpad((greatest(start_ms // 1000, 0) % 86400 // 3600)::VARCHAR, 2, '0')
 
 
 def made_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.lines(lines.split_words(views.segment_words(spark, sf)))
+    parts = views.word_parts(spark, sf)
+    return lines.lines(lines.split_words(views.segment_words(spark, sf, parts), parts=parts))
 
 
 def transcript(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,7 +33,7 @@ def j1(spark, sf):
 
 
 def w2(spark, sf):
-    s = attribution.segments(views.spoken(spark, sf))
+    s = views.spoken_segments(spark, sf)
     return s.select("job_id", "chunk_ix", "seg_ix", "speaker", "speaker_confidence", "start_ms", "end_ms", "text", F.size("words").cast("long").alias("n_words"))
 
 
@@ -50,8 +51,9 @@ def asr(spark, sf):
 
 
 def j3(spark, sf):
-    timed = views.words(spark, sf).where("job_id % 3 <> 0")
-    out, _ = attribution.merged(asr(spark, sf), timed, views.turns(spark, sf))
+    parts = views.word_parts(spark, sf)
+    timed = views.words(spark, sf, parts).where("job_id % 3 <> 0")
+    out, _ = attribution.merged(asr(spark, sf), timed, views.turns(spark, sf), parts)
     return out.withColumn("speaker_confidence", F.round("speaker_confidence", 6))
 
 
@@ -71,12 +73,13 @@ def f23(spark, sf):
     """Every fourth job is diarized only."""
     jobs = views.conv_turns(spark, sf).select("job_id").distinct().withColumn("transcribed", F.col("job_id") % 4 != 0)
     heard = views.turns(spark, sf)
-    words = views.words(spark, sf).where("job_id % 4 <> 0")
-    return attribution.job_results(jobs, heard, attribution.segments(attribution.attributed(words, heard)))
+    parts = views.word_parts(spark, sf)
+    words = views.words(spark, sf, parts).where("job_id % 4 <> 0")
+    return attribution.job_results(jobs, heard, attribution.segments(attribution.attributed(words, heard, parts=parts), parts))
 
 
 def w5(spark, sf):
-    s = attribution.segments(views.spoken(spark, sf)).withColumn("seg_no", F.col("chunk_ix") * 100000 + F.col("seg_ix"))
+    s = views.spoken_segments(spark, sf).withColumn("seg_no", F.col("chunk_ix") * 100000 + F.col("seg_ix"))
     return lines.sentence_lines(s)
 
 

@@ -7,24 +7,32 @@ from pyspark.sql import functions as F
 
 from talkspark.functions.scalars import normalised
 from talkspark.operators import attribution
+from talkspark.operators.places import dealt, parts_for
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def conv_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for the words of all conversations, which are counted in a pass of their own."""
+    n = table(spark, sf_dir, "conversations").agg(F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()[0]
+    return parts_for(spark, n)
+
+
+def conv_turns(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """A meeting for each conversation: 400 ms a word, a pause of 800 ms every 11 words, 700 ms between turns."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), "turn", F.col("role").alias("speaker"), normalised(F.col("text")).alias("text"))
     c = c.withColumn("n_words", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " "))).cast("long"))
     c = c.withColumn("dur_ms", 400 * F.col("n_words") + 800 * F.floor(F.col("n_words") / 11))
+    c = dealt(c, parts, "job_id")
     before = Window.partitionBy("job_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("start_ms", F.coalesce(F.sum(F.col("dur_ms") + 700).over(before), F.lit(0)))
     return c.withColumn("end_ms", F.col("start_ms") + F.col("dur_ms"))
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = conv_turns(spark, sf_dir).where("n_words > 0").select("job_id", "turn", F.col("start_ms").alias("t"), F.posexplode(F.split("text", " ")).alias("ix", "word"))
+def words(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    w = conv_turns(spark, sf_dir, parts or word_parts(spark, sf_dir)).where("n_words > 0").select("job_id", "turn", F.col("start_ms").alias("t"), F.posexplode(F.split("text", " ")).alias("ix", "word"))
     w = w.withColumn("start_ms", F.col("t") + 400 * F.col("ix") + 800 * F.floor(F.col("ix") / 11))
     return w.select("job_id", F.floor(F.col("start_ms") / 90000).alias("chunk_ix"), F.col("start_ms").alias("pos"), "word", "start_ms", (F.col("start_ms") + 300).alias("end_ms"))
 
@@ -37,14 +45,20 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("job_id", F.col("turn").alias("turn_ix"), "speaker", start.alias("start_ms"), end.alias("end_ms")).where("end_ms > start_ms")
 
 
-def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spoken(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Words with utterance and speaker."""
-    return attribution.attributed(words(spark, sf_dir), turns(spark, sf_dir))
+    parts = parts or word_parts(spark, sf_dir)
+    return attribution.attributed(words(spark, sf_dir, parts), turns(spark, sf_dir), parts=parts)
+
+
+def spoken_segments(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    parts = parts or word_parts(spark, sf_dir)
+    return attribution.segments(spoken(spark, sf_dir, parts), parts)
 
 
-def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segment_words(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Words of segments: the transcript's turns are its segments here."""
-    seg = attribution.segments(spoken(spark, sf_dir))
+    seg = spoken_segments(spark, sf_dir, parts)
     w = seg.withColumn("seg_no", F.col("chunk_ix") * 100000 + F.col("seg_ix")).select("job_id", "seg_no", "speaker", F.explode("words").alias("w"))
     return w.select("job_id", "seg_no", "speaker", F.lit(None).cast("string").alias("label"), "w.pos", "w.word", "w.start_ms", "w.end_ms")
 
