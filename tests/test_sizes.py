@@ -3,7 +3,7 @@
 import pytest
 
 from talkspark.operators import places
-from talkspark.plans import transcripts, views
+from talkspark.plans import stores, transcripts, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +31,14 @@ def test_words_are_not_broadcast(spark):
     """Their files are far smaller than they are, so that Spark's estimate would have them broadcast."""
     plan = views.spoken(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_release_stream_has_no_call_for_each_recording(spark, monkeypatch):
+    from talkspark.streaming import stateful
+
+    def call(*_):
+        raise AssertionError("a call for each recording")
+
+    monkeypatch.setattr(stateful, "released_stream", call)
+    events = views.table(spark, SF, "events")
+    assert 0 < stores.t1_stream(spark, SF).count() < events.count()
