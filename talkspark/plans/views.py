@@ -66,7 +66,8 @@ def segment_words(spark: SparkSession, sf_dir: str, parts: int | None = None) ->
 def big_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A large turn table: an order is a recording, its lines are turns."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    t = table(spark, sf_dir, "lineitem").select(
+    items = table(spark, sf_dir, "lineitem")
+    t = dealt(items, parts_for(spark, items.count()), "l_orderkey").select(
         F.col("l_orderkey").alias("job_id"), F.row_number().over(order).alias("turn_ix"), F.concat(F.lit("SPEAKER_"), (F.col("l_suppkey") % 4).cast("string")).alias("speaker"), "l_quantity"
     )
     t = t.withColumn("start_ms", (60000 * F.col("turn_ix")).cast("long"))

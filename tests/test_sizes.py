@@ -3,7 +3,7 @@
 import pytest
 
 from talkspark.operators import places
-from talkspark.plans import stores, transcripts, views
+from talkspark.plans import registry, stores, transcripts, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +42,18 @@ def test_release_stream_has_no_call_for_each_recording(spark, monkeypatch):
     monkeypatch.setattr(stateful, "released_stream", call)
     events = views.table(spark, SF, "events")
     assert 0 < stores.t1_stream(spark, SF).count() < events.count()
+
+
+def test_turns_of_orders_are_dealt(spark, small_tasks):
+    turns = views.big_turns(spark, SF)
+    assert turns.rdd.getNumPartitions() >= turns.count() // 100
+    assert registry.w10(spark, SF).rdd.getNumPartitions() >= turns.count() // 100
+
+
+def test_sample_decisions_are_dealt(spark, small_tasks, monkeypatch):
+    decided, problems = registry.decisions(spark, SF)
+    n = decided.count()
+    assert decided.rdd.getNumPartitions() >= n // 100
+    few = rows(decided), rows(problems)
+    monkeypatch.setattr(places, "TASK_ROWS", 10**9)
+    assert few == tuple(map(rows, registry.decisions(spark, SF)))
