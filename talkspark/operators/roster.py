@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkspark.functions.scalars import blank_to_null
 from talkspark.operators import live
-from talkspark.operators.places import numbered_within, spread_join, stored
+from talkspark.operators.places import dealt, numbered_within, spread_join, stored
 from talkspark.operators.voices import THRESHOLD
 
 
@@ -104,25 +104,26 @@ def current_status(events: DataFrame) -> DataFrame:
     return last.select("job_id", F.col("e.status").alias("status"), F.when(F.col("e.status") == "running", F.greatest(F.lit(1), p)).otherwise(p).alias("percent"))
 
 
-def sample_decisions(files: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sample_decisions(files: DataFrame, rows: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """What the names of sample files decide about speakers: (job_id, speaker, decision, name), and problems.
 
     A file `<speaker>__<name>.<ext>` belongs to the speaker with the longest matching ID. No file: dropped; name
     NAME-ME: unnamed; the suggestion as written: suggestion; else named. Problems: no such speaker, no name, two
-    files of one speaker.
+    files of one speaker. parts: as of dealt().
     """
+    file, who = ["job_id", "file"], ["job_id", "speaker"]
     f = files.select("job_id", "file", F.regexp_replace("file", r"\.[^.]*$", "").alias("stem"))
     r = rows.select("job_id", "speaker", "suggestion")
-    hits = f.join(r, "job_id").where(F.col("stem").startswith(F.concat("speaker", F.lit("__"))))
+    hits = dealt(f, parts, "job_id").join(dealt(r, parts, "job_id"), "job_id").where(F.col("stem").startswith(F.concat("speaker", F.lit("__"))))
     best = hits.groupBy("job_id", "file", "stem").agg(F.max(F.struct(F.length("speaker").alias("n"), "speaker", "suggestion")).alias("b"))
     best = best.select("job_id", "file", "b.speaker", "b.suggestion", F.trim(F.substring("stem", F.length("b.speaker") + 3, F.length("stem"))).alias("name"))
     per = best.groupBy("job_id", "speaker").agg(F.count("*").alias("n_files"), F.min("name").alias("name"))
-    out = r.join(per, ["job_id", "speaker"], "left")
+    out = dealt(r, parts, *who).join(dealt(per, parts, *who), who, "left")
     decision = F.when(F.col("n_files").isNull(), "dropped").when(F.col("name") == "NAME-ME", "unnamed").when(F.col("name") == F.col("suggestion"), "suggestion").otherwise("named")
     decided = out.where("n_files is null OR (n_files = 1 AND name <> '')").select("job_id", "speaker", decision.alias("decision"), F.when(decision.isin("named", "suggestion"), F.col("name")).alias("name"))
-    unknown = f.join(best.select("job_id", "file"), ["job_id", "file"], "left_anti").select("job_id", "file", F.lit("no such speaker").alias("problem"))
+    unknown = dealt(f, parts, *file).join(dealt(best.select(*file), parts, *file), file, "left_anti").select("job_id", "file", F.lit("no such speaker").alias("problem"))
     empty = best.where("name = ''").select("job_id", "file", F.lit("no name").alias("problem"))
-    twice = best.join(per.where("n_files > 1"), ["job_id", "speaker"], "left_semi").select("job_id", "file", F.lit("several files of one speaker").alias("problem"))
+    twice = dealt(best, parts, *who).join(dealt(per.where("n_files > 1"), parts, *who), who, "left_semi").select("job_id", "file", F.lit("several files of one speaker").alias("problem"))
     return decided, unknown.unionByName(empty).unionByName(twice)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkspark.operators import roster, samples, voices
-from talkspark.operators.places import numbered_within
+from talkspark.operators.places import numbered_within, parts_for, stored
 from talkspark.plans import views
 from talkspark.plans.oracle_views import sql
 
@@ -241,7 +241,7 @@ def w10(spark, sf):
 
 def files(spark, sf):
     """Sample files of the speakers of orders: renamed, kept, unnamed, deleted, doubled and stray ones."""
-    r = views.big_turns(spark, sf).select("job_id", "speaker").distinct().withColumn("suggestion", F.concat(F.lower("speaker"), F.lit("_0.80")))
+    r = stored(views.big_turns(spark, sf).select("job_id", "speaker").distinct(), "speakers").withColumn("suggestion", F.concat(F.lower("speaker"), F.lit("_0.80")))
     kind = F.col("job_id") % 7
     name = F.when(kind == 0, "NAME-ME").when(kind == 1, F.col("suggestion")).when(kind == 2, "").otherwise("Ann")
     f = r.where("job_id % 7 <> 6").select("job_id", F.concat("speaker", F.lit("__"), name, F.lit(".mp3")).alias("file"))
@@ -250,12 +250,17 @@ def files(spark, sf):
     return f.unionByName(more).unionByName(stray), r
 
 
+def decisions(spark, sf):
+    f, r = files(spark, sf)
+    return roster.sample_decisions(f, r, parts_for(spark, r.count()))
+
+
 def j16(spark, sf):
-    return roster.sample_decisions(*files(spark, sf))[0]
+    return decisions(spark, sf)[0]
 
 
 def j16_problems(spark, sf):
-    return roster.sample_decisions(*files(spark, sf))[1]
+    return decisions(spark, sf)[1]
 
 
 FILES = """r AS (SELECT DISTINCT job_id, speaker, lower(speaker) || '_0.80' AS suggestion FROM big_turns)"""
