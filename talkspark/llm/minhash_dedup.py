@@ -24,7 +24,8 @@ collisions of their signatures and their full sets. Nodes that are in a list but
 at under 0.6 and over 0.8 of it can't be linked) are posted under the rarest of their shingles instead, with the same bounds
 against the empty set. A large group of near copies so costs links to representatives, not pairs.
 
-Shingles are compared by 64-bit hashes, sets by 128-bit ones; a node's number is given when nodes are written.
+Shingles are compared by 64-bit hashes, sets by 128-bit ones; a node's number is given when nodes are written. Its place is a
+hash of its row's key, which a row has before any join: texts are shuffled once, into buckets of places.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; rows with a null
 doc_id are linked like others but never name a component (component_id null when nothing else does); repeated
@@ -290,12 +291,12 @@ def by_differences(groups: DataFrame) -> DataFrame:
 def by_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b, n_a, n_b) of different components that share enough shingles and are in no group together.
 
-    nodes: (node, n, comp, reps), reps the representatives whose group a node is in.
+    nodes: (node, n, comp, reps), reps the representatives whose group a node is in; texts: theirs.
     """
     total, low = sum(LIMIT), LIMIT[0]
     # a partner has LIMIT of the node's size at least, and so must share 0.8 of it
     nodes = nodes.withColumn("need", F.ceil(F.col("n") * low / LIMIT[1]))
-    rows = stored(shingle_rows(texts.join(nodes.select("node"), "node")).join(nodes.drop("reps"), "node"), "shingles")
+    rows = stored(shingle_rows(texts).join(nodes.drop("reps"), "node"), "shingles")
     kept = rarest(rows, ["node"], ["shingle"]).join(nodes.select("node", "reps"), "node")
     side = lambda x: kept.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "have", "at", "reps")])
     behind = F.least(F.col("have_a") - F.col("at_a"), F.col("have_b") - F.col("at_b")) + 1
@@ -309,23 +310,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *same_text(doc_id, text))
     rows = stored(signatures(slim), "signatures")
-    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("coords").alias("coords"), F.first("n_shingles").alias("n"), F.min(F.struct("id_key", "text_key")).alias("row"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("coords").alias("coords"), F.first("n_shingles").alias("n"), F.min(F.struct("id_key", "text_key")).alias("row")).select("digest", "id", "coords", "n", "row.*")
+    nodes, salt = placed(stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes"))
     lists = prefixes(nodes.select("node", "coords"))
+    sig = nodes.select("node", "n", "coords", "place").join(lists.select("node").distinct(), "node", "left_semi")
     # one text for each node; any of those with its set will do
-    table = nodes_texts(docs, nodes.join(lists.select("node").distinct(), "node", "left_semi"), text, doc_id)
+    table = nodes_texts(docs, nodes.join(lists.select("node").distinct(), "node", "left_semi"), salt, text, doc_id)
     texts = spark.table(table)
-    sig = nodes.select("node", "n", "coords").join(lists.select("node").distinct(), "node", "left_semi")
 
     def looked_at(pairs: DataFrame, matches: int, name: str) -> DataFrame:
         """Of pairs (a, b), b the representative if one is, those with enough collisions, compared on full sets."""
-        pairs = pairs.select("a", "b").join(sig.toDF("a", "n_a", "coords_a"), "a").join(sig.toDF("b", "n_b", "coords_b"), "b")
+        pairs = pairs.select("a", "b").join(sig.toDF("a", "n_a", "coords_a", "place_a"), "a").join(sig.toDF("b", "n_b", "coords_b", "place_b"), "b")
         equal = F.aggregate(F.zip_with("coords_a", "coords_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
         least = GROUP if matches == NEAR else LIMIT[0]  # a set's size against the other's, for that similarity
-        pairs = stored(pairs.where((equal >= matches) & (F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * least)).select("a", "b"), "pairs")
+        pairs = stored(pairs.where((equal >= matches) & (F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * least)).select("a", "b", "place_a", "place_b"), "pairs")
         # representatives' texts only are shuffled, and those of the pairs' other side, which a large group splits over tasks
-        others = texts.join(pairs.select(F.col("b").alias("node")).distinct(), "node")
-        pairs = pairs.join(texts.toDF("a", "text_a"), "a").join(others.toDF("b", "text_b"), "b")
+        others = texts.join(pairs.select(F.col("place_b").alias("place")).distinct(), "place")
+        pairs = pairs.join(texts.toDF("place_a", "text_a"), "place_a").join(others.toDF("place_b", "text_b"), "place_b")
         return stored(compared(pairs), name)
 
     try:
@@ -348,7 +349,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         groups = left.join(first.select(F.col("a").alias("node"), F.col("b").alias("rep"), "n_a", "n_b", "both", "more", "less"), ["rep", "node"], "left")
         groups = stored(groups.withColumn("near", F.col("more").isNotNull()).withColumn("linked", F.coalesce(linked(), F.col("rep") == F.col("node"))), "groups")
         apart = groups.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_set(F.when(F.col("near") | F.col("linked"), F.col("rep"))).alias("reps"), F.max(~F.col("linked")).alias("apart"))
-        pairs = by_shingles(apart.where("apart").drop("apart"), texts).unionByName(by_differences(groups.where("near").withColumnRenamed("n_b", "n_rep").drop("near", "linked", "n_a")))
+        apart = apart.where("apart").drop("apart")
+        whose = apart.select("node").join(nodes.select("node", "place"), "node")
+        pairs = by_shingles(apart, texts.join(whose, "place").select("node", "text")).unionByName(by_differences(groups.where("near").withColumnRenamed("n_b", "n_rep").drop("near", "linked", "n_a")))
         sizes = F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0]
         third = looked_at(pairs.where(sizes).select("a", "b").distinct(), MATCHES, "rest").where(linked()).select("a", "b")
         if not third.isEmpty():
@@ -370,15 +373,36 @@ def same_text(doc_id: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(doc_id).cast("string"), F.lit("-")).alias("id_key"), F.xxhash64(text).alias("text_key")]
 
 
-def nodes_texts(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> str:
-    """The name of a table (node, text), bucketed by node, of the text of one row of each node: its joins by node move no text."""
+def place_of(salt: int) -> Column:
+    """A row's place, from its own key."""
+    return F.xxhash64("id_key", "text_key", F.lit(salt))
+
+
+def placed(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """nodes with their place, and the first salt with which no two nodes have the same one."""
+    salt = 0
+    while not nodes.groupBy(place_of(salt)).count().where("count > 1").isEmpty():
+        salt += 1
+    return nodes.withColumn("place", place_of(salt)), salt
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, salt: int, buckets: int, text: str, doc_id: str) -> DataFrame:
+    """(place, text) of one row of each node (place, id_key, text_key), in as many partitions by place as there are buckets."""
+    found = docs.select(*same_text(doc_id, text), F.col(text).alias("text")).where("text is not null").withColumn("place", place_of(salt))
+    # the join deals texts as the buckets do, so that they are shuffled once
+    whose = nodes.select("place", F.struct("id_key", "text_key").alias("row")).repartition(buckets, "place")
+    found = found.repartition(buckets, "place").join(whose.hint("merge"), "place")
+    # repeated rows: one of them, in the partition that the join made; rows of another key are at this place by chance
+    own = F.when(F.struct("id_key", "text_key") == F.col("row"), F.col("text"))
+    return found.groupBy("place").agg(F.min(own).alias("text"))
+
+
+def nodes_texts(docs: DataFrame, nodes: DataFrame, salt: int, text: str, doc_id: str) -> str:
+    """The name of a table (place, text), bucketed by place, of the text of one row of each node: its joins by place move no text."""
     spark = docs.sparkSession
-    found = docs.select(*same_text(doc_id, text), F.col(text).alias("text")).join(nodes.select("node", "row.*"), ["id_key", "text_key"])
-    # repeated rows: one of them, in the partition that the join made
-    found = found.groupBy("id_key", "text_key").agg(F.min("node").alias("node"), F.min("text").alias("text")).select("node", "text")
     buckets = min(100_000, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     name = f"node_texts_{uuid.uuid4().hex}"
-    found.repartition(buckets, "node").write.bucketBy(buckets, "node").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    texts_of(docs, nodes, salt, buckets, text, doc_id).write.bucketBy(buckets, "place").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return name
 
 

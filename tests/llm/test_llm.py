@@ -170,6 +170,24 @@ def test_strays_of_a_group_against_brute_force(spark):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == sorted(brute_components(rows))
 
 
+def test_texts_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in range(50)], "doc_id bigint, text string")
+    keys = docs.where("doc_id < 9").select(*minhash_dedup.same_text("doc_id", "text")).withColumn("place", minhash_dedup.place_of(0))
+    found = minhash_dedup.texts_of(docs, keys, 0, 16, "text", "doc_id")
+    assert sorted(r.text for r in found.collect()) == sorted(f"a b {i}" for i in range(9))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2  # the texts' and the keys'
+
+
+def test_places_that_meet_by_chance(spark, monkeypatch):
+    """Two nodes never have one place; rows that are no node's own may stand at a node's place."""
+    plain = minhash_dedup.place_of
+    monkeypatch.setattr(minhash_dedup, "place_of", lambda salt: F.pmod(plain(salt), F.lit(40 * 8**salt)))
+    rows = near_copies(30, 5) + [(100 + i, f"x{i} y{i} z{i}") for i in range(30)] + [(200 + i, f"x{i} y{i} z{i}") for i in range(30)]
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == sorted(brute_components(rows))
+
+
 def test_near_duplicates_of_a_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
