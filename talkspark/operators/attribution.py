@@ -67,7 +67,7 @@ def segments(words: DataFrame, parts: int | None = None) -> DataFrame:
     word = F.struct("pos", "word", "start_ms", "end_ms")
     out = marked.groupBy(*CHUNK, "seg_ix").agg(
         F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", "pos").alias("end_ms"),
-        F.array_sort(F.collect_list(word)).alias("words"),
+        F.sort_array(F.collect_list(word)).alias("words"),
     )
     sure = F.when(F.col("speaker") == UNKNOWN, 0.0).otherwise(1.0)
     return out.withColumns({"speaker_confidence": sure, "text": text_of(F.col("words"))})

@@ -49,7 +49,8 @@ def split_words(words: DataFrame, before: DataFrame | None = None, keep: bool =
         goes_on = (F.col("run") == 1) & (F.col("speaker") == F.col("run_speaker"))
         w = w.withColumn("past", F.when(goes_on, newest(F.concat("gaps", "past"))).otherwise(F.col("past")))
         first_line = F.coalesce("n_lines", F.lit(0))
-    w = w.withColumn("sorted", F.array_sort("past"))
+    # a gap under LEAST_MS is never long, so that the others' histories only are sorted
+    w = w.withColumn("sorted", F.when(F.col("gap") >= LEAST_MS, F.sort_array("past")))
     silent = (F.size("past") >= KNOWN) & (F.col("gap") >= long_silence(F.col("sorted")))
     w = w.withColumn("breaks", F.col("opens") | F.col("word_before").rlike(SENTENCE_END) | F.coalesce(silent, F.lit(False)))
     w = w.withColumn("line_no", F.sum(F.col("breaks").cast("int")).over(job) - 1 + first_line)
@@ -64,7 +65,7 @@ def history_gaps(split: DataFrame) -> Column:
 
 def lines(words: DataFrame, *more: Column) -> DataFrame:
     """(job_id, line_no, speaker, label, start_ms, end_ms, text) from split words, and more aggregates; label may be null."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "pos", "word"))), lambda x: x["word"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "pos", "word"))), lambda x: x["word"]), " ")
     return words.groupBy("job_id", "line_no").agg(
         F.first("speaker").alias("speaker"), F.first("label").alias("label"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), text.alias("text"), *more
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkspark.operators import voices
+from talkspark.operators.places import stored
 from talkspark.plans import meetings, views
 from talkspark.plans.oracle_views import VIEWS, sql
 from talkspark.sources.shared import new_path
@@ -28,10 +29,11 @@ def part_of(ms: Column) -> Column:
 
 
 def fed(spark: SparkSession, rows: DataFrame, part: Column, run: Callable[[DataFrame, int], None]) -> None:
-    """Write rows part by part, and run(stream over all that is there, part) after each."""
+    """Write rows part by part, and run(stream over all that is there, part) after each. Rows are made once."""
     source = new_path(spark, "fed")
+    made = stored(rows.withColumn("__part", part), "parts")
     for k in range(PARTS):
-        rows.where(part == k).write.mode("append").parquet(source)
+        made.where(F.col("__part") == k).drop("__part").write.mode("append").parquet(source)
         run(spark.readStream.schema(rows.schema).parquet(source), k)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from talkspark.functions.scalars import UNKNOWN
 from talkspark.operators import attribution, lines, live
+from talkspark.operators.places import parts_for
 from talkspark.operators.steps import runs
 from talkspark.streaming.ledger import Ledger
 
@@ -45,11 +46,11 @@ PIECE_LINE = "job_id bigint, line_no bigint, speaker string, start_ms bigint, en
 TOP = "job_id bigint, chunk_ix bigint, top string"
 
 
-def piece_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """(job_id, chunk_ix, top): who talks most in each piece, null where nobody does."""
+def piece_speakers(words: DataFrame, turns: DataFrame, parts: int | None = None) -> DataFrame:
+    """(job_id, chunk_ix, top): who talks most in each piece, null where nobody does. parts: as of dealt()."""
     key = attribution.CHUNK
     pieces = words.groupBy(*key).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
-    best = attribution.top_speaker(attribution.spans_speakers(pieces, turns, key, ["start_ms"]), key)
+    best = attribution.top_speaker(attribution.spans_speakers(pieces, turns, key, ["start_ms"], parts), key)
     return pieces.select(*key).join(best.select(*key, F.col("speaker").alias("top")), key, "left")
 
 
@@ -80,11 +81,12 @@ def pieces_step(batch: DataFrame, ledger: Ledger, track: str = TRACKS[0]) -> tup
     words = batch.where("kind = 'word'").select("job_id", "chunk_ix", "pos", "word", "start_ms", "end_ms")
     turns = ledger.state("turns", TURN).unionByName(batch.where("kind = 'turn'").select("job_id", "turn_ix", "speaker", "start_ms", "end_ms"))
     heard = ledger.state("heard", HEARD)
-    tops = piece_speakers(words, turns)
+    parts = parts_for(batch.sparkSession, batch.count())
+    tops = piece_speakers(words, turns, parts)
 
     def made(written) -> DataFrame:
-        said = with_fallback(attribution.segments(attribution.attributed(words, turns)), written("tops"), heard, track)
-        split = lines.split_words(words_of_segments(said), heard.select("job_id", "run_speaker", "gaps", "n_lines"), keep=True)
+        said = with_fallback(attribution.segments(attribution.attributed(words, turns, parts=parts), parts), written("tops"), heard, track)
+        split = lines.split_words(words_of_segments(said), heard.select("job_id", "run_speaker", "gaps", "n_lines"), keep=True, parts=parts)
         return lines.lines(split, lines.history_gaps(split).alias("gaps")).select("job_id", "line_no", "speaker", "start_ms", "end_ms", "text", "gaps")
 
     reached = words.groupBy("job_id").agg(F.max("end_ms").alias("reached"))

@@ -1,9 +1,12 @@
 """What a task gets doesn't grow with the tables."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from talkspark.operators import places
-from talkspark.plans import registry, stores, transcripts, views
+from talkspark.operators import lines, places
+from talkspark.plans import following, registry, stores, transcripts, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +60,19 @@ def test_sample_decisions_are_dealt(spark, small_tasks, monkeypatch):
     few = rows(decided), rows(problems)
     monkeypatch.setattr(places, "TASK_ROWS", 10**9)
     assert few == tuple(map(rows, registry.decisions(spark, SF)))
+
+
+def test_pieces_are_dealt_by_their_rows(spark, small_tasks, monkeypatch):
+    seen, plain = [], lines.split_words
+    monkeypatch.setattr(lines, "split_words", lambda *a, parts=None, **k: seen.append(parts) or plain(*a, parts=parts, **k))
+    assert following.t13(spark, SF).count() == transcripts.w3(spark, SF).count()
+    n = views.words(spark, SF).count()
+    assert sum(seen[: following.PARTS]) >= n // 100
+
+
+def test_fed_rows_are_made_once(spark, monkeypatch, tmp_path):
+    """Rows that fall into other parts each time they are made are fed once all the same."""
+    monkeypatch.setattr(following, "new_path", lambda *_: str(tmp_path / "fed"))
+    any_part = F.udf(lambda: random.SystemRandom().randrange(following.PARTS), "int").asNondeterministic()
+    following.fed(spark, spark.range(300), any_part(), lambda stream, k: None)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "fed")).collect()) == list(range(300))
