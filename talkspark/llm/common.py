@@ -67,6 +67,12 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that moves both sides, whatever Spark takes their sizes to be: it sizes a table by its compressed
+    files, a list as one element and an explode as one row, and so would broadcast many times its limit from the driver."""
+    return side.hint("merge")
+
+
 #: Rows of a table that may be broadcast: a few numbers each.
 FEW = 10_000
 SALTS = 64
@@ -79,7 +85,7 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
         return rows.join(F.broadcast(groups), key)
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [key, "__salt"]).drop("__salt")
+    return dealt.join(shuffled(copies), [key, "__salt"]).drop("__salt")
 
 
 def words_of(text: Column) -> Column:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkspark.llm.bpe import slices, with_column
-from talkspark.llm.common import cut, give_back, shared_dir, stored, tidy, with_groups
+from talkspark.llm.common import cut, give_back, shared_dir, shuffled, stored, tidy, with_groups
 
 ORDER, PRIOR, QUANTILE, LEAST, FOLDS = 4, 40, 0.99, 50, 4
 #: Thresholds are never lower (nats a byte): trusted texts all alike have no spread. On sf0.1 they are 1.67 and more.
@@ -52,6 +52,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[48:58] = 48
 MASK = (1 << (8 * ORDER)) - 1
+#: Bytes of n-grams whose table may be broadcast: 65,536 rows for each fold at most. Their keys are too few to shuffle by.
+SMALL = 2
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +74,11 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], ends - (ORDER - 1) * np.arange(1, len(texts) + 1)
 
 
+def looked_up(rows: DataFrame, n: int) -> DataFrame:
+    """A table of n-grams of n bytes as the side of a join that is looked up."""
+    return rows if n <= SMALL else shuffled(rows)
+
+
 class Model:
     """Tables of the model, one pair for each order k: grams (gram, own) with the discounted probability of seen
     n-grams without lower orders, and contexts (context, back) with the weight that goes to the lower order.
@@ -96,7 +103,7 @@ class Model:
             less = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
             cell = cell.select(*self.by, "gram", "context", "n", less.alias("less"))
             total = cell.groupBy(*self.by, "context").agg(F.sum("n").alias("total"), F.sum("less").alias("lost"))
-            own = cell.join(total, [*self.by, "context"]).select(*self.by, "gram", ((F.col("n") - F.col("less")) / F.col("total")).alias("own"))
+            own = cell.join(looked_up(total, k - 1), [*self.by, "context"]).select(*self.by, "gram", ((F.col("n") - F.col("less")) / F.col("total")).alias("own"))
             self.grams[k] = cut(own)
             self.contexts[k] = cut(total.select(*self.by, "context", (F.col("lost") / F.col("total")).alias("back")))
             if k > 1:  # continuation counts: in how many contexts the shorter n-gram stands
@@ -109,8 +116,8 @@ class Model:
         for k in range(1, ORDER + 1):
             mask = (1 << (8 * k)) - 1
             out = out.withColumns({"g": F.col("gram").bitwiseAND(F.lit(mask)), "c": F.shiftright(F.col("gram").bitwiseAND(F.lit(mask)), 8)})
-            out = out.join(self.grams[k].withColumnRenamed("gram", "g"), [*self.by, "g"], "left")
-            out = out.join(self.contexts[k].withColumnRenamed("context", "c"), [*self.by, "c"], "left")
+            out = out.join(looked_up(self.grams[k].withColumnRenamed("gram", "g"), k), [*self.by, "g"], "left")
+            out = out.join(looked_up(self.contexts[k].withColumnRenamed("context", "c"), k - 1), [*self.by, "c"], "left")
             out = out.select(*self.by, "gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p"))
         return out.select(*self.by, "gram", F.log("p").alias("logp"))
 
@@ -234,10 +241,10 @@ def scored(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str
         packed(docs, text, doc_id).write.bucketBy(buckets, "block").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
         blocks = spark.table(name)
         ids = blocks.select(F.col("block").alias("at_block"), F.explode("ids").alias("id")).distinct()
-        good = ids.join(trusted.select(F.col(doc_id).cast("long").alias("id")), "id").select("at_block", "id")
+        good = ids.join(shuffled(trusted.select(F.col(doc_id).cast("long").alias("id"))), "id").select("at_block", "id")
         made = stored(block_grams(blocks.select("block", "fold", "rows"), good, text, doc_id), "grams")
         model = Model(held_out(made.where("n > 0").groupBy("fold", "gram").agg(F.sum("n").alias("n"))))
-        known = made.select(F.col("block").alias("at_block"), "fold", "gram").join(model.log_probabilities(made.select("fold", "gram").distinct()), ["fold", "gram"]).drop("fold")
+        known = made.select(F.col("block").alias("at_block"), "fold", "gram").join(shuffled(model.log_probabilities(made.select("fold", "gram").distinct())), ["fold", "gram"]).drop("fold")
         scores = stored(block_scores(blocks.select("block", "rows"), known, fields, text), "scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -277,7 +284,7 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str =
     """docs without the text, with nll, n_bytes, trusted, perplexity, threshold and kept."""
     trusted = cut(trusted_ids(labels, doc_id))
     scores = scored(docs, trusted, text, doc_id)
-    scores = scores.join(trusted.select(F.col(doc_id).alias("__id")), F.col(doc_id) == F.col("__id"), "left")
+    scores = scores.join(shuffled(trusted.select(F.col(doc_id).alias("__id"))), F.col(doc_id) == F.col("__id"), "left")
     return judged(cut(scores.withColumn("trusted", F.col("__id").isNotNull()).drop("__id")), lang)
 
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkspark.llm.bpe import slices, with_column
-from talkspark.llm.common import cut, shared_dir, stored, tidy
+from talkspark.llm.common import cut, shared_dir, shuffled, stored, tidy
 
 SHINGLE, LIMIT = 2, (80, 100)
 #: Coordinates of a signature; collisions that a link needs; those of pairs that are compared with their representative.
@@ -194,7 +194,7 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     links = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
-        near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        near = links.join(shuffled(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node", "left").select("node", "comp", F.least("comp", "near").alias("next"))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
         step = cut(step.join(jump, "next", "left").select("node", "comp", F.least("next", "far").alias("next")))
@@ -208,14 +208,14 @@ def prefixes(nodes: DataFrame) -> DataFrame:
     key = F.transform("coords", lambda v, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(2**32 - 1))))
     posted = nodes.select("node", F.explode(key).alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = posted.join(lists, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("posts"))
+    shared = posted.join(shuffled(lists), "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("posts"))
     shared = shared.where(F.size("posts") >= MATCHES).withColumn("sizes", F.transform("posts", lambda x: x["members"]))
     kept = shared.select("node", "sizes", F.explode(F.expr(f"slice(posts, 1, size(posts) - {MATCHES - 1})")).alias("p"))
     # how common a node's coordinates are, those beyond the list's own size alike
     central = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.col("p.members")))
     kept = stored(kept.select(F.col("p.key").alias("key"), "node", central.alias("central")), "prefixes")
     several = kept.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return stored(kept.join(several, "key"), "lists")
+    return stored(kept.join(shuffled(several), "key"), "lists")
 
 
 def representatives(lists: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def rarest(rows: DataFrame, by: list[str], feature: list[str]) -> DataFrame:
     """
     for _ in range(SKIPS):
         several = rows.groupBy(*feature).agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(*feature, "c")
-        rows = rows.drop("c", "have").join(several, feature)
+        rows = rows.drop("c", "have").join(shuffled(several), feature)
         node = Window.partitionBy(*by)
         rows = stored(rows.withColumn("have", F.count("*").over(node)).where("have >= need"), "rarest")
     order = F.row_number().over(Window.partitionBy(*by).orderBy("c", *feature))
@@ -284,7 +284,7 @@ def by_differences(groups: DataFrame) -> DataFrame:
     behind = F.least(F.col("have_a") - F.col("at_a"), F.col("have_b") - F.col("at_b")) + 1
     fits = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("stray_a") | F.col("stray_b"))
     fits &= total * behind >= F.col("q_a") + F.col("q_b") + F.col("own")
-    pairs = side("a").join(side("b"), ["rep", "kind", "shingle"]).where(fits)
+    pairs = side("a").join(shuffled(side("b")), ["rep", "kind", "shingle"]).where(fits)
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
 
 
@@ -296,12 +296,12 @@ def by_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     total, low = sum(LIMIT), LIMIT[0]
     # a partner has LIMIT of the node's size at least, and so must share 0.8 of it
     nodes = nodes.withColumn("need", F.ceil(F.col("n") * low / LIMIT[1]))
-    rows = stored(shingle_rows(texts).join(nodes.drop("reps"), "node"), "shingles")
-    kept = rarest(rows, ["node"], ["shingle"]).join(nodes.select("node", "reps"), "node")
+    rows = stored(shingle_rows(texts).join(shuffled(nodes.drop("reps")), "node"), "shingles")
+    kept = rarest(rows, ["node"], ["shingle"]).join(shuffled(nodes.select("node", "reps")), "node")
     side = lambda x: kept.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "have", "at", "reps")])
     behind = F.least(F.col("have_a") - F.col("at_a"), F.col("have_b") - F.col("at_b")) + 1
     fits = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (total * behind >= low * (F.col("n_a") + F.col("n_b")))
-    pairs = side("a").join(side("b"), "shingle").where(fits & ~F.arrays_overlap("reps_a", "reps_b"))
+    pairs = side("a").join(shuffled(side("b")), "shingle").where(fits & ~F.arrays_overlap("reps_a", "reps_b"))
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").distinct()
 
 
@@ -313,45 +313,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     nodes = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("coords").alias("coords"), F.first("n_shingles").alias("n"), F.min(F.struct("id_key", "text_key")).alias("row")).select("digest", "id", "coords", "n", "row.*")
     nodes, salt = placed(stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes"))
     lists = prefixes(nodes.select("node", "coords"))
-    sig = nodes.select("node", "n", "coords", "place").join(lists.select("node").distinct(), "node", "left_semi")
+    listed = shuffled(lists.select("node").distinct())
+    sig = nodes.select("node", "n", "coords", "place").join(listed, "node", "left_semi")
     # one text for each node; any of those with its set will do
-    table = nodes_texts(docs, nodes.join(lists.select("node").distinct(), "node", "left_semi"), salt, text, doc_id)
+    table = nodes_texts(docs, nodes.join(listed, "node", "left_semi"), salt, text, doc_id)
     texts = spark.table(table)
 
     def looked_at(pairs: DataFrame, matches: int, name: str) -> DataFrame:
         """Of pairs (a, b), b the representative if one is, those with enough collisions, compared on full sets."""
-        pairs = pairs.select("a", "b").join(sig.toDF("a", "n_a", "coords_a", "place_a"), "a").join(sig.toDF("b", "n_b", "coords_b", "place_b"), "b")
+        pairs = pairs.select("a", "b").join(shuffled(sig.toDF("a", "n_a", "coords_a", "place_a")), "a").join(shuffled(sig.toDF("b", "n_b", "coords_b", "place_b")), "b")
         equal = F.aggregate(F.zip_with("coords_a", "coords_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
         least = GROUP if matches == NEAR else LIMIT[0]  # a set's size against the other's, for that similarity
         pairs = stored(pairs.where((equal >= matches) & (F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * least)).select("a", "b", "place_a", "place_b"), "pairs")
         # representatives' texts only are shuffled, and those of the pairs' other side, which a large group splits over tasks
-        others = texts.join(pairs.select(F.col("place_b").alias("place")).distinct(), "place")
-        pairs = pairs.join(texts.toDF("place_a", "text_a"), "place_a").join(others.toDF("place_b", "text_b"), "place_b")
+        others = texts.join(shuffled(pairs.select(F.col("place_b").alias("place")).distinct()), "place")
+        pairs = pairs.join(shuffled(texts.toDF("place_a", "text_a")), "place_a").join(shuffled(others.toDF("place_b", "text_b")), "place_b")
         return stored(compared(pairs), name)
 
     try:
         reps = cut(representatives(lists))
-        met = lists.join(reps, "key").where(F.col("node") != F.col("rep"))
+        met = lists.join(shuffled(reps), "key").where(F.col("node") != F.col("rep"))
         first = looked_at(met.select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), NEAR, "representatives")
         labels = components(first.where(linked()).select("a", "b"))
 
         left = unsettled(lists.where(F.col("size") <= REPS + 1), labels)
         central = Window.partitionBy("key").orderBy(F.desc("central"), F.xxhash64("node"), "node")
         few = left.withColumn("place", F.row_number().over(central)).where(F.col("place") <= REPS).select("key", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"))
-        met = left.join(few, "key").where(F.col("comp") != F.col("rep_comp"))
+        met = left.join(shuffled(few), "key").where(F.col("comp") != F.col("rep_comp"))
         met = met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
         second = looked_at(met, MATCHES, "seconds").where(linked()).select("a", "b")
         if not second.isEmpty():
             labels = components(second, labels)
 
-        left = unsettled(lists.where(F.col("size") > REPS + 1), labels).join(reps, "key").select("rep", "node", "comp").distinct()
+        left = unsettled(lists.where(F.col("size") > REPS + 1), labels).join(shuffled(reps), "key").select("rep", "node", "comp").distinct()
         left = cut(left.join(nodes.select("node", "n"), "node"))
-        groups = left.join(first.select(F.col("a").alias("node"), F.col("b").alias("rep"), "n_a", "n_b", "both", "more", "less"), ["rep", "node"], "left")
+        groups = left.join(shuffled(first.select(F.col("a").alias("node"), F.col("b").alias("rep"), "n_a", "n_b", "both", "more", "less")), ["rep", "node"], "left")
         groups = stored(groups.withColumn("near", F.col("more").isNotNull()).withColumn("linked", F.coalesce(linked(), F.col("rep") == F.col("node"))), "groups")
         apart = groups.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_set(F.when(F.col("near") | F.col("linked"), F.col("rep"))).alias("reps"), F.max(~F.col("linked")).alias("apart"))
         apart = apart.where("apart").drop("apart")
-        whose = apart.select("node").join(nodes.select("node", "place"), "node")
-        pairs = by_shingles(apart, texts.join(whose, "place").select("node", "text")).unionByName(by_differences(groups.where("near").withColumnRenamed("n_b", "n_rep").drop("near", "linked", "n_a")))
+        whose = apart.select("node").join(shuffled(nodes.select("node", "place")), "node")
+        pairs = by_shingles(apart, texts.join(shuffled(whose), "place").select("node", "text")).unionByName(by_differences(groups.where("near").withColumnRenamed("n_b", "n_rep").drop("near", "linked", "n_a")))
         sizes = F.least("n_a", "n_b") * LIMIT[1] >= F.greatest("n_a", "n_b") * LIMIT[0]
         third = looked_at(pairs.where(sizes).select("a", "b").distinct(), MATCHES, "rest").where(linked()).select("a", "b")
         if not third.isEmpty():
