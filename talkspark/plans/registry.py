@@ -137,7 +137,7 @@ def a8(spark, sf):
 
 
 def a9(spark, sf):
-    named = roster.current_labels(decisions(spark, sf)).withColumnRenamed("label", "assigned")
+    named = roster.current_labels(name_log(spark, sf)).withColumnRenamed("label", "assigned")
     return roster.split_people(named).select("job_id", "name", "n_speakers", F.array_join("speakers", ",").alias("speakers"))
 
 
@@ -169,7 +169,7 @@ def j10(spark, sf):
     return roster.reused(r, r.select(F.col("job_id").alias("path"), "fingerprint"), True).select("path", "reused_job")
 
 
-def decisions(spark, sf):
+def name_log(spark, sf):
     """Decisions on names: an entry for each event; every tenth takes the name off."""
     e = views.table(spark, sf, "events")
     name = F.when(F.col("event_id") % 10 == 0, F.lit(" ")).otherwise(F.concat(F.lit("P"), (F.col("event_id") % 13).cast("string")))
