@@ -181,7 +181,7 @@ def m5(spark, sf):
 
 
 def j18(spark, sf):
-    maps = roster.current_labels(decisions(spark, sf)).groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker", "label")))).alias("labels"))
+    maps = roster.current_labels(name_log(spark, sf)).groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker", "label")))).alias("labels"))
     out = voices.renamed_in_labels(maps, "P3", "P4")
     return out.select("job_id", F.explode("labels").alias("speaker", "label"))
 

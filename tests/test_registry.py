@@ -33,3 +33,8 @@ def rows(df):
 def test_split_people_read_the_log_of_names(spark, last):
     want = [(job, name, len(who), ",".join(who)) for job, x in names(last).items() for name, who in x.items() if len(who) > 1]
     assert want and rows(registry.a9(spark, SF)) == sorted(want)
+
+
+def test_renamed_voices_read_the_log_of_names(spark, last):
+    want = [(job, speaker, "P4" if name == "P3" else name) for (job, speaker), (_, _, name) in last.items() if name and "P3" in names(last)[job]]
+    assert want and rows(registry.j18(spark, SF)) == sorted(want)
