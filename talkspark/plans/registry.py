@@ -177,7 +177,7 @@ def name_log(spark, sf):
 
 
 def m5(spark, sf):
-    return roster.current_labels(decisions(spark, sf))
+    return roster.current_labels(name_log(spark, sf))
 
 
 def j18(spark, sf):

@@ -38,3 +38,8 @@ def test_split_people_read_the_log_of_names(spark, last):
 def test_renamed_voices_read_the_log_of_names(spark, last):
     want = [(job, speaker, "P4" if name == "P3" else name) for (job, speaker), (_, _, name) in last.items() if name and "P3" in names(last)[job]]
     assert want and rows(registry.j18(spark, SF)) == sorted(want)
+
+
+def test_current_labels_read_the_log_of_names(spark, last):
+    want = [(*key, name) for key, (_, _, name) in last.items() if name]
+    assert 0 < len(want) < len(last) and rows(registry.m5(spark, SF)) == sorted(want)
