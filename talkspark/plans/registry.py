@@ -191,7 +191,7 @@ def m7(spark, sf):
 
 
 def m7_set(spark, sf):
-    return roster.removal_state(decisions(spark, sf).withColumn("removed", F.col("seq") % 4 == 1))
+    return roster.removal_state(name_log(spark, sf).withColumn("removed", F.col("seq") % 4 == 1))
 
 
 def m11(spark, sf):
