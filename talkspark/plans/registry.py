@@ -187,7 +187,7 @@ def j18(spark, sf):
 
 
 def m7(spark, sf):
-    return roster.toggled(decisions(spark, sf), ["job_id", "speaker"])
+    return roster.toggled(name_log(spark, sf), ["job_id", "speaker"])
 
 
 def m7_set(spark, sf):

@@ -48,3 +48,8 @@ def test_current_labels_read_the_log_of_names(spark, last):
 def test_set_removals_read_the_log_of_names(spark, last):
     want = [key for key, (_, seq, _) in last.items() if seq % 4 == 1]
     assert 0 < len(want) < len(last) and rows(registry.m7_set(spark, SF)) == sorted(want)
+
+
+def test_toggled_removals_read_the_log_of_names(spark, last):
+    want = [key for key, (n, _, _) in last.items() if n % 2]
+    assert 0 < len(want) < len(last) and rows(registry.m7(spark, SF)) == sorted(want)
